@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from emberline.llm import sharding, tokenfile, treebpe
+from emberline.llm import fingerprint, neardup, sharding, tokenfile, treebpe, viterbi
 from emberline.llm.common import table
 
 
@@ -15,10 +15,18 @@ def tokenizer_file(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_minhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"), percent=85, width=5)
+
+
 def op4_rendezvous_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"), shards=40)
 
 
+def op5_viterbi_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return viterbi.count_tokens(table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"))
+
+
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = tokenfile.new_folder(spark, "op6")
     tokenfile.write_tokens(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"), folder, end_id=1)
@@ -29,5 +37,9 @@ def op9_tree_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return treebpe.encode_documents(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op4_rendezvous_sharding, op6_token_files, op9_tree_bpe)}
+def op10_improbable_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.fingerprint_documents(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_minhash_groups, op4_rendezvous_sharding, op5_viterbi_counts, op6_token_files, op9_tree_bpe, op10_improbable_digest)}
 ORACLE_SQL: dict[str, str] = {}

@@ -34,7 +34,7 @@ class TreeEncoder(ChunkEncoder):
     """Chunk to (ids as text, decoded text, count); pre-tokens of more than ``leaf`` symbols by tree concatenation."""
 
     def __init__(self, path: str, leaf: int = LEAF) -> None:
-        super().__init__(path, held=250_000)
+        super().__init__(path, held=150_000)
         file = json.loads(self.library.to_str())
         merges = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in file["model"]["merges"]]
         self.rank = {m: i for i, m in enumerate(merges)}

@@ -32,7 +32,7 @@ def byte_alphabet() -> dict[int, str]:
 class ChunkEncoder(dict):
     """Chunk to its ids as little-endian bytes; a missing chunk is encoded by the library when it is asked for."""
 
-    def __init__(self, path: str, held: int = 400_000) -> None:
+    def __init__(self, path: str, held: int = 250_000) -> None:
         super().__init__()
         self.library = Tokenizer.from_file(path)
         self.library.no_padding()
