@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from emberline.llm import fingerprint, neardup, sharding, tokenfile, treebpe, viterbi
+from emberline.llm import decontaminate, fingerprint, neardup, pii, quality, sharding, tokenfile, treebpe, viterbi
 from emberline.llm.common import table
 
 
@@ -19,6 +19,10 @@ def op1_minhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"), percent=85, width=5)
 
 
+def op2_bootstrapped_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find_personal_data(table(spark, sf_dir, "documents"))
+
+
 def op4_rendezvous_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"), shards=40)
 
@@ -33,6 +37,14 @@ def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfile.read_tokens(spark, folder)
 
 
+def op7_qgram_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op8_attention_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op9_tree_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return treebpe.encode_documents(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"))
 
@@ -41,5 +53,5 @@ def op10_improbable_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.fingerprint_documents(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_minhash_groups, op4_rendezvous_sharding, op5_viterbi_counts, op6_token_files, op9_tree_bpe, op10_improbable_digest)}
+QUERIES = {f.__name__: f for f in (op1_minhash_groups, op2_bootstrapped_pii, op4_rendezvous_sharding, op5_viterbi_counts, op6_token_files, op7_qgram_decontamination, op8_attention_quality, op9_tree_bpe, op10_improbable_digest)}
 ORACLE_SQL: dict[str, str] = {}
