@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from bisect import bisect_left
 from collections.abc import Callable, Iterator
 
@@ -19,20 +20,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share; a local one is set only where the session names none."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    context = spark.sparkContext
     if not folder:
-        folder = context.getCheckpointDir() if hasattr(context, "getCheckpointDir") else None
-        folder = folder or tempfile.mkdtemp(prefix="emberline-")
+        folder = tempfile.mkdtemp(prefix="emberline-")
         spark.conf.set("spark.checkpoint.dir", folder)
-    if not context._jsc.sc().getCheckpointDir().isDefined():
-        context.setCheckpointDir(folder)
     return folder
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Writes ``df`` to the shared folder and reads it from there, so that later stages never repeat it."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint()
+    """Writes ``df`` to the shared folder and reads it from there: later stages never repeat it, whichever executor is lost.
+
+    A written table has a known size, so Spark broadcasts it in a join only below its own threshold.
+    """
+    spark = df.sparkSession
+    place = f"{shared_folder(spark).rstrip('/')}/cut-{uuid.uuid4().hex}"
+    df.write.parquet(place)
+    return spark.read.schema(df.schema).parquet(place)
 
 
 def text_of(column: str = "text") -> Column:

@@ -74,6 +74,12 @@ def base_spans(text: Column) -> dict[str, Column]:
     }
 
 
+def _tagged(text: Column) -> list[Column]:
+    """Each kind's entities with the kind's name."""
+    tag = lambda k, c: F.transform(c, lambda s: F.struct(F.lit(k).alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value"), s["before"].alias("before")))
+    return [tag(k, c) for k, c in base_spans(text).items()]
+
+
 def _order() -> Column:
     return F.array(*[F.lit(k) for k in KINDS])
 
@@ -89,16 +95,18 @@ def shape(value: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.lower(value), r"[\p{L}]+", "a"), "[0-9]+", "0")
 
 
-def annotate(docs: DataFrame, key: str, keep: tuple[str, ...] = ()) -> DataFrame:
-    """Per row: its base entities, and the mentions that none of them covers, with what stands before each."""
-    texts = docs.select(F.col(key).cast("long").alias(key), *keep, text_of().alias("_text"))
-    kinds = base_spans(F.col("_text"))
-    step = texts.select(key, *keep, *[c.alias(k) for k, c in kinds.items()], spans(F.col("_text"), DIGITS, F.col("_text").rlike("[0-9]")).alias("words"))
-    tag = lambda k: F.transform(F.col(k), lambda s: F.struct(F.lit(k).alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value"), s["before"].alias("before")))
-    step = step.withColumn("base", F.concat(*[tag(k) for k in KINDS]))
+def row_id(key: str) -> Column:
+    """Names a row by its key and text; rows alike in both have the same spans."""
+    return F.concat_ws("-", F.col(key).cast("string"), F.hex(F.xxhash64(text_of())), F.length(text_of()))
+
+
+def annotate(docs: DataFrame, key: str) -> DataFrame:
+    """Per row: its name, its base entities, and the mentions that none of them covers, with what stands before each."""
+    texts = docs.select(row_id(key).alias("row_id"), F.col(key).cast("long").alias(key), text_of().alias("_text"))
+    step = texts.select("row_id", key, F.concat(*_tagged(F.col("_text"))).alias("base"), spans(F.col("_text"), DIGITS, F.col("_text").rlike("[0-9]")).alias("words"))
     trimmed = F.transform("words", lambda s: F.struct(F.lit(None).cast("string").alias("kind"), s["start"].alias("start"), (s["start"] + F.length(F.regexp_replace(s["value"], r"[^\p{L}\p{N}]+$", ""))).alias("end"), F.regexp_replace(s["value"], r"[^\p{L}\p{N}]+$", "").alias("value"), s["before"].alias("before")))
     free = F.filter(trimmed, lambda w: (F.length(_digits(w["value"])) >= 5) & ~F.exists(F.col("base"), lambda b: (b["start"] < w["end"]) & (w["start"] < b["end"])))
-    return step.select(F.monotonically_increasing_id().alias("row_id"), key, *keep, "base", free.alias("free"))
+    return step.select("row_id", key, "base", free.alias("free"))
 
 
 def mentions(found: DataFrame) -> DataFrame:
@@ -157,9 +165,9 @@ def redact(docs: DataFrame, key: str = "doc_id", **options) -> DataFrame:
     All columns stay. Null texts stay null.
     """
     columns = docs.columns
-    struct = F.struct(*columns).alias("_row")
-    found = cut(annotate(docs.select(F.col(key), F.col("text"), struct), key, ("_row",)))
-    both = found.join(discovered(found, **options), "row_id", "left")
+    extras = cut(discovered(cut(annotate(docs, key)), **options))
+    named = docs.withColumn("_row", F.struct(*columns)).select(row_id(key).alias("row_id"), F.concat(*_tagged(text_of())).alias("base"), "_row")
+    both = named.join(extras, "row_id", "left")
     extra = F.coalesce("extra", F.array().cast("array<struct<kind:string,start:int,end:int>>"))
     plain = F.transform("base", lambda b: F.struct(b["start"].alias("start"), b["end"].alias("end"), b["kind"].alias("kind")))
     ordered = F.array_sort(F.concat(plain, F.transform(extra, lambda b: F.struct(b["start"].alias("start"), b["end"].alias("end"), b["kind"].alias("kind")))))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from emberline.llm import decontaminate, fingerprint, neardup, pii, quality, sharding, tokenfile, treebpe, viterbi
+from emberline.llm import decontaminate, fingerprint, html, neardup, pii, quality, sharding, tokenfile, treebpe, viterbi
 from emberline.llm.common import table
 
 
@@ -23,6 +23,10 @@ def op2_bootstrapped_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find_personal_data(table(spark, sf_dir, "documents"))
 
 
+def op3_lstm_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract_text(table(spark, sf_dir, "pages"))
+
+
 def op4_rendezvous_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"), shards=40)
 
@@ -53,5 +57,5 @@ def op10_improbable_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.fingerprint_documents(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_minhash_groups, op2_bootstrapped_pii, op4_rendezvous_sharding, op5_viterbi_counts, op6_token_files, op7_qgram_decontamination, op8_attention_quality, op9_tree_bpe, op10_improbable_digest)}
+QUERIES = {f.__name__: f for f in (op1_minhash_groups, op2_bootstrapped_pii, op3_lstm_main_text, op4_rendezvous_sharding, op5_viterbi_counts, op6_token_files, op7_qgram_decontamination, op8_attention_quality, op9_tree_bpe, op10_improbable_digest)}
 ORACLE_SQL: dict[str, str] = {}
