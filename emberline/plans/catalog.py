@@ -1,6 +1,493 @@
-"""Names of the engine's queries and their DuckDB counterparts."""
+"""The engine's queries over the driver's tables, each beside the DuckDB SQL with the same rows."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from emberline.functions import geo, normalize
+from emberline.operators import anomaly, audit, daily, decide, features, identity, review, serving, spatial, temporal
+from emberline.plans import windows
+from emberline.sources.adapters import view, with_views
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+CUTOFF = "2001-06-30"
+CALIBRATION_END = "1999-12-31"
+BOX = (70.0, 8.0, 90.0, 30.0)
+
+def register(*views: str, sql: str | None = None):
+    """Adds a query under its function's name; ``sql`` follows the named views and may open more tables itself."""
+
+    def add(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLE_SQL[f.__name__] = with_views(*views) + ("," if sql.lstrip().startswith("--with") else "") + sql.replace("--with", "")
+        return f
+
+    return add
+
+
+def r6(*names: str) -> list:
+    return [F.round(n, 6).alias(n) for n in names]
+
+
+# -- SQL that several counterparts share ---------------------------------------------------------------------
+DAILY = "daily as (select site_id, acq_date, count(*) as detections, avg(coalesce(frp,0.0)) as mean_frp, max(coalesce(frp,0.0)) as max_frp from detections group by site_id, acq_date)"
+TIMELINE = f"""days as (select distinct site_id, acq_date from detections where acq_date <= date '{CUTOFF}'),
+gapped as (select *, acq_date - lag(acq_date) over (partition by site_id order by acq_date) as gap, date '{CUTOFF}' - acq_date as ago from days),
+timeline as (select site_id, min(acq_date) as first_date, max(acq_date) as last_date, date '{CUTOFF}' - min(acq_date) as days_since_first, date '{CUTOFF}' - max(acq_date) as days_since_last,
+ max(acq_date) - min(acq_date) + 1 as lifetime_days, count(*) as active_days, count(*) filter (ago < 30) as active_days_30, count(*) filter (ago < 90) as active_days_90, count(*) filter (ago < 180) as active_days_180, count(*) filter (ago < 365) as active_days_365,
+ count(distinct date_trunc('month', acq_date)) filter (ago < 180) as active_months_180, max_by(gap, acq_date) filter (gap >= 90) as last_long_gap_days, date '{CUTOFF}' - max(acq_date) filter (gap >= 90) as reactivation_age_days from gapped group by site_id)"""
+RULES = """case when days_since_last<=30 and days_since_first>30 and last_long_gap_days>=90 and reactivation_age_days<=30 then 'REACTIVATED' when days_since_last<=30 and days_since_first<=30 then 'NEW'
+ when days_since_last<=30 and lifetime_days>=90 and active_months_180>=3 and active_days_180>=6 then 'PERSISTENT' when days_since_last>90 then 'DORMANT' else 'INTERMITTENT' end as state"""
+SURE = """case state when 'REACTIVATED' then case when active_days_30=1 then 'LOW' when active_days_30>=3 and last_long_gap_days>=180 then 'HIGH' else 'MEDIUM' end when 'NEW' then case when active_days_30=1 then 'LOW' when active_days_30>=3 then 'HIGH' else 'MEDIUM' end
+ when 'PERSISTENT' then case when active_months_180>=4 and active_days_180>=12 then 'HIGH' else 'MEDIUM' end when 'DORMANT' then case when days_since_last>=180 then 'HIGH' else 'MEDIUM' end else 'MEDIUM' end as confidence"""
+STATES = f"{TIMELINE}, stated as (select *, {RULES} from timeline), states as (select *, {SURE} from stated)"
+
+
+def _robust(x: str) -> str:
+    """Centre and scale of a history list, as select items."""
+    mad = f"1.4826*list_aggregate(list_transform(h_{x}, lambda v: abs(v-{x}_m)),'median')"
+    return f"greatest(case when {mad}<1e-4 then ({x}_q3-{x}_q1)/1.349 else {mad} end, 0.05*abs({x}_m), 1e-3) as {x}_s"
+
+
+_KINDS = ("max_frp", "mean_frp", "density", "gap")
+BASELINE = f"""{DAILY}, g0 as (select site_id, acq_date, max_frp, mean_frp, ln(1+cast(detections as double)) as density, cast(acq_date - lag(acq_date) over (partition by site_id order by acq_date) as double) as gap from daily),
+g1 as (select site_id, acq_date, max_frp, mean_frp, density, gap, count(*) over b as history_days, acq_date - min(acq_date) over b as history_span, count(gap) over b as gaps,
+ {', '.join(f"quantile_cont({x},0.5) over b as {x}_m, quantile_cont({x},0.25) over b as {x}_q1, quantile_cont({x},0.75) over b as {x}_q3, list({x}) filter ({x} is not null) over b as h_{x}" for x in _KINDS)}
+ from g0 window b as (partition by site_id order by acq_date rows between unbounded preceding and 1 preceding)),
+base as (select *, {', '.join(map(_robust, _KINDS))} from g1)"""
+SIGNALS = f"""{BASELINE}, sig as (select site_id, acq_date, history_days, history_span, gap, history_days>=5 and coalesce(history_span>=30,false) as scored,
+ greatest(0.0,least(greatest((max_frp-max_frp_m)/max_frp_s,(mean_frp-mean_frp_m)/mean_frp_s),20.0)) as i0, greatest(0.0,least((density-density_m)/density_s,20.0)) as d0, case when gaps>=3 then greatest(0.0,least((gap_m-gap)/gap_s,20.0)) else 0.0 end as r0 from base),
+signals as (select site_id, acq_date, history_days, history_span, gap, scored, case when scored then i0 end as intensity, case when scored then d0 end as density, case when scored then r0 end as recurrence_burst from sig)"""
+CHANGE = f"""{SIGNALS}, numbered as (select *, greatest(intensity,density) as x, coalesce(gap>30,false) as fresh, row_number() over (partition by site_id order by acq_date) as n from signals where scored),
+fold as (select site_id, acq_date, n, round(0.35*x,6) as ewma, round(greatest(0.0,least(x-2.0,50.0)),6) as cusum from numbered where n=1
+ union all select m.site_id, m.acq_date, m.n, round(0.35*m.x+case when m.fresh then 0.0 else (1-0.35)*f.ewma end,6), round(greatest(0.0,least(case when m.fresh then 0.0 else f.cusum end+m.x-2.0,50.0)),6) from fold f join numbered m on m.site_id=f.site_id and m.n=f.n+1),
+changed as (select s.*, f.ewma, f.cusum, greatest(f.ewma,f.cusum) as change from signals s left join fold f using (site_id, acq_date))"""
+_BINS = "[" + ",".join(f"{i / 200}" for i in range(201)) + "]"
+_GROUPS = ("intensity", "density", "recurrence_burst", "change")
+_MID = "(len(list_filter({r}, lambda z: z < {v}))+len(list_filter({r}, lambda z: z <= {v})))/402.0"
+SCORED = f"""{CHANGE}, refs as (select {', '.join(f"quantile_cont({g},{_BINS}) as ref_{g}" for g in _GROUPS)} from changed where scored and acq_date <= date '{CALIBRATION_END}'),
+pct as (select c.*, {', '.join(f"case when scored then {_MID.format(r=f'ref_{g}', v=g)} end as {g}_pct" for g in _GROUPS)} from changed c, refs),
+raw as (select *, case when scored then (list_reverse_sort([intensity_pct,density_pct,recurrence_burst_pct,change_pct])[1]+list_reverse_sort([intensity_pct,density_pct,recurrence_burst_pct,change_pct])[2])/2 end as c_raw from pct),
+final as (select quantile_cont(c_raw,{_BINS}) as ref_final from raw where scored and acq_date <= date '{CALIBRATION_END}'),
+score as (select raw.*, case when scored then {_MID.format(r='ref_final', v='c_raw')} end as c_score from raw, final),
+scored as (select *, case when not scored then 'INSUFFICIENT_HISTORY' when c_score>=0.999 then 'CRITICAL' when c_score>=0.99 then 'ANOMALOUS' when c_score>=0.95 then 'ELEVATED' else 'NORMAL' end as level from score)"""
+IDENTITY = """ranked_a as (select *, row_number() over (partition by site_id order by as_of desc, inference_id desc) as rn from a_history {where}),
+ident as (select site_id, p_core, p_visual, as_of, case when p_core>=0.975 then 'INDUSTRIAL_CORE_STRONG' when p_core>=0.885 then 'INDUSTRIAL_CORE_POSITIVE' when p_core>=0.405 then case when coalesce(p_visual>=0.965,false) then 'INDUSTRIAL_PRITHVI_RESCUE' else 'UNKNOWN' end else 'NONINDUSTRIAL' end as decision from ranked_a where rn=1),
+a_now as (select *, case when decision like 'INDUSTRIAL@_%' escape '@' then 'INDUSTRIAL' else decision end as class from ident)"""
+DECIDE = {
+    "alert_type": [("ind and level='CRITICAL'", "CRITICAL_INDUSTRIAL_ANOMALY", "CRITICAL", "true"), ("ind and state='REACTIVATED' and level in ('ELEVATED','ANOMALOUS')", "INDUSTRIAL_REACTIVATION_ANOMALY", "HIGH", "true"), ("ind and level='ANOMALOUS'", "HIGH_INDUSTRIAL_ANOMALY", "HIGH", "true"), ("unk and level='CRITICAL'", "UNKNOWN_CRITICAL_REVIEW", "HIGH", "true"), ("unk and level in ('ELEVATED','ANOMALOUS')", "UNKNOWN_ANOMALY_REVIEW", "MEDIUM", "true"), ("ind and level='ELEVATED'", "INDUSTRIAL_ELEVATION", "MEDIUM", "false"), ("state='NEW' and (unk or ind) and level='INSUFFICIENT_HISTORY'", "NEW_SOURCE_REVIEW", "MEDIUM", "true"), ("ind and level='NORMAL'", "NORMAL_INDUSTRIAL_OPERATION", "INFO", "false"), ("decision='NONINDUSTRIAL'", "NONINDUSTRIAL_ACTIVITY", "LOW", "false")],
+}
+
+
+def _case(part: int, last: str) -> str:
+    quote = "" if part == 3 else "'"
+    return "case " + " ".join(f"when {r[0]} then {quote}{r[part]}{quote}" for r in DECIDE["alert_type"]) + f" else {quote}{last}{quote} end"
+
+
+DECIDED = "select *, decision like 'INDUSTRIAL@_%' escape '@' as ind, decision='UNKNOWN' as unk from "
+OPEN_ALERT = "top_alert as (select * from (select *, row_number() over (partition by site_id order by updated_at desc, alert_id desc) as rn from alerts where status='ACTIVE') where rn=1)"
+HAVERSINE = "2*6371000.0*asin(sqrt(least(1.0,pow(sin(radians({b}.latitude-{a}.latitude)/2),2)+cos(radians({a}.latitude))*cos(radians({b}.latitude))*pow(sin(radians({b}.longitude-{a}.longitude)/2),2))))"
+
+
+# -- site-days and normalisation --------------------------------------------------------------------------------
+@register("detections", sql=f"--with {DAILY} select site_id, acq_date, detections, round(mean_frp,6) as mean_frp, max_frp from daily")
+def daily_activity(spark, sf_dir):
+    return daily.daily_activity(view(spark, sf_dir, "detections")).select("site_id", "acq_date", "detections", *r6("mean_frp"), "max_frp")
+
+
+@register("detections", sql="--with o as (select site_id, acq_date, count(*) as n, avg(frp) as m, max(frp) as x from detections where source_sensor='VIIRS_NOAA20_SP' group by all), w as (select site_id, acq_date, count(*) as n, avg(frp) as m, max(frp) as x from detections where source_sensor<>'VIIRS_NOAA20_SP' group by all) select site_id, acq_date, coalesce(o.n,0)+coalesce(w.n,0) as detections, round((coalesce(o.n*o.m,0)+coalesce(w.n*w.m,0))/(coalesce(o.n,0)+coalesce(w.n,0)),6) as mean_frp, greatest(o.x,w.x) as max_frp from o full join w using (site_id, acq_date)")
+def daily_activity_merge(spark, sf_dir):
+    d = view(spark, sf_dir, "detections")
+    old, new = (daily.daily_activity(d.where(test)) for test in ("source_sensor = 'VIIRS_NOAA20_SP'", "source_sensor <> 'VIIRS_NOAA20_SP'"))
+    return daily.merge_daily(old, new).select("site_id", "acq_date", "detections", *r6("mean_frp"), "max_frp")
+
+
+_NORMAL = """--with t as (select record_id, try_cast(nullif(latitude,'') as double) as latitude, try_cast(longitude as double) as longitude, try_cast(acq_date as date) as acq_date, regexp_replace(trim(coalesce(acq_time,'0000')),'^([0-9]+)\\.0$','\\1') as t0, coalesce(try_cast(frp as double),0.0) as frp, upper(trim(coalesce(daynight,'D'))) as daynight, lower(trim(coalesce(confidence,'nominal'))) as confidence from raw_records),
+n as (select record_id, latitude, longitude, acq_date, case when length(t0)>=4 then t0 else lpad(t0,4,'0') end as acq_time, frp, daynight, confidence from t),
+norm as (select *, case when latitude is null or not latitude between -90 and 90 then 'latitude' when longitude is null or not longitude between -180 and 180 then 'longitude' when acq_date is null then 'acq_date' when not regexp_matches(acq_time,'^([01][0-9]|2[0-3])[0-5][0-9]$') then 'acq_time' when daynight not in ('D','N') then 'daynight' end as reject_reason from n)"""
+
+
+@register("raw_records", sql=_NORMAL + " select record_id, round(latitude,6) as latitude, round(longitude,6) as longitude, acq_date, acq_time, frp, daynight, confidence, reject_reason from norm")
+def normalize_detections(spark, sf_dir):
+    return normalize.normalize(view(spark, sf_dir, "raw_records")).select("record_id", *r6("latitude", "longitude"), "acq_date", "acq_time", "frp", "daynight", "confidence", "reject_reason")
+
+
+@register("raw_records", sql=_NORMAL + " select coalesce(reject_reason,'ACCEPTED') as reason, count(*) as n_records from norm group by 1")
+def rejected_records(spark, sf_dir):
+    return normalize.normalize(view(spark, sf_dir, "raw_records")).groupBy(F.coalesce("reject_reason", F.lit("ACCEPTED")).alias("reason")).agg(F.count("*").alias("n_records"))
+
+
+@register("detections", sql=" select sha256(source_sensor||'_'||satellite||'_'||printf('%.4f',latitude)||'_'||printf('%.4f',longitude)||'_'||cast(acq_date as varchar)||'_'||acq_time) as detection_id, count(*) as copies from detections group by 1")
+def detection_ids(spark, sf_dir):
+    d = view(spark, sf_dir, "detections")
+    made = normalize.detection_id(*[F.col(c) for c in ("source_sensor", "satellite", "latitude", "longitude", "acq_date", "acq_time")])
+    return d.groupBy(made.alias("detection_id")).agg(F.count("*").alias("copies"))
+
+
+# -- features -----------------------------------------------------------------------------------------------------
+_THERMAL = "thermal as (select site_id, count(*) as detections, avg(frp) as frp_mean, max(frp) as frp_max, stddev_samp(frp) as frp_std, avg(case when daynight='N' then 1.0 else 0.0 end) as night_ratio, quantile_cont(frp,0.1) as frp_p10, quantile_cont(frp,0.25) as frp_p25, quantile_cont(frp,0.5) as frp_median, quantile_cont(frp,0.75) as frp_p75, quantile_cont(frp,0.9) as frp_p90 from detections group by site_id)"
+_THERMAL_NAMES = ("frp_mean", "frp_max", "frp_std", "night_ratio", "frp_p10", "frp_p25", "frp_median", "frp_p75", "frp_p90", "frp_iqr", "frp_cv")
+
+
+@register("detections", sql=f"--with {_THERMAL} select site_id, detections, {', '.join(f'round({n},6) as {n}' for n in _THERMAL_NAMES[:9])}, round(frp_p75-frp_p25,6) as frp_iqr, round(frp_std/greatest(frp_mean,1e-6),6) as frp_cv from thermal")
+def thermal_features(spark, sf_dir):
+    return features.thermal(view(spark, sf_dir, "detections")).select("site_id", "detections", *r6(*_THERMAL_NAMES))
+
+
+@register("detections", sql="--with d as (select site_id, acq_date, count(*) as n from detections group by all), g as (select *, acq_date - lag(acq_date) over (partition by site_id order by acq_date) as gap, max(acq_date) over (partition by site_id) as last from d) select site_id, cast(sum(n) as bigint) as detections, count(*) as active_days, min(acq_date) as first_date, max(acq_date) as last_date, count(*) filter (last-acq_date<7) as active_days_7d, count(*) filter (last-acq_date<30) as active_days_30d, count(*) filter (last-acq_date<90) as active_days_90d, count(*) filter (last-acq_date<365) as active_days_365d, round(avg(gap),6) as mean_gap, median(gap) as median_gap, greatest(1,max(acq_date)-min(acq_date)+1) as lifetime_days, round(sum(n)/count(*),6) as detections_per_day from g group by site_id")
+def recurrence_features(spark, sf_dir):
+    return features.recurrence(view(spark, sf_dir, "detections")).withColumns({c: F.round(c, 6) for c in ("mean_gap", "detections_per_day")})
+
+
+@register("detections", "sites", sql="--with m as (select d.site_id, sqrt(pow(radians(d.longitude-s.longitude)*cos(radians(s.latitude))*6371008.8,2)+pow(radians(d.latitude-s.latitude)*6371008.8,2)) as x from detections d join sites s using (site_id)) select site_id, round(quantile_cont(x,0.5),4) as distance_median_m, round(quantile_cont(x,0.9),4) as distance_p90_m, round(stddev_pop(x),4) as distance_std_m from m group by site_id")
+def spatial_features(spark, sf_dir):
+    found = features.dispersion(view(spark, sf_dir, "detections"), view(spark, sf_dir, "sites"))
+    return found.select("site_id", *[F.round(c, 4).alias(c) for c in ("distance_median_m", "distance_p90_m", "distance_std_m")])
+
+
+@register("pixels", sql=" select site_id, count(*) filter (code>0) as valid_pixels, " + ", ".join(f"round(count(*) filter (code={c})/nullif(count(*) filter (code>0),0),6) as cover_{n}" for c, n in features.LAND_COVER.items()) + " from pixels group by site_id")
+def landcover_fractions(spark, sf_dir):
+    return features.land_cover(view(spark, sf_dir, "pixels")).select("site_id", "valid_pixels", *r6(*[f"cover_{n}" for n in features.LAND_COVER.values()]))
+
+
+@register("pixels", sql=" select site_id, round(avg(case when fmask&31<>0 or fmask=255 then 1.0 else 0.0 end),6) as cloud_fraction from pixels group by site_id")
+def cloud_fractions(spark, sf_dir):
+    return features.cloud_fraction(view(spark, sf_dir, "pixels")).select("site_id", *r6("cloud_fraction"))
+
+
+@register("sites", sql=" select site_id, case when floor(latitude/3)*3>=0 then 'N' else 'S' end||lpad(cast(cast(abs(floor(latitude/3)*3) as bigint) as varchar),2,'0')||case when floor(longitude/3)*3>=0 then 'E' else 'W' end||lpad(cast(cast(abs(floor(longitude/3)*3) as bigint) as varchar),3,'0') as tile, round(latitude-1000/111320.0,6) as south, round(latitude+1000/111320.0,6) as north, round(longitude-1000/(111320.0*cos(radians(latitude))),6) as west, round(longitude+1000/(111320.0*cos(radians(latitude))),6) as east from sites")
+def worldcover_tiles(spark, sf_dir):
+    lat, lon = F.col("latitude"), F.col("longitude")
+    return view(spark, sf_dir, "sites").select("site_id", geo.tile_id(lat, lon).alias("tile"), *[F.round(c, 6).alias(n) for n, c in geo.window_bounds(lat, lon).items()])
+
+
+@register("granules", sql="--with dated as (select granule, site_id, cast(make_date(cast(regexp_extract(granule,'\\.(20\\d{2}|19\\d{2})(\\d{3})T',1) as int),1,1)+cast(regexp_extract(granule,'\\.(20\\d{2}|19\\d{2})(\\d{3})T',2) as int)-1 as date) as acq_date, cloud from granules), r as (select *, coalesce(abs(acq_date - date '1998-06-15'),10000) as days_off, coalesce(cloud,101.0) as cloud_rank from dated where abs(acq_date - date '1998-06-15')<=60) select site_id, granule, days_off, cloud_rank from (select *, row_number() over (partition by site_id order by days_off, cloud_rank, granule) as rn from r) where rn=1")
+def best_granules(spark, sf_dir):
+    dated = view(spark, sf_dir, "granules").withColumn("acq_date", normalize.granule_date(F.col("granule")))
+    return serving.best_granules(dated, None, "1998-06-15", 60).select("site_id", "granule", "days_off", "cloud_rank")
+
+
+# -- temporal state ------------------------------------------------------------------------------------------------
+@register("detections", sql=f"--with {TIMELINE} select * from timeline")
+def timeline_stats(spark, sf_dir):
+    return temporal.timeline(view(spark, sf_dir, "detections"), CUTOFF)
+
+
+@register("detections", sql=f"--with {STATES} select site_id, state, confidence from states")
+def temporal_state(spark, sf_dir):
+    return temporal.temporal_state(view(spark, sf_dir, "detections"), CUTOFF).select("site_id", "state", "confidence")
+
+
+@register("detections", sql=f"--with {STATES}, known as (select unnest(['REACTIVATED','NEW','PERSISTENT','DORMANT','INTERMITTENT']) as state) select k.state, count(s.site_id) as sites from known k left join states s using (state) group by k.state")
+def temporal_state_counts(spark, sf_dir):
+    return temporal.state_counts(temporal.temporal_state(view(spark, sf_dir, "detections"), CUTOFF))
+
+
+_PER_DAY = f"""--with days as (select distinct site_id, acq_date from detections), gapped as (select *, acq_date - lag(acq_date) over (partition by site_id order by acq_date) as gap from days),
+tl as (select r.site_id, r.acq_date, 0 as days_since_last, r.acq_date-min(d.acq_date) as days_since_first, r.acq_date-min(d.acq_date)+1 as lifetime_days, count(*) filter (r.acq_date-d.acq_date<30) as active_days_30, count(*) filter (r.acq_date-d.acq_date<180) as active_days_180, count(distinct date_trunc('month',d.acq_date)) filter (r.acq_date-d.acq_date<180) as active_months_180, max_by(d.gap,d.acq_date) filter (d.gap>=90) as last_long_gap_days, r.acq_date-max(d.acq_date) filter (d.gap>=90) as reactivation_age_days from days r join gapped d on d.site_id=r.site_id and d.acq_date<=r.acq_date group by r.site_id, r.acq_date), st as (select *, {RULES} from tl) select site_id, acq_date, state, {SURE}, active_days_30, active_days_180, active_months_180 from st"""
+
+
+@register("detections", sql=_PER_DAY)
+def temporal_state_per_day(spark, sf_dir):
+    return temporal.state_per_day(view(spark, sf_dir, "detections"))
+
+
+# -- anomaly ---------------------------------------------------------------------------------------------------------
+def _daily(spark, sf_dir):
+    return daily.daily_activity(view(spark, sf_dir, "detections"))
+
+
+@register("detections", sql=f"--with {BASELINE} select site_id, acq_date, history_days, history_span, gaps, {', '.join(f'round({x}_m,6) as {x}_m, round({x}_s,6) as {x}_s' for x in _KINDS)} from base")
+def robust_baseline(spark, sf_dir):
+    return anomaly.baseline(_daily(spark, sf_dir)).select("site_id", "acq_date", "history_days", "history_span", "gaps", *r6(*[f"{x}_{p}" for x in _KINDS for p in "ms"]))
+
+
+@register("detections", sql=f"--with {SIGNALS} select site_id, acq_date, history_days, scored, round(intensity,6) as intensity, round(density,6) as density, round(recurrence_burst,6) as recurrence_burst from signals")
+def anomaly_signals(spark, sf_dir):
+    return anomaly.signals(_daily(spark, sf_dir)).select("site_id", "acq_date", "history_days", "scored", *r6("intensity", "density", "recurrence_burst"))
+
+
+@register("detections", sql=f"--with {CHANGE} select site_id, acq_date, round(ewma,4) as ewma, round(cusum,4) as cusum from changed")
+def ewma_cusum(spark, sf_dir):
+    found = anomaly.with_change(anomaly.signals(_daily(spark, sf_dir)))
+    return found.select("site_id", "acq_date", F.round("ewma", 4).alias("ewma"), F.round("cusum", 4).alias("cusum"))
+
+
+@register("detections", sql=f"--with {SIGNALS}, v as (select site_id, acq_date, intensity as value from signals where scored), r as (select intensity as ref from signals where scored and acq_date <= date '{CALIBRATION_END}'), o as (select ref, count(*) as n from r group by ref), cum as (select ref, n, sum(n) over (order by ref) as upto from o), t as (select sum(n) as total from o) select site_id, acq_date, round((coalesce(c.upto,0)*2-case when c.ref=v.value then c.n else 0 end)/(2.0*t.total),6) as midrank from v asof left join cum c on v.value>=c.ref, t")
+def midrank_percentile(spark, sf_dir):
+    found = anomaly.signals(_daily(spark, sf_dir)).where("scored").withColumn("grp", F.lit("intensity"))
+    reference = found.where(F.col("acq_date") <= F.lit(CALIBRATION_END).cast("date")).select("grp", F.col("intensity").alias("ref"))
+    return anomaly.midrank_table(found.select("grp", "site_id", "acq_date", F.col("intensity").alias("value")), reference).select("site_id", "acq_date", *r6("midrank"))
+
+
+@register("detections", sql=f"--with {SCORED} select site_id, acq_date, history_days, round(c_raw,4) as c_raw, round(c_score,4) as c_score, level from scored")
+def anomaly_score(spark, sf_dir):
+    found = anomaly.anomaly_score(_daily(spark, sf_dir), CALIBRATION_END)
+    return found.select("site_id", "acq_date", "history_days", F.round("c_raw", 4).alias("c_raw"), F.round("c_score", 4).alias("c_score"), "level")
+
+
+# -- identity and decision ----------------------------------------------------------------------------------------------
+@register("a_history", sql=f"--with {IDENTITY.format(where='')} select site_id, p_core, decision, class, case when p_visual is not null then 'AVAILABLE' when p_core>=0.405 and p_core<0.885 then 'PENDING' else 'NOT_TRIGGERED' end as visual_status, p_visual is null and p_core>=0.405 and p_core<0.885 as should_queue from a_now")
+def identity_guard(spark, sf_dir):
+    return serving.latest_identity(view(spark, sf_dir, "a_history")).select("site_id", "p_core", "decision", "class", "visual_status", "should_queue")
+
+
+@register("detections", sql=f"--with {_THERMAL}, z as (select site_id, 1/(1+exp(-(1.5*night_ratio+0.8*ln(1+detections)-0.6*coalesce(frp_std/greatest(frp_mean,1e-6),0.0)-2.0))) as p_core from thermal) select site_id, round(p_core,6) as p_core from z")
+def identity_stand_in(spark, sf_dir):
+    return identity.logistic_stand_in(features.thermal(view(spark, sf_dir, "detections"))).select("site_id", *r6("p_core"))
+
+
+_DECIDE_SQL = f"""--with {IDENTITY.format(where='')}, {TIMELINE}, stated as (select *, {RULES} from timeline), c as (select site_id, case site_len%5 when 0 then 'CRITICAL' when 1 then 'ANOMALOUS' when 2 then 'ELEVATED' when 3 then 'NORMAL' else 'INSUFFICIENT_HISTORY' end as level from (select site_id, active_days as site_len from stated)),
+j as ({DECIDED} (select a.site_id, a.decision, s.state, c.level from a_now a join stated s using (site_id) join c using (site_id))),
+o as (select site_id, decision, state, level, {_case(1, 'NO_ALERT')} as alert_type, {_case(2, 'NONE')} as alert_level, {_case(3, 'false')} as evidence_required from j)"""
+
+
+@register("a_history", "detections", sql=_DECIDE_SQL + f" select site_id, alert_type, alert_level, evidence_required, 'A='||decision||',B='||state||',C='||level as reason_codes, sha256(site_id||'_{CUTOFF}_'||alert_type||'_2026-09-04-r1') as fingerprint from o where alert_level not in ('NONE','INFO')")
+def decision_alerts(spark, sf_dir):
+    a = serving.latest_identity(view(spark, sf_dir, "a_history"))
+    b = temporal.temporal_state(view(spark, sf_dir, "detections"), CUTOFF)
+    levels = F.array(*[F.lit(x) for x in ("CRITICAL", "ANOMALOUS", "ELEVATED", "NORMAL", "INSUFFICIENT_HISTORY")])
+    joined = a.join(b, "site_id").select("site_id", F.lit(CUTOFF).cast("date").alias("site_day"), "decision", "state", F.get(levels, (F.col("active_days") % 5).cast("int")).alias("level"))
+    return decide.alerts(decide.decide(joined)).select("site_id", "alert_type", "alert_level", "evidence_required", "reason_codes", "fingerprint")
+
+
+_RANK = "case alert_level when 'INFO' then 1 when 'LOW' then 2 when 'MEDIUM' then 3 when 'HIGH' then 4 when 'CRITICAL' then 5 else 0 end"
+
+
+@register("alerts", sql=f"--with r as (select *, {_RANK} as rk from alerts), b as (select *, max(rk) over (partition by site_id, site_day order by updated_at, seq rows between unbounded preceding and 1 preceding) as before from r) select alert_id, case when before is null then 'CREATED' when rk>before then 'ESCALATED' else 'UNCHANGED' end as effect, ['NONE','INFO','LOW','MEDIUM','HIGH','CRITICAL'][before+1] as previous_level, ['NONE','INFO','LOW','MEDIUM','HIGH','CRITICAL'][greatest(rk,coalesce(before,0))+1] as level_in_force from b")
+def same_day_escalation(spark, sf_dir):
+    return decide.escalate(view(spark, sf_dir, "alerts")).select("alert_id", "effect", "previous_level", "level_in_force")
+
+
+# -- serving ------------------------------------------------------------------------------------------------------------
+_BOX = "latitude between 8.0 and 30.0 and longitude between 70.0 and 90.0"
+_VIEW = f"""--with {IDENTITY.format(where='')}, {STATES}, {OPEN_ALERT}, vp as (select s.site_id, round(s.latitude,5) as latitude, round(s.longitude,5) as longitude, coalesce(a.class,'UNAVAILABLE') as a_class, coalesce(b.state,'UNAVAILABLE') as b_state, round(a.p_core,4) as p_core, b.last_date as latest_seen, t.alert_id, t.alert_level, t.updated_at as alert_at from sites s left join a_now a using (site_id) left join states b using (site_id) left join top_alert t using (site_id) where {_BOX})"""
+
+
+def _viewport(spark, sf_dir):
+    a, b = serving.latest_identity(view(spark, sf_dir, "a_history")), temporal.temporal_state(view(spark, sf_dir, "detections"), CUTOFF)
+    c = spark.createDataFrame([], "site_id string, c_status string, c_score double")
+    return serving.viewport(view(spark, sf_dir, "sites"), a, b, c, view(spark, sf_dir, "alerts"), BOX)
+
+
+@register("sites", "a_history", "detections", "alerts", sql=_VIEW + " select site_id, latitude, longitude, a_class, b_state, p_core, latest_seen, alert_id, alert_level, epoch_us(alert_at) as alert_at from vp order by alert_at desc nulls last, latest_seen desc nulls last, site_id limit 200")
+def site_viewport(spark, sf_dir):
+    return serving.page(_viewport(spark, sf_dir), 200).select("site_id", "latitude", "longitude", "a_class", "b_state", "p_core", "latest_seen", "alert_id", "alert_level", F.unix_micros("alert_at").alias("alert_at"))
+
+
+@register("sites", "a_history", "detections", "alerts", sql=_VIEW + " select a_class, b_state, count(*) as sites, count(alert_id) as with_alert from vp group by 1,2")
+def viewport_counts(spark, sf_dir):
+    return _viewport(spark, sf_dir).groupBy("a_class", "b_state").agg(F.count("*").alias("sites"), F.count("alert_id").alias("with_alert"))
+
+
+@register("detections", sql=f"--with {SIGNALS} , s as (select site_id, acq_date, case when scored then 'SCORED' else 'INSUFFICIENT_HISTORY' end as level, round(intensity,6) as c_score from signals), d as (select * from daily where acq_date <= date '{CUTOFF}'), w as (select site_id, count(*) as total_active_days, min(acq_date) as first_date, max(acq_date) as last_date from d group by site_id) select d.site_id, d.acq_date, d.detections, round(d.mean_frp,6) as mean_frp, s.level, s.c_score, w.total_active_days, w.first_date, w.last_date from d left join s using (site_id, acq_date) join w using (site_id)")
+def site_timeline(spark, sf_dir):
+    days = _daily(spark, sf_dir)
+    scored = anomaly.signals(days).select("site_id", "acq_date", F.when(F.col("scored"), "SCORED").otherwise("INSUFFICIENT_HISTORY").alias("level"), F.round("intensity", 6).alias("c_score"))
+    return serving.timeline(days, scored, CUTOFF).select("site_id", "acq_date", "detections", *r6("mean_frp"), "level", "c_score", "total_active_days", "first_date", "last_date")
+
+
+@register("alerts", "sites", "a_history", sql=f"--with {IDENTITY.format(where='')} select alert_id, site_id, site_day, alert_level, status, round(latitude,6) as latitude, round(longitude,6) as longitude, class as a_class from (select l.*, s.latitude, s.longitude, a.class from alerts l join sites s using (site_id) left join a_now a using (site_id) where status='ACTIVE') order by updated_at desc, alert_id desc limit 500")
+def alert_feed(spark, sf_dir):
+    found = serving.alert_feed(view(spark, sf_dir, "alerts"), view(spark, sf_dir, "sites"), serving.latest_identity(view(spark, sf_dir, "a_history")), limit=500)
+    return found.select("alert_id", "site_id", "site_day", "alert_level", "status", *r6("latitude", "longitude"), "a_class")
+
+
+@register("detections", sql=f" select site_id, acq_date, acq_time, frp, round(latitude,5) as latitude, round(longitude,5) as longitude from detections where {_BOX} order by acq_date desc, frp desc, site_id, acq_time, detections.latitude, detections.longitude limit 1000")
+def firms_layer(spark, sf_dir):
+    found = serving.hot_spots(view(spark, sf_dir, "detections"), BOX, 1000)
+    return found.select("site_id", "acq_date", "acq_time", "frp", F.round("latitude", 5).alias("latitude"), F.round("longitude", 5).alias("longitude"))
+
+
+_REPLAY = f"""--with {IDENTITY.format(where=f"where as_of <= date '{CUTOFF}'")}, {STATES}, {SCORED},
+lastc as (select site_id, max(acq_date) as c_date, arg_max(level,acq_date) as lv, arg_max(c_score,acq_date) as sc from scored where acq_date <= date '{CUTOFF}' group by site_id),
+c as (select site_id, case when date '{CUTOFF}'-c_date>30 then 'NO_RECENT_EVENT' else lv end as c_status, case when date '{CUTOFF}'-c_date<=30 then sc end as c_score from lastc),
+j as ({DECIDED} (select b.site_id, b.state, b.confidence, b.last_date as latest_seen, a.decision, a.class as a_class, a.p_core, coalesce(c.c_status,'UNAVAILABLE') as c_status, coalesce(c.c_status,'UNAVAILABLE') as level, c.c_score from sites p join states b using (site_id) left join a_now a using (site_id) left join c using (site_id))),
+o as (select *, {_case(1, 'NO_ALERT')} as t0, {_case(2, 'NONE')} as l0 from j), f as (select *, decision is not null and c_status not in ('NO_RECENT_EVENT','UNAVAILABLE') and l0 not in ('NONE','INFO') as shown from o)
+select site_id, a_class, round(p_core,4) as p_core, state as b_state, confidence, c_status, latest_seen, case when shown then t0 end as alert_type, case when shown then l0 end as alert_level from f"""
+
+
+@register("sites", "a_history", "detections", sql=_REPLAY)
+def replay_snapshot(spark, sf_dir):
+    d = view(spark, sf_dir, "detections")
+    scored = anomaly.anomaly_score(daily.daily_activity(d), CALIBRATION_END)
+    return serving.replay(view(spark, sf_dir, "sites"), d, view(spark, sf_dir, "a_history"), scored, CUTOFF).drop("c_score")
+
+
+# -- space ----------------------------------------------------------------------------------------------------------------
+@register("sites", "facilities", sql=f" select s.site_id, f.evidence_id, round({HAVERSINE.format(a='s', b='f')},3) as distance_m from sites s join facilities f on abs(s.latitude-f.latitude)<0.1 and abs(s.longitude-f.longitude)<0.2 where {HAVERSINE.format(a='s', b='f')} <= 10000")
+def evidence_radius(spark, sf_dir):
+    return spatial.facilities_near(view(spark, sf_dir, "sites"), view(spark, sf_dir, "facilities")).withColumn("distance_m", F.round("distance_m", 3))
+
+
+@register("sites", "event_evidence", sql=f" select s.site_id, e.evidence_id, round({HAVERSINE.format(a='s', b='e')},3) as distance_m from sites s join event_evidence e on abs(s.latitude-e.latitude)<0.1 and abs(s.longitude-e.longitude)<0.2 where {HAVERSINE.format(a='s', b='e')} <= 10000 and e.event_start <= date '1998-06-15'+7 and (e.event_end is null or e.event_end >= date '1998-06-15'-7)")
+def evidence_events(spark, sf_dir):
+    return spatial.events_near(view(spark, sf_dir, "sites"), view(spark, sf_dir, "event_evidence"), "1998-06-15", 7).withColumn("distance_m", F.round("distance_m", 3))
+
+
+_POINTS = "pts as (select min(ingest_id*10+ingest_line) as pid, latitude, longitude from detections where acq_date>=date '2001-01-01' group by latitude, longitude)"
+
+
+def _points(spark, sf_dir):
+    d = view(spark, sf_dir, "detections").where(F.col("acq_date") >= F.lit("2001-01-01").cast("date"))
+    return d.groupBy("latitude", "longitude").agg(F.min(F.col("ingest_id") * 10 + F.col("ingest_line")).alias("pid")).groupBy("pid").agg(F.min("latitude").alias("latitude"), F.min("longitude").alias("longitude"))
+
+
+_PTS = _POINTS + ", points as (select pid, min(latitude) as latitude, min(longitude) as longitude from pts group by pid)"
+_PAIRS = _PTS + f", pairs as (select a.pid as a, b.pid as b, {HAVERSINE.format(a='a', b='b')} as d from points a join points b on floor(a.latitude/0.05)=floor(b.latitude/0.05) or true where abs(a.latitude-b.latitude)<0.007 and abs(a.longitude-b.longitude)<0.0095 and {HAVERSINE.format(a='a', b='b')} <= 750)"
+_PAIRS = _PAIRS.replace("on floor(a.latitude/0.05)=floor(b.latitude/0.05) or true where abs(a.latitude-b.latitude)<0.007", "on b.latitude between a.latitude-0.007 and a.latitude+0.007 where true")
+
+
+@register("detections", sql=f"--with {_PAIRS} select a as pid, count(*) as neighbors, round(max(d),3) as farthest_m from pairs group by a")
+def spatial_neighbors(spark, sf_dir):
+    return spatial.nearby(_points(spark, sf_dir), "pid").groupBy("pid").agg(F.count("*").alias("neighbors"), F.round(F.max("distance_m"), 3).alias("farthest_m"))
+
+
+_DBSCAN = f"""--with {_PAIRS}, cores as (select a as pid from pairs group by a having count(*)>=3), cc as (select p.a, p.b, p.d from pairs p join cores x on x.pid=p.a join cores y on y.pid=p.b),
+reach as (select a as pid, b as root from cc union select r.pid, c.b from reach r join cc c on c.a=r.root), roots as (select pid, min(root) as cluster from reach group by pid),
+border as (select pid, cluster from (select p.a as pid, r.cluster, row_number() over (partition by p.a order by p.d, r.cluster) as rn from pairs p join roots r on r.pid=p.b where p.a not in (select pid from cores)) where rn=1)
+select pt.pid, coalesce(r.cluster,b.cluster) as cluster, case when r.pid is not null then 'CORE' when b.pid is not null then 'BORDER' else 'NOISE' end as role from points pt left join roots r using (pid) left join border b on b.pid=pt.pid"""
+
+
+@register("detections", sql=_DBSCAN)
+def dbscan_sites(spark, sf_dir):
+    return spatial.cluster(_points(spark, sf_dir), "pid")
+
+
+@register()
+def incremental_resolver(spark, sf_dir):
+    points = _points(spark, sf_dir).select(F.format_string("DET_%012d", "pid").alias("detection_id"), "latitude", "longitude", F.col("pid").alias("seq"))
+    none = spark.createDataFrame([], "detection_id string, latitude double, longitude double, site_id string, candidate_id string")
+    return spatial.resolve(points, none)
+
+
+# -- audits and ledgers ----------------------------------------------------------------------------------------------------
+_DUP = """--with k as (select detection_id, site_id, source_sensor, ingested_at, satellite, acq_date, acq_time, round(cast(latitude as decimal(18,8)),4) as lat4, round(cast(longitude as decimal(18,8)),4) as lon4 from redelivery),
+dup as (select detection_id, site_id, kept_id from (select s.detection_id, s.site_id, n.detection_id as kept_id, row_number() over (partition by s.detection_id order by n.ingested_at, n.detection_id) as rn from k s join k n using (satellite, acq_date, acq_time, lat4, lon4) where s.source_sensor='VIIRS_NOAA20_SP' and n.source_sensor='VIIRS_NOAA20_NRT') where rn=1)"""
+
+
+@register("redelivery", sql=_DUP + " select * from dup")
+def delivery_duplicate_pairs(spark, sf_dir):
+    return audit.delivery_duplicates(view(spark, sf_dir, "redelivery"))
+
+
+@register("redelivery", sql=_DUP + " select source_sensor, count(*) as kept from redelivery where detection_id not in (select detection_id from dup) group by 1")
+def cross_delivery_dedup(spark, sf_dir):
+    return audit.without_redeliveries(view(spark, sf_dir, "redelivery")).groupBy("source_sensor").agg(F.count("*").alias("kept"))
+
+
+_PROMO = " select candidate_id, count(*) filter (retained) as kept from candidate_members where promoted_site_id is not null group by 1 having count(*) filter (retained) < 4"
+
+
+@register("candidate_members", sql=_PROMO)
+def invalid_promotions_having(spark, sf_dir):
+    return audit.invalid_promotions(view(spark, sf_dir, "candidate_members"), least=4)
+
+
+@register("redelivery", "candidate_members", sql=_DUP + f", bad as ({_PROMO}) select site_id from dup union select promoted_site_id from candidate_members where promoted_site_id is not null and candidate_id in (select candidate_id from bad)")
+def affected_sites_union(spark, sf_dir):
+    return audit.affected_sites(audit.delivery_duplicates(view(spark, sf_dir, "redelivery")), view(spark, sf_dir, "candidate_members"), least=4)
+
+
+@register("detections", "a_history", sql=" select site_id, as_of as acq_date, count(*) as n_rows from a_history a where not exists (select 1 from detections d where d.site_id=a.site_id and d.acq_date=a.as_of) group by 1,2")
+def orphan_inference_anti(spark, sf_dir):
+    inference = view(spark, sf_dir, "a_history").select("site_id", F.col("as_of").alias("acq_date"))
+    return audit.orphans(inference, _daily(spark, sf_dir)).groupBy("site_id", "acq_date").agg(F.count("*").alias("n_rows"))
+
+
+@register("sites", "a_history", "alerts", "detections", sql=" select 'a' as result, count(*) as sites from sites where site_id not in (select site_id from a_history) union all select 'alerts', count(*) from sites where site_id not in (select site_id from alerts) union all select 'b', count(*) from sites where site_id not in (select site_id from detections)")
+def missing_model_audit(spark, sf_dir):
+    return audit.missing(view(spark, sf_dir, "sites"), a=view(spark, sf_dir, "a_history"), alerts=view(spark, sf_dir, "alerts"), b=view(spark, sf_dir, "detections"))
+
+
+@register("sites", "a_history", "alerts", sql=" select site_id from sites where site_id not in (select site_id from a_history) union select site_id from sites where site_id not in (select site_id from alerts)")
+def missing_sites_union(spark, sf_dir):
+    s = view(spark, sf_dir, "sites").select("site_id")
+    return s.join(view(spark, sf_dir, "a_history"), "site_id", "left_anti").union(s.join(view(spark, sf_dir, "alerts"), "site_id", "left_anti")).distinct()
+
+
+@register("candidate_members", sql=" select candidate_id, count(*) as members, round(avg(latitude),6) as latitude, round(avg(longitude),6) as longitude, epoch_us(min(observed_at)) as first_seen, epoch_us(max(observed_at)) as last_seen from candidate_members group by 1")
+def candidate_stats(spark, sf_dir):
+    return daily.candidate_stats(view(spark, sf_dir, "candidate_members")).select("candidate_id", "members", *r6("latitude", "longitude"), *[F.unix_micros(c).alias(c) for c in ("first_seen", "last_seen")])
+
+
+@register("candidate_members", sql=" select candidate_id, detection_id from (select *, row_number() over (partition by candidate_id order by acq_date, acq_time, observed_at, detection_id) as rn from candidate_members) where rn<=3")
+def candidate_first_three(spark, sf_dir):
+    return audit.first_members(view(spark, sf_dir, "candidate_members"))
+
+
+@register("coverage_windows", sql="--with spans as (select source, min(window_start) as s, max(window_end) as e from coverage_windows group by source) select source, cast(unnest(generate_series(s, e, interval 5 day)) as date) as window_start, least(5, e - cast(unnest(generate_series(s, e, interval 5 day)) as date) + 1) as n_days from spans")
+def backfill_windows(spark, sf_dir):
+    spans = view(spark, sf_dir, "coverage_windows").groupBy("source").agg(F.min("window_start").alias("start"), F.max("window_end").alias("end"))
+    return windows.request_windows(spans).select("source", "window_start", "n_days")
+
+
+@register("coverage_windows", sql="--with sub as (select * from coverage_windows where window_id%11=0), c as (select *, max(window_end) over (partition by source order by window_start, window_end rows between unbounded preceding and 1 preceding) as covered from sub) select distinct source, cast(covered+1 as date) as gap_start, cast(window_start-1 as date) as gap_end from c where window_start>covered+1")
+def coverage_gaps(spark, sf_dir):
+    return windows.coverage_gaps(view(spark, sf_dir, "coverage_windows").where("window_id % 11 = 0"))
+
+
+@register("detections", "candidate_members", sql=" select distinct site_id from detections where acq_date > date '2001-10-01' union select promoted_site_id from candidate_members where promoted_site_id is not null")
+def incremental_touched_sites(spark, sf_dir):
+    promoted = view(spark, sf_dir, "candidate_members").where("promoted_site_id is not null").select(F.col("promoted_site_id").alias("site_id"))
+    return audit.touched_sites(view(spark, sf_dir, "detections"), "2001-10-01", promoted)
+
+
+_BURDEN = " select site_day, count(*) as alerts, count(distinct site_id) as sites, count(*) filter (alert_level in ('HIGH','CRITICAL')) as high_or_critical, count(*) filter (evidence_required) as evidence_required from alerts group by 1"
+
+
+@register("alerts", sql=_BURDEN)
+def alert_burden_daily(spark, sf_dir):
+    return audit.burden_by_day(view(spark, sf_dir, "alerts"))
+
+
+@register("alerts", sql=" select alert_type, alert_level, count(*) as alerts, count(distinct site_id) as sites from alerts group by 1,2")
+def alert_burden_by_type(spark, sf_dir):
+    return audit.burden_by_type(view(spark, sf_dir, "alerts"))
+
+
+@register("alerts", sql=f"--with d as ({_BURDEN}) select count(*) as days, round(avg(alerts),6) as mean_daily, median(alerts) as median_daily, max(alerts) as max_daily from d")
+def alert_burden_summary(spark, sf_dir):
+    return audit.burden_summary(view(spark, sf_dir, "alerts")).withColumn("mean_daily", F.round("mean_daily", 6))
+
+
+_CLASS = "case when p_core>=0.885 then 'INDUSTRIAL' when p_core>=0.405 then case when coalesce(p_visual>=0.965,false) then 'INDUSTRIAL' else 'UNKNOWN' end else 'NONINDUSTRIAL' end"
+
+
+@register("alerts", "a_history", sql=f"--with m as (select l.alert_id, l.site_id, h.as_of, {_CLASS} as class, h.inference_id from (select * from alerts where alert_level='CRITICAL') l left join a_history h on h.site_id=l.site_id and h.as_of<=l.site_day), r as (select *, row_number() over (partition by alert_id order by as_of desc nulls last, inference_id desc nulls last) as rn from m) select alert_id, site_id, as_of, case when as_of is not null then class end as class from r where rn=1 and (as_of is null or class<>'INDUSTRIAL')")
+def claim_violations_asof(spark, sf_dir):
+    return audit.claims_as_of(view(spark, sf_dir, "alerts").where("alert_level = 'CRITICAL'"), view(spark, sf_dir, "a_history"))
+
+
+_CONSENSUS = """done as (select *, lag(reviewed_by) over w as pb, lag(determination) over w as pd, lag(confidence) over w as pc from reviews where review_status='COMPLETED' window w as (partition by site_id order by reviewed_at, review_id)),
+cons as (select *, case when pb is null or pb=reviewed_by then 'SINGLE_REVIEW' when pd=determination then 'VERIFIED' else 'CONFLICT' end as consensus from done),
+elig as (select *, coalesce(consensus='VERIFIED' and determination in ('INDUSTRIAL','NONINDUSTRIAL') and confidence='HIGH' and pc='HIGH' and has_features,false) as training_eligible from cons),
+ledger as (select r.*, e.consensus, e.training_eligible from reviews r left join elig e using (review_id)), lastr as (select * from (select *, row_number() over (partition by site_id order by reviewed_at desc, review_id desc) as rn from ledger) where rn=1)"""
+
+
+@register("reviews", sql=f"--with {_CONSENSUS} select review_id, site_id, consensus, training_eligible from elig")
+def review_consensus(spark, sf_dir):
+    return review.consensus(view(spark, sf_dir, "reviews")).select("review_id", "site_id", "consensus", "training_eligible")
+
+
+@register("reviews", "alerts", "a_history", sql=f"--with {_CONSENSUS}, {OPEN_ALERT}, {IDENTITY.format(where='')} select t.site_id, t.alert_id, t.alert_level, case when l.review_status is null then 'PENDING' when l.review_status='IN_REVIEW' then 'IN_REVIEW' when l.review_status='ESCALATED' or l.consensus='CONFLICT' then 'CONFLICT' when l.consensus='VERIFIED' then 'COMPLETED' else 'AWAITING_VERIFICATION' end as queue_status from top_alert t join a_now a on a.site_id=t.site_id and a.class='UNKNOWN' left join lastr l on l.site_id=t.site_id")
+def review_queue(spark, sf_dir):
+    return review.queue(view(spark, sf_dir, "reviews"), view(spark, sf_dir, "alerts"), serving.latest_identity(view(spark, sf_dir, "a_history")))
+
+
+@register("reviews", sql=f"--with {_CONSENSUS} select site_id, review_id, case when determination='INDUSTRIAL' then 1 else 0 end as label, reviewed_by from lastr where training_eligible")
+def review_export(spark, sf_dir):
+    return review.export(view(spark, sf_dir, "reviews"))
+
+
+@register("detections", sql=f" select count(distinct site_id) as sites, max(acq_date) as last_date, count(distinct site_id) filter (date '{CUTOFF}'-acq_date between 0 and 30) as active_30d from detections where acq_date <= date '{CUTOFF}'")
+def global_stats(spark, sf_dir):
+    b = temporal.timeline(view(spark, sf_dir, "detections"), CUTOFF)
+    return b.agg(F.count("*").alias("sites"), F.max("last_date").alias("last_date"), F.count_if(F.col("days_since_last") <= 30).alias("active_30d"))
