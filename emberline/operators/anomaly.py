@@ -8,46 +8,54 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from emberline import config as c
-from emberline.operators.common import as_of
+from emberline.operators.common import as_of, cut
 
 
-def _median(values: Column) -> Column:
-    """The median of an array (null when empty)."""
-    s, n = F.array_sort(values), F.size(values)
+def _let(value: Column, use) -> Column:
+    """``use`` of a value that is worked out once, however often ``use`` names it."""
+    return F.transform(F.array(value), use)[0]
+
+
+def _median(s: Column) -> Column:
+    """The median of a sorted array (null when empty)."""
+    n = F.size(s)
     at = lambda i: F.element_at(s, F.greatest(i, F.lit(1)).cast("int"))
     return F.when(n > 0, (at(F.floor((n + 1) / 2)) + at(F.floor((n + 2) / 2))) / 2)
 
 
-def _quantile(values: Column, q: float) -> Column:
-    """A quantile of an array, between neighbours by distance."""
-    s, n = F.array_sort(values), F.size(values)
+def _quantile(s: Column, q: float) -> Column:
+    """A quantile of a sorted array, between neighbours by distance."""
+    n = F.size(s)
     at = F.lit(q) * (n - 1)
     low = F.floor(at)
     take = lambda i: F.element_at(s, F.greatest(F.least(i + 1, n), F.lit(1)).cast("int"))
     return F.when(n > 0, take(low) + (take(low + 1) - take(low)) * (at - low))
 
 
-def robust(values: Column) -> tuple[Column, Column]:
-    """Median and scale of an array: scaled deviations from the median, or the quartiles' distance where those vanish, never tiny."""
-    m = _median(values)
-    mad = c.MAD_SCALE * _median(F.transform(values, lambda v: F.abs(v - m)))
-    iqr = (_quantile(values, 0.75) - _quantile(values, 0.25)) / c.IQR_SCALE
-    return m, F.greatest(F.when(mad < c.SCALE_FLOOR, iqr).otherwise(mad), c.SCALE_SHARE * F.abs(m), F.lit(c.SCALE_LEAST))
+def robust(values: Column) -> Column:
+    """Median ``m`` and scale ``s`` of an array: scaled deviations from the median, or the quartiles' distance where those vanish, never tiny."""
+
+    def of_sorted(v: Column) -> Column:
+        def around(m: Column) -> Column:
+            mad = c.MAD_SCALE * _let(F.sort_array(F.transform(v, lambda x: F.abs(x - m))), _median)
+            iqr = (_quantile(v, 0.75) - _quantile(v, 0.25)) / c.IQR_SCALE
+            scale = _let(mad, lambda d: F.when(d < c.SCALE_FLOOR, iqr).otherwise(d))
+            return F.struct(m.alias("m"), F.greatest(scale, c.SCALE_SHARE * F.abs(m), F.lit(c.SCALE_LEAST)).alias("s"))
+
+        return _let(_median(v), around)
+
+    return _let(F.sort_array(values), of_sorted)
 
 
 def baseline(daily: DataFrame) -> DataFrame:
     """Each site-day with its history (strictly earlier days) and the robust centre and scale of each signal."""
+    kinds = ("max_frp", "mean_frp", "density", "gap")
     order = Window.partitionBy("site_id").orderBy("acq_date")
     before = order.rowsBetween(Window.unboundedPreceding, -1)
     step = daily.withColumn("gap", F.datediff("acq_date", F.lag("acq_date").over(order)).cast("double")).withColumn("density", F.log1p(F.col("detections").cast("double")))
-    step = step.select(
-        "site_id", "acq_date", "max_frp", "mean_frp", "density", "gap", F.count("*").over(before).alias("history_days"), F.datediff("acq_date", F.min("acq_date").over(before)).alias("history_span"),
-        *[F.collect_list(x).over(before).alias(f"h_{x}") for x in ("max_frp", "mean_frp", "density", "gap")],
-    )
-    for x in ("max_frp", "mean_frp", "density", "gap"):
-        m, s = robust(F.col(f"h_{x}"))
-        step = step.withColumn(f"{x}_m", m).withColumn(f"{x}_s", s)
-    return step.withColumn("gaps", F.size("h_gap")).drop(*[f"h_{x}" for x in ("max_frp", "mean_frp", "density", "gap")])
+    step = step.select("site_id", "acq_date", *kinds, F.count("*").over(before).alias("history_days"), F.datediff("acq_date", F.min("acq_date").over(before)).alias("history_span"), *[F.collect_list(x).over(before).alias(f"h_{x}") for x in kinds])
+    step = step.select("site_id", "acq_date", *kinds, "history_days", "history_span", F.size("h_gap").alias("gaps"), *[robust(F.col(f"h_{x}")).alias(f"r_{x}") for x in kinds])
+    return step.select("site_id", "acq_date", *kinds, "history_days", "history_span", "gaps", *[F.col(f"r_{x}.{p}").alias(f"{x}_{p}") for x in kinds for p in "ms"])
 
 
 def signals(daily: DataFrame) -> DataFrame:
@@ -67,25 +75,35 @@ def with_change(found: DataFrame) -> DataFrame:
 
     A gap of more than the reset time starts both anew; days without history enough change nothing.
     """
-    item = F.struct("acq_date", F.greatest("intensity", "density").alias("x"), "gap", "scored")
-    folded = found.groupBy("site_id").agg(F.array_sort(F.collect_list(item)).alias("days"))
-    start = F.struct(F.lit(0.0).alias("e"), F.lit(0.0).alias("s"), F.array().cast("array<struct<acq_date:date,ewma:double,cusum:double>>").alias("out"))
+    kept = [x for x in found.columns if x != "site_id"]
+    folded = found.groupBy("site_id").agg(F.array_sort(F.collect_list(F.struct("acq_date", *[x for x in kept if x != "acq_date"]))).alias("days"))
+    start = F.struct(F.lit(0.0).alias("e"), F.lit(0.0).alias("s"), F.array().cast("array<struct<ewma:double,cusum:double>>").alias("out"))
 
     def step(acc: Column, d: Column) -> Column:
         reset = F.coalesce(d["gap"] > c.RESET_GAP_DAYS, F.lit(False))
-        e = F.round(c.EWMA_ALPHA * d["x"] + F.when(reset, 0.0).otherwise((1 - c.EWMA_ALPHA) * acc["e"]), 6)
-        s = F.round(F.greatest(F.lit(0.0), F.least(F.when(reset, 0.0).otherwise(acc["s"]) + d["x"] - c.CUSUM_K, F.lit(c.CUSUM_CAP))), 6)
-        scored = F.struct(e.alias("e"), s.alias("s"), F.concat(acc["out"], F.array(F.struct(d["acq_date"].alias("acq_date"), e.alias("ewma"), s.alias("cusum")))).alias("out"))
-        return F.when(d["scored"], scored).otherwise(acc)
+        x = F.greatest(d["intensity"], d["density"])
+        e = F.round(c.EWMA_ALPHA * x + F.when(reset, 0.0).otherwise((1 - c.EWMA_ALPHA) * acc["e"]), 6)
+        s = F.round(F.greatest(F.lit(0.0), F.least(F.when(reset, 0.0).otherwise(acc["s"]) + x - c.CUSUM_K, F.lit(c.CUSUM_CAP))), 6)
+        none = F.lit(None).cast("double")
+        appended = lambda a, b: F.concat(acc["out"], F.array(F.struct(a.alias("ewma"), b.alias("cusum"))))
+        scored = F.struct(e.alias("e"), s.alias("s"), appended(e, s).alias("out"))
+        return F.when(d["scored"], scored).otherwise(F.struct(acc["e"].alias("e"), acc["s"].alias("s"), appended(none, none).alias("out")))
 
-    series = folded.select("site_id", F.explode(F.aggregate("days", start, step, lambda a: a["out"])).alias("r")).select("site_id", "r.*")
-    return found.join(series, ["site_id", "acq_date"], "left").withColumn("change", F.greatest("ewma", "cusum"))
+    series = folded.withColumn("change", F.aggregate("days", start, step, lambda a: a["out"]))
+    rows = series.select("site_id", F.explode(F.arrays_zip("days", "change")).alias("r"))
+    return rows.select("site_id", *[F.col(f"r.days.{x}").alias(x) for x in kept], "r.change.ewma", "r.change.cusum").withColumn("change", F.greatest("ewma", "cusum"))
 
 
-def midrank(value: Column, reference: Column) -> Column:
-    """The share of a sorted reference below a value, equal ones by half."""
-    n = F.size(reference)
-    return (F.size(F.filter(reference, lambda r: r < value)) + F.size(F.filter(reference, lambda r: r <= value))) / (2.0 * n)
+def midrank(value: Column, reference: list[float]) -> Column:
+    """The share of a sorted reference (bounded, so it is sent as a literal) below a value, equal ones by half; null for null.
+
+    Both counts are found by halving steps, not by reading the whole reference for each row.
+    """
+    n = max(1, len(reference))
+    refs = F.array(*[F.lit(float(x)) for x in reference or [0.0]])
+    steps = F.array(*[F.lit(1 << k) for k in range(n.bit_length() - 1, -1, -1)])
+    count = lambda below: F.aggregate(steps, F.lit(0), lambda at, step: F.when(below(F.get(refs, at + step - 1)), at + step).otherwise(at))
+    return F.when(value.isNotNull(), (count(lambda r: r < value) + count(lambda r: r <= value)) / (2.0 * n))
 
 
 def midrank_table(values: DataFrame, reference: DataFrame, value: str = "value", ref: str = "ref", group: str = "grp") -> DataFrame:
@@ -113,15 +131,15 @@ def calibration(found: DataFrame, cutoff: str, bins: int = 2000) -> DataFrame:
 
 def calibrated(found: DataFrame, cutoff: str, bins: int = 200) -> DataFrame:
     """``found`` with the midrank of each group and of the mean of the two highest."""
+    found = cut(found)  # read three times below
     refs = {r["grp"]: r["refs"] for r in calibration(found, cutoff, bins).collect()}  # four bounded arrays
-    lit = lambda v: F.array(*[F.lit(float(x)) for x in v or [0.0]])
     out = found
     for g in c.GROUPS:
-        out = out.withColumn(f"{g}_pct", F.when(F.col("scored"), midrank(F.col(g), lit(refs.get(g)))))
+        out = out.withColumn(f"{g}_pct", F.when(F.col("scored"), midrank(F.col(g), refs.get(g))))
     top = F.slice(F.sort_array(F.array(*[f"{g}_pct" for g in c.GROUPS]), asc=False), 1, 2)
     out = out.withColumn("c_raw", F.when(F.col("scored"), (top[0] + top[1]) / 2))
     final = as_of(out.where("scored"), cutoff).agg(F.array_sort(F.percentile("c_raw", F.array(*[F.lit(i / bins) for i in range(bins + 1)]))).alias("r")).first()["r"]
-    return out.withColumn("c_score", F.when(F.col("scored"), midrank(F.col("c_raw"), lit(final))))
+    return out.withColumn("c_score", F.when(F.col("scored"), midrank(F.col("c_raw"), final)))
 
 
 def levels(found: DataFrame) -> DataFrame:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -11,6 +14,21 @@ def as_of(df: DataFrame, cutoff: str, column: str = "acq_date") -> DataFrame:
     return df.where(F.col(column) <= F.lit(cutoff).cast("date"))
 
 
+def cut(df: DataFrame) -> DataFrame:
+    """Writes ``df`` to the shared folder and reads it from there, so what follows never repeats its work when an executor is lost.
+
+    The folder is the session's ``spark.checkpoint.dir``; a local one is set only where there is none, as in tests.
+    """
+    spark = df.sparkSession
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        folder = tempfile.mkdtemp(prefix="emberline-")
+        spark.conf.set("spark.checkpoint.dir", folder)
+    place = f"{folder.rstrip('/')}/cut-{uuid.uuid4().hex}"
+    df.write.parquet(place)
+    return spark.read.schema(df.schema).parquet(place)
+
+
 def first_by(df: DataFrame, keys: list[str], order: list[Column], n: int = 1) -> DataFrame:
     """The first ``n`` rows of each key; Spark keeps only so many for each key before it shuffles."""
     window = Window.partitionBy(*keys).orderBy(*order)

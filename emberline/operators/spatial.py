@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
-
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from emberline.config import CLUSTER_MIN_POINTS, CLUSTER_RADIUS_M, EVIDENCE_RADIUS_KM
 from emberline.functions.geo import around, cell_size, cells, haversine_m
-from emberline.operators.common import first_by
+from emberline.operators.common import cut, first_by
 
 
 def radius_join(left: DataFrame, right: DataFrame, radius_m: float, max_latitude: float = 60.0, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -32,29 +30,15 @@ def nearby(points: DataFrame, key: str = "detection_id", radius_m: float = CLUST
     return radius_join(p, p, radius_m).select(key, F.col(f"r_{key}").alias("neighbor"), "distance_m")
 
 
-def _write(df: DataFrame) -> DataFrame:
-    """Cuts lineage by a table in the shared folder."""
-    spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        import tempfile
-
-        folder = tempfile.mkdtemp(prefix="emberline-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    place = f"{folder.rstrip('/')}/cut-{uuid.uuid4().hex}"
-    df.write.parquet(place)
-    return spark.read.schema(df.schema).parquet(place)
-
-
 def least_reachable(edges: DataFrame) -> DataFrame:
     """``node`` and ``root`` (the least node that can be reached) over undirected edges (a, b)."""
-    both = _write(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = _write(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("root")))
+    both = cut(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    labels = cut(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("root")))
     while True:
         near = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("root").alias("m"))
         low = labels.join(near, "node").select("node", F.col("root").alias("old"), F.least("root", "m").alias("root"))
         jump = labels.select(F.col("node").alias("root"), F.col("root").alias("next"))
-        new = _write(low.join(jump, "root", "left").select("node", "old", F.least("root", F.coalesce("next", "root")).alias("root")))
+        new = cut(low.join(jump, "root", "left").select("node", "old", F.least("root", F.coalesce("next", "root")).alias("root")))
         labels = new.select("node", "root")
         if new.where("old <> root").isEmpty():
             return labels
@@ -64,7 +48,7 @@ def cluster(points: DataFrame, key: str = "detection_id", radius_m: float = CLUS
     """Density clusters: a point with ``min_points`` neighbours (itself included) is a core; linked cores share a
     label (their least key); other points take the nearest core within reach (the lesser label at ties), or none.
     """
-    pairs = _write(nearby(points, key, radius_m))
+    pairs = cut(nearby(points, key, radius_m))
     cores = pairs.groupBy(key).agg(F.count("*").alias("n")).where(F.col("n") >= min_points).select(key)
     near = pairs.join(cores.withColumnRenamed(key, "neighbor"), "neighbor", "left_semi")
     edges = near.join(cores, key, "left_semi").select(F.col(key).alias("a"), F.col("neighbor").alias("b"))
@@ -101,7 +85,7 @@ def resolve(detections: DataFrame, members: DataFrame, radius_m: float = CLUSTER
     none = F.lit(None).cast("string")
     old = members.select("detection_id", "latitude", "longitude", F.lit(-1).cast("long").alias("seq"), "site_id", "candidate_id")
     new = detections.select("detection_id", "latitude", "longitude", F.col("seq").cast("long").alias("seq"), none.alias("site_id"), none.alias("candidate_id"))
-    points = _write(old.unionByName(new))
+    points = cut(old.unionByName(new))
     linked = nearby(points, "detection_id", radius_m).select(F.col("detection_id").alias("a"), F.col("neighbor").alias("b"))
     # members of one candidate hang together wherever they are
     same = points.where("candidate_id is not null").groupBy("candidate_id").agg(F.min("detection_id").alias("b")).join(points.select("candidate_id", F.col("detection_id").alias("a")), "candidate_id").select("a", "b")

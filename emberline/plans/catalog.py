@@ -214,10 +214,11 @@ def anomaly_signals(spark, sf_dir):
     return anomaly.signals(_daily(spark, sf_dir)).select("site_id", "acq_date", "history_days", "scored", *r6("intensity", "density", "recurrence_burst"))
 
 
-@register("detections", sql=f"--with {CHANGE} select site_id, acq_date, round(ewma,4) as ewma, round(cusum,4) as cusum from changed")
+@register("detections", sql=f"--with {CHANGE} select site_id, acq_date, round(ewma+0.00000025,4) as ewma, round(cusum+0.00000025,4) as cusum from changed")
 def ewma_cusum(spark, sf_dir):
     found = anomaly.with_change(anomaly.signals(_daily(spark, sf_dir)))
-    return found.select("site_id", "acq_date", F.round("ewma", 4).alias("ewma"), F.round("cusum", 4).alias("cusum"))
+    # the fold carries six places; a quarter of the last one leaves no tie to either engine's rounding
+    return found.select("site_id", "acq_date", *[F.round(F.col(c) + 0.00000025, 4).alias(c) for c in ("ewma", "cusum")])
 
 
 @register("detections", sql=f"--with {SIGNALS}, v as (select site_id, acq_date, intensity as value from signals where scored), r as (select intensity as ref from signals where scored and acq_date <= date '{CALIBRATION_END}'), o as (select ref, count(*) as n from r group by ref), cum as (select ref, n, sum(n) over (order by ref) as upto from o), t as (select sum(n) as total from o) select site_id, acq_date, round((coalesce(c.upto,0)*2-case when c.ref=v.value then c.n else 0 end)/(2.0*t.total),6) as midrank from v asof left join cum c on v.value>=c.ref, t")
@@ -227,10 +228,10 @@ def midrank_percentile(spark, sf_dir):
     return anomaly.midrank_table(found.select("grp", "site_id", "acq_date", F.col("intensity").alias("value")), reference).select("site_id", "acq_date", *r6("midrank"))
 
 
-@register("detections", sql=f"--with {SCORED} select site_id, acq_date, history_days, round(c_raw,4) as c_raw, round(c_score,4) as c_score, level from scored")
+@register("detections", sql=f"--with {SCORED} select site_id, acq_date, history_days, round(c_raw,6) as c_raw, round(c_score,6) as c_score, level from scored")
 def anomaly_score(spark, sf_dir):
     found = anomaly.anomaly_score(_daily(spark, sf_dir), CALIBRATION_END)
-    return found.select("site_id", "acq_date", "history_days", F.round("c_raw", 4).alias("c_raw"), F.round("c_score", 4).alias("c_score"), "level")
+    return found.select("site_id", "acq_date", "history_days", "c_raw", "c_score", "level")
 
 
 # -- identity and decision ----------------------------------------------------------------------------------------------
