@@ -94,12 +94,12 @@ def with_change(found: DataFrame) -> DataFrame:
     return rows.select("site_id", *[F.col(f"r.days.{x}").alias(x) for x in kept], "r.change.ewma", "r.change.cusum").withColumn("change", F.greatest("ewma", "cusum"))
 
 
-def midrank(value: Column, reference: list[float]) -> Column:
+def midrank(value: Column, reference: list[float] | None) -> Column:
     """The share of a sorted reference (bounded, so it is sent as a literal) below a value, equal ones by half; null for null.
 
     Both counts are found by halving steps, not by reading the whole reference for each row.
     """
-    n = max(1, len(reference))
+    n = max(1, len(reference or []))
     refs = F.array(*[F.lit(float(x)) for x in reference or [0.0]])
     steps = F.array(*[F.lit(1 << k) for k in range(n.bit_length() - 1, -1, -1)])
     count = lambda below: F.aggregate(steps, F.lit(0), lambda at, step: F.when(below(F.get(refs, at + step - 1)), at + step).otherwise(at))
@@ -118,6 +118,14 @@ def midrank_table(values: DataFrame, reference: DataFrame, value: str = "value",
     return step.withColumn("midrank", (2 * upto - equal) / (2.0 * total)).where("_r = 0").drop("_r").withColumnRenamed("_v", value)
 
 
+#: Values and reference are compared at so many places: an interpolated quantile between equal values still equals them.
+PLACES = 9
+
+
+def _places(values: Column) -> Column:
+    return F.array_sort(F.transform(values, lambda v: F.round(v, PLACES)))
+
+
 def calibration(found: DataFrame, cutoff: str, bins: int = 2000) -> DataFrame:
     """Reference values of each group from scored days up to a cutoff: grp, refs (sorted, at most ``bins`` + 1 exact quantiles of it).
 
@@ -126,7 +134,7 @@ def calibration(found: DataFrame, cutoff: str, bins: int = 2000) -> DataFrame:
     rows = as_of(found.where("scored"), cutoff)
     long = rows.select(F.explode(F.array(*[F.struct(F.lit(g).alias("grp"), F.col(g).alias("v")) for g in c.GROUPS])).alias("p")).select("p.*").where("v is not null")
     shares = F.array(*[F.lit(i / bins) for i in range(bins + 1)])
-    return long.groupBy("grp").agg(F.array_sort(F.percentile("v", shares)).alias("refs"))
+    return long.groupBy("grp").agg(_places(F.percentile("v", shares)).alias("refs"))
 
 
 def calibrated(found: DataFrame, cutoff: str, bins: int = 200) -> DataFrame:
@@ -135,11 +143,11 @@ def calibrated(found: DataFrame, cutoff: str, bins: int = 200) -> DataFrame:
     refs = {r["grp"]: r["refs"] for r in calibration(found, cutoff, bins).collect()}  # four bounded arrays
     out = found
     for g in c.GROUPS:
-        out = out.withColumn(f"{g}_pct", F.when(F.col("scored"), midrank(F.col(g), refs.get(g))))
+        out = out.withColumn(f"{g}_pct", F.when(F.col("scored"), midrank(F.round(g, PLACES), refs.get(g))))
     top = F.slice(F.sort_array(F.array(*[f"{g}_pct" for g in c.GROUPS]), asc=False), 1, 2)
     out = out.withColumn("c_raw", F.when(F.col("scored"), (top[0] + top[1]) / 2))
-    final = as_of(out.where("scored"), cutoff).agg(F.array_sort(F.percentile("c_raw", F.array(*[F.lit(i / bins) for i in range(bins + 1)]))).alias("r")).first()["r"]
-    return out.withColumn("c_score", F.when(F.col("scored"), midrank(F.col("c_raw"), final)))
+    final = as_of(out.where("scored"), cutoff).agg(_places(F.percentile("c_raw", F.array(*[F.lit(i / bins) for i in range(bins + 1)]))).alias("r")).first()["r"]
+    return out.withColumn("c_score", F.when(F.col("scored"), midrank(F.round("c_raw", PLACES), final)))
 
 
 def levels(found: DataFrame) -> DataFrame:

@@ -42,7 +42,7 @@ def changed(stored: DataFrame, incoming: DataFrame, keys: list[str]) -> DataFram
 
 
 class VersionedTable:
-    """Versions of a table under one folder; the file ``_CURRENT`` names the one in force."""
+    """Versions of a table under one folder; the file ``CURRENT`` names the one in force."""
 
     def __init__(self, spark: SparkSession, root: str) -> None:
         self.spark, self.root = spark, root.rstrip("/")
@@ -51,10 +51,10 @@ class VersionedTable:
         self._fs = self._path(self.root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
     def _pointer(self):
-        return self._path(f"{self.root}/_CURRENT")
+        return self._path(f"{self.root}/CURRENT")
 
     def read(self) -> DataFrame:
-        name = self.spark.read.text(f"{self.root}/_CURRENT").first()[0]
+        name = self.spark.read.text(f"{self.root}/CURRENT").first()[0]
         return self.spark.read.parquet(f"{self.root}/{name}")
 
     def exists(self) -> bool:

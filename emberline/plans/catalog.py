@@ -71,11 +71,11 @@ fold as (select site_id, acq_date, n, round(0.35*x,6) as ewma, round(greatest(0.
 changed as (select s.*, f.ewma, f.cusum, greatest(f.ewma,f.cusum) as change from signals s left join fold f using (site_id, acq_date))"""
 _BINS = "[" + ",".join(f"{i / 200}" for i in range(201)) + "]"
 _GROUPS = ("intensity", "density", "recurrence_burst", "change")
-_MID = "(len(list_filter({r}, lambda z: z < {v}))+len(list_filter({r}, lambda z: z <= {v})))/402.0"
-SCORED = f"""{CHANGE}, refs as (select {', '.join(f"quantile_cont({g},{_BINS}) as ref_{g}" for g in _GROUPS)} from changed where scored and acq_date <= date '{CALIBRATION_END}'),
+_MID = "(len(list_filter({r}, lambda z: z < round({v},9)))+len(list_filter({r}, lambda z: z <= round({v},9))))/402.0"
+SCORED = f"""{CHANGE}, refs as (select {', '.join(f"list_transform(quantile_cont({g},{_BINS}), lambda q: round(q,9)) as ref_{g}" for g in _GROUPS)} from changed where scored and acq_date <= date '{CALIBRATION_END}'),
 pct as (select c.*, {', '.join(f"case when scored then {_MID.format(r=f'ref_{g}', v=g)} end as {g}_pct" for g in _GROUPS)} from changed c, refs),
 raw as (select *, case when scored then (list_reverse_sort([intensity_pct,density_pct,recurrence_burst_pct,change_pct])[1]+list_reverse_sort([intensity_pct,density_pct,recurrence_burst_pct,change_pct])[2])/2 end as c_raw from pct),
-final as (select quantile_cont(c_raw,{_BINS}) as ref_final from raw where scored and acq_date <= date '{CALIBRATION_END}'),
+final as (select list_transform(quantile_cont(c_raw,{_BINS}), lambda q: round(q,9)) as ref_final from raw where scored and acq_date <= date '{CALIBRATION_END}'),
 score as (select raw.*, case when scored then {_MID.format(r='ref_final', v='c_raw')} end as c_score from raw, final),
 scored as (select *, case when not scored then 'INSUFFICIENT_HISTORY' when c_score>=0.999 then 'CRITICAL' when c_score>=0.99 then 'ANOMALOUS' when c_score>=0.95 then 'ELEVATED' else 'NORMAL' end as level from score)"""
 IDENTITY = """ranked_a as (select *, row_number() over (partition by site_id order by as_of desc, inference_id desc) as rn from a_history {where}),
