@@ -4,13 +4,16 @@ A document is the set of its distinct ``width``-word shingles. Equal sets are on
 pair work is between classes. Every class gets ``SLOTS`` minima: 25 bands of five of them are its bucket keys,
 the low two bits of each are its packed signature.
 
+Of the classes that share a bucket, the shingles that only one of them holds are counted. They bound what two
+classes can share, exactly: most copies that have drifted apart need no comparison at all.
+
 Candidates come in two passes, neither of which lists all pairs of a bucket:
 
-1. every member of a bucket is paired with the bucket's first member. Signatures of a pair are compared by bit
-   counts, corrected for chance collisions; what may reach the threshold is confirmed on the full sets, and
-   confirmed links give groups;
+1. every member of a bucket is paired with the bucket's lead, the member with the least shingles of its own (of
+   a text and its altered copies, the text). Signatures of a pair are compared by bit counts, corrected for
+   chance collisions; what may reach the threshold is confirmed on the full sets, and confirmed links give groups;
 2. in a bucket whose members fell into several groups, those outside its largest group are compared with the
-   members of all other groups, again by signature and then on full sets.
+   members of all other groups, again by bound and signature and then on full sets.
 
 A pair inside one group needs no test, so after both passes every pair that shares a bucket has been tested or
 is linked already. Two sets at similarity 0.85 share a bucket but for one case in two million.
@@ -149,24 +152,44 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def _confirm(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, key: str, width: int, percent: int) -> DataFrame:
-    """Those pairs of classes whose full sets share at least ``percent`` of a hundred of their union."""
-    need = pairs.select(F.col("a").alias("set_id")).union(pairs.select("b")).distinct()
-    names = nodes.join(need, "set_id", "left_semi").select(F.col(key).alias("_k")).distinct()
+def _sets(nodes: DataFrame, docs: DataFrame, key: str, width: int) -> DataFrame:
+    """The full sets of some classes: set_id, hashes, n (their number), shared (how many another of these classes holds too).
+
+    A shingle that one class alone holds is in no intersection, so ``shared`` bounds what the class can have in
+    common with any other: see ``_possible``.
+    """
+    names = nodes.select(F.col(key).alias("_k")).distinct()
     texts = docs.join(names, F.col(key).eqNullSafe(F.col("_k")), "left_semi")
 
     def rows(r: dict) -> dict:
         sets = [shingles(t, width) for t in r["text"]]
-        return {"set_id": [xxhash.xxh3_128_digest(s.tobytes()) for s in sets], "hashes": [s.tobytes() for s in sets]}
+        ids = [xxhash.xxh3_128_digest(s.tobytes()) for s in sets]
+        halves = [np.frombuffer(i, np.int64).tolist() for i in ids]
+        return {"set_id": ids, "hi": [h[0] for h in halves], "lo": [h[1] for h in halves], "hashes": [s.view(np.int64).tolist() for s in sets]}
+
+    found = map_rows(texts, "set_id binary, hi long, lo long, hashes array<long>", rows).join(nodes.select("set_id"), "set_id", "left_semi")
+    found = cut(found.dropDuplicates(["set_id"]))
+    counted = found.select("hi", "lo", F.explode("hashes").alias("h")).groupBy("h").agg(F.count("*").alias("n"), F.min("hi").alias("hi"), F.min("lo").alias("lo"))
+    own = counted.where("n = 1").groupBy("hi", "lo").agg(F.count("*").alias("own"))
+    n = F.size("hashes")
+    return cut(found.join(own, ["hi", "lo"], "left").select("set_id", "hashes", n.alias("n"), (n - F.coalesce("own", F.lit(0))).cast("int").alias("shared")))
 
-    sets = map_rows(texts, "set_id binary, hashes binary", rows).dropDuplicates(["set_id"])
-    joined = pairs.join(sets.select(F.col("set_id").alias("a"), F.col("hashes").alias("ha")), "a").join(sets.select(F.col("set_id").alias("b"), F.col("hashes").alias("hb")), "b")
+
+def _possible(percent: int, n: Column, shared: Column, m: Column, other: Column) -> Column:
+    """Whether two sets of ``n`` and ``m`` shingles, of which ``shared`` and ``other`` are not theirs alone, can be linked."""
+    most = F.least(shared, other).cast("long")
+    return 100 * most >= percent * (n + m - most)
+
+
+def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Those pairs of classes whose full sets share at least ``percent`` of a hundred of their union."""
+    joined = pairs.join(sets.select(F.col("set_id").alias("b"), F.col("hashes").alias("hb")), "b").join(sets.select(F.col("set_id").alias("a"), F.col("hashes").alias("ha")), "a")
 
     def confirmed(batches):
         for batch in batches:
             keep = []
             for x, y in zip(batch.column("ha"), batch.column("hb")):
-                x, y = (np.frombuffer(v.as_py(), np.uint64) for v in (x, y))
+                x, y = (v.values.to_numpy() for v in (x, y))
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 keep.append(100 * both >= percent * (len(x) + len(y) - both))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
@@ -185,37 +208,41 @@ def near_duplicates(docs: DataFrame, percent: int = 80, width: int = 5, key: str
     """
     docs = docs.select(F.col(key).cast("long").alias(key), text_of().alias("text"))
     found = cut(features(docs, key, width))
-    nodes = found.where("set_id is not null").dropDuplicates(["set_id"]).select(key, "set_id", "bands", "sig")
-    nodes = cut(nodes)
-    sigs = nodes.select("set_id", "sig")
+    nodes = cut(found.where("set_id is not null").dropDuplicates(["set_id"]).select(key, "set_id", "bands", "sig"))
     rows = nodes.select("set_id", F.explode("bands").alias("bucket"))
-    buckets = cut(rows.groupBy("bucket").agg(F.count("*").alias("n"), F.min("set_id").alias("lead")).where("n > 1").drop("n"))
+    buckets = cut(rows.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket"))
+    met = rows.join(buckets, "bucket").select("set_id").distinct()
+    sets = _sets(nodes.join(met, "set_id", "left_semi"), docs, key, width)
+    able = sets.where(_possible(percent, F.col("n"), F.col("shared"), F.col("shared"), F.col("shared"))).select("set_id", "n", "shared")
+    members = nodes.join(able, "set_id").select("set_id", "sig", "n", "shared", F.explode("bands").alias("bucket")).join(buckets, "bucket")
+    members = cut(members)
     least = least_estimate(percent / 100)
-
-    # pass 1: every member and its bucket's first
-    star = rows.join(buckets, "bucket").where("set_id <> lead").select(F.col("lead").alias("a"), F.col("set_id").alias("b")).distinct()
-    a_sig, b_sig = (sigs.select(F.col("set_id").alias(x), F.col("sig").alias(f"{x}_sig")) for x in "ab")
-    tested = cut(star.join(a_sig, "a").join(b_sig, "b").where(estimate(F.col("a_sig"), F.col("b_sig")) >= least).select("a", "b"))
-    first = cut(_confirm(tested, nodes, docs, key, width, percent))
+    near = lambda a, b: _possible(percent, F.col(f"{a}n"), F.col(f"{a}shared"), F.col(f"{b}n"), F.col(f"{b}shared")) & (estimate(F.col(f"{a}sig"), F.col(f"{b}sig")) >= least)
+
+    # pass 1: every member and its bucket's lead, the one that holds the least of its own
+    best = F.max(F.struct((F.col("shared") / F.col("n")).alias("share"), "set_id", "sig", "n", "shared")).alias("l")
+    leads = members.groupBy("bucket").agg(best).select("bucket", *[F.col(f"l.{c}").alias(f"l_{c}") for c in ("set_id", "sig", "n", "shared")])
+    star = members.join(leads, "bucket").where((F.col("set_id") != F.col("l_set_id")) & near("", "l_"))
+    tested = cut(star.select(F.least("set_id", "l_set_id").alias("a"), F.greatest("set_id", "l_set_id").alias("b")).distinct())
+    first = cut(_confirm(tested, sets, percent))
     roots = components(first)
 
     # pass 2: members outside the largest group of their bucket
-    placed = nodes.join(roots.withColumnRenamed("node", "set_id"), "set_id", "left").select("set_id", "sig", F.coalesce("root", "set_id").alias("root"), "bands")
-    members = placed.select("set_id", "root", F.explode("bands").alias("bucket")).join(buckets.select("bucket"), "bucket")
-    groups = members.groupBy("bucket", "root").agg(F.count("*").alias("n"))
-    mixed = groups.groupBy("bucket").agg(F.count("*").alias("groups"), F.max(F.struct("n", "root"))["root"].alias("main")).where("groups > 1").drop("groups")
-    members = cut(members.join(mixed, "bucket").join(sigs, "set_id"))
-    outside = members.where("root <> main").select("bucket", F.col("set_id").alias("x"), F.col("root").alias("x_root"), F.col("sig").alias("x_sig"))
-    more = members.select("bucket", F.col("set_id").alias("y"), F.col("root").alias("y_root"), F.col("sig").alias("y_sig"))
-    near = outside.join(more, "bucket").where((F.col("x_root") != F.col("y_root")) & (estimate(F.col("x_sig"), F.col("y_sig")) >= least))
-    pairs = near.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), F.least("x_root", "y_root").alias("ra"), F.greatest("x_root", "y_root").alias("rb"))
+    placed = members.join(roots.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("root", F.coalesce("root", "set_id"))
+    groups = placed.groupBy("bucket", "root").agg(F.count("*").alias("m"))
+    mixed = groups.groupBy("bucket").agg(F.count("*").alias("groups"), F.max(F.struct("m", "root"))["root"].alias("main")).where("groups > 1").drop("groups")
+    placed = cut(placed.join(mixed, "bucket"))
+    side = lambda x: [F.col(c).alias(f"{x}_{c}") for c in ("set_id", "root", "sig", "n", "shared")]
+    outside = placed.where("root <> main").select("bucket", *side("x"))
+    close = outside.join(placed.select("bucket", *side("y")), "bucket").where((F.col("x_root") != F.col("y_root")) & near("x_", "y_"))
+    pairs = close.select(F.least("x_set_id", "y_set_id").alias("a"), F.greatest("x_set_id", "y_set_id").alias("b"), F.least("x_root", "y_root").alias("ra"), F.greatest("x_root", "y_root").alias("rb"))
     pairs = cut(pairs.dropDuplicates(["a", "b"]).join(tested, ["a", "b"], "left_anti"))
-    second = cut(_confirm(pairs.select("a", "b"), nodes, docs, key, width, percent).join(pairs, ["a", "b"]).select(F.col("ra").alias("a"), F.col("rb").alias("b")).distinct())
+    second = cut(_confirm(pairs.select("a", "b"), sets, percent).join(pairs, ["a", "b"]).select(F.col("ra").alias("a"), F.col("rb").alias("b")).distinct())
     if not second.isEmpty():
         upper = components(second).select(F.col("node").alias("root"), F.col("root").alias("top"))
-        met = roots.join(upper, "root", "left").select("node", F.coalesce("top", "root").alias("root"))
+        lifted = roots.join(upper, "root", "left").select("node", F.coalesce("top", "root").alias("root"))
         alone = upper.select(F.col("root").alias("node"), F.col("top").alias("root")).join(roots.select("node"), "node", "left_anti")
-        roots = met.union(alone)
+        roots = lifted.union(alone)
 
     classes = found.where("set_id is not null").groupBy("set_id").agg(F.min(key).alias("low"))
     rooted = classes.join(roots.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("root", F.coalesce("root", "set_id"))
