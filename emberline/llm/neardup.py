@@ -13,7 +13,8 @@ Candidates come in two passes, neither of which lists all pairs of a bucket:
    a text and its altered copies, the text). Signatures of a pair are compared by bit counts, corrected for
    chance collisions; what may reach the threshold is confirmed on the full sets, and confirmed links give groups;
 2. in a bucket whose members fell into several groups, those outside its largest group are compared with the
-   members of all other groups, again by bound and signature and then on full sets.
+   members of all other groups, again by bound and signature and then on full sets; a pair is made once, in the
+   first bucket that it shares.
 
 A pair inside one group needs no test, so after both passes every pair that shares a bucket has been tested or
 is linked already. Two sets at similarity 0.85 share a bucket but for one case in two million.
@@ -214,8 +215,8 @@ def near_duplicates(docs: DataFrame, percent: int = 80, width: int = 5, key: str
     met = rows.join(buckets, "bucket").select("set_id").distinct()
     sets = _sets(nodes.join(met, "set_id", "left_semi"), docs, key, width)
     able = sets.where(_possible(percent, F.col("n"), F.col("shared"), F.col("shared"), F.col("shared"))).select("set_id", "n", "shared")
-    members = nodes.join(able, "set_id").select("set_id", "sig", "n", "shared", F.explode("bands").alias("bucket")).join(buckets, "bucket")
-    members = cut(members)
+    members = nodes.join(able, "set_id").select("set_id", "sig", "n", "shared", "bands", F.posexplode("bands").alias("band", "bucket"))
+    members = cut(members.withColumn("before", F.slice("bands", F.lit(1), F.col("band"))).drop("bands", "band").join(buckets, "bucket"))
     least = least_estimate(percent / 100)
     near = lambda a, b: _possible(percent, F.col(f"{a}n"), F.col(f"{a}shared"), F.col(f"{b}n"), F.col(f"{b}shared")) & (estimate(F.col(f"{a}sig"), F.col(f"{b}sig")) >= least)
 
@@ -231,10 +232,10 @@ def near_duplicates(docs: DataFrame, percent: int = 80, width: int = 5, key: str
     placed = members.join(roots.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("root", F.coalesce("root", "set_id"))
     groups = placed.groupBy("bucket", "root").agg(F.count("*").alias("m"))
     mixed = groups.groupBy("bucket").agg(F.count("*").alias("groups"), F.max(F.struct("m", "root"))["root"].alias("main")).where("groups > 1").drop("groups")
-    placed = cut(placed.join(mixed, "bucket"))
-    side = lambda x: [F.col(c).alias(f"{x}_{c}") for c in ("set_id", "root", "sig", "n", "shared")]
-    outside = placed.where("root <> main").select("bucket", *side("x"))
-    close = outside.join(placed.select("bucket", *side("y")), "bucket").where((F.col("x_root") != F.col("y_root")) & near("x_", "y_"))
+    placed = cut(placed.join(mixed, "bucket").withColumn("out", F.col("root") != F.col("main")))
+    side = lambda x: [F.col(c).alias(f"{x}_{c}") for c in ("set_id", "root", "sig", "n", "shared", "before", "out")]
+    once = (~F.col("y_out") | (F.col("x_set_id") < F.col("y_set_id"))) & ~F.arrays_overlap("x_before", "y_before")  # in the first bucket that both are in
+    close = placed.where("out").select("bucket", *side("x")).join(placed.select("bucket", *side("y")), "bucket").where((F.col("x_root") != F.col("y_root")) & near("x_", "y_") & once)
     pairs = close.select(F.least("x_set_id", "y_set_id").alias("a"), F.greatest("x_set_id", "y_set_id").alias("b"), F.least("x_root", "y_root").alias("ra"), F.greatest("x_root", "y_root").alias("rb"))
     pairs = cut(pairs.dropDuplicates(["a", "b"]).join(tested, ["a", "b"], "left_anti"))
     second = cut(_confirm(pairs.select("a", "b"), sets, percent).join(pairs, ["a", "b"]).select(F.col("ra").alias("a"), F.col("rb").alias("b")).distinct())
