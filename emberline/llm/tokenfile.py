@@ -28,7 +28,7 @@ MAGIC = b"DAC1"
 CHUNK_BITS = 8
 BLOCK = 512
 #: A file is closed once it holds this many ids, at the end of a document.
-FILE_IDS = 1 << 20
+FILE_IDS = 1 << 18
 
 
 def pack(ids: np.ndarray, starts: np.ndarray, keys: np.ndarray) -> bytes:
