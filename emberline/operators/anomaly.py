@@ -118,36 +118,45 @@ def midrank_table(values: DataFrame, reference: DataFrame, value: str = "value",
     return step.withColumn("midrank", (2 * upto - equal) / (2.0 * total)).where("_r = 0").drop("_r").withColumnRenamed("_v", value)
 
 
-#: Values and reference are compared at so many places: an interpolated quantile between equal values still equals them.
+#: Values and reference are compared at so many places: equal ones that differ by the last bits only still are.
 PLACES = 9
 
 
-def _places(values: Column) -> Column:
-    return F.array_sort(F.transform(values, lambda v: F.round(v, PLACES)))
+def midranks(found: DataFrame, names: list[str], cutoff: str) -> DataFrame:
+    """grp, v and midrank of every different value that scored days hold in ``names``, against all scored days up to a cutoff.
 
-
-def calibration(found: DataFrame, cutoff: str, bins: int = 2000) -> DataFrame:
-    """Reference values of each group from scored days up to a cutoff: grp, refs (sorted, at most ``bins`` + 1 exact quantiles of it).
-
-    The arrays are of bounded size, whatever the data, so they can be sent to every task.
+    Different values with their counts are cut into ranges, summed within each range, and each range begins at the
+    sum of those before it (one number for each range and group), so neither a task nor the driver holds a whole group.
+    Without any day up to the cutoff the reference is one zero.
     """
-    rows = as_of(found.where("scored"), cutoff)
-    long = rows.select(F.explode(F.array(*[F.struct(F.lit(g).alias("grp"), F.col(g).alias("v")) for g in c.GROUPS])).alias("p")).select("p.*").where("v is not null")
-    shares = F.array(*[F.lit(i / bins) for i in range(bins + 1)])
-    return long.groupBy("grp").agg(_places(F.percentile("v", shares)).alias("refs"))
+    rows = found.where("scored").withColumn("_n", (F.col("acq_date") <= F.lit(cutoff).cast("date")).cast("long"))
+    long = rows.select("_n", F.explode(F.array(*[F.struct(F.lit(g).alias("grp"), F.round(g, PLACES).alias("v")) for g in names])).alias("p")).select("_n", "p.*")
+    counts = long.where("v is not null").groupBy("grp", "v").agg(F.sum("_n").alias("n"))
+    ranged = cut(counts.repartitionByRange("grp", "v").withColumn("part", F.spark_partition_id()))
+    sums = ranged.groupBy("grp", "part").agg(F.sum("n").alias("m"))
+    every = Window.partitionBy("grp")
+    starts = sums.select("grp", "part", (F.sum("m").over(every.orderBy("part")) - F.col("m")).alias("start"), F.sum("m").over(every).alias("total"))
+    upto = F.col("start") + F.sum("n").over(Window.partitionBy("grp", "part").orderBy("v"))
+    step = ranged.join(F.broadcast(starts), ["grp", "part"])
+    return step.select("grp", "v", F.when(F.col("total") > 0, (2 * upto - F.col("n")) / (2.0 * F.col("total"))).otherwise(midrank(F.col("v"), None)).alias("midrank"))
+
+
+def _ranked(found: DataFrame, names: dict[str, str], cutoff: str) -> DataFrame:
+    """``found`` with the midrank of each named column of scored days, under the name it is given."""
+    ranks = cut(midranks(found, list(names), cutoff))  # read once for each name
+    out = found
+    for g, name in names.items():
+        own = ranks.where(F.col("grp") == g).select(F.col("v").alias("_v"), F.col("midrank").alias(name))
+        out = out.join(own, F.when(F.col("scored"), F.round(g, PLACES)) == F.col("_v"), "left").drop("_v")
+    return out
 
 
-def calibrated(found: DataFrame, cutoff: str, bins: int = 200) -> DataFrame:
-    """``found`` with the midrank of each group and of the mean of the two highest."""
-    found = cut(found)  # read three times below
-    refs = {r["grp"]: r["refs"] for r in calibration(found, cutoff, bins).collect()}  # four bounded arrays
-    out = found
-    for g in c.GROUPS:
-        out = out.withColumn(f"{g}_pct", F.when(F.col("scored"), midrank(F.round(g, PLACES), refs.get(g))))
+def calibrated(found: DataFrame, cutoff: str) -> DataFrame:
+    """``found`` with the midrank of each group and of the mean of the two highest, against every scored day up to the cutoff."""
+    out = _ranked(cut(found), {g: f"{g}_pct" for g in c.GROUPS}, cutoff)
     top = F.slice(F.sort_array(F.array(*[f"{g}_pct" for g in c.GROUPS]), asc=False), 1, 2)
-    out = out.withColumn("c_raw", F.when(F.col("scored"), (top[0] + top[1]) / 2))
-    final = as_of(out.where("scored"), cutoff).agg(_places(F.percentile("c_raw", F.array(*[F.lit(i / bins) for i in range(bins + 1)]))).alias("r")).first()["r"]
-    return out.withColumn("c_score", F.when(F.col("scored"), midrank(F.round("c_raw", PLACES), final)))
+    out = cut(out.withColumn("c_raw", F.when(F.col("scored"), (top[0] + top[1]) / 2)))
+    return _ranked(out, {"c_raw": "c_score"}, cutoff)
 
 
 def levels(found: DataFrame) -> DataFrame:
@@ -160,9 +169,9 @@ def levels(found: DataFrame) -> DataFrame:
     return found.withColumn("level", level).withColumn("drivers", drivers)
 
 
-def anomaly_score(daily: DataFrame, cutoff: str, bins: int = 200) -> DataFrame:
+def anomaly_score(daily: DataFrame, cutoff: str) -> DataFrame:
     """The anomaly result of every site-day, calibrated on days up to the cutoff."""
-    out = levels(calibrated(with_change(signals(daily)), cutoff, bins))
+    out = levels(calibrated(with_change(signals(daily)), cutoff))
     numbers = [*c.GROUPS, *[f"{g}_pct" for g in c.GROUPS], "ewma", "cusum", "c_raw", "c_score"]
     return out.select("site_id", "acq_date", "history_days", "history_span", *[F.round(n, 6).alias(n) for n in numbers], "level", "drivers")
 

@@ -1,13 +1,15 @@
 """The engine's operators against golden values and against the SQL of their queries."""
 
+import bisect
 import math
+import random
 
 import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__
-from emberline.config import CORE, LOW, STRONG
+from emberline.config import CORE, GROUPS, LOW, STRONG
 from emberline.functions import geo, normalize
 from emberline.operators import anomaly, daily, decide, identity, spatial, temporal, upsert
 from emberline.plans import catalog
@@ -95,6 +97,27 @@ def test_midrank_counts_equal_values_by_half(spark):
     assert [r[0] for r in df.select(anomaly.midrank(F.col("v"), [1.0, 2.0, 2.0, 3.0])).collect()] == [0.0, 0.125, 0.5, 0.75, 1.0, None]
 
 
+def test_calibration_ranks_against_every_day(spark):
+    rng = random.Random(7)
+    rows = [(f"S{i % 50}", "2025-01-01" if i < 3000 else "2025-03-01", i % 11 > 0, *[rng.choice([0.0, round(rng.random() * 20, 4)]) for _ in range(4)]) for i in range(4000)]
+    schema = "site_id string, acq_date string, scored boolean, " + ", ".join(f"{g} double" for g in GROUPS)
+    df = spark.createDataFrame(rows, schema).withColumn("acq_date", F.to_date("acq_date"))
+    got = anomaly.levels(anomaly.calibrated(df, "2025-02-01")).collect()
+    held = [r for r in rows if r[2] and r[1] < "2025-02-01"]
+
+    def rank(reference, v):
+        return (bisect.bisect_left(reference, v) + bisect.bisect_right(reference, v)) / (2 * len(reference))
+
+    groups = [sorted(round(r[3 + k], 9) for r in held) for k in range(4)]
+    raw = lambda r: sum(sorted(rank(groups[k], round(r[3 + k], 9)) for k in range(4))[-2:]) / 2
+    final = sorted(round(raw(r), 9) for r in held)
+    want = sorted((r[0], *r[3:], rank(final, round(raw(r), 9))) for r in rows if r[2])
+    assert len(got) == len(rows)
+    assert sorted((r.site_id, *[r[g] for g in GROUPS], r.c_score) for r in got if r.scored) == want
+    assert all(r.c_score is None for r in got if not r.scored)
+    assert sum(r.level == "CRITICAL" and str(r.acq_date) < "2025-02-01" for r in got) == sum(rank(final, v) >= 0.999 for v in final) > 0
+
+
 def test_daily_merge(spark):
     schema = "site_id string, acq_date string, detections long, mean_frp double, max_frp double"
     row = daily.merge_daily(spark.createDataFrame([("S", "d", 1, 30.0, 30.0)], schema), spark.createDataFrame([("S", "d", 2, 15.0, 20.0)], schema)).first()
