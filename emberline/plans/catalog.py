@@ -337,7 +337,7 @@ _POINTS = "pts as (select min(ingest_id*10+ingest_line) as pid, latitude, longit
 
 
 def _points(spark, sf_dir):
-    d = view(spark, sf_dir, "detections").where(F.col("acq_date") >= F.lit("2001-01-01").cast("date"))
+    d = view(spark, sf_dir, "detections")
     return d.groupBy("latitude", "longitude").agg(F.min(F.col("ingest_id") * 10 + F.col("ingest_line")).alias("pid")).groupBy("pid").agg(F.min("latitude").alias("latitude"), F.min("longitude").alias("longitude"))
 
 
@@ -432,7 +432,7 @@ def backfill_windows(spark, sf_dir):
 
 @register("coverage_windows", sql="--with sub as (select * from coverage_windows where window_id%11=0), c as (select *, max(window_end) over (partition by source order by window_start, window_end rows between unbounded preceding and 1 preceding) as covered from sub) select distinct source, cast(covered+1 as date) as gap_start, cast(window_start-1 as date) as gap_end from c where window_start>covered+1")
 def coverage_gaps(spark, sf_dir):
-    return windows.coverage_gaps(view(spark, sf_dir, "coverage_windows").where("window_id % 11 = 0"))
+    return windows.coverage_gaps(view(spark, sf_dir, "coverage_windows"))
 
 
 @register("detections", "candidate_members", sql=" select distinct site_id from detections where acq_date > date '2001-10-01' union select promoted_site_id from candidate_members where promoted_site_id is not null")
