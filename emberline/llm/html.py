@@ -35,6 +35,8 @@ BLOCK = frozenset("address article aside blockquote body button caption center d
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements whose content is no text of the page.
 SILENT = "script|style|noscript|template|textarea|title|svg|math|iframe|object|head|select|canvas|audio|video"
+#: Those whose content is characters only, so that nothing but their end tag ends them; an unclosed one of the others ends at the next block.
+RAW = frozenset("script style textarea title iframe".split())
 #: An open element of the first kind ends where one of the second kind begins.
 ENDS = {"p": BLOCK, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "tbody", "tfoot"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "option": {"option", "optgroup"}}
 INLINE = frozenset("a abbr b bdi bdo big cite code em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var del".split())
@@ -42,7 +44,8 @@ INLINE = frozenset("a abbr b bdi bdo big cite code em font i ins kbd label mark
 ASIDE = frozenset("nav aside footer form menu button dialog search".split())
 BESIDE = re.compile(r"(?:^|[^a-z])(?:ads?|advert\w*|banner|cookie\w*|consent|comments?|disqus|footer|menu|nav\w*|newsletter|notice|popup|promo\w*|related|share|sidebar|social|sponsor\w*|subscribe)(?:$|[^a-z])", re.I)
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(?:!|\?)[^>]*+>?|<(" + SILENT + r")\b[^>]*+(?<!/)>.*?(?:</\1\s*+>|(?=<body\b)|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|</[^>]*+>", re.S | re.I)
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(?:!|\?)[^>]*+>?|<(" + SILENT + r")(?=[\s/>])[^>]*+(?<!/)>|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|</[^>]*+>", re.S | re.I)
+_ENDING = {t: re.compile(rf"</{t}\s*+>|(?=<body[\s/>])", re.I) for t in SILENT.split("|")}
 _NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 
 
@@ -52,9 +55,13 @@ def blocks(html: str) -> list[tuple[tuple[str, ...], str, float]]:
     stack: list[tuple[str, tuple[str, ...]]] = []
     parts: list[str] = []
     links = linked = at = 0
+    unclosed: set[str] = set()  # silent elements without an end further on
+    hushed = False  # within an unclosed silent element
 
     def add(raw: str) -> None:
         nonlocal linked
+        if hushed:
+            return
         parts.append(raw)
         if links:
             linked += len(raw)
@@ -68,10 +75,22 @@ def blocks(html: str) -> list[tuple[tuple[str, ...], str, float]]:
             parts.clear()
             linked = 0
 
-    for m in _TOKEN.finditer(html):
+    while m := _TOKEN.search(html, at):
         if m.start() > at:
             add(html[at : m.start()])
         at = m.end()
+        if m[1]:
+            name = m[1].lower()
+            end = None if name in unclosed else _ENDING[name].search(html, at)
+            if end:
+                at = end.end()
+                continue
+            unclosed.add(name)
+            if name in RAW:
+                at = len(html)
+            elif name != "head":  # what silences within a head does so itself; all else ends it
+                hushed = True
+            continue
         tag = m[3]
         if not tag:
             continue
@@ -80,6 +99,9 @@ def blocks(html: str) -> list[tuple[tuple[str, ...], str, float]]:
             parts.append("\n")
         elif m[2]:
             depth = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag), -1)
+            if hushed and (tag not in BLOCK or depth < 0):
+                continue
+            hushed = False
             if tag in BLOCK:
                 close()
             elif depth >= 0 and any(t in BLOCK for t, _ in stack[depth:]):
@@ -89,6 +111,9 @@ def blocks(html: str) -> list[tuple[tuple[str, ...], str, float]]:
             if tag == "a":
                 links = 0
         else:
+            if hushed and (tag not in BLOCK or tag in ("option", "optgroup")):
+                continue
+            hushed = False
             if tag in BLOCK:
                 close()
                 while stack and (stack[-1][0] in INLINE or tag in ENDS.get(stack[-1][0], ())):  # implied ends

@@ -128,6 +128,19 @@ def test_blocks_decode_and_join(spark):
     assert html.blocks("") == [] and html.blocks("<p") is not None
 
 
+def test_silent_elements_end(spark):
+    text = lambda h: [t for _, t, _ in html.blocks(h)]
+    for name in ("svg-icon", "video-player", "object-x", "title-bar", "select-box", "template-x"):
+        assert text(f"<article><{name} a='b'></{name}><p>Whole article text</p></article>") == ["Whole article text"]
+    assert text("<html><head><meta charset=x><title>T</title><script>a = '<p>no</p>'</script><p>One</p><p>Two") == ["One", "Two"]
+    for name in ("svg", "math", "object", "select", "video", "noscript"):
+        assert text(f"<div><p>a</p><{name}><path>x</path><p>b</p></div>c") == ["a", "b", "c"]
+        assert text(f"<div>a<{name}>x</div>c") == ["a", "c"]
+        assert text(f"<p>a</p><{name}>x<b>y</b></{name}><p>b</p>") == ["a", "b"]
+    assert text("<select><option>x<option>y<p>b") == ["b"] and text("<p>a</p><script>x<p>b</p>") == ["a"] and text("<svg><body><p>b") == ["b"]
+    assert text("<svg>" * 20_000 + "<p>b") == ["b"]
+
+
 def test_pages_keep_the_article_only(spark):
     rng = random.Random(2)
     pages = [(i, f"u{i}", page(f"Title {i}", [prose(rng, 30) + "." for _ in range(5)])) for i in range(60)] + [(60, None, None), (61, "u", ""), (61, "u", "")]
