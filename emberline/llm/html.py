@@ -43,6 +43,9 @@ INLINE = frozenset("a abbr b bdi bdo big cite code em font i ins kbd label mark
 #: What marks a block as beside the article, for the pages that teach.
 ASIDE = frozenset("nav aside footer form menu button dialog search".split())
 BESIDE = re.compile(r"(?:^|[^a-z])(?:ads?|advert\w*|banner|cookie\w*|consent|comments?|disqus|footer|menu|nav\w*|newsletter|notice|popup|promo\w*|related|share|sidebar|social|sponsor\w*|subscribe)(?:$|[^a-z])", re.I)
+#: What the second reading of a teaching page does without.
+STRUCTURE = ASIDE | {"article", "main", "header"}
+WITHIN = re.compile(r"(?:^|[^a-z])(?:article\w*|body|content\w*|entry|header\w*|main\w*|post\w*|story|text)(?:$|[^a-z])", re.I)
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(?:!|\?)[^>]*+>?|<(" + SILENT + r")(?=[\s/>])[^>]*+(?<!/)>|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|</[^>]*+>", re.S | re.I)
 _ENDING = {t: re.compile(rf"</{t}\s*+>|(?=<body[\s/>])", re.I) for t in SILENT.split("|")}
@@ -142,6 +145,11 @@ def own_label(path: tuple[str, ...]) -> int | None:
     return int(not any(t in ASIDE or (t[0] == "." and BESIDE.search(t)) for t in inner))
 
 
+def plain_path(path: tuple[str, ...]) -> tuple[str, ...]:
+    """A path as a page without structural elements has it: they are plain ``div``s, and classes, ids and roles that tell are gone."""
+    return tuple("div" if t in STRUCTURE else t for t in path if not (t[0] == "." and (BESIDE.search(t) or WITHIN.search(t))))
+
+
 _hashes: dict[str, int] = {}
 
 
@@ -304,7 +312,10 @@ def train(pages: DataFrame, sample: int = SAMPLE, key: str = "page_id") -> Label
                 if not (y > 0).any():
                     continue
                 y[y < 0] = 0  # on a page with an article, what stands outside it isn't text
-                yield pa.RecordBatch.from_pydict({"k": pa.array([k], pa.int64()), "h": [xxhash.xxh3_64_intdigest(html) >> 1], "x": [vectors(page).tobytes()], "y": [y.tobytes()]})
+                h = xxhash.xxh3_64_intdigest(html) >> 1
+                readings = [page] if h % 3 else [page, [(plain_path(p), t, share) for p, t, share in page]]
+                for x in map(vectors, readings):
+                    yield pa.RecordBatch.from_pydict({"k": pa.array([k], pa.int64()), "h": [h], "x": [x.tobytes()], "y": [y.tobytes()]})
 
     found = sorted((r["h"], bytes(r["x"]), bytes(r["y"])) for r in chosen.mapInArrow(features, "k long, h long, x binary, y binary").collect())
     data = [(np.frombuffer(x, np.float32).reshape(-1, PATH + WORDS + OTHER), np.frombuffer(y, np.float32)) for _, x, y in found]

@@ -154,6 +154,34 @@ def test_pages_keep_the_article_only(spark):
     assert html.extract_text(df.where("false")).count() == 0
 
 
+def test_a_third_teaches_without_structural_names(spark, monkeypatch):
+    taught = []
+    monkeypatch.setattr(html.Labeller, "fit", lambda self, data: taught.extend(data) or self)
+    rng = random.Random(5)
+    made = [page(f"Title {i}", [prose(rng, 12) + "."]).replace("<article>", "<article class='post x7'>") for i in range(60)]
+    html.train(spark.createDataFrame(list(enumerate(made)), "page_id long, html string"))
+    names = lambda path: tuple("div" if t in ("article", "aside", "nav", "footer") else t for t in path if t not in (".post", ".sidebar"))
+    whole = {html.vectors(html.blocks(h)).tobytes(): html.blocks(h) for h in made}
+    plain = {html.vectors([(names(p), t, s) for p, t, s in b]).tobytes(): b for b in whole.values()}
+    label = lambda b: [html.own_label(p) or 0 for p, _, _ in b]
+    first, second = ([(x, y) for x, y in taught if x.tobytes() in known] for known in (whole, plain))
+    assert len(first) == 60 and 10 <= len(second) <= 30 and len(taught) == 60 + len(second)
+    for known, data in ((whole, first), (plain, second)):
+        assert all(y.tolist() == label(known[x.tobytes()]) for x, y in data)
+
+
+def test_pages_without_structural_elements(spark):
+    rng = random.Random(3)
+    made = [page(f"Title {i}", [prose(rng, 30) + "." for _ in range(5)]) for i in range(90)]
+    plain = [re.sub("<(/?)(?:article|nav|aside|footer)[^>]*>", r"<\1div>", h) for h in made[60:]]
+    df = spark.createDataFrame([(i, "u", h, 0) for i, h in enumerate([*made[:60], *plain])], "page_id long, url string, html string, n_chars long")
+    rows = {r.page_id: r.text for r in html.extract_text(df).collect()}
+    for i in range(60, 90):
+        kept = set(rows[i].split("\n"))
+        assert kept >= set(re.findall("<p>(.*?)</p>", made[i].split("<article>")[1].split("</article>")[0]))
+        assert not kept & {"Home", "About", "Related links here", "All rights reserved"}
+
+
 # -- 5 ---------------------------------------------------------------------------------------------------------------
 def test_counts_against_plain_viterbi(spark):
     rng = random.Random(1)
