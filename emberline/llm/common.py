@@ -37,6 +37,11 @@ def cut(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(place)
 
 
+def with_rows(df: DataFrame) -> DataFrame:
+    """``df``, written, with a number ``_row`` that no other row has."""
+    return cut(df.withColumn("_row", F.monotonically_increasing_id()))
+
+
 def text_of(column: str = "text") -> Column:
     """A text column in which null counts as the empty text."""
     return F.coalesce(F.col(column).cast("string"), F.lit(""))

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from emberline.llm.common import cut, text_of
+from emberline.llm.common import cut, text_of, with_rows
 
 #: Characters of a q-gram, and edits allowed as a share of an item's characters.
 Q, EDITS = 8, 0.08
@@ -195,6 +195,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", it
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id") -> DataFrame:
-    """``docs`` without those that hold a benchmark item; all columns stay."""
-    bad = cut(contamination(docs, benchmark, key).select(F.col(key).alias("_bad")).distinct())
-    return docs.join(bad, F.col(key).eqNullSafe(F.col("_bad")), "left_anti")
+    """``docs`` without the rows that hold a benchmark item, whatever their keys; all columns stay."""
+    named = with_rows(docs)
+    bad = cut(contamination(named, benchmark, "_row").select("_row").distinct())
+    return named.join(bad, "_row", "left_anti").select(*docs.columns)

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from emberline.llm.common import cut, map_rows, text_of
+from emberline.llm.common import cut, map_rows, text_of, with_rows
 
 SLOTS, ROWS, BANDS, BITS = 128, 5, 25, 2
 #: A pair is dropped on its signatures only when the estimate lies this many standard deviations below the threshold.
@@ -254,6 +254,13 @@ def near_duplicates(docs: DataFrame, percent: int = 80, width: int = 5, key: str
 
 
 def keep_one(docs: DataFrame, percent: int = 80, width: int = 5, key: str = "doc_id") -> DataFrame:
-    """``docs`` without all but one document of each group; of rows that repeat a key within a group one stays. All columns stay."""
-    gone = near_duplicates(docs, percent, width, key).where("not kept").select(F.col(key).alias("_gone")).distinct()
-    return docs.join(gone, F.col(key).eqNullSafe(F.col("_gone")), "left_anti")
+    """``docs`` without all but one row of each group: the one with the least key (null ones last). All columns stay.
+
+    Rows are named one by one, so a null or repeated key decides for no other row; of rows alike in key and text one stays.
+    """
+    named = with_rows(docs)
+    groups = cut(near_duplicates(named, percent, width, "_row").select("_row", "component_id"))
+    keys = named.select("_row", F.col(key).isNull().alias("none"), F.col(key).alias("key"), F.xxhash64(text_of()).alias("hash"))
+    best = groups.join(keys, "_row").groupBy("component_id").agg(F.min(F.struct("none", "key", "hash", "_row"))["_row"].alias("_best"))
+    gone = groups.join(best, "component_id").where("_row <> _best").select("_row")
+    return named.join(gone, "_row", "left_anti").select(*docs.columns)

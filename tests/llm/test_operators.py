@@ -70,6 +70,19 @@ def test_near_duplicates_against_all_pairs(spark):
     assert neardup.near_duplicates(frame(spark, [])).count() == 0
 
 
+def test_null_and_repeated_keys_decide_for_no_other_row(spark):
+    rng = random.Random(9)
+    a, b, c, d, item = (prose(rng, 30) for _ in range(5))
+    rows = [(None, a), (None, b), (1, c), (1, c), (2, d), (2, c), (None, d), (None, d + " " + item), (3, a + " " + item), (3, b)]
+    df = spark.createDataFrame([(k, t, "en", "x", len(t)) for k, t in rows], SCHEMA)
+    name = lambda r: (r[0] is None, r[0] or 0, r[1])
+    kept = neardup.keep_one(df, 80)
+    assert kept.columns == df.columns
+    assert sorted(map(name, kept.collect())) == sorted(map(name, [(None, a), (1, c), (2, d), (3, b), (None, d + " " + item), (3, a + " " + item)]))
+    bench = spark.createDataFrame([(0, item)], "item_id long, text string")
+    assert sorted(map(name, decontaminate.clean(df, bench).collect())) == sorted(map(name, [r for r in rows if item not in r[1]]))
+
+
 def test_signatures_estimate_similarity(spark):
     a, b = np.arange(1000, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15), np.arange(200, 1200, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
     df = spark.createDataFrame([(neardup.packed(neardup.minima(a)).tolist(), neardup.packed(neardup.minima(b)).tolist())], "a array<long>, b array<long>")
