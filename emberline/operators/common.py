@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -14,21 +14,71 @@ def as_of(df: DataFrame, cutoff: str, column: str = "acq_date") -> DataFrame:
     return df.where(F.col(column) <= F.lit(cutoff).cast("date"))
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Writes ``df`` to the shared folder and reads it from there, so what follows never repeats its work when an executor is lost.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: the session's ``spark.checkpoint.dir``.
 
-    The folder is the session's ``spark.checkpoint.dir``; a local one is set only where there is none, as in tests.
+    A local one is made only where none is set and the master is local, as in tests; on a cluster that is an error.
     """
-    spark = df.sparkSession
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         folder = tempfile.mkdtemp(prefix="emberline-")
         spark.conf.set("spark.checkpoint.dir", folder)
-    place = f"{folder.rstrip('/')}/cut-{uuid.uuid4().hex}"
+    return folder.rstrip("/")
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Writes ``df`` to the shared folder and reads it from there, so what follows never repeats its work, whichever executor is lost.
+
+    A written table has a known size, so Spark broadcasts it in a join only below its own threshold.
+    """
+    spark = df.sparkSession
+    place = f"{shared_folder(spark)}/cut-{spark.sparkContext.applicationId}-{uuid.uuid4().hex}"
     df.write.parquet(place)
     return spark.read.schema(df.schema).parquet(place)
 
 
+def clear_cuts(spark: SparkSession) -> int:
+    """Deletes what ``cut`` has written in this application, once its results are written elsewhere; the number of tables."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark)}/cut-{spark.sparkContext.applicationId}-*")
+    system = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    found = system.globStatus(path) or []
+    for status in found:
+        system.delete(status.getPath(), True)
+    return len(found)
+
+
+#: Copies of a small side that is joined on a key which very many rows of the other side may share.
+SALTS = 8
+
+
+def salted_left(left: DataFrame, right: DataFrame, on: str, spread: str) -> DataFrame:
+    """A left join on a key that may be hot on the left and is unique on the right: left rows are dealt by ``spread`` to copies of the right ones."""
+    dealt = left.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(SALTS)))
+    copies = right.withColumn("_salt", F.explode(F.array(*[F.lit(i).cast("long") for i in range(SALTS)])))
+    return dealt.join(copies, [on, "_salt"], "left").drop("_salt")
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """``node`` and ``root`` (the least node that can be reached) for every node of undirected edges (a, b).
+
+    Each round every node takes the least root among its neighbours', then its root's root; rounds are about the
+    logarithm of the longest chain. Every round's labels are written. Of roots only those that have a lesser one
+    themselves are looked up, in copies, so that a root which very many nodes share isn't one task's.
+    """
+    both = cut(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    labels = cut(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("root")))
+    while True:
+        near = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("root").alias("m"))
+        low = labels.join(near, "node").select("node", F.col("root").alias("old"), F.least("root", "m").alias("root"))
+        jump = labels.select("root").distinct().join(labels.select(F.col("node").alias("root"), F.col("root").alias("next")), "root").where("next < root")
+        new = cut(salted_left(low, jump, "root", "node").select("node", "old", F.least("root", F.coalesce("next", "root")).alias("root")))
+        labels = new.select("node", "root")
+        if new.where("old <> root").isEmpty():
+            return labels
+
+
 def first_by(df: DataFrame, keys: list[str], order: list[Column], n: int = 1) -> DataFrame:
     """The first ``n`` rows of each key; Spark keeps only so many for each key before it shuffles."""
     window = Window.partitionBy(*keys).orderBy(*order)

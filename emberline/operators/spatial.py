@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from emberline.config import CLUSTER_MIN_POINTS, CLUSTER_RADIUS_M, EVIDENCE_RADIUS_KM
 from emberline.functions.geo import around, cell_size, cells, haversine_m
-from emberline.operators.common import cut, first_by
+from emberline.operators.common import components, cut, first_by
 
 
 def radius_join(left: DataFrame, right: DataFrame, radius_m: float, max_latitude: float = 60.0, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -30,20 +30,6 @@ def nearby(points: DataFrame, key: str = "detection_id", radius_m: float = CLUST
     return radius_join(p, p, radius_m).select(key, F.col(f"r_{key}").alias("neighbor"), "distance_m")
 
 
-def least_reachable(edges: DataFrame) -> DataFrame:
-    """``node`` and ``root`` (the least node that can be reached) over undirected edges (a, b)."""
-    both = cut(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = cut(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("root")))
-    while True:
-        near = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("root").alias("m"))
-        low = labels.join(near, "node").select("node", F.col("root").alias("old"), F.least("root", "m").alias("root"))
-        jump = labels.select(F.col("node").alias("root"), F.col("root").alias("next"))
-        new = cut(low.join(jump, "root", "left").select("node", "old", F.least("root", F.coalesce("next", "root")).alias("root")))
-        labels = new.select("node", "root")
-        if new.where("old <> root").isEmpty():
-            return labels
-
-
 def cluster(points: DataFrame, key: str = "detection_id", radius_m: float = CLUSTER_RADIUS_M, min_points: int = CLUSTER_MIN_POINTS) -> DataFrame:
     """Density clusters: a point with ``min_points`` neighbours (itself included) is a core; linked cores share a
     label (their least key); other points take the nearest core within reach (the lesser label at ties), or none.
@@ -52,7 +38,7 @@ def cluster(points: DataFrame, key: str = "detection_id", radius_m: float = CLUS
     cores = pairs.groupBy(key).agg(F.count("*").alias("n")).where(F.col("n") >= min_points).select(key)
     near = pairs.join(cores.withColumnRenamed(key, "neighbor"), "neighbor", "left_semi")
     edges = near.join(cores, key, "left_semi").select(F.col(key).alias("a"), F.col("neighbor").alias("b"))
-    roots = least_reachable(edges)
+    roots = components(edges)
     labelled = roots.select(F.col("node").alias(key), F.col("root").alias("cluster"), F.lit("CORE").alias("role"))
     border = first_by(near.join(cores, key, "left_anti").join(roots.withColumnRenamed("node", "neighbor"), "neighbor"), [key], [F.col("distance_m"), F.col("root")]).select(key, F.col("root").alias("cluster"), F.lit("BORDER").alias("role"))
     found = labelled.unionByName(border)
@@ -89,7 +75,7 @@ def resolve(detections: DataFrame, members: DataFrame, radius_m: float = CLUSTER
     linked = nearby(points, "detection_id", radius_m).select(F.col("detection_id").alias("a"), F.col("neighbor").alias("b"))
     # members of one candidate hang together wherever they are
     same = points.where("candidate_id is not null").groupBy("candidate_id").agg(F.min("detection_id").alias("b")).join(points.select("candidate_id", F.col("detection_id").alias("a")), "candidate_id").select("a", "b")
-    groups = least_reachable(linked.union(same)).withColumnRenamed("node", "detection_id")
+    groups = components(linked.union(same)).withColumnRenamed("node", "detection_id")
 
     def replay(frame: pd.DataFrame) -> pd.DataFrame:
         import hashlib
