@@ -1,9 +1,7 @@
-"""Helpers that every operator of the subpackage shares."""
+"""Helpers that every operator of the subpackage shares, some of them the engine's own."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from bisect import bisect_left
 from collections.abc import Callable, Iterator
 
@@ -11,35 +9,28 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from emberline.operators.common import components, cut, salted_left, shared_folder
+
+__all__ = ["components", "cut", "salted_left", "shared_folder", "table", "free_name", "with_rows", "text_of", "map_rows", "range_buckets", "bucket_of", "bucket_index", "partitions"]
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the driver's tables."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a local one is set only where the session names none."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="emberline-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Writes ``df`` to the shared folder and reads it from there: later stages never repeat it, whichever executor is lost.
-
-    A written table has a known size, so Spark broadcasts it in a join only below its own threshold.
-    """
-    spark = df.sparkSession
-    place = f"{shared_folder(spark).rstrip('/')}/cut-{uuid.uuid4().hex}"
-    df.write.parquet(place)
-    return spark.read.schema(df.schema).parquet(place)
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, or with underscores after it, so that ``df`` has no such column."""
+    held = {c.lower() for c in df.columns}
+    while name.lower() in held:
+        name += "_"
+    return name
 
 
-def with_rows(df: DataFrame) -> DataFrame:
-    """``df``, written, with a number ``_row`` that no other row has."""
-    return cut(df.withColumn("_row", F.monotonically_increasing_id()))
+def with_rows(df: DataFrame) -> tuple[DataFrame, str]:
+    """``df``, written, with a number that no other row has, and the name of its column."""
+    name = free_name(df, "_row")
+    return cut(df.withColumn(name, F.monotonically_increasing_id())), name
 
 
 def text_of(column: str = "text") -> Column:
@@ -79,7 +70,9 @@ def bucket_of(column: str, bounds: list) -> Column:
     if not bounds:
         return F.lit(0)
     held = F.array(*[F.lit(float(b)) for b in bounds])
-    return F.when(F.col(column).isNull(), 0).otherwise(F.size(F.filter(held, lambda b: b < F.col(column).cast("double"))))
+    steps = F.array(*[F.lit(1 << k) for k in range(len(bounds).bit_length() - 1, -1, -1)])
+    below = F.aggregate(steps, F.lit(0), lambda at, step: F.when(F.get(held, at + step - 1) < F.col(column).cast("double"), at + step).otherwise(at))  # by halving
+    return F.when(F.col(column).isNull(), 0).otherwise(below)
 
 
 def bucket_index(value, bounds: list) -> int:

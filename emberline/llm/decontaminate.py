@@ -4,10 +4,15 @@ An item of m characters with at most e edits in a document shares at least m - q
 with it, all on diagonals (place in the document less place in the item) no further apart than e. So the hits
 of an item's q-grams are counted in diagonal bands of 2 * (e + 1), each overlapping the next by half; only the
 regions of bands that reach the bound are aligned with the item, within the band, and kept at e edits or fewer.
+
+``Q`` characters make a gram unless that leaves an item no bound of 1: then its grams are shorter, floor(m / (e + 1))
+characters, which is the whole item where no edit is allowed. So every item has its full budget, however short.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -19,8 +24,10 @@ from emberline.llm.common import cut, text_of, with_rows
 Q, EDITS = 8, 0.08
 #: Items are used in blocks of at most so many characters; each block is sent to the executors.
 BLOCK_CHARS = 4_000_000
-#: Documents are taken together up to about so many characters.
+#: Documents are taken together up to about so many characters; longer ones in pieces of as many, which overlap by the longest item.
 TOGETHER = 1 << 17
+#: Hits of grams are counted so many at a time.
+HITS = 1 << 20
 _TABLE = 22
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
@@ -34,77 +41,119 @@ def characters(text: str) -> np.ndarray:
     return np.where((out >= 9) & (out <= 13), np.uint32(32), out)
 
 
-def grams(chars: np.ndarray) -> np.ndarray:
+def budget(m: int) -> tuple[int, int]:
+    """The edits that an item of ``m`` characters may have, and the characters of its grams."""
+    edits = int(EDITS * m)
+    return edits, min(Q, m // (edits + 1))
+
+
+def grams(chars: np.ndarray, q: int = Q) -> np.ndarray:
     """The hash of every q-gram."""
-    n = max(0, len(chars) - Q + 1)
+    n = max(0, len(chars) - q + 1)
     out = np.zeros(n, np.uint64)
-    for k in range(Q):
+    for k in range(q):
         out = (out + chars[k : k + n]) * _STEP
         out ^= out >> np.uint64(32)
     return out
 
 
 class Items:
-    """The q-grams of a block of benchmark items."""
+    """A block of benchmark items, in parts by the length of their grams."""
 
     def __init__(self, items: list[tuple[int, str]]) -> None:
-        self.ids, self.chars = [], []
-        hashes, owner, place = [], [], []
+        groups: dict[int, list] = {}
         for item, text in items:
             c = characters(text.strip())
-            if len(c) < Q:  # nothing to count
-                continue
-            h = grams(c)
-            hashes.append(h)
-            owner.append(np.full(len(h), len(self.ids), np.int64))
-            place.append(np.arange(len(h), dtype=np.int64))
-            self.ids.append(item)
-            self.chars.append(c)
-        size = np.array([len(c) for c in self.chars], np.int64)
-        self.edits = np.minimum((EDITS * size).astype(np.int64), (size - Q) // Q)  # the bound is 1 at least
-        self.bound = size - Q + 1 - self.edits * Q
-        self.size = size
-        all_hashes = np.concatenate([*hashes, np.zeros(0, np.uint64)])
+            if len(c):
+                groups.setdefault(budget(len(c))[1], []).append((item, c))
+        self.parts = [_Part(q, held) for q, held in sorted(groups.items())]
+
+    def find(self, texts: list[str]) -> list[list[tuple[int, int, int, int]]]:
+        """For each text its matches: item, start, end, edits."""
+        found: list[dict] = [{} for _ in texts]
+        if self.parts:
+            longest = max(int((p.size + p.edits).max()) for p in self.parts)
+            held, size = [], 0
+            for i, text in enumerate(texts):
+                chars, at = characters(text), 0
+                while True:  # a piece, and what an item that begins in it may reach beyond
+                    held.append((i, at, chars[at : at + TOGETHER + longest]))
+                    size += len(held[-1][2])
+                    at += TOGETHER
+                    last = at >= len(chars)
+                    if size >= TOGETHER or (last and i == len(texts) - 1):
+                        for part in self.parts:
+                            part.find(held, found)
+                        held, size = [], 0
+                    if last:
+                        break
+        return [[(part.ids[o], *x) for (part, o), spans in sorted(f.items(), key=lambda e: (e[0][0].q, e[0][1])) for x in least(spans)] for f in found]
+
+
+def least(spans: set) -> list[tuple[int, int, int]]:
+    """Of overlapping places the one with fewest edits (the first at ties), in order."""
+    kept: list[tuple[int, int, int]] = []
+    starts: list[int] = []
+    for s, t, edits in sorted(spans, key=lambda x: (x[2], x[0], x[1])):
+        at = bisect_left(starts, s)
+        if (at == 0 or kept[at - 1][1] <= s) and (at == len(kept) or kept[at][0] >= t):
+            kept.insert(at, (s, t, edits))
+            starts.insert(at, s)
+    return kept
+
+
+class _Part:
+    """Items whose grams have ``q`` characters, with the places of every gram."""
+
+    def __init__(self, q: int, items: list[tuple[int, np.ndarray]]) -> None:
+        self.q, self.ids, self.chars = q, [i for i, _ in items], [c for _, c in items]
+        made = [grams(c, q) for c in self.chars]
+        self.size = np.array([len(c) for c in self.chars], np.int64)
+        self.edits = np.array([budget(len(c))[0] for c in self.chars], np.int64)
+        self.bound = self.size - q + 1 - self.edits * q
+        all_hashes = np.concatenate(made)
         order = np.argsort(all_hashes, kind="stable")
-        self.owner, self.place = (np.concatenate([*x, np.zeros(0, np.int64)])[order] for x in (owner, place))
+        self.owner = np.repeat(np.arange(len(made), dtype=np.int64), [len(h) for h in made])[order]
+        self.place = np.concatenate([np.arange(len(h), dtype=np.int64) for h in made])[order]
         self.hashes, self.first, self.count = np.unique(all_hashes[order], return_index=True, return_counts=True)
         self.seen = np.zeros(1 << _TABLE, bool)
         self.seen[(all_hashes >> np.uint64(64 - _TABLE)).astype(np.int64)] = True
 
-    def find(self, texts: list[str]) -> list[list[tuple[int, int, int, int]]]:
-        """For each text its matches: item, start, end, edits."""
-        out: list = [[] for _ in texts]
-        if not self.ids:
-            return out
-        held, size = [], 0
-        for i, text in enumerate(texts):
-            held.append((i, characters(text)))
-            size += len(text)
-            if size >= TOGETHER or i == len(texts) - 1:
-                self._find(held, out)
-                held, size = [], 0
-        return out
-
-    def _find(self, held: list[tuple[int, np.ndarray]], out: list) -> None:
-        lengths = [len(c) for _, c in held]
-        starts = np.cumsum([0, *lengths])
-        chars = np.concatenate([c for _, c in held])
-        h = grams(chars)
+    def hits(self, at: np.ndarray, k: np.ndarray, low: int, width: int) -> tuple[np.ndarray, np.ndarray]:
+        """Cells (item * width + cell) and their numbers of hits, for grams ``k`` at places ``at``; expanded ``HITS`` at a time."""
+        n = self.count[k]
+        upto = np.cumsum(n)
+        keys, sums, i = np.zeros(0, np.int64), np.zeros(0, np.int64), 0
+        while i < len(at):
+            j = max(i + 1, int(np.searchsorted(upto, (upto[i - 1] if i else 0) + HITS, "right")))
+            m = n[i:j]
+            posting = np.repeat(self.first[k[i:j]], m) + np.arange(int(m.sum())) - np.repeat(np.cumsum(m) - m, m)
+            item = self.owner[posting]
+            cell = (np.repeat(at[i:j], m) - self.place[posting]) // (self.edits[item] + 1)
+            key, hits = np.unique(item * width + (cell - low), return_counts=True)
+            both = np.concatenate([keys, key])
+            if len(keys):
+                both, where = np.unique(both, return_inverse=True)
+                sums = np.bincount(where, np.concatenate([sums, hits]), len(both)).astype(np.int64)
+            else:
+                sums = hits
+            keys, i = both, j
+        return keys, sums
+
+    def find(self, held: list[tuple[int, int, np.ndarray]], out: list[dict]) -> None:
+        """Adds the places in pieces (text, its first character's place, characters) to ``out``, text by text."""
+        starts = np.cumsum([0, *(len(c) for _, _, c in held)])
+        chars = np.concatenate([c for _, _, c in held])
+        h = grams(chars, self.q)
         at = np.flatnonzero(self.seen[(h >> np.uint64(64 - _TABLE)).astype(np.int64)])
-        k = np.searchsorted(self.hashes, h[at])
-        k = np.minimum(k, len(self.hashes) - 1)
+        k = np.minimum(np.searchsorted(self.hashes, h[at]), len(self.hashes) - 1)
         real = self.hashes[k] == h[at]
         at, k = at[real], k[real]
         if not len(at):
             return
-        n = self.count[k]
-        total = int(n.sum())
-        posting = np.repeat(self.first[k], n) + np.arange(total) - np.repeat(np.cumsum(n) - n, n)
-        item, diagonal = self.owner[posting], np.repeat(at, n) - self.place[posting]
-        cell = diagonal // (self.edits[item] + 1)
         low = -int(self.size.max()) - 1  # diagonals may begin before the first document
         width = len(chars) - low + 2
-        key, hits = np.unique(item * width + (cell - low), return_counts=True)
+        key, hits = self.hits(at, k, low, width)
         owner, cells = key // width, key % width + low
         next_hits, last_hits = np.zeros(len(key), np.int64), np.zeros(len(key), np.int64)
         follows = np.flatnonzero(key[1:] == key[:-1] + 1)
@@ -112,7 +161,6 @@ class Items:
         # a band is a cell and the next one; a cell counts with its neighbour on either side
         bands = {(int(owner[x]), int(cells[x])) for x in np.flatnonzero(hits + next_hits >= self.bound[owner])}
         bands |= {(int(owner[x]), int(cells[x]) - 1) for x in np.flatnonzero(hits + last_hits >= self.bound[owner])}
-        found: dict = {}
         for o, c in sorted(bands):
             e, m = int(self.edits[o]), int(self.size[o])
             first, last = c * (e + 1) - e, (c + 2) * (e + 1) + m + e
@@ -122,13 +170,8 @@ class Items:
                 a, b = max(first, int(starts[d])), min(last, int(starts[d + 1]))
                 if b - a >= m - e and (match := align(self.chars[o], chars[a:b], e)):
                     s, t, edits = match
-                    found.setdefault((d, o), set()).add((a + s - int(starts[d]), a + t - int(starts[d]), edits))
-        for (d, o), spans in found.items():
-            kept: list = []
-            for s, t, edits in sorted(spans, key=lambda x: (x[2], x[0])):  # of overlapping places the one with fewest edits
-                if all(t <= x[0] or s >= x[1] for x in kept):
-                    kept.append((s, t, edits))
-            out[held[d][0]] += [(self.ids[o], *x) for x in sorted(kept)]
+                    text, shift = held[d][0], held[d][1] + a - int(starts[d])
+                    out[text].setdefault((self, o), set()).add((s + shift, t + shift, edits))
 
 
 def _band(item: np.ndarray, text: np.ndarray, low: int, high: int, free: bool) -> np.ndarray:
@@ -165,15 +208,18 @@ def align(item: np.ndarray, text: np.ndarray, edits: int) -> tuple[int, int, int
 def contamination(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", item: str = "item_id") -> DataFrame:
     """A row for every place where a document holds a benchmark item: key, item, start, end (code points), edits.
 
-    Edits are at most ``EDITS`` of the item's characters. Items of fewer than ``Q`` characters, null items and
-    empty ones match nothing; null and empty texts hold nothing. Of overlapping places of one item the one with
-    the fewest edits is given. Repeated rows each give their rows; items with equal texts each give theirs.
-    Other columns are ignored; with an empty table on either side the result is empty.
+    Edits are at most ``EDITS`` of the item's characters, rounded down; an item too short for one edit is found
+    exactly (letters in any case, any white space for a space), within words too. White space at an item's ends is
+    no part of it; null items and those of white space match nothing; null and empty texts hold nothing. Of
+    overlapping places of one item the one with the fewest edits is given. Repeated rows each give their rows; items
+    with equal texts each give theirs. Other columns are ignored; with an empty table on either side the result is
+    empty.
 
     The items are measured first, and sent to the executors in blocks of ``BLOCK_CHARS`` characters (a longer
-    item makes a block of its own); the documents are read once for each block and never move.
+    item makes a block of its own); the documents are read once for each block and never move. With several blocks
+    each one's result is written before the next is built, so the driver never holds more than one.
     """
-    items = benchmark.select(F.col(item).cast("long").alias(item), text_of().alias("t")).where(F.length("t") >= Q)
+    items = benchmark.select(F.col(item).cast("long").alias(item), text_of().alias("t")).where(F.length("t") > 0)
     total = items.agg(F.coalesce(F.sum(F.length("t")), F.lit(0))).first()[0]
     count = max(1, -(-2 * total // BLOCK_CHARS)) if total > BLOCK_CHARS else 1
     texts = docs.select(F.col(key).cast("long").alias(key), text_of().alias("text"))
@@ -185,17 +231,21 @@ def contamination(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", it
 
         def run(batches, sent=sent):
             for batch in batches:
-                keys, found = batch.column(0).to_pylist(), sent.value.find(batch.column(1).to_pylist())
-                rows = [(k, *m) for k, ms in zip(keys, found) for m in ms]
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows) if rows else [[]] * 5, schema)], schema=schema)
+                for i in range(0, batch.num_rows, 512):
+                    keys, found = batch.column(0)[i : i + 512].to_pylist(), sent.value.find(batch.column(1)[i : i + 512].to_pylist())
+                    rows = [(k, *m) for k, ms in zip(keys, found) for m in ms]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows) if rows else [[]] * 5, schema)], schema=schema)
 
         part = texts.mapInArrow(run, f"{key} long, {item} long, start long, end long, edits long")
+        if count > 1:
+            part = cut(part)
+            sent.destroy()
         out = part if out is None else out.unionByName(part)
     return out
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id") -> DataFrame:
     """``docs`` without the rows that hold a benchmark item, whatever their keys; all columns stay."""
-    named = with_rows(docs)
-    bad = cut(contamination(named, benchmark, "_row").select("_row").distinct())
-    return named.join(bad, "_row", "left_anti").select(*docs.columns)
+    named, row = with_rows(docs)
+    bad = cut(contamination(named, benchmark, row).select(row).distinct())
+    return named.join(bad, row, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -27,6 +27,10 @@ from emberline.llm.common import text_of
 PATH, WORDS, OTHER, STATES = 64, 32, 4, 16
 #: The network is fitted on at most so many pages (those with the least hashes of their ids).
 SAMPLE = 400
+#: Pages of more blocks don't teach (every page is labelled, whatever its size): what comes to the driver is bounded.
+TEACH_BLOCKS = 1000
+#: Elements nested deeper are read, but have no place in a block's path.
+DEPTH = 256
 #: Pages are labelled together up to so many blocks (padded).
 TOGETHER = 4096
 
@@ -57,7 +61,7 @@ def blocks(html: str) -> list[tuple[tuple[str, ...], str, float]]:
     out: list = []
     stack: list[tuple[str, tuple[str, ...]]] = []
     parts: list[str] = []
-    links = linked = at = 0
+    links = linked = at = deep = 0  # deep: open elements beyond DEPTH
     unclosed: set[str] = set()  # silent elements without an end further on
     hushed = False  # within an unclosed silent element
 
@@ -100,6 +104,12 @@ def blocks(html: str) -> list[tuple[tuple[str, ...], str, float]]:
         tag = tag.lower()
         if tag == "br":
             parts.append("\n")
+        elif m[2] and deep and tag not in VOID:
+            deep -= 1
+            if tag in BLOCK:
+                close()
+            if tag == "a":
+                links = 0
         elif m[2]:
             depth = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag), -1)
             if hushed and (tag not in BLOCK or depth < 0):
@@ -125,12 +135,15 @@ def blocks(html: str) -> list[tuple[tuple[str, ...], str, float]]:
                     stack.pop()
                 links = 0
             if tag not in VOID and not m[4].endswith("/"):
+                if tag == "a":
+                    links = 1
+                if len(stack) >= DEPTH:
+                    deep += 1
+                    continue
                 names = [tag]
                 if "=" in m[4]:
                     names += [f".{n.lower()}" for g in _NAMES.findall(m[4]) for n in "".join(g).split()]
                 stack.append((tag, tuple(names)))
-                if tag == "a":
-                    links = 1
     if at < len(html):
         add(html[at:])
     close()
@@ -293,7 +306,7 @@ def pad(pages: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def train(pages: DataFrame, sample: int = SAMPLE, key: str = "page_id") -> Labeller:
-    """Fits the network on at most ``sample`` pages that label themselves; their vectors are made on the executors.
+    """Fits the network on at most ``sample`` pages of at most ``TEACH_BLOCKS`` blocks that label themselves; their vectors are made on the executors.
 
     A third of them is read a second time without its structural names (article, main, nav and so on), so that
     words, shape and neighbours are learned from too. Without any such page nothing is known, and the labeller
@@ -306,7 +319,7 @@ def train(pages: DataFrame, sample: int = SAMPLE, key: str = "page_id") -> Label
         for batch in batches:
             for k, html in zip(batch.column("k").to_pylist(), batch.column("html").to_pylist()):
                 page = blocks(html)
-                if len(page) > 2000:  # a teaching page of usual size
+                if len(page) > TEACH_BLOCKS:
                     continue
                 y = np.array([-1 if (v := own_label(p)) is None else v for p, _, _ in page], np.float32)
                 if not (y > 0).any():

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from emberline.llm.common import cut, map_rows, text_of, with_rows
+from emberline.llm.common import components, cut, map_rows, salted_left, text_of, with_rows
 
 SLOTS, ROWS, BANDS, BITS = 128, 5, 25, 2
 #: A pair is dropped on its signatures only when the estimate lies this many standard deviations below the threshold.
@@ -135,24 +135,6 @@ def features(docs: DataFrame, key: str, width: int) -> DataFrame:
     return map_rows(docs, f"{key} long, n_shingles long, set_id binary, bands array<long>, sig array<long>", rows)
 
 
-def components(links: DataFrame) -> DataFrame:
-    """Node and root (the least node that can be reached) for every node of ``links`` (a, b).
-
-    Each round every node takes the least root among its neighbours', then its root's root; rounds are about
-    the logarithm of the longest chain. Every round's labels are written to the shared folder.
-    """
-    both = cut(links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = cut(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("root")))
-    while True:
-        near = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("root").alias("m"))
-        low = labels.join(near, "node").select("node", F.col("root").alias("old"), F.least("root", "m").alias("root"))
-        jump = labels.select(F.col("node").alias("root"), F.col("root").alias("next"))
-        new = cut(low.join(jump, "root", "left").select("node", "old", F.least("root", F.coalesce("next", "root")).alias("root")))
-        labels = new.select("node", "root")
-        if new.where(F.col("old") != F.col("root")).isEmpty():
-            return labels
-
-
 def _sets(nodes: DataFrame, docs: DataFrame, key: str, width: int) -> DataFrame:
     """The full sets of some classes: set_id, hashes, n (their number), shared (how many another of these classes holds too).
 
@@ -241,14 +223,15 @@ def near_duplicates(docs: DataFrame, percent: int = 80, width: int = 5, key: str
     second = cut(_confirm(pairs.select("a", "b"), sets, percent).join(pairs, ["a", "b"]).select(F.col("ra").alias("a"), F.col("rb").alias("b")).distinct())
     if not second.isEmpty():
         upper = components(second).select(F.col("node").alias("root"), F.col("root").alias("top"))
-        lifted = roots.join(upper, "root", "left").select("node", F.coalesce("top", "root").alias("root"))
+        lifted = salted_left(roots, upper, "root", "node").select("node", F.coalesce("top", "root").alias("root"))
         alone = upper.select(F.col("root").alias("node"), F.col("top").alias("root")).join(roots.select("node"), "node", "left_anti")
-        roots = lifted.union(alone)
+        roots = cut(lifted.union(alone))
 
+    # only classes that are linked have a root; each takes its group's least key
     classes = found.where("set_id is not null").groupBy("set_id").agg(F.min(key).alias("low"))
-    rooted = classes.join(roots.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("root", F.coalesce("root", "set_id"))
-    lows = rooted.groupBy("root").agg(F.min("low").alias("component_id"))
-    named = rooted.join(lows, "root").select("set_id", "component_id")
+    linked = cut(classes.join(roots.withColumnRenamed("node", "set_id"), "set_id"))
+    lows = linked.groupBy("root").agg(F.min("low").alias("component_id"))
+    named = classes.join(salted_left(linked, lows, "root", "set_id").select("set_id", "component_id"), "set_id", "left").select("set_id", F.coalesce("component_id", "low").alias("component_id"))
     out = found.select(key, "n_shingles", "set_id").join(named, "set_id", "left")
     return out.select(key, "n_shingles", F.coalesce("component_id", key).alias("component_id"), F.coalesce(F.coalesce("component_id", key) == F.col(key), F.lit(False)).alias("kept"))
 
@@ -258,9 +241,8 @@ def keep_one(docs: DataFrame, percent: int = 80, width: int = 5, key: str = "doc
 
     Rows are named one by one, so a null or repeated key decides for no other row; of rows alike in key and text one stays.
     """
-    named = with_rows(docs)
-    groups = cut(near_duplicates(named, percent, width, "_row").select("_row", "component_id"))
-    keys = named.select("_row", F.col(key).isNull().alias("none"), F.col(key).alias("key"), F.xxhash64(text_of()).alias("hash"))
-    best = groups.join(keys, "_row").groupBy("component_id").agg(F.min(F.struct("none", "key", "hash", "_row"))["_row"].alias("_best"))
-    gone = groups.join(best, "component_id").where("_row <> _best").select("_row")
-    return named.join(gone, "_row", "left_anti").select(*docs.columns)
+    named, row = with_rows(docs)
+    groups = cut(near_duplicates(named, percent, width, row).select(F.col(row).alias("_row"), "component_id"))
+    keys = named.select(F.col(row).alias("_row"), F.col(key).isNull().alias("none"), F.col(key).alias("key"), F.xxhash64(text_of()).alias("hash"))
+    best = groups.join(keys, "_row").groupBy("component_id").agg(F.min(F.struct("none", "key", "hash", "_row"))["_row"].alias("_row"))
+    return named.join(best.select(F.col("_row").alias(row)), row, "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])

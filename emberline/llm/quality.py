@@ -14,16 +14,18 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from emberline.llm.common import text_of
+from emberline.llm.common import free_name, text_of
 
 PASSAGE, BUCKETS, WIDTH, GATE = 512, 512, 24, 12
 #: Passages that are encoded together.
 SLAB = 1024
 #: The classifier is fitted on at most so many labelled documents (those with the least hashes of their ids).
 SAMPLE = 3000
+#: ... of at most so many bytes each, and so many bytes together (in the order of the hashes).
+TEACH_BYTES, ALL_BYTES = 1 << 20, 48 << 20
 #: From this score on a document counts as good.
 THRESHOLD = 0.3
 _STEP = np.uint32(0x9E3779B1)
@@ -148,13 +150,19 @@ def held_out(key: str = "doc_id"):
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, key: str = "doc_id") -> Model:
     """Fits the model on at most ``sample`` labelled documents that aren't held out; their whole texts are read.
 
+    Documents of more than ``TEACH_BYTES`` don't teach, nor those beyond ``ALL_BYTES`` in all, so what comes to the
+    driver is bounded in bytes as well; every document is scored, whatever its size.
+
     The bags are made on the executors, what comes to the driver is theirs (a byte for each count). Labels that
     are null are ignored, a document labelled twice has its lesser label, texts that are null or empty teach
     nothing. Without labels of both kinds the model gives the labels' mean (0.5 without any).
     """
     known = labels.where(F.col("quality").isNotNull() & F.col(key).isNotNull() & ~held_out(key)).groupBy(key).agg(F.min("quality").cast("int").alias("y"))
     chosen = known.orderBy(F.xxhash64(F.col(key), F.lit("quality")), key).limit(sample).select(F.col(key).alias("_k"), "y")
-    rows = docs.select(key, text_of().alias("text")).join(F.broadcast(chosen), F.col(key) == F.col("_k")).select("_k", "y", "text")
+    rows = docs.select(key, text_of().alias("text")).join(F.broadcast(chosen), F.col(key) == F.col("_k")).select("_k", "y", "text").where(F.octet_length("text") <= TEACH_BYTES)
+    upto = F.sum("size").over(Window.orderBy(F.xxhash64("_k", F.lit("quality")), "_k", "size").rowsBetween(Window.unboundedPreceding, 0))  # as many rows as the sample has
+    within = rows.select("_k", F.octet_length("text").alias("size")).distinct().withColumn("upto", upto).where(F.col("upto") <= ALL_BYTES).select("_k", "size")
+    rows = rows.withColumn("size", F.octet_length("text")).join(F.broadcast(within), ["_k", "size"], "left_semi").select("_k", "y", "text")
 
     def features(batches):
         for batch in batches:
@@ -202,16 +210,16 @@ def classify(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, key: str
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, key: str = "doc_id") -> DataFrame:
-    """``docs`` without those that score below ``THRESHOLD``; all columns stay."""
+    """``docs`` without those that score below ``THRESHOLD``; all columns stay, whatever their names. A null text is scored as the empty one."""
     model = train(docs, labels, sample, key)
-    flags = docs.withColumn("_text", text_of())
-    columns = docs.columns
+    columns, name = docs.columns, free_name(docs, "_text")
+    flags = docs.withColumn(name, text_of())
 
     def run(batches):
         for batch in batches:
             for i in range(0, batch.num_rows, 256):
                 part = batch.slice(i, 256)
-                good = model.scores([t.encode() for t in part.column("_text").to_pylist()]) >= THRESHOLD
+                good = model.scores([t.encode() for t in part.column(name).to_pylist()]) >= THRESHOLD
                 yield part.select(columns).filter(pa.array(good))
 
     return flags.mapInArrow(run, docs.schema)

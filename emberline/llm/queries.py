@@ -58,4 +58,16 @@ def op10_improbable_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_minhash_groups, op2_bootstrapped_pii, op3_lstm_main_text, op4_rendezvous_sharding, op5_viterbi_counts, op6_token_files, op7_qgram_decontamination, op8_attention_quality, op9_tree_bpe, op10_improbable_digest)}
-ORACLE_SQL: dict[str, str] = {}
+
+_UPPER, _LOWER = (bytes(range(a, a + 26)).decode() for a in (65, 97))
+#: The links of operator 1 by counting the shingles that two documents share, and the least document that links lead to.
+ORACLE_SQL: dict[str, str] = {
+    "op1_minhash_groups": f"""with recursive words as (select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text,''),'{_UPPER}','{_LOWER}'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') as w from documents),
+    sets as (select doc_id, case when len(w)=0 then [] when len(w)<5 then [array_to_string(w,' ')] else list_distinct(list_transform(range(1, len(w)-3), lambda i: array_to_string(w[i:i+4],' '))) end as s from words),
+    held as (select doc_id, unnest(s) as h from sets),
+    common as (select x.doc_id as a, y.doc_id as b, count(*) as k from held x join held y on x.h=y.h and x.doc_id<y.doc_id group by 1,2),
+    links as (select a, b from common join sets x on x.doc_id=a join sets y on y.doc_id=b where 100*k >= 85*(len(x.s)+len(y.s)-k)),
+    edges as (select a, b from links union select b, a from links),
+    reach as (select a, b from edges union select reach.a, edges.b from reach join edges on edges.a=reach.b)
+    select doc_id, cast(len(s) as bigint) as n_shingles, least(doc_id, coalesce(low, doc_id)) as component_id, least(doc_id, coalesce(low, doc_id))=doc_id as kept from sets left join (select a, min(b) as low from reach group by a) on a=doc_id""",
+}

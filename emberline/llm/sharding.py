@@ -37,6 +37,8 @@ def shard_documents(docs: DataFrame, shards: int = 40, weights: dict[int, float]
     Null text: no bytes, so size 16 and crc 0. Repeated rows keep a slot each. Other columns are ignored.
     An empty table gives an empty result.
     """
+    if dict(docs.dtypes)[key] in ("tinyint", "smallint", "int"):  # the same number has the same shard, whatever its type
+        docs = docs.withColumn(key, F.col(key).cast("long"))
     weights = weights or dict.fromkeys(range(shards), 1.0)
     new = max(weights) + 1
     grown = weights | {new: sum(weights.values()) / len(weights)}

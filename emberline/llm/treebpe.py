@@ -141,7 +141,7 @@ def _digest(rows: dict, path: str, ids: bool) -> dict:
     return out | ({"ids": [list(map(int, g[0].split())) for g in got], "decoded": [g[1] for g in got]} if ids else {})
 
 
-#: A huge run: at most this many of them are cut out of one text into rows of their own; any others stay in the text's task.
+#: A run of this many characters without white space makes its text one whose leaves are dealt out as rows.
 _RUN = r"[^ \t-\x0d]{%d,}"
 
 
@@ -149,7 +149,8 @@ def encode_documents(docs: DataFrame, tokenizer: str, key: str = "doc_id", outpu
     """Every whole text's number of ids and the digests of its ids and of its decoded text.
 
     With ``outputs`` the ids and the decoded text come too. Texts that hold a run of ``huge`` or more
-    characters without white space have that run's leaves encoded as rows of their own, all over the cluster.
+    characters without white space have their leaves encoded as rows of their own, all over the cluster; the joins
+    of one text, whose work is a few tokens around each, are made by one task. The ids are the same either way.
     Null text counts as empty (no ids, digests of nothing); repeated rows each get their row; other columns
     are ignored; an empty table gives an empty result.
     """
