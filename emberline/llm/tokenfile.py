@@ -42,7 +42,7 @@ def pack(ids: np.ndarray, starts: np.ndarray, keys: list[int | None]) -> bytes:
         directory = np.concatenate([[0], np.cumsum(padded.reshape(-1, BLOCK).sum(1))]).astype("<u4")
         levels.append(struct.pack("<I", len(rest)) + (rest & 0xFF).astype(np.uint8).tobytes() + bitmap.tobytes() + directory.tobytes())
         rest = rest[more] >> CHUNK_BITS
-    return MAGIC + struct.pack("<III", len(levels), len(starts), len(ids)) + b"".join(levels) + starts.astype("<u4").tobytes() + np.array([0 if k is None else k for k in keys], "<i8").tobytes() + np.packbits([k is None for k in keys], bitorder="little").tobytes()
+    return MAGIC + struct.pack("<III", len(levels), len(starts), len(ids)) + b"".join(levels) + starts.astype("<u4").tobytes() + np.array([0 if k is None else k for k in keys], "<i8").tobytes() + np.packbits(np.array([k is None for k in keys], bool), bitorder="little").tobytes()
 
 
 class Reader:
