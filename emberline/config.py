@@ -28,5 +28,13 @@ GROUPS = ("intensity", "density", "recurrence_burst", "change")
 SEVERITIES = ("NONE", "INFO", "LOW", "MEDIUM", "HIGH", "CRITICAL")
 STACK_VERSION = "2026-09-04-r1"
 
+#: Identity features, in the model's order.
+FEATURES = (
+    "mean_frp", "median_frp", "max_frp", "std_frp", "frp_cv", "frp_p10", "frp_p25", "frp_p75", "frp_p90", "frp_iqr", "night_ratio",
+    "detections", "active_days", "source_lifetime_days", "active_days_7", "active_days_30", "active_days_90", "active_days_365", "mean_recurrence_gap_days", "median_recurrence_gap_days", "detections_per_active_day",
+    "spatial_median_m", "spatial_p90_m", "spatial_std_m",
+    "tree_fraction", "shrub_fraction", "grass_fraction", "crop_fraction", "built_fraction", "bare_fraction", "water_fraction", "wetland_fraction", "mangrove_fraction",
+)
+
 #: Land cover: class code and feature name.
 LAND_COVER = {10: "tree", 20: "shrub", 30: "grass", 40: "crop", 50: "built", 60: "bare", 80: "water", 90: "wetland", 95: "mangrove"}

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from math import cos, degrees, radians
+from math import degrees
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -16,21 +16,34 @@ def haversine_m(lat1: Column, lon1: Column, lat2: Column, lon2: Column, radius:
     return F.lit(2 * radius) * F.asin(F.sqrt(F.least(a, F.lit(1.0))))
 
 
-def cell_size(radius_m: float, max_latitude: float) -> tuple[float, float]:
-    """Degrees of latitude and longitude that a radius spans, the latter at the highest latitude in use."""
-    dlat = degrees(radius_m / EARTH_RADIUS_M) * 1.000001
-    return dlat, dlat / max(0.01, cos(radians(min(89.0, max_latitude))))
+def _columns(row: Column, height: float, radius: float) -> Column:
+    """How many cells go round the globe in a row, each at least as wide as the radius anywhere in this row and its neighbours; one at the poles."""
+    top = F.greatest(F.abs(row - 1), F.abs(row + 2)) * height
+    reach = F.sin(F.lit(radius)) / F.cos(F.radians(F.least(top, F.lit(90.0))))
+    return F.when((top >= 90 - height) | (reach >= 1), 1).otherwise(F.floor(F.lit(360.0) / (F.degrees(F.asin(F.least(reach, F.lit(1.0)))) * 1.000001))).cast("long")
 
 
-def cells(lat: Column, lon: Column, size: tuple[float, float]) -> list[Column]:
-    """The grid cell of a point: row and column."""
-    return [F.floor(lat / size[0]).alias("cy"), F.floor(lon / size[1]).alias("cx")]
+def _place(lat: Column, lon: Column, radius_m: float) -> tuple[Column, float, float, Column]:
+    radius = radius_m / EARTH_RADIUS_M
+    height = degrees(radius) * 1.000001
+    return F.floor(lat / height).cast("long"), height, radius, (lon + 180) / 360
 
 
-def around(lat: Column, lon: Column, size: tuple[float, float]) -> Column:
-    """The 3 x 3 cells around a point, to be exploded."""
-    cy, cx = F.floor(lat / size[0]), F.floor(lon / size[1])
-    return F.array(*[F.struct((cy + i).alias("cy"), (cx + j).alias("cx")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
+def cells(lat: Column, lon: Column, radius_m: float) -> list[Column]:
+    """The grid cell of a point: a row of latitude as high as the radius, and a column whose width is that row's own; columns close at 180 degrees."""
+    row, height, radius, share = _place(lat, lon, radius_m)
+    n = _columns(row, height, radius)
+    return [row.alias("cy"), F.pmod(F.floor(share * n).cast("long"), n).alias("cx")]
+
+
+def around(lat: Column, lon: Column, radius_m: float) -> Column:
+    """All cells that hold points within the radius of a point, each once, to be exploded."""
+    row, height, radius, share = _place(lat, lon, radius_m)
+    near = []
+    for i in (-1, 0, 1):
+        n = _columns(row + i, height, radius)
+        near += [F.struct((row + i).alias("cy"), F.pmod(F.floor(share * n).cast("long") + j, n).alias("cx")) for j in (-1, 0, 1)]
+    return F.array_distinct(F.array(*near))
 
 
 def tile_id(lat: Column, lon: Column, step: int = 3) -> Column:

@@ -80,6 +80,16 @@ def no_nan(c: Column) -> Column:
     return F.when(~F.isnan(c), c)
 
 
+def sorted_refs(c: Column) -> Column:
+    """Different non-empty parts of a comma list in upper case, in order."""
+    return F.array_sort(F.array_distinct(F.transform(comma_list(c), lambda x: F.upper(x))))
+
+
+def redacted(text: Column, secret: str) -> Column:
+    """A text without a secret."""
+    return F.replace(text, F.lit(secret), F.lit("***")) if secret else text
+
+
 def safe_path(c: Column) -> Column:
     """A text as one component of a path."""
     return F.regexp_replace(c, "[^A-Za-z0-9_.-]", "_")

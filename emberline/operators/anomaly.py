@@ -2,96 +2,183 @@
 
 from __future__ import annotations
 
-from functools import reduce
+from bisect import insort
+from math import floor, log
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from emberline import config as c
 from emberline.operators.common import as_of, cut
 
 
-def _let(value: Column, use) -> Column:
-    """``use`` of a value that is worked out once, however often ``use`` names it."""
-    return F.transform(F.array(value), use)[0]
+#: Histories of at most so many days are sorted all at once, longer ones grow a sorted list day by day.
+MATRIX = 160
+#: What the per-site pass returns.
+_NUMBERS = [f"{x}_{p}" for x in ("max_frp", "mean_frp", "density", "gap") for p in "ms"] + ["intensity", "density", "recurrence_burst", "ewma", "cusum"]
+_SCHEMA = "site_id string, acq_date date, history_days long, history_span int, gaps int, gap double, scored boolean, " + ", ".join(f"{n} double" for n in _NUMBERS)
 
 
-def _median(s: Column) -> Column:
-    """The median of a sorted array (null when empty)."""
-    n = F.size(s)
-    at = lambda i: F.element_at(s, F.greatest(i, F.lit(1)).cast("int"))
-    return F.when(n > 0, (at(F.floor((n + 1) / 2)) + at(F.floor((n + 2) / 2))) / 2)
+def prefix_robust(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Median and scale of the first k values, for every k from 0 to all; of none NaN and the least scale.
 
-
-def _quantile(s: Column, q: float) -> Column:
-    """A quantile of a sorted array, between neighbours by distance."""
-    n = F.size(s)
-    at = F.lit(q) * (n - 1)
-    low = F.floor(at)
-    take = lambda i: F.element_at(s, F.greatest(F.least(i + 1, n), F.lit(1)).cast("int"))
-    return F.when(n > 0, take(low) + (take(low + 1) - take(low)) * (at - low))
-
-
-def robust(values: Column) -> Column:
-    """Median ``m`` and scale ``s`` of an array: scaled deviations from the median, or the quartiles' distance where those vanish, never tiny."""
-
-    def of_sorted(v: Column) -> Column:
-        def around(m: Column) -> Column:
-            mad = c.MAD_SCALE * _let(F.sort_array(F.transform(v, lambda x: F.abs(x - m))), _median)
-            iqr = (_quantile(v, 0.75) - _quantile(v, 0.25)) / c.IQR_SCALE
-            scale = _let(mad, lambda d: F.when(d < c.SCALE_FLOOR, iqr).otherwise(d))
-            return F.struct(m.alias("m"), F.greatest(scale, c.SCALE_SHARE * F.abs(m), F.lit(c.SCALE_LEAST)).alias("s"))
-
-        return _let(_median(v), around)
-
-    return _let(F.sort_array(values), of_sorted)
+    The scale is that of the deviations from the median, or of the quartiles' distance where those vanish, never tiny.
+    """
+    n = len(values)
+    if n <= MATRIX:
+        k = np.arange(n + 1)
+        held = np.sort(np.where(np.arange(n)[None, :] < k[:, None], values, np.inf), axis=1) if n else np.zeros((1, 0))
+        held = np.concatenate([held, np.full((n + 1, 1), np.inf)], axis=1)
+        with np.errstate(invalid="ignore"):
+            middle = lambda s: (s[k, np.maximum(k - 1, 0) // 2] + s[k, k // 2]) / 2
+            m = middle(held)
+            mad = middle(np.sort(np.abs(held - np.where(k > 0, m, 0.0)[:, None]), axis=1))
+
+            def quantile(q: float) -> np.ndarray:
+                at = q * np.maximum(k - 1, 0)
+                low = np.floor(at).astype(int)
+                x, y = held[k, low], held[k, np.minimum(low + 1, np.maximum(k - 1, 0))]
+                return x + (y - x) * (at - low)
+
+            iqr = quantile(0.75) - quantile(0.25)
+    else:
+        held_list: list[float] = []
+        rows = [(np.nan, np.nan, np.nan)]
+        for v in values.tolist():
+            insort(held_list, v)
+            rows.append(_of_sorted(held_list))
+        m, mad, iqr = (np.array(c) for c in zip(*rows))
+    with np.errstate(invalid="ignore"):
+        mad = c.MAD_SCALE * mad
+        scale = np.maximum(np.maximum(np.where(mad < c.SCALE_FLOOR, iqr / c.IQR_SCALE, mad), c.SCALE_SHARE * np.abs(m)), c.SCALE_LEAST)
+    m[0], scale[0] = np.nan, c.SCALE_LEAST
+    return m, scale
+
+
+def _of_sorted(s: list[float]) -> tuple[float, float, float]:
+    """Median, median deviation from it and quartiles' distance of a sorted list, without reading the whole of it."""
+    n = len(s)
+    m = (s[(n - 1) // 2] + s[n // 2]) / 2
+
+    def deviation(k: int) -> float:
+        """The k-th least distance from the median: the k values nearest to it stand side by side."""
+        low, high = 0, n - k
+        while low < high:
+            mid = (low + high) // 2
+            if m - s[mid] > s[mid + k] - m:
+                low = mid + 1
+            else:
+                high = mid
+        return max(m - s[low], s[low + k - 1] - m)
+
+    def quantile(q: float) -> float:
+        at = q * (n - 1)
+        low = int(at)
+        return s[low] + (s[min(low + 1, n - 1)] - s[low]) * (at - low)
+
+    return m, (deviation((n + 1) // 2) + deviation(n // 2 + 1)) / 2, quantile(0.75) - quantile(0.25)
+
+
+def _six(x: float) -> float:
+    """Six places; halves go up, by plain arithmetic, so that every engine rounds alike."""
+    return floor(x * 1e6 + 0.5) / 1e6
+
+
+def site_history(days: np.ndarray, detections: np.ndarray, mean_frp: np.ndarray, max_frp: np.ndarray) -> dict[str, np.ndarray]:
+    """Everything of one site's days, in order: baselines of strictly earlier days, signals, and both recursions.
+
+    What the recursions carry on is rounded to six places. A gap of more than the reset time starts both anew;
+    days without history enough change nothing and have no signals.
+    """
+    n = len(days)
+    gap = np.concatenate([[np.nan], np.diff(days).astype(float)])
+    density = np.array([log(1.0 + d) for d in detections.tolist()])
+    k = np.arange(n)
+    span = np.where(k > 0, days - days[0], -1)
+    gaps = np.maximum(k - 1, 0)
+    out = {"history_days": k, "history_span": span, "gaps": gaps, "gap": gap}
+    z = {}
+    for name, x, before in (("max_frp", max_frp, k), ("mean_frp", mean_frp, k), ("density", density, k), ("gap", gap[1:], gaps)):
+        m, s = prefix_robust(x)
+        out[f"{name}_m"], out[f"{name}_s"] = m[before], s[before]
+        value, centre = (gap, m[before]) if name == "gap" else (x, m[before])
+        with np.errstate(invalid="ignore"):
+            z[name] = np.clip(((centre - value) if name == "gap" else (value - centre)) / s[before], 0.0, c.Z_CAP)
+    scored = (k >= c.MIN_HISTORY) & (span >= c.MIN_SPAN_DAYS)
+    out["scored"] = scored
+    out["intensity"] = np.where(scored, np.maximum(z["max_frp"], z["mean_frp"]), np.nan)
+    out["density"] = np.where(scored, z["density"], np.nan)
+    out["recurrence_burst"] = np.where(scored, np.where(gaps >= c.MIN_GAPS, z["gap"], 0.0), np.nan)
+    ewma, cusum, e, total = np.full(n, np.nan), np.full(n, np.nan), 0.0, 0.0
+    x = np.maximum(out["intensity"], out["density"]).tolist()
+    for i in np.flatnonzero(scored).tolist():
+        if gap[i] > c.RESET_GAP_DAYS:
+            e = total = 0.0
+        e = _six(c.EWMA_ALPHA * x[i] + (1 - c.EWMA_ALPHA) * e)
+        total = _six(max(0.0, min(total + x[i] - c.CUSUM_K, c.CUSUM_CAP)))
+        ewma[i], cusum[i] = e, total
+    return out | {"ewma": ewma, "cusum": cusum}
+
+
+def histories(daily: DataFrame) -> DataFrame:
+    """Every site-day with its baselines, signals and recursions, by one pass over each site's days.
+
+    Site-days move once, to their site; a task reads its sites in order and holds the days of one at a time. What
+    it returns are numbers: no list of a history is ever a value of a row. A null date or FRP is a day that is
+    dropped, or 0; an empty table gives an empty result.
+    """
+    rows = daily.where(F.col("site_id").isNotNull() & F.col("acq_date").isNotNull()).select("site_id", F.datediff("acq_date", F.lit("1970-01-01").cast("date")).alias("day"), F.col("detections").cast("long").alias("detections"), F.coalesce(F.col("mean_frp").cast("double"), F.lit(0.0)).alias("mean_frp"), F.coalesce(F.col("max_frp").cast("double"), F.lit(0.0)).alias("max_frp"))
+    ordered = rows.repartition("site_id").sortWithinPartitions("site_id", "day")
+    schema = to_arrow_schema(StructType.fromDDL(_SCHEMA))
+
+    def made(part: pa.Table) -> pa.RecordBatch:
+        """All complete sites of a table."""
+        sites = part.column("site_id").combine_chunks()
+        day, n, mean, top = (part.column(x).to_numpy() for x in ("day", "detections", "mean_frp", "max_frp"))
+        cuts = _starts(sites)
+        results = [site_history(day[a:b], n[a:b], mean[a:b], top[a:b]) for a, b in zip(cuts, [*cuts[1:], len(day)])]
+        columns = {k: np.concatenate([r[k] for r in results]) for k in results[0]}
+        whole = lambda k, t: pa.array(columns[k], t)
+        arrays = [sites.cast(pa.string()), pa.array(day.astype(np.int32), pa.int32()).cast(pa.date32()), whole("history_days", pa.int64()), pa.array(columns["history_span"].astype(np.int32), pa.int32(), mask=columns["history_span"] < 0), pa.array(columns["gaps"].astype(np.int32)), pa.array(columns["gap"], from_pandas=True), whole("scored", pa.bool_())]
+        return pa.RecordBatch.from_arrays([*arrays, *[pa.array(columns[k], pa.float64(), from_pandas=True) for k in _NUMBERS]], schema=schema)
+
+    def run(batches):
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            held.append(batch)
+            first, last = held[0].column("site_id")[0], batch.column("site_id")[-1]
+            if first == last:  # one site goes on
+                continue
+            table = pa.Table.from_batches(held)
+            at = _starts(table.column("site_id").combine_chunks())[-1]
+            yield made(table.slice(0, at))
+            held = table.slice(at).combine_chunks().to_batches()
+        if sum(b.num_rows for b in held):
+            yield made(pa.Table.from_batches(held))
+
+    return ordered.mapInArrow(run, _SCHEMA).withColumn("change", F.greatest("ewma", "cusum"))
+
+
+def _starts(sites: pa.Array) -> list[int]:
+    """Where a new site begins."""
+    if len(sites) < 2:
+        return [0]
+    return [0, *(np.flatnonzero(pc.not_equal(sites[1:], sites[:-1]).to_numpy(zero_copy_only=False)) + 1).tolist()]
 
 
 def baseline(daily: DataFrame) -> DataFrame:
     """Each site-day with its history (strictly earlier days) and the robust centre and scale of each signal."""
-    kinds = ("max_frp", "mean_frp", "density", "gap")
-    order = Window.partitionBy("site_id").orderBy("acq_date")
-    before = order.rowsBetween(Window.unboundedPreceding, -1)
-    step = daily.withColumn("gap", F.datediff("acq_date", F.lag("acq_date").over(order)).cast("double")).withColumn("density", F.log1p(F.col("detections").cast("double")))
-    step = step.select("site_id", "acq_date", *kinds, F.count("*").over(before).alias("history_days"), F.datediff("acq_date", F.min("acq_date").over(before)).alias("history_span"), *[F.collect_list(x).over(before).alias(f"h_{x}") for x in kinds])
-    step = step.select("site_id", "acq_date", *kinds, "history_days", "history_span", F.size("h_gap").alias("gaps"), *[robust(F.col(f"h_{x}")).alias(f"r_{x}") for x in kinds])
-    return step.select("site_id", "acq_date", *kinds, "history_days", "history_span", "gaps", *[F.col(f"r_{x}.{p}").alias(f"{x}_{p}") for x in kinds for p in "ms"])
+    return histories(daily).select("site_id", "acq_date", "history_days", "history_span", "gaps", *_NUMBERS[:8])
 
 
 def signals(daily: DataFrame) -> DataFrame:
-    """The raw signals of each site-day that has history enough (null otherwise); long gaps never raise one."""
-    z = lambda x: F.greatest(F.lit(0.0), F.least((F.col(x) - F.col(f"{x}_m")) / F.col(f"{x}_s"), F.lit(c.Z_CAP)))
-    burst = F.greatest(F.lit(0.0), F.least((F.col("gap_m") - F.col("gap")) / F.col("gap_s"), F.lit(c.Z_CAP)))
-    base = baseline(daily).withColumn("scored", (F.col("history_days") >= c.MIN_HISTORY) & F.coalesce(F.col("history_span") >= c.MIN_SPAN_DAYS, F.lit(False)))
-    return base.select(
-        "site_id", "acq_date", "history_days", "history_span", "gap", "scored",
-        F.when(F.col("scored"), F.greatest(z("max_frp"), z("mean_frp"))).alias("intensity"), F.when(F.col("scored"), z("density")).alias("density"),
-        F.when(F.col("scored"), F.when(F.col("gaps") >= c.MIN_GAPS, burst).otherwise(F.lit(0.0))).alias("recurrence_burst"),
-    )
-
-
-def with_change(found: DataFrame) -> DataFrame:
-    """The two recursions over a site's scored days, in order, in one fold; what is carried on is rounded to six places.
-
-    A gap of more than the reset time starts both anew; days without history enough change nothing.
-    """
-    kept = [x for x in found.columns if x != "site_id"]
-    folded = found.groupBy("site_id").agg(F.array_sort(F.collect_list(F.struct("acq_date", *[x for x in kept if x != "acq_date"]))).alias("days"))
-    start = F.struct(F.lit(0.0).alias("e"), F.lit(0.0).alias("s"), F.array().cast("array<struct<ewma:double,cusum:double>>").alias("out"))
-
-    def step(acc: Column, d: Column) -> Column:
-        reset = F.coalesce(d["gap"] > c.RESET_GAP_DAYS, F.lit(False))
-        x = F.greatest(d["intensity"], d["density"])
-        e = F.round(c.EWMA_ALPHA * x + F.when(reset, 0.0).otherwise((1 - c.EWMA_ALPHA) * acc["e"]), 6)
-        s = F.round(F.greatest(F.lit(0.0), F.least(F.when(reset, 0.0).otherwise(acc["s"]) + x - c.CUSUM_K, F.lit(c.CUSUM_CAP))), 6)
-        none = F.lit(None).cast("double")
-        appended = lambda a, b: F.concat(acc["out"], F.array(F.struct(a.alias("ewma"), b.alias("cusum"))))
-        scored = F.struct(e.alias("e"), s.alias("s"), appended(e, s).alias("out"))
-        return F.when(d["scored"], scored).otherwise(F.struct(acc["e"].alias("e"), acc["s"].alias("s"), appended(none, none).alias("out")))
-
-    series = folded.withColumn("change", F.aggregate("days", start, step, lambda a: a["out"]))
-    rows = series.select("site_id", F.explode(F.arrays_zip("days", "change")).alias("r"))
-    return rows.select("site_id", *[F.col(f"r.days.{x}").alias(x) for x in kept], "r.change.ewma", "r.change.cusum").withColumn("change", F.greatest("ewma", "cusum"))
+    """The raw signals and recursions of each site-day that has history enough (null otherwise); long gaps never raise one."""
+    return histories(daily).drop("gaps", *_NUMBERS[:8])
 
 
 def midrank(value: Column, reference: list[float] | None) -> Column:
@@ -106,41 +193,35 @@ def midrank(value: Column, reference: list[float] | None) -> Column:
     return F.when(value.isNotNull(), (count(lambda r: r < value) + count(lambda r: r <= value)) / (2.0 * n))
 
 
-def midrank_table(values: DataFrame, reference: DataFrame, value: str = "value", ref: str = "ref", group: str = "grp") -> DataFrame:
-    """Midranks of many values against a large reference: union, sort within the group, count; no array is gathered."""
-    both = values.select(group, F.col(value).alias("_v"), F.lit(0).alias("_r"), *[x for x in values.columns if x not in (group, value)])
-    refs = reference.select(group, F.col(ref).alias("_v"), F.lit(1).alias("_r"))
-    order = Window.partitionBy(group).orderBy("_v")
-    step = both.unionByName(refs, allowMissingColumns=True)
-    upto = F.sum("_r").over(order)  # the default frame takes all rows of equal value
-    equal = F.sum("_r").over(Window.partitionBy(group, "_v"))
-    total = F.sum("_r").over(Window.partitionBy(group))
-    return step.withColumn("midrank", (2 * upto - equal) / (2.0 * total)).where("_r = 0").drop("_r").withColumnRenamed("_v", value)
-
-
 #: Values and reference are compared at so many places: equal ones that differ by the last bits only still are.
 PLACES = 9
 
 
-def midranks(found: DataFrame, names: list[str], cutoff: str) -> DataFrame:
-    """grp, v and midrank of every different value that scored days hold in ``names``, against all scored days up to a cutoff.
+def range_midranks(counts: DataFrame) -> DataFrame:
+    """grp, v, midrank from different values with their numbers in the reference (grp, v, n).
 
-    Different values with their counts are cut into ranges, summed within each range, and each range begins at the
-    sum of those before it (one number for each range and group), so neither a task nor the driver holds a whole group.
-    Without any day up to the cutoff the reference is one zero.
+    Values are cut into ranges, summed within each range, and each range begins at the sum of those before it (one
+    number for each range and group), so neither a task nor the driver holds a whole group.
     """
-    rows = found.where("scored").withColumn("_n", (F.col("acq_date") <= F.lit(cutoff).cast("date")).cast("long"))
-    long = rows.select("_n", F.explode(F.array(*[F.struct(F.lit(g).alias("grp"), F.round(g, PLACES).alias("v")) for g in names])).alias("p")).select("_n", "p.*")
-    counts = long.where("v is not null").groupBy("grp", "v").agg(F.sum("_n").alias("n"))
     ranged = cut(counts.repartitionByRange("grp", "v").withColumn("part", F.spark_partition_id()))
     sums = ranged.groupBy("grp", "part").agg(F.sum("n").alias("m"))
     every = Window.partitionBy("grp")
     starts = sums.select("grp", "part", (F.sum("m").over(every.orderBy("part")) - F.col("m")).alias("start"), F.sum("m").over(every).alias("total"))
     upto = F.col("start") + F.sum("n").over(Window.partitionBy("grp", "part").orderBy("v"))
-    step = ranged.join(F.broadcast(starts), ["grp", "part"])
+    step = ranged.join(F.broadcast(starts), ["grp", "part"])  # at most ranges times groups rows
     return step.select("grp", "v", F.when(F.col("total") > 0, (2 * upto - F.col("n")) / (2.0 * F.col("total"))).otherwise(midrank(F.col("v"), None)).alias("midrank"))
 
 
+def midranks(found: DataFrame, names: list[str], cutoff: str) -> DataFrame:
+    """grp, v and midrank of every different value that scored days hold in ``names``, against all scored days up to a cutoff.
+
+    Without any day up to the cutoff the reference is one zero.
+    """
+    rows = found.where("scored").withColumn("_n", (F.col("acq_date") <= F.lit(cutoff).cast("date")).cast("long"))
+    long = rows.select("_n", F.explode(F.array(*[F.struct(F.lit(g).alias("grp"), F.round(g, PLACES).alias("v")) for g in names])).alias("p")).select("_n", "p.*")
+    return range_midranks(long.where("v is not null").groupBy("grp", "v").agg(F.sum("_n").alias("n")))
+
+
 def _ranked(found: DataFrame, names: dict[str, str], cutoff: str) -> DataFrame:
     """``found`` with the midrank of each named column of scored days, under the name it is given."""
     ranks = cut(midranks(found, list(names), cutoff))  # read once for each name
@@ -171,7 +252,7 @@ def levels(found: DataFrame) -> DataFrame:
 
 def anomaly_score(daily: DataFrame, cutoff: str) -> DataFrame:
     """The anomaly result of every site-day, calibrated on days up to the cutoff."""
-    out = levels(calibrated(with_change(signals(daily)), cutoff))
+    out = levels(calibrated(signals(daily), cutoff))
     numbers = [*c.GROUPS, *[f"{g}_pct" for g in c.GROUPS], "ewma", "cusum", "c_raw", "c_score"]
     return out.select("site_id", "acq_date", "history_days", "history_span", *[F.round(n, 6).alias(n) for n in numbers], "level", "drivers")
 
@@ -186,4 +267,4 @@ def latest_status(scored: DataFrame, cutoff: str) -> DataFrame:
 def replay_each(daily: DataFrame, sites: list[str] | None, cutoff: str) -> DataFrame:
     """The chronological replay for some or all sites, up to a cutoff: signals and recursions of every day."""
     kept = as_of(daily, cutoff)
-    return with_change(signals(kept if sites is None else kept.where(reduce(lambda a, b: a | b, [F.col("site_id") == s for s in sites], F.lit(False)))))
+    return signals(kept if sites is None else kept.where(F.col("site_id").isin(sites)))

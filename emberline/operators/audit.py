@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from emberline.operators.common import first_by
@@ -28,12 +28,15 @@ def burden_summary(alerts: DataFrame) -> DataFrame:
 def claims_as_of(alerts: DataFrame, history: DataFrame, claim: str = "INDUSTRIAL") -> DataFrame:
     """Alerts that claimed a class which the site's identity as of the alert's day (the last one up to it) doesn't bear out.
 
-    The join keeps, for each alert, history up to its day only; the window then takes the last of it.
+    Alerts and history stand in one line for each site, by day, history before the alerts of its day; an alert takes
+    the last entry before it, so nothing is joined and no alert meets more than its own row.
     """
-    classed = history.select("site_id", "as_of", "inference_id", identity_class(decision(F.col("p_core"), F.col("p_visual"))).alias("class"))
-    met = alerts.alias("l").join(classed.alias("h"), (F.col("l.site_id") == F.col("h.site_id")) & (F.col("h.as_of") <= F.col("l.site_day")), "left").select("l.alert_id", "l.site_id", "l.site_day", "h.as_of", "h.inference_id", "h.class")
-    last = first_by(met, ["alert_id"], [F.desc_nulls_last("as_of"), F.desc_nulls_last("inference_id")])
-    return last.where(~F.col("class").eqNullSafe(claim)).select("alert_id", "site_id", "as_of", "class")
+    entry = F.struct("as_of", identity_class(decision(F.col("p_core"), F.col("p_visual"))).alias("class"))
+    known = history.where("as_of is not null").select("site_id", F.col("as_of").alias("_day"), F.col("inference_id").alias("_n"), entry.alias("h"), F.lit(None).cast("string").alias("alert_id"))
+    asked = alerts.select("site_id", F.col("site_day").alias("_day"), F.lit(None).cast("long").alias("_n"), F.lit(None).cast(known.schema["h"].dataType).alias("h"), "alert_id")
+    line = Window.partitionBy("site_id").orderBy("_day", F.col("alert_id").isNotNull(), "_n").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    last = known.unionByName(asked).withColumn("last", F.last("h", ignorenulls=True).over(line)).where("alert_id is not null")
+    return last.where(~F.col("last.class").eqNullSafe(claim)).select("alert_id", "site_id", "last.as_of", "last.class")
 
 
 def missing(sites: DataFrame, **tables: DataFrame) -> DataFrame:
@@ -112,3 +115,19 @@ def repair_deliveries(detections: DataFrame, daily: DataFrame) -> tuple[DataFram
     kept = without_redeliveries(detections)
     touched = detections.join(kept.select("detection_id"), "detection_id", "left_anti").select("site_id", "acq_date").distinct()
     return kept, refresh_days(daily, kept, touched)
+
+
+def repair_promotions(members: DataFrame, sites: DataFrame, least: int = 3) -> tuple[DataFrame, DataFrame]:
+    """Members and sites after promotions that keep too few members are taken back: those members belong to no site, and a site goes that no valid promotion made."""
+    bad = invalid_promotions(members, least).select("candidate_id", F.lit(True).alias("_bad"))
+    marked = members.join(bad, "candidate_id", "left")
+    demoted = marked.withColumn("promoted_site_id", F.when(F.col("_bad").isNull(), F.col("promoted_site_id"))).drop("_bad")
+    made = marked.where("promoted_site_id is not null").groupBy(F.col("promoted_site_id").alias("site_id")).agg(F.min(F.col("_bad").isNotNull()).alias("_gone"))
+    gone = made.where("_gone").select("site_id")
+    return demoted, sites.join(gone, "site_id", "left_anti")
+
+
+def repair_cascade(gone: DataFrame, **tables: DataFrame) -> dict[str, DataFrame]:
+    """Every table without the rows of the sites that are gone."""
+    names = gone.select("site_id").distinct()
+    return {name: table.join(names, "site_id", "left_anti") for name, table in tables.items()}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from emberline.config import FEATURE_EARTH_RADIUS_M, LAND_COVER
+from emberline.config import FEATURE_EARTH_RADIUS_M, FEATURES, LAND_COVER
 
 
 def thermal(detections: DataFrame) -> DataFrame:
@@ -63,6 +63,20 @@ def vector(detections: DataFrame, sites: DataFrame, pixels: DataFrame | None = N
     return out.join(land_cover(pixels).drop("valid_pixels"), "site_id", "left") if pixels is not None else out
 
 
+#: Features whose name in the model differs from the one they have here.
+_NAMES = {
+    "mean_frp": "frp_mean", "median_frp": "frp_median", "max_frp": "frp_max", "std_frp": "frp_std", "source_lifetime_days": "lifetime_days", "mean_recurrence_gap_days": "mean_gap", "median_recurrence_gap_days": "median_gap",
+    "detections_per_active_day": "detections_per_day", "spatial_median_m": "distance_median_m", "spatial_p90_m": "distance_p90_m", "spatial_std_m": "distance_std_m",
+    **{f"active_days_{n}": f"active_days_{n}d" for n in (7, 30, 90, 365)}, **{f"{n}_fraction": f"cover_{n}" for n in LAND_COVER.values()},
+}
+
+
+def identity_vector(detections: DataFrame, sites: DataFrame, pixels: DataFrame) -> DataFrame:
+    """site_id and the identity model's features under its names and in its order, as doubles, NaN as null."""
+    wide = vector(detections, sites, pixels)
+    return wide.select("site_id", *[F.nanvl(F.col(_NAMES.get(n, n)).cast("double"), F.lit(None).cast("double")).alias(n) for n in FEATURES])
+
+
 def golden(found: DataFrame, expected: DataFrame, names: list[str], sites: int = 100, tolerance: float = 1e-7) -> DataFrame:
     """Features that differ on the first ``sites`` sites by the SHA-256 of their id: site_id, feature, found, expected."""
     chosen = expected.join(found.select("site_id"), "site_id", "left_semi").orderBy(F.sha2("site_id", 256)).limit(sites)

@@ -76,6 +76,50 @@ def detail(sites: DataFrame, a: DataFrame, b: DataFrame, c: DataFrame, alerts: D
     return one.join(a.drop("latitude", "longitude"), "site_id", "left").join(b, "site_id", "left").join(c, "site_id", "left").join(top.drop("status"), "site_id", "left")
 
 
+def acknowledge(alerts: DataFrame, ids: DataFrame, by: str, at: str) -> DataFrame:
+    """``alerts`` with the active ones among ``ids`` acknowledged: by whom and when; all others as they are."""
+    named = ids.select("alert_id").distinct().withColumn("_a", F.lit(True))
+    hit = F.coalesce(F.col("_a") & (F.col("status") == "ACTIVE"), F.lit(False))
+    held = F.col("acknowledged_by") if "acknowledged_by" in alerts.columns else F.lit(None).cast("string")
+    marked = alerts.join(named, "alert_id", "left").withColumn("_hit", hit)
+    return marked.withColumns({"status": F.when(F.col("_hit"), "ACKNOWLEDGED").otherwise(F.col("status")), "acknowledged_by": F.when(F.col("_hit"), by).otherwise(held), "updated_at": F.when(F.col("_hit"), F.lit(at).cast("timestamp")).otherwise(F.col("updated_at"))}).drop("_a", "_hit")
+
+
+def selected(column: F.Column, wanted: list[str]) -> F.Column:
+    """Whether a value is among those chosen; with none chosen all are."""
+    return column.isin(wanted) if wanted else F.lit(True)
+
+
+def raised_or_reactivated(a: DataFrame, b: DataFrame, c: DataFrame, levels: tuple[str, ...] = ("ELEVATED", "ANOMALOUS", "CRITICAL")) -> DataFrame:
+    """Sites with all three results whose anomaly is raised or whose state is REACTIVATED."""
+    return c.join(a, "site_id").join(b, "site_id").where(F.col("c_status").isin(*levels) | (F.col("state") == "REACTIVATED"))
+
+
+#: The categories that counts name even where there is none of them.
+CATEGORIES = {
+    "a": ("INDUSTRIAL", "UNKNOWN", "NONINDUSTRIAL"), "b": ("REACTIVATED", "NEW", "PERSISTENT", "DORMANT", "INTERMITTENT"),
+    "c": ("INSUFFICIENT_HISTORY", "NORMAL", "ELEVATED", "ANOMALOUS", "CRITICAL", "NO_RECENT_EVENT"), "alert": ("INFO", "LOW", "MEDIUM", "HIGH", "CRITICAL"),
+}
+
+
+def model_counts(a: DataFrame, b: DataFrame, c: DataFrame, alerts: DataFrame) -> DataFrame:
+    """Sites of each identity class, state and anomaly status, and active alerts of each level: model, category, n (0 where none)."""
+    columns = {"a": (a, "class"), "b": (b, "state"), "c": (c, "c_status"), "alert": (alerts.where("status = 'ACTIVE'"), "alert_level")}
+    counted = None
+    for name, (df, column) in columns.items():
+        part = df.groupBy(F.col(column).alias("category")).agg(F.count("*").alias("n")).select(F.lit(name).alias("model"), "category", "n")
+        counted = part if counted is None else counted.unionByName(part)
+    known = a.sparkSession.createDataFrame([(m, x) for m, xs in CATEGORIES.items() for x in xs], "model string, category string")
+    return known.join(counted, ["model", "category"], "left").select("model", "category", F.coalesce("n", F.lit(0)).alias("n"))
+
+
+def replay_page(found: DataFrame, limit: int) -> DataFrame:
+    """The first rows of a replay, seen last first, with the number of all rows and whether some are left out."""
+    total = found.agg(F.count("*").alias("total_count"))
+    shown = found.orderBy(F.desc("latest_seen"), "site_id").limit(limit)
+    return shown.join(F.broadcast(total)).withColumn("truncated", F.col("total_count") > limit)  # one row of counts
+
+
 def replay(sites: DataFrame, detections: DataFrame, a_history: DataFrame, scored: DataFrame, cutoff: str, bounds: tuple[float, float, float, float] | None = None) -> DataFrame:
     """What was known on a date: sites seen by then, their identity, state and anomaly as of it, and the alert that follows.
 

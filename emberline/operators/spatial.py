@@ -2,25 +2,29 @@
 
 from __future__ import annotations
 
+import hashlib
+from math import asin, cos, floor, radians, sin, sqrt
+
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from emberline.config import CLUSTER_MIN_POINTS, CLUSTER_RADIUS_M, EVIDENCE_RADIUS_KM
-from emberline.functions.geo import around, cell_size, cells, haversine_m
+from emberline.config import CLUSTER_MIN_POINTS, CLUSTER_RADIUS_M, EARTH_RADIUS_M, EVIDENCE_RADIUS_KM
+from emberline.functions.geo import around, cells, haversine_m
 from emberline.operators.common import components, cut, first_by
 
 
-def radius_join(left: DataFrame, right: DataFrame, radius_m: float, max_latitude: float = 60.0, keep: tuple[str, ...] = ()) -> DataFrame:
-    """Pairs within a radius: columns of ``left`` as they are, of ``right`` with ``r_`` before, and ``distance_m``.
+def radius_join(left: DataFrame, right: DataFrame, radius_m: float) -> DataFrame:
+    """Pairs within a radius, anywhere on the globe: columns of ``left`` as they are, of ``right`` with ``r_`` before, and ``distance_m``.
 
-    Both sides meet by grid cell: the left one is dealt to the 3 x 3 cells around each point, so the join has an
-    equality that Spark can hash, and the distance is checked on what meets. No pair beyond a cell is made.
+    Both sides meet by grid cell: the left one is dealt to the cells around each point, so the join has an equality
+    that Spark can hash, and the distance is checked on what meets. No pair beyond a neighbouring cell is made.
+    Rows without a place meet nothing.
     """
-    size = cell_size(radius_m, max_latitude)
-    a = left.withColumn("_c", F.explode(around(F.col("latitude"), F.col("longitude"), size))).select("*", "_c.cy", "_c.cx").drop("_c")
-    b = right.select(*[F.col(c).alias(f"r_{c}") for c in right.columns], *cells(F.col("latitude"), F.col("longitude"), size))
-    met = a.join(b, ["cy", "cx"]).withColumn("distance_m", haversine_m(F.col("latitude"), F.col("longitude"), F.col("r_latitude"), F.col("r_longitude")))
+    lat, lon = F.col("latitude"), F.col("longitude")
+    a = left.where(lat.isNotNull() & lon.isNotNull()).withColumn("_c", F.explode(around(lat, lon, radius_m))).select("*", "_c.cy", "_c.cx").drop("_c")
+    b = right.where(lat.isNotNull() & lon.isNotNull()).select(*[F.col(c).alias(f"r_{c}") for c in right.columns], *cells(lat, lon, radius_m))
+    met = a.join(b, ["cy", "cx"]).withColumn("distance_m", haversine_m(lat, lon, F.col("r_latitude"), F.col("r_longitude")))
     return met.where(F.col("distance_m") <= radius_m).drop("cy", "cx")
 
 
@@ -57,13 +61,82 @@ def events_near(sites: DataFrame, events: DataFrame, cutoff: str, days: int, rad
     return radius_join(sites.select("site_id", "latitude", "longitude"), met, radius_km * 1000).select("site_id", F.col("r_evidence_id").alias("evidence_id"), "distance_m")
 
 
+def _replayed(frame: pd.DataFrame, radius_m: float) -> list[tuple]:
+    """The resolver's answers for one group of points that hang together, in order."""
+    grid: dict[tuple, list] = {}  # cell to members: place and owner
+    owners: dict[str, dict] = {}
+    most = (2 * sin(radius_m / EARTH_RADIUS_M / 2)) ** 2 * 1.000001
+
+    def unit(lat: float, lon: float) -> tuple[float, float, float]:
+        a, b = radians(lat), radians(lon)
+        return cos(a) * cos(b), cos(a) * sin(b), sin(a)
+
+    def cell(u: tuple) -> tuple[int, int, int]:
+        return tuple(floor(x * EARTH_RADIUS_M / radius_m) for x in u)
+
+    def metres(p: tuple, q: tuple) -> float:
+        a = sin(radians(q[0] - p[0]) / 2) ** 2 + cos(radians(p[0])) * cos(radians(q[0])) * sin(radians(q[1] - p[1]) / 2) ** 2
+        return 2 * EARTH_RADIUS_M * asin(min(1.0, sqrt(a)))
+
+    def add(name: str, kind: str, at: tuple, detection: str) -> dict:
+        owner = owners.setdefault(name, {"id": name, "kind": kind, "ids": []})
+        owner["ids"].append(detection)
+        u = unit(*at)
+        grid.setdefault(cell(u), []).append((*u, at, owner))
+        return owner
+
+    def nearest(at: tuple) -> dict[str, list[tuple[float, str]]]:
+        """Owners with a member within the radius, by kind, with their least distances."""
+        u = unit(*at)
+        x, y, z = cell(u)
+        best: dict[int, tuple[float, tuple, dict]] = {}  # by the square of the chord; metres are worked out for the nearest only
+        for cx in (x - 1, x, x + 1):
+            for cy in (y - 1, y, y + 1):
+                for cz in (z - 1, z, z + 1):
+                    for a, b, c, place, owner in grid.get((cx, cy, cz), ()):
+                        square = (a - u[0]) ** 2 + (b - u[1]) ** 2 + (c - u[2]) ** 2
+                        if square <= most and (id(owner) not in best or square < best[id(owner)][0]):
+                            best[id(owner)] = (square, place, owner)
+        found = [(metres(at, place), owner) for _, place, owner in best.values()]
+        return {kind: sorted((d, o["id"]) for d, o in found if o["kind"] == kind and d <= radius_m) for kind in ("site", "candidate")}
+
+    out = []
+    for r in frame.itertuples(index=False):
+        at = (r.latitude, r.longitude)
+        if r.seq < 0:
+            site = isinstance(r.site_id, str)
+            add(r.site_id if site else r.candidate_id, "site" if site else "candidate", at, r.detection_id)
+            continue
+        near = nearest(at)
+        if near["site"]:
+            distance, name = near["site"][0]
+            add(name, "site", at, r.detection_id)
+            out.append((r.detection_id, "MATCHED", name, None, distance, len(near["site"]) > 1))
+        elif not near["candidate"]:
+            name = "CAND_" + hashlib.sha256(r.detection_id.encode()).hexdigest()[:16]
+            add(name, "candidate", at, r.detection_id)
+            out.append((r.detection_id, "NEW_CANDIDATE", None, name, None, False))
+        else:
+            distance, name = near["candidate"][0]
+            owner = add(name, "candidate", at, r.detection_id)
+            if len(owner["ids"]) < CLUSTER_MIN_POINTS:
+                out.append((r.detection_id, "CANDIDATE_ACCUMULATED", None, name, distance, False))
+                continue
+            site = "SITE_" + hashlib.sha256(min(owner["ids"]).encode()).hexdigest()[:16]
+            owners[site] = owners.pop(name)
+            owner.update(id=site, kind="site")
+            out.append((r.detection_id, "PROMOTED", site, name, distance, False))
+    return out
+
+
 def resolve(detections: DataFrame, members: DataFrame, radius_m: float = CLUSTER_RADIUS_M) -> DataFrame:
     """New detections against sites and candidates, one after another in ``seq`` order, as they arrive.
 
     A detection joins the nearest site within the radius (the lesser id at ties; more than one in reach is
     ambiguous) and is at once a member; else it joins the nearest candidate; a candidate of three is promoted to
     a site. Order matters only among points that hang together, so Spark first finds those groups (connected
-    components of the radius graph over old and new points) and each group is replayed in one task.
+    components of the radius graph over old and new points) and each group is replayed in one task, in which a
+    detection is compared with the members in the cells around it only.
 
     ``detections``: detection_id, latitude, longitude, seq. ``members``: detection_id, latitude, longitude,
     site_id, candidate_id (one of the two). Returns detection_id, status, site_id, candidate_id, distance_m, ambiguous.
@@ -78,42 +151,6 @@ def resolve(detections: DataFrame, members: DataFrame, radius_m: float = CLUSTER
     groups = components(linked.union(same)).withColumnRenamed("node", "detection_id")
 
     def replay(frame: pd.DataFrame) -> pd.DataFrame:
-        import hashlib
-        from math import asin, cos, radians, sin, sqrt
-
-        def metres(p, q):
-            a = sin(radians(q[0] - p[0]) / 2) ** 2 + cos(radians(p[0])) * cos(radians(q[0])) * sin(radians(q[1] - p[1]) / 2) ** 2
-            return 2 * 6_371_000.0 * asin(min(1.0, sqrt(a)))
-
-        sites: dict = {}
-        candidates: dict = {}
-        out = []
-        for r in frame.sort_values(["seq", "detection_id"]).itertuples(index=False):
-            at = (r.latitude, r.longitude)
-            if r.seq < 0:
-                (sites.setdefault(r.site_id, []) if isinstance(r.site_id, str) else candidates.setdefault(r.candidate_id, [])).append((r.detection_id, at))
-                continue
-            reach = sorted((min(metres(at, p) for _, p in ps), s) for s, ps in sites.items())
-            reach = [x for x in reach if x[0] <= radius_m]
-            if reach:
-                sites[reach[0][1]].append((r.detection_id, at))
-                out.append((r.detection_id, "MATCHED", reach[0][1], None, reach[0][0], len(reach) > 1))
-                continue
-            near = sorted((min(metres(at, p) for _, p in ps), k) for k, ps in candidates.items())
-            if not near or near[0][0] > radius_m:
-                name = "CAND_" + hashlib.sha256(r.detection_id.encode()).hexdigest()[:16]
-                candidates[name] = [(r.detection_id, at)]
-                out.append((r.detection_id, "NEW_CANDIDATE", None, name, None, False))
-                continue
-            name = near[0][1]
-            candidates[name].append((r.detection_id, at))
-            if len(candidates[name]) >= CLUSTER_MIN_POINTS:
-                moved = candidates.pop(name)
-                site = "SITE_" + hashlib.sha256(min(d for d, _ in moved).encode()).hexdigest()[:16]
-                sites[site] = moved
-                out.append((r.detection_id, "PROMOTED", site, name, near[0][0], False))
-            else:
-                out.append((r.detection_id, "CANDIDATE_ACCUMULATED", None, name, near[0][0], False))
-        return pd.DataFrame(out, columns=["detection_id", "status", "site_id", "candidate_id", "distance_m", "ambiguous"])
+        return pd.DataFrame(_replayed(frame.sort_values(["seq", "detection_id"]), radius_m), columns=["detection_id", "status", "site_id", "candidate_id", "distance_m", "ambiguous"])
 
     return points.join(groups, "detection_id").groupBy("root").applyInPandas(replay, "detection_id string, status string, site_id string, candidate_id string, distance_m double, ambiguous boolean")

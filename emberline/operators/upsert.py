@@ -27,9 +27,9 @@ def delete(old: DataFrame, gone: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def update_from(old: DataFrame, values: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
-    """``old`` with some columns taken from ``values`` where it has the key."""
-    named = values.select(*keys, *[F.col(c).alias(f"_new_{c}") for c in columns])
-    return old.join(named, keys, "left").select(*[F.coalesce(F.col(f"_new_{c}"), F.col(c)).alias(c) if c in columns else F.col(c) for c in old.columns])
+    """``old`` with some columns taken from ``values`` where it has the key (once), null ones too."""
+    named = values.select(*keys, *[F.col(c).alias(f"_new_{c}") for c in columns], F.lit(True).alias("_hit"))
+    return old.join(named, keys, "left").select(*[F.when(F.col("_hit"), F.col(f"_new_{c}")).otherwise(F.col(c)).alias(c) if c in columns else F.col(c) for c in old.columns])
 
 
 def changed(stored: DataFrame, incoming: DataFrame, keys: list[str]) -> DataFrame:

@@ -7,8 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from emberline.config import FEATURES
 from emberline.functions import geo, normalize
-from emberline.operators import anomaly, audit, daily, decide, features, identity, review, serving, spatial, temporal
+from emberline.operators import anomaly, audit, daily, decide, features, identity, review, serving, spatial, temporal, upsert
+from emberline.operators.common import cut
 from emberline.plans import windows
 from emberline.sources.adapters import view, with_views
 
@@ -65,19 +67,27 @@ base as (select *, {', '.join(map(_robust, _KINDS))} from g1)"""
 SIGNALS = f"""{BASELINE}, sig as (select site_id, acq_date, history_days, history_span, gap, history_days>=5 and coalesce(history_span>=30,false) as scored,
  greatest(0.0,least(greatest((max_frp-max_frp_m)/max_frp_s,(mean_frp-mean_frp_m)/mean_frp_s),20.0)) as i0, greatest(0.0,least((density-density_m)/density_s,20.0)) as d0, case when gaps>=3 then greatest(0.0,least((gap_m-gap)/gap_s,20.0)) else 0.0 end as r0 from base),
 signals as (select site_id, acq_date, history_days, history_span, gap, scored, case when scored then i0 end as intensity, case when scored then d0 end as density, case when scored then r0 end as recurrence_burst from sig)"""
+_SIX = "floor(({0})*1e6+0.5)/1e6"
 CHANGE = f"""{SIGNALS}, numbered as (select *, greatest(intensity,density) as x, coalesce(gap>30,false) as fresh, row_number() over (partition by site_id order by acq_date) as n from signals where scored),
-fold as (select site_id, acq_date, n, round(0.35*x,6) as ewma, round(greatest(0.0,least(x-2.0,50.0)),6) as cusum from numbered where n=1
- union all select m.site_id, m.acq_date, m.n, round(0.35*m.x+case when m.fresh then 0.0 else (1-0.35)*f.ewma end,6), round(greatest(0.0,least(case when m.fresh then 0.0 else f.cusum end+m.x-2.0,50.0)),6) from fold f join numbered m on m.site_id=f.site_id and m.n=f.n+1),
+fold as (select site_id, acq_date, n, {_SIX.format('0.35*x')} as ewma, {_SIX.format('greatest(0.0,least(x-2.0,50.0))')} as cusum from numbered where n=1
+ union all select m.site_id, m.acq_date, m.n, {_SIX.format('0.35*m.x+(1-0.35)*case when m.fresh then 0.0 else f.ewma end')}, {_SIX.format('greatest(0.0,least(case when m.fresh then 0.0 else f.cusum end+m.x-2.0,50.0))')} from fold f join numbered m on m.site_id=f.site_id and m.n=f.n+1),
 changed as (select s.*, f.ewma, f.cusum, greatest(f.ewma,f.cusum) as change from signals s left join fold f using (site_id, acq_date))"""
-_BINS = "[" + ",".join(f"{i / 200}" for i in range(201)) + "]"
 _GROUPS = ("intensity", "density", "recurrence_burst", "change")
-_MID = "(len(list_filter({r}, lambda z: z < round({v},9)))+len(list_filter({r}, lambda z: z <= round({v},9))))/402.0"
-SCORED = f"""{CHANGE}, refs as (select {', '.join(f"list_transform(quantile_cont({g},{_BINS}), lambda q: round(q,9)) as ref_{g}" for g in _GROUPS)} from changed where scored and acq_date <= date '{CALIBRATION_END}'),
-pct as (select c.*, {', '.join(f"case when scored then {_MID.format(r=f'ref_{g}', v=g)} end as {g}_pct" for g in _GROUPS)} from changed c, refs),
-raw as (select *, case when scored then (list_reverse_sort([intensity_pct,density_pct,recurrence_burst_pct,change_pct])[1]+list_reverse_sort([intensity_pct,density_pct,recurrence_burst_pct,change_pct])[2])/2 end as c_raw from pct),
-final as (select list_transform(quantile_cont(c_raw,{_BINS}), lambda q: round(q,9)) as ref_final from raw where scored and acq_date <= date '{CALIBRATION_END}'),
-score as (select raw.*, case when scored then {_MID.format(r='ref_final', v='c_raw')} end as c_score from raw, final),
-scored as (select *, case when not scored then 'INSUFFICIENT_HISTORY' when c_score>=0.999 then 'CRITICAL' when c_score>=0.99 then 'ANOMALOUS' when c_score>=0.95 then 'ELEVATED' else 'NORMAL' end as level from score)"""
+
+
+def _ranks(name: str, value: str, table: str) -> str:
+    """Midranks of every different value of scored days against all scored days of calibration."""
+    return f"n_{name} as (select round({value},9) as v, count(*) filter (acq_date <= date '{CALIBRATION_END}') as n from {table} where scored group by 1), rank_{name} as (select v, (2*sum(n) over (order by v)-n)/(2.0*sum(n) over ()) as p from n_{name})"
+
+
+_FIRST = "list_reverse_sort([intensity_pct,density_pct,recurrence_burst_pct,change_pct])"
+SCORED = f"""{CHANGE}, {', '.join(_ranks(g, g, 'changed') for g in _GROUPS)},
+pct as (select c.*, {', '.join(f'rank_{g}.p as {g}_pct' for g in _GROUPS)} from changed c {' '.join(f'left join rank_{g} on case when c.scored then round(c.{g},9) end = rank_{g}.v' for g in _GROUPS)}),
+raw as (select *, case when scored then ({_FIRST}[1]+{_FIRST}[2])/2 end as c_raw from pct), {_ranks('final', 'c_raw', 'raw')},
+score as (select raw.*, rank_final.p as c_score from raw left join rank_final on case when scored then round(c_raw,9) end = rank_final.v),
+leveled as (select *, case when not scored then 'INSUFFICIENT_HISTORY' when c_score>=0.999 then 'CRITICAL' when c_score>=0.99 then 'ANOMALOUS' when c_score>=0.95 then 'ELEVATED' else 'NORMAL' end as level,
+ list_sort([{', '.join(f"{{'p': -{g}_pct, 'i': {i}, 'g': '{g}'}}" for i, g in enumerate(_GROUPS))}]) as by_pct from score),
+scored as (select *, case when scored then array_to_string(list_transform(case when by_pct[1].p <= -0.95 then list_filter(by_pct, lambda r: r.p <= -0.95) else by_pct[1:1] end, lambda r: r.g), ',') end as drivers from leveled)"""
 IDENTITY = """ranked_a as (select *, row_number() over (partition by site_id order by as_of desc, inference_id desc) as rn from a_history {where}),
 ident as (select site_id, p_core, p_visual, as_of, case when p_core>=0.975 then 'INDUSTRIAL_CORE_STRONG' when p_core>=0.885 then 'INDUSTRIAL_CORE_POSITIVE' when p_core>=0.405 then case when coalesce(p_visual>=0.965,false) then 'INDUSTRIAL_PRITHVI_RESCUE' else 'UNKNOWN' end else 'NONINDUSTRIAL' end as decision from ranked_a where rn=1),
 a_now as (select *, case when decision like 'INDUSTRIAL@_%' escape '@' then 'INDUSTRIAL' else decision end as class from ident)"""
@@ -214,24 +224,30 @@ def anomaly_signals(spark, sf_dir):
     return anomaly.signals(_daily(spark, sf_dir)).select("site_id", "acq_date", "history_days", "scored", *r6("intensity", "density", "recurrence_burst"))
 
 
-@register("detections", sql=f"--with {CHANGE} select site_id, acq_date, round(ewma+0.00000025,4) as ewma, round(cusum+0.00000025,4) as cusum from changed")
+@register("detections", sql=f"--with {CHANGE} select site_id, acq_date, ewma, cusum from changed")
 def ewma_cusum(spark, sf_dir):
-    found = anomaly.with_change(anomaly.signals(_daily(spark, sf_dir)))
-    # the fold carries six places; a quarter of the last one leaves no tie to either engine's rounding
-    return found.select("site_id", "acq_date", *[F.round(F.col(c) + 0.00000025, 4).alias(c) for c in ("ewma", "cusum")])
+    return anomaly.signals(_daily(spark, sf_dir)).select("site_id", "acq_date", "ewma", "cusum")
 
 
-@register("detections", sql=f"--with {SIGNALS}, v as (select site_id, acq_date, intensity as value from signals where scored), r as (select intensity as ref from signals where scored and acq_date <= date '{CALIBRATION_END}'), o as (select ref, count(*) as n from r group by ref), cum as (select ref, n, sum(n) over (order by ref) as upto from o), t as (select sum(n) as total from o) select site_id, acq_date, round((coalesce(c.upto,0)*2-case when c.ref=v.value then c.n else 0 end)/(2.0*t.total),6) as midrank from v asof left join cum c on v.value>=c.ref, t")
+@register("detections", sql=f"--with {SIGNALS}, {_ranks('i', 'intensity', 'signals')} select site_id, acq_date, round(p,6) as midrank from signals join rank_i on round(intensity,9)=v where scored")
 def midrank_percentile(spark, sf_dir):
-    found = anomaly.signals(_daily(spark, sf_dir)).where("scored").withColumn("grp", F.lit("intensity"))
-    reference = found.where(F.col("acq_date") <= F.lit(CALIBRATION_END).cast("date")).select("grp", F.col("intensity").alias("ref"))
-    return anomaly.midrank_table(found.select("grp", "site_id", "acq_date", F.col("intensity").alias("value")), reference).select("site_id", "acq_date", *r6("midrank"))
+    found = anomaly.signals(_daily(spark, sf_dir)).where("scored").select("site_id", "acq_date", "scored", F.round("intensity", anomaly.PLACES).alias("intensity"))
+    found = cut(found)
+    ranks = anomaly.midranks(found, ["intensity"], CALIBRATION_END).select(F.col("v").alias("intensity"), "midrank")
+    return found.join(ranks, "intensity").select("site_id", "acq_date", *r6("midrank"))
 
 
-@register("detections", sql=f"--with {SCORED} select site_id, acq_date, history_days, round(c_raw,6) as c_raw, round(c_score,6) as c_score, level from scored")
+@register("detections", sql=f"--with {SCORED} select site_id, acq_date, history_days, {', '.join(f'round({g}_pct,6) as {g}_pct' for g in _GROUPS)}, round(c_raw,6) as c_raw, round(c_score,6) as c_score, level, drivers from scored")
 def anomaly_score(spark, sf_dir):
     found = anomaly.anomaly_score(_daily(spark, sf_dir), CALIBRATION_END)
-    return found.select("site_id", "acq_date", "history_days", "c_raw", "c_score", "level")
+    return found.select("site_id", "acq_date", "history_days", *[f"{g}_pct" for g in _GROUPS], "c_raw", "c_score", "level", "drivers")
+
+
+@register("detections", sql=f"--with {SCORED} select level, count(*) as site_days, count(distinct site_id) as sites from scored group by level")
+def anomaly_level_counts(spark, sf_dir):
+    """Site-days and sites of each anomaly level."""
+    found = anomaly.anomaly_score(_daily(spark, sf_dir), CALIBRATION_END)
+    return found.groupBy("level").agg(F.count("*").alias("site_days"), F.count_distinct("site_id").alias("sites"))
 
 
 # -- identity and decision ----------------------------------------------------------------------------------------------
@@ -245,18 +261,37 @@ def identity_stand_in(spark, sf_dir):
     return identity.logistic_stand_in(features.thermal(view(spark, sf_dir, "detections"))).select("site_id", *r6("p_core"))
 
 
-_DECIDE_SQL = f"""--with {IDENTITY.format(where='')}, {TIMELINE}, stated as (select *, {RULES} from timeline), c as (select site_id, case site_len%5 when 0 then 'CRITICAL' when 1 then 'ANOMALOUS' when 2 then 'ELEVATED' when 3 then 'NORMAL' else 'INSUFFICIENT_HISTORY' end as level from (select site_id, active_days as site_len from stated)),
-j as ({DECIDED} (select a.site_id, a.decision, s.state, c.level from a_now a join stated s using (site_id) join c using (site_id))),
-o as (select site_id, decision, state, level, {_case(1, 'NO_ALERT')} as alert_type, {_case(2, 'NONE')} as alert_level, {_case(3, 'false')} as evidence_required from j)"""
+LAST_C = f"""lastc as (select site_id, max(acq_date) as c_date, arg_max(level,acq_date) as lv, arg_max(round(c_score,6),acq_date) as sc from scored where acq_date <= date '{CUTOFF}' group by site_id),
+c as (select site_id, c_date, lv, case when date '{CUTOFF}'-c_date>30 then 'NO_RECENT_EVENT' else lv end as c_status, case when date '{CUTOFF}'-c_date<=30 then sc end as c_score from lastc)"""
+_DECIDE_SQL = f"""--with {IDENTITY.format(where='')}, {STATES}, {SCORED}, {LAST_C},
+j as ({DECIDED} (select a.site_id, c.c_date as site_day, a.decision, s.state, c.lv as level from a_now a join states s using (site_id) join c using (site_id))),
+o as (select site_id, site_day, decision, state, level, {_case(1, 'NO_ALERT')} as alert_type, {_case(2, 'NONE')} as alert_level, {_case(3, 'false')} as evidence_required from j)"""
 
 
-@register("a_history", "detections", sql=_DECIDE_SQL + f" select site_id, alert_type, alert_level, evidence_required, 'A='||decision||',B='||state||',C='||level as reason_codes, sha256(site_id||'_{CUTOFF}_'||alert_type||'_2026-09-04-r1') as fingerprint from o where alert_level not in ('NONE','INFO')")
+def _scored(spark, sf_dir):
+    return anomaly.anomaly_score(_daily(spark, sf_dir), CALIBRATION_END)
+
+
+def _identity_and_state(spark, sf_dir):
+    return serving.latest_identity(view(spark, sf_dir, "a_history")), temporal.temporal_state(view(spark, sf_dir, "detections"), CUTOFF)
+
+
+@register("a_history", "detections", sql=_DECIDE_SQL + " select site_id, site_day, alert_type, alert_level, evidence_required, 'A='||decision||',B='||state||',C='||level as reason_codes, sha256(site_id||'_'||cast(site_day as varchar)||'_'||alert_type||'_2026-09-04-r1') as fingerprint from o where alert_level not in ('NONE','INFO')")
 def decision_alerts(spark, sf_dir):
-    a = serving.latest_identity(view(spark, sf_dir, "a_history"))
-    b = temporal.temporal_state(view(spark, sf_dir, "detections"), CUTOFF)
-    levels = F.array(*[F.lit(x) for x in ("CRITICAL", "ANOMALOUS", "ELEVATED", "NORMAL", "INSUFFICIENT_HISTORY")])
-    joined = a.join(b, "site_id").select("site_id", F.lit(CUTOFF).cast("date").alias("site_day"), "decision", "state", F.get(levels, (F.col("active_days") % 5).cast("int")).alias("level"))
-    return decide.alerts(decide.decide(joined)).select("site_id", "alert_type", "alert_level", "evidence_required", "reason_codes", "fingerprint")
+    """Alerts of each site's last day up to the cutoff, by the anomaly level of that day."""
+    a, b = _identity_and_state(spark, sf_dir)
+    last = _scored(spark, sf_dir).where(F.col("acq_date") <= F.lit(CUTOFF).cast("date")).groupBy("site_id").agg(F.max("acq_date").alias("site_day"), F.max_by("level", "acq_date").alias("level"))
+    joined = a.join(b, "site_id").join(last, "site_id").select("site_id", "site_day", "decision", "state", "level")
+    return decide.alerts(decide.decide(joined)).select("site_id", "site_day", "alert_type", "alert_level", "evidence_required", "reason_codes", "fingerprint")
+
+
+@register("a_history", "detections", sql=_DECIDE_SQL + " select alert_type, alert_level, count(*) as n from o where alert_level<>'NONE' group by 1,2")
+def decision_alerts_with_info(spark, sf_dir):
+    """The same with INFO kept, counted by type and level."""
+    a, b = _identity_and_state(spark, sf_dir)
+    last = _scored(spark, sf_dir).where(F.col("acq_date") <= F.lit(CUTOFF).cast("date")).groupBy("site_id").agg(F.max("acq_date").alias("site_day"), F.max_by("level", "acq_date").alias("level"))
+    joined = a.join(b, "site_id").join(last, "site_id").select("site_id", "site_day", "decision", "state", "level")
+    return decide.alerts(decide.decide(joined), keep_info=True).groupBy("alert_type", "alert_level").agg(F.count("*").alias("n"))
 
 
 _RANK = "case alert_level when 'INFO' then 1 when 'LOW' then 2 when 'MEDIUM' then 3 when 'HIGH' then 4 when 'CRITICAL' then 5 else 0 end"
@@ -269,30 +304,49 @@ def same_day_escalation(spark, sf_dir):
 
 # -- serving ------------------------------------------------------------------------------------------------------------
 _BOX = "latitude between 8.0 and 30.0 and longitude between 70.0 and 90.0"
-_VIEW = f"""--with {IDENTITY.format(where='')}, {STATES}, {OPEN_ALERT}, vp as (select s.site_id, round(s.latitude,5) as latitude, round(s.longitude,5) as longitude, coalesce(a.class,'UNAVAILABLE') as a_class, coalesce(b.state,'UNAVAILABLE') as b_state, round(a.p_core,4) as p_core, b.last_date as latest_seen, t.alert_id, t.alert_level, t.updated_at as alert_at from sites s left join a_now a using (site_id) left join states b using (site_id) left join top_alert t using (site_id) where {_BOX})"""
+_VIEW = f"""--with {IDENTITY.format(where='')}, {STATES}, {SCORED}, {LAST_C}, {OPEN_ALERT}, vp as (select s.site_id, round(s.latitude,5) as latitude, round(s.longitude,5) as longitude, coalesce(a.class,'UNAVAILABLE') as a_class, coalesce(b.state,'UNAVAILABLE') as b_state, coalesce(c.c_status,'UNAVAILABLE') as c_status, round(a.p_core,4) as p_core, round(c.c_score,4) as c_score, b.last_date as latest_seen, t.alert_id, t.alert_level, t.updated_at as alert_at from sites s left join a_now a using (site_id) left join states b using (site_id) left join c using (site_id) left join top_alert t using (site_id) where {_BOX})"""
+_VIEW_TABLES = ("sites", "a_history", "detections", "alerts")
+_VIEW_COLUMNS = "site_id latitude longitude a_class b_state c_status p_core c_score latest_seen alert_id alert_level".split()
 
 
-def _viewport(spark, sf_dir):
-    a, b = serving.latest_identity(view(spark, sf_dir, "a_history")), temporal.temporal_state(view(spark, sf_dir, "detections"), CUTOFF)
-    c = spark.createDataFrame([], "site_id string, c_status string, c_score double")
-    return serving.viewport(view(spark, sf_dir, "sites"), a, b, c, view(spark, sf_dir, "alerts"), BOX)
+def _viewport(spark, sf_dir, **wanted):
+    a, b = _identity_and_state(spark, sf_dir)
+    c = anomaly.latest_status(_scored(spark, sf_dir), CUTOFF)
+    return serving.viewport(view(spark, sf_dir, "sites"), a, b, c, view(spark, sf_dir, "alerts"), BOX, **wanted)
 
 
-@register("sites", "a_history", "detections", "alerts", sql=_VIEW + " select site_id, latitude, longitude, a_class, b_state, p_core, latest_seen, alert_id, alert_level, epoch_us(alert_at) as alert_at from vp order by alert_at desc nulls last, latest_seen desc nulls last, site_id limit 200")
+@register(*_VIEW_TABLES, sql=_VIEW + f" select {', '.join(_VIEW_COLUMNS)}, epoch_us(alert_at) as alert_at from vp order by vp.alert_at desc nulls last, c_score desc nulls last, latest_seen desc nulls last, site_id limit 200")
 def site_viewport(spark, sf_dir):
-    return serving.page(_viewport(spark, sf_dir), 200).select("site_id", "latitude", "longitude", "a_class", "b_state", "p_core", "latest_seen", "alert_id", "alert_level", F.unix_micros("alert_at").alias("alert_at"))
+    return serving.page(_viewport(spark, sf_dir), 200).select(*_VIEW_COLUMNS, F.unix_micros("alert_at").alias("alert_at"))
 
 
-@register("sites", "a_history", "detections", "alerts", sql=_VIEW + " select a_class, b_state, count(*) as sites, count(alert_id) as with_alert from vp group by 1,2")
+@register(*_VIEW_TABLES, sql=_VIEW + " select a_class, b_state, c_status, count(*) as sites, count(alert_id) as with_alert from vp group by 1,2,3")
 def viewport_counts(spark, sf_dir):
-    return _viewport(spark, sf_dir).groupBy("a_class", "b_state").agg(F.count("*").alias("sites"), F.count("alert_id").alias("with_alert"))
+    return _viewport(spark, sf_dir).groupBy("a_class", "b_state", "c_status").agg(F.count("*").alias("sites"), F.count("alert_id").alias("with_alert"))
 
 
-@register("detections", sql=f"--with {SIGNALS} , s as (select site_id, acq_date, case when scored then 'SCORED' else 'INSUFFICIENT_HISTORY' end as level, round(intensity,6) as c_score from signals), d as (select * from daily where acq_date <= date '{CUTOFF}'), w as (select site_id, count(*) as total_active_days, min(acq_date) as first_date, max(acq_date) as last_date from d group by site_id) select d.site_id, d.acq_date, d.detections, round(d.mean_frp,6) as mean_frp, s.level, s.c_score, w.total_active_days, w.first_date, w.last_date from d left join s using (site_id, acq_date) join w using (site_id)")
+@register(*_VIEW_TABLES, sql=_VIEW + " select site_id, a_class, b_state, c_status, alert_level from vp where a_class='INDUSTRIAL' and c_status='NO_RECENT_EVENT' and alert_level='CRITICAL'")
+def viewport_filtered(spark, sf_dir):
+    """The viewport under equality filters, which are upper-cased; ALL filters nothing."""
+    return _viewport(spark, sf_dir, a_class="industrial", b_state="all", c_status="no_recent_event", severity="Critical").select("site_id", "a_class", "b_state", "c_status", "alert_level")
+
+
+@register(*_VIEW_TABLES, sql=_VIEW + " select count(*) filter (b_state in ('NEW','PERSISTENT')) as chosen, count(*) as every from vp")
+def visible_sites(spark, sf_dir):
+    """Sites that a choice of states shows, and those that an empty choice shows."""
+    found = _viewport(spark, sf_dir)
+    return found.agg(F.count_if(serving.selected(F.col("b_state"), ["NEW", "PERSISTENT"])).alias("chosen"), F.count_if(serving.selected(F.col("b_state"), [])).alias("every"))
+
+
+@register(*_VIEW_TABLES, sql=_VIEW + " select b_state, count(*) filter (a_class='INDUSTRIAL') as INDUSTRIAL, count(*) filter (a_class='UNKNOWN') as UNKNOWN, count(*) filter (a_class='NONINDUSTRIAL') as NONINDUSTRIAL, count(*) filter (a_class='UNAVAILABLE') as UNAVAILABLE from vp group by 1")
+def viewport_classes(spark, sf_dir):
+    """Loaded sites by state and class, a column for each class."""
+    return _viewport(spark, sf_dir).groupBy("b_state").pivot("a_class", ["INDUSTRIAL", "UNKNOWN", "NONINDUSTRIAL", "UNAVAILABLE"]).agg(F.count(F.lit(1))).na.fill(0)
+
+
+@register("detections", sql=f"--with {SCORED}, d as (select * from daily where acq_date <= date '{CUTOFF}'), w as (select site_id, count(*) as total_active_days, min(acq_date) as first_date, max(acq_date) as last_date from d group by site_id) select d.site_id, d.acq_date, d.detections, round(d.mean_frp,6) as mean_frp, s.level, round(s.c_score,6) as c_score, w.total_active_days, w.first_date, w.last_date from d left join scored s using (site_id, acq_date) join w using (site_id)")
 def site_timeline(spark, sf_dir):
-    days = _daily(spark, sf_dir)
-    scored = anomaly.signals(days).select("site_id", "acq_date", F.when(F.col("scored"), "SCORED").otherwise("INSUFFICIENT_HISTORY").alias("level"), F.round("intensity", 6).alias("c_score"))
-    return serving.timeline(days, scored, CUTOFF).select("site_id", "acq_date", "detections", *r6("mean_frp"), "level", "c_score", "total_active_days", "first_date", "last_date")
+    return serving.timeline(_daily(spark, sf_dir), _scored(spark, sf_dir), CUTOFF).select("site_id", "acq_date", "detections", *r6("mean_frp"), "level", "c_score", "total_active_days", "first_date", "last_date")
 
 
 @register("alerts", "sites", "a_history", sql=f"--with {IDENTITY.format(where='')} select alert_id, site_id, site_day, alert_level, status, round(latitude,6) as latitude, round(longitude,6) as longitude, class as a_class from (select l.*, s.latitude, s.longitude, a.class from alerts l join sites s using (site_id) left join a_now a using (site_id) where status='ACTIVE') order by updated_at desc, alert_id desc limit 500")
@@ -308,18 +362,65 @@ def firms_layer(spark, sf_dir):
 
 
 _REPLAY = f"""--with {IDENTITY.format(where=f"where as_of <= date '{CUTOFF}'")}, {STATES}, {SCORED},
-lastc as (select site_id, max(acq_date) as c_date, arg_max(level,acq_date) as lv, arg_max(c_score,acq_date) as sc from scored where acq_date <= date '{CUTOFF}' group by site_id),
-c as (select site_id, case when date '{CUTOFF}'-c_date>30 then 'NO_RECENT_EVENT' else lv end as c_status, case when date '{CUTOFF}'-c_date<=30 then sc end as c_score from lastc),
+{LAST_C},
 j as ({DECIDED} (select b.site_id, b.state, b.confidence, b.last_date as latest_seen, a.decision, a.class as a_class, a.p_core, coalesce(c.c_status,'UNAVAILABLE') as c_status, coalesce(c.c_status,'UNAVAILABLE') as level, c.c_score from sites p join states b using (site_id) left join a_now a using (site_id) left join c using (site_id))),
 o as (select *, {_case(1, 'NO_ALERT')} as t0, {_case(2, 'NONE')} as l0 from j), f as (select *, decision is not null and c_status not in ('NO_RECENT_EVENT','UNAVAILABLE') and l0 not in ('NONE','INFO') as shown from o)
-select site_id, a_class, round(p_core,4) as p_core, state as b_state, confidence, c_status, latest_seen, case when shown then t0 end as alert_type, case when shown then l0 end as alert_level from f"""
+select site_id, a_class, round(p_core,4) as p_core, state as b_state, confidence, c_status, round(c_score,4) as c_score, latest_seen, case when shown then t0 end as alert_type, case when shown then l0 end as alert_level from f"""
 
 
 @register("sites", "a_history", "detections", sql=_REPLAY)
 def replay_snapshot(spark, sf_dir):
     d = view(spark, sf_dir, "detections")
     scored = anomaly.anomaly_score(daily.daily_activity(d), CALIBRATION_END)
-    return serving.replay(view(spark, sf_dir, "sites"), d, view(spark, sf_dir, "a_history"), scored, CUTOFF).drop("c_score")
+    return serving.replay(view(spark, sf_dir, "sites"), d, view(spark, sf_dir, "a_history"), scored, CUTOFF)
+
+
+def _replayed(spark, sf_dir):
+    d = view(spark, sf_dir, "detections")
+    return serving.replay(view(spark, sf_dir, "sites"), d, view(spark, sf_dir, "a_history"), anomaly.anomaly_score(daily.daily_activity(d), CALIBRATION_END), CUTOFF)
+
+
+@register("sites", "a_history", "detections", sql=_REPLAY.replace("\n    select", " select").replace("select site_id, a_class, round(p_core,4)", ", r as (select site_id, a_class, round(p_core,4)", 1) + ") select site_id, b_state, c_status, latest_seen, (select count(*) from r) as total_count, (select count(*) from r)>100 as truncated from r order by latest_seen desc, site_id limit 100")
+def replay_page(spark, sf_dir):
+    """The first hundred rows of the replay, with the number of all."""
+    return serving.replay_page(cut(_replayed(spark, sf_dir)), 100).select("site_id", "b_state", "c_status", "latest_seen", "total_count", "truncated")
+
+
+SITE = "SITE_0000074"
+
+
+@register("sites", "a_history", "detections", sql=_REPLAY + f" where site_id='{SITE}'")
+def site_detail_as_of(spark, sf_dir):
+    """One site as it was known on a date."""
+    one = lambda n: view(spark, sf_dir, n).where(F.col("site_id") == SITE)
+    # the ranks are against all sites' days, so the anomaly result is made from every site before one is taken
+    return serving.replay(one("sites"), one("detections"), one("a_history"), _scored(spark, sf_dir).where(F.col("site_id") == SITE), CUTOFF)
+
+
+@register("sites", "a_history", "detections", "alerts", sql=f"--with {IDENTITY.format(where='')}, {STATES}, {SCORED}, {LAST_C}, t as (select * from alerts where status='ACTIVE' order by created_at desc, alert_id desc) select s.site_id, a.class, a.decision, b.state, b.last_date, c.c_status, round(c.c_score,6) as c_score, t.alert_id, t.alert_level from sites s left join a_now a using (site_id) left join states b using (site_id) left join c using (site_id) left join (select * from (select *, row_number() over (partition by site_id order by created_at desc, alert_id desc) as rn from alerts where status='ACTIVE') where rn=1) t using (site_id) where site_id='{SITE}'")
+def site_detail(spark, sf_dir):
+    """One site with all its present results; its alert is the active one created last."""
+    a, b = _identity_and_state(spark, sf_dir)
+    c = anomaly.latest_status(_scored(spark, sf_dir), CUTOFF)
+    found = serving.detail(view(spark, sf_dir, "sites"), a.select("site_id", "class", "decision"), b.select("site_id", "state", "last_date"), c, view(spark, sf_dir, "alerts"), SITE)
+    return found.select("site_id", "class", "decision", "state", "last_date", "c_status", F.round("c_score", 6).alias("c_score"), "alert_id", "alert_level")
+
+
+@register("detections", sql=f" select site_id, acq_date, acq_time, frp from detections where site_id='{SITE}' and acq_date <= date '{CUTOFF}' order by acq_date desc, acq_time desc, latitude, longitude limit 1000")
+def recent_site_detections(spark, sf_dir):
+    return serving.recent_detections(view(spark, sf_dir, "detections"), SITE, CUTOFF).select("site_id", "acq_date", "acq_time", "frp")
+
+
+@register("a_history", "detections", "alerts", sql=f"--with {IDENTITY.format(where='')}, {STATES}, {SCORED}, {LAST_C}, k as ({' union all '.join(f"select '{m}' as model, unnest({list(x)}) as category" for m, x in serving.CATEGORIES.items())}), n as (select 'a' as model, class as category, count(*) as n from a_now group by 2 union all select 'b', state, count(*) from states group by 2 union all select 'c', c_status, count(*) from c group by 2 union all select 'alert', alert_level, count(*) from alerts where status='ACTIVE' group by 2) select model, category, coalesce(n,0) as n from k left join n using (model, category)")
+def model_counts(spark, sf_dir):
+    a, b = _identity_and_state(spark, sf_dir)
+    return serving.model_counts(a, b, anomaly.latest_status(_scored(spark, sf_dir), CUTOFF), view(spark, sf_dir, "alerts"))
+
+
+@register("a_history", "detections", sql=f"--with {IDENTITY.format(where='')}, {STATES}, {SCORED}, {LAST_C} select site_id, class, state, c_status from c join a_now using (site_id) join states using (site_id) where c_status in ('ELEVATED','ANOMALOUS','CRITICAL') or state='REACTIVATED'")
+def raised_or_reactivated(spark, sf_dir):
+    a, b = _identity_and_state(spark, sf_dir)
+    return serving.raised_or_reactivated(a, b, anomaly.latest_status(_scored(spark, sf_dir), CUTOFF)).select("site_id", "class", "state", "c_status")
 
 
 # -- space ----------------------------------------------------------------------------------------------------------------
@@ -333,7 +434,7 @@ def evidence_events(spark, sf_dir):
     return spatial.events_near(view(spark, sf_dir, "sites"), view(spark, sf_dir, "event_evidence"), "1998-06-15", 7).withColumn("distance_m", F.round("distance_m", 3))
 
 
-_POINTS = "pts as (select min(ingest_id*10+ingest_line) as pid, latitude, longitude from detections where acq_date>=date '2001-01-01' group by latitude, longitude)"
+_POINTS = "pts as (select min(ingest_id*10+ingest_line) as pid, latitude, longitude from detections group by latitude, longitude)"
 
 
 def _points(spark, sf_dir):
@@ -342,8 +443,8 @@ def _points(spark, sf_dir):
 
 
 _PTS = _POINTS + ", points as (select pid, min(latitude) as latitude, min(longitude) as longitude from pts group by pid)"
-_PAIRS = _PTS + f", pairs as (select a.pid as a, b.pid as b, {HAVERSINE.format(a='a', b='b')} as d from points a join points b on floor(a.latitude/0.05)=floor(b.latitude/0.05) or true where abs(a.latitude-b.latitude)<0.007 and abs(a.longitude-b.longitude)<0.0095 and {HAVERSINE.format(a='a', b='b')} <= 750)"
-_PAIRS = _PAIRS.replace("on floor(a.latitude/0.05)=floor(b.latitude/0.05) or true where abs(a.latitude-b.latitude)<0.007", "on b.latitude between a.latitude-0.007 and a.latitude+0.007 where true")
+# pairs meet by rows of latitude: a point's own and the two beside it, each once
+_PAIRS = _PTS + f", banded as (select *, cast(floor(latitude/0.007) as bigint) as band from points), dealt as (select *, band+unnest([-1,0,1]) as meets from banded), pairs as (select a.pid as a, b.pid as b, {HAVERSINE.format(a='a', b='b')} as d from dealt a join banded b on a.meets=b.band where abs(a.longitude-b.longitude)<0.0095 and {HAVERSINE.format(a='a', b='b')} <= 750)"
 
 
 @register("detections", sql=f"--with {_PAIRS} select a as pid, count(*) as neighbors, round(max(d),3) as farthest_m from pairs group by a")
@@ -352,7 +453,7 @@ def spatial_neighbors(spark, sf_dir):
 
 
 _DBSCAN = f"""--with {_PAIRS}, cores as (select a as pid from pairs group by a having count(*)>=3), cc as (select p.a, p.b, p.d from pairs p join cores x on x.pid=p.a join cores y on y.pid=p.b),
-reach as (select a as pid, b as root from cc union select r.pid, c.b from reach r join cc c on c.a=r.root), roots as (select pid, min(root) as cluster from reach group by pid),
+seeds as (select min(a) as least from cc), reach as (select a as pid, min(b) as root, 0 as n from cc group by a union all select pid, root, n+1 from (select x.pid, min(r.root) as root, max(r.n) as n, bool_or(r.root<x.root) as moved from reach x join cc c on c.a=x.pid join reach r on r.pid=c.b group by x.pid) where n<60), roots as (select pid, min(root) as cluster from reach group by pid),
 border as (select pid, cluster from (select p.a as pid, r.cluster, row_number() over (partition by p.a order by p.d, r.cluster) as rn from pairs p join roots r on r.pid=p.b where p.a not in (select pid from cores)) where rn=1)
 select pt.pid, coalesce(r.cluster,b.cluster) as cluster, case when r.pid is not null then 'CORE' when b.pid is not null then 'BORDER' else 'NOISE' end as role from points pt left join roots r using (pid) left join border b on b.pid=pt.pid"""
 
@@ -384,17 +485,17 @@ def cross_delivery_dedup(spark, sf_dir):
     return audit.without_redeliveries(view(spark, sf_dir, "redelivery")).groupBy("source_sensor").agg(F.count("*").alias("kept"))
 
 
-_PROMO = " select candidate_id, count(*) filter (retained) as kept from candidate_members where promoted_site_id is not null group by 1 having count(*) filter (retained) < 4"
+_PROMO = " select candidate_id, count(*) filter (retained) as kept from candidate_members where promoted_site_id is not null group by 1 having count(*) filter (retained) < 3"
 
 
 @register("candidate_members", sql=_PROMO)
 def invalid_promotions_having(spark, sf_dir):
-    return audit.invalid_promotions(view(spark, sf_dir, "candidate_members"), least=4)
+    return audit.invalid_promotions(view(spark, sf_dir, "candidate_members"))
 
 
 @register("redelivery", "candidate_members", sql=_DUP + f", bad as ({_PROMO}) select site_id from dup union select promoted_site_id from candidate_members where promoted_site_id is not null and candidate_id in (select candidate_id from bad)")
 def affected_sites_union(spark, sf_dir):
-    return audit.affected_sites(audit.delivery_duplicates(view(spark, sf_dir, "redelivery")), view(spark, sf_dir, "candidate_members"), least=4)
+    return audit.affected_sites(audit.delivery_duplicates(view(spark, sf_dir, "redelivery")), view(spark, sf_dir, "candidate_members"))
 
 
 @register("detections", "a_history", sql=" select site_id, as_of as acq_date, count(*) as n_rows from a_history a where not exists (select 1 from detections d where d.site_id=a.site_id and d.acq_date=a.as_of) group by 1,2")
@@ -430,7 +531,7 @@ def backfill_windows(spark, sf_dir):
     return windows.request_windows(spans).select("source", "window_start", "n_days")
 
 
-@register("coverage_windows", sql="--with sub as (select * from coverage_windows where window_id%11=0), c as (select *, max(window_end) over (partition by source order by window_start, window_end rows between unbounded preceding and 1 preceding) as covered from sub) select distinct source, cast(covered+1 as date) as gap_start, cast(window_start-1 as date) as gap_end from c where window_start>covered+1")
+@register("coverage_windows", sql="--with c as (select *, max(window_end) over (partition by source order by window_start, window_end rows between unbounded preceding and 1 preceding) as covered from coverage_windows) select distinct source, cast(covered+1 as date) as gap_start, cast(window_start-1 as date) as gap_end from c where window_start>covered+1")
 def coverage_gaps(spark, sf_dir):
     return windows.coverage_gaps(view(spark, sf_dir, "coverage_windows"))
 
@@ -462,9 +563,9 @@ def alert_burden_summary(spark, sf_dir):
 _CLASS = "case when p_core>=0.885 then 'INDUSTRIAL' when p_core>=0.405 then case when coalesce(p_visual>=0.965,false) then 'INDUSTRIAL' else 'UNKNOWN' end else 'NONINDUSTRIAL' end"
 
 
-@register("alerts", "a_history", sql=f"--with m as (select l.alert_id, l.site_id, h.as_of, {_CLASS} as class, h.inference_id from (select * from alerts where alert_level='CRITICAL') l left join a_history h on h.site_id=l.site_id and h.as_of<=l.site_day), r as (select *, row_number() over (partition by alert_id order by as_of desc nulls last, inference_id desc nulls last) as rn from m) select alert_id, site_id, as_of, case when as_of is not null then class end as class from r where rn=1 and (as_of is null or class<>'INDUSTRIAL')")
+@register("alerts", "a_history", sql=f"--with m as (select l.alert_id, l.site_id, h.as_of, {_CLASS} as class, h.inference_id from alerts l left join a_history h on h.site_id=l.site_id and h.as_of<=l.site_day), r as (select *, row_number() over (partition by alert_id order by as_of desc nulls last, inference_id desc nulls last) as rn from m) select alert_id, site_id, as_of, case when as_of is not null then class end as class from r where rn=1 and (as_of is null or class<>'INDUSTRIAL')")
 def claim_violations_asof(spark, sf_dir):
-    return audit.claims_as_of(view(spark, sf_dir, "alerts").where("alert_level = 'CRITICAL'"), view(spark, sf_dir, "a_history"))
+    return audit.claims_as_of(view(spark, sf_dir, "alerts"), view(spark, sf_dir, "a_history"))
 
 
 _CONSENSUS = """done as (select *, lag(reviewed_by) over w as pb, lag(determination) over w as pd, lag(confidence) over w as pc from reviews where review_status='COMPLETED' window w as (partition by site_id order by reviewed_at, review_id)),
@@ -492,3 +593,205 @@ def review_export(spark, sf_dir):
 def global_stats(spark, sf_dir):
     b = temporal.timeline(view(spark, sf_dir, "detections"), CUTOFF)
     return b.agg(F.count("*").alias("sites"), F.max("last_date").alias("last_date"), F.count_if(F.col("days_since_last") <= 30).alias("active_30d"))
+
+
+# -- keyed writes: alerts with even numbers are stored, those with a number divisible by three come in resolved -------------
+def _stored_and_new(spark, sf_dir):
+    alerts = view(spark, sf_dir, "alerts").select("alert_id", "site_id", "status", "alert_level", "seq")
+    return alerts.where("seq % 2 = 0"), alerts.where("seq % 3 = 0").withColumn("status", F.when(F.col("seq") % 5 == 0, F.col("status")).when(F.col("seq") % 7 > 0, "RESOLVED"))
+
+
+_STORE = "--with stored as (select alert_id, site_id, status, alert_level from alerts where seq%2=0), incoming as (select alert_id, site_id, case when seq%5=0 then status when seq%7>0 then 'RESOLVED' end as status, alert_level from alerts where seq%3=0) "
+
+
+@register("alerts", sql=_STORE + "select alert_id, status, alert_level from stored where alert_id not in (select alert_id from incoming) union all select alert_id, status, alert_level from incoming")
+def alerts_upserted(spark, sf_dir):
+    old, new = _stored_and_new(spark, sf_dir)
+    return upsert.upsert(old, new, ["alert_id"]).select("alert_id", "status", "alert_level")
+
+
+@register("alerts", sql=_STORE + "select alert_id, status from incoming where alert_id not in (select alert_id from stored)")
+def alerts_inserted(spark, sf_dir):
+    old, new = _stored_and_new(spark, sf_dir)
+    return upsert.insert_absent(old, new, ["alert_id"]).select("alert_id", "status")
+
+
+@register("alerts", sql=_STORE + "select alert_id, status from stored where alert_id not in (select alert_id from incoming)")
+def alerts_deleted(spark, sf_dir):
+    old, new = _stored_and_new(spark, sf_dir)
+    return upsert.delete(old, new, ["alert_id"]).select("alert_id", "status")
+
+
+@register("alerts", sql=_STORE + "select s.alert_id, case when i.alert_id is null then s.status else i.status end as status from stored s left join incoming i using (alert_id)")
+def alerts_updated(spark, sf_dir):
+    """Statuses taken from what comes in, null ones too."""
+    old, new = _stored_and_new(spark, sf_dir)
+    return upsert.update_from(old, new, ["alert_id"], ["status"]).select("alert_id", "status")
+
+
+@register("alerts", sql=_STORE + "select i.alert_id, i.status from incoming i join stored s using (alert_id) where i.status is distinct from s.status")
+def alerts_changed(spark, sf_dir):
+    old, new = _stored_and_new(spark, sf_dir)
+    return upsert.changed(old, new, ["alert_id"]).select("alert_id", "status")
+
+
+@register("alerts", sql=" select alert_id, case when seq%4=0 and status='ACTIVE' then 'ACKNOWLEDGED' else status end as status, case when seq%4=0 and status='ACTIVE' then 'operator' end as acknowledged_by from alerts")
+def alerts_acknowledged(spark, sf_dir):
+    alerts = view(spark, sf_dir, "alerts")
+    return serving.acknowledge(alerts, alerts.where("seq % 4 = 0"), "operator", "2024-02-01 00:00:00").select("alert_id", "status", "acknowledged_by")
+
+
+@register("reviews", "alerts", sql=f"--with {_CONSENSUS} select alert_id, case when l.site_id in (select site_id from ledger where consensus='VERIFIED') then 'RESOLVED' else status end as status from alerts l")
+def alerts_resolved_by_review(spark, sf_dir):
+    return review.resolved_alerts(view(spark, sf_dir, "alerts"), view(spark, sf_dir, "reviews")).select("alert_id", "status")
+
+
+# -- reviews ---------------------------------------------------------------------------------------------------------------
+_REFS = "list_sort(list_distinct(list_filter(list_transform(string_split({0},','), lambda x: upper(trim(x))), lambda x: x<>'')))"
+
+
+@register("review_requests", sql=f"--with q as (select *, {_REFS.format('evidence_text')} as refs, {_REFS.format('reason_text')} as codes, review_status='COMPLETED' as done from review_requests) select request_id, array_to_string(refs,',') as refs, case when a_class<>'UNKNOWN' then 'site is not UNKNOWN' when review_status not in ('IN_REVIEW','COMPLETED','ESCALATED') then 'unknown status' when done and coalesce(determination,'') not in ('INDUSTRIAL','NONINDUSTRIAL','REMAIN_UNKNOWN') then 'determination' when done and coalesce(confidence,'') not in ('HIGH','MEDIUM','LOW') then 'confidence' when done and coalesce(len(refs),0)=0 then 'evidence' when done and not coalesce(list_contains(codes,'EVIDENCE_REVIEWED'),false) then 'reason' when not done and (determination is not null or confidence is not null) then 'not completed' end as error from q")
+def review_validation(spark, sf_dir):
+    """What is wrong with each review that was sent in, after its references and reasons are put in order."""
+    asked = view(spark, sf_dir, "review_requests").withColumn("evidence_refs", normalize.sorted_refs(F.col("evidence_text"))).withColumn("reason_codes", normalize.sorted_refs(F.col("reason_text")))
+    return review.validate(asked).select("request_id", F.array_join("evidence_refs", ",").alias("refs"), "error")
+
+
+# -- planning, bundles and repair --------------------------------------------------------------------------------------------
+@register("coverage_windows", sql=" select p.window_id from coverage_windows p where not exists (select 1 from coverage_windows a where a.status='COMPLETED' and a.source=p.source and a.window_start<=p.window_start and a.window_end>=p.window_end)")
+def uncovered_windows(spark, sf_dir):
+    w = view(spark, sf_dir, "coverage_windows").withColumnRenamed("source", "family")
+    return windows.uncovered(w, w).select("window_id")
+
+
+@register("coverage_windows", sql="--with av as (select data_id, min(window_start) as lo, case when data_id='2-HIGH' then date '1995-06-30' else max(window_start) end as hi from coverage_windows group by 1), days as (select cast(unnest(generate_series(date '1995-01-01', date '1996-12-31', interval 1 day)) as date) as day), ch as (select day, list_sort(list([case when data_id='2-HIGH' then '0' else '1' end, data_id]))[1][2] as source from days join av on day between lo and hi group by day), m as (select *, case when source=lag(source) over (order by day) then 0 else 1 end as fresh from ch), isl as (select *, sum(fresh) over (order by day) as island from m), sp as (select source, min(day) as s, max(day) as e from isl group by source, island) select source, cast(unnest(generate_series(s, e, interval 5 day)) as date) as window_start, cast(least(5, e - cast(unnest(generate_series(s, e, interval 5 day)) as date) + 1) as bigint) as n_days from sp")
+def backfill_plan(spark, sf_dir):
+    """Request windows over two years, each from one source; the preferred one ends halfway and is bridged."""
+    w = view(spark, sf_dir, "coverage_windows")
+    spans = w.groupBy("data_id").agg(F.min("window_start").alias("min_date"), F.max("window_start").alias("max_date"))
+    spans = spans.withColumn("max_date", F.when(F.col("data_id") == "2-HIGH", F.lit("1995-06-30").cast("date")).otherwise(F.col("max_date")))
+    return windows.plan_sources(spark, spans, "1995-01-01", "1996-12-31", prefer="2-HIGH").withColumn("n_days", F.col("n_days").cast("long"))
+
+
+@register("raw_records", sql=_NORMAL + " select count(*) as records, count(*) filter (not coalesce(acq_date between date '1995-01-01' and date '1995-12-31', false)) as outside from norm")
+def payload_window_check(spark, sf_dir):
+    """Records outside the window that was asked for (an unreadable date is outside)."""
+    records = normalize.normalize(view(spark, sf_dir, "raw_records"))
+    outside = windows.outside_window(records, "1995-01-01", "1995-12-31").agg(F.count("*").alias("outside"))
+    return records.agg(F.count("*").alias("records")).join(outside)  # a row on each side
+
+
+_SNAP = "--with d as (select scenario_key, cast(unnest(generate_series(start_date, end_date, interval 1 day)) as date) as day from scenarios), s as (select *, extract(day from day) as n from d) "
+
+
+@register("scenarios", sql=_SNAP + "select scenario_key as scenario_id, count(*) as expected, count(*) filter (n%7=0) as missing, count(*) filter (n%7<>0 and n%5=0) as invalid, count(*) filter (n%7=0)=0 and count(*) filter (n%7<>0 and n%5=0)=0 as complete from s group by 1")
+def demo_bundle_status(spark, sf_dir):
+    """Expected, missing and invalid snapshots of each scenario: days divisible by seven are missing, of others those divisible by five invalid."""
+    scenarios = view(spark, sf_dir, "scenarios").drop("scenario_id").withColumnRenamed("scenario_key", "scenario_id")
+    snapshots = windows.scenario_days(scenarios).where("day(day) % 7 <> 0").withColumn("valid", F.expr("day(day) % 5 <> 0"))
+    return windows.bundle_status(scenarios, snapshots)
+
+
+@register("scenarios", sql=" select scenario_key from (select *, count(*) over (partition by scenario_id)>1 as twice from scenarios) where twice or not focal_date between start_date and end_date or west>=east or south>=north")
+def invalid_scenarios(spark, sf_dir):
+    return windows.invalid_scenarios(view(spark, sf_dir, "scenarios")).select("scenario_key")
+
+
+@register("redelivery", sql=_DUP + ", kept as (select * from redelivery where detection_id not in (select detection_id from dup)) select site_id, acq_date, count(*) as detections, round(avg(coalesce(frp,0.0)),6) as mean_frp, max(coalesce(frp,0.0)) as max_frp from kept group by 1,2")
+def repaired_days(spark, sf_dir):
+    """Site-days after re-deliveries are taken out and the days that held one are made anew."""
+    d = view(spark, sf_dir, "redelivery")
+    _, days = audit.repair_deliveries(d, daily.daily_activity(d))
+    return days.select("site_id", "acq_date", "detections", *r6("mean_frp"), "max_frp")
+
+
+@register("candidate_members", "sites", sql=f"--with bad as ({_PROMO}), made as (select promoted_site_id as site_id, bool_and(candidate_id in (select candidate_id from bad)) as gone from candidate_members where promoted_site_id is not null group by 1) select 'members' as part, count(*) filter (promoted_site_id is not null and candidate_id not in (select candidate_id from bad)) as n from candidate_members union all select 'sites', count(*) from sites where site_id not in (select site_id from made where gone)")
+def repaired_promotions(spark, sf_dir):
+    """Members that still belong to a site, and sites that stay, after invalid promotions are taken back."""
+    members, sites = audit.repair_promotions(view(spark, sf_dir, "candidate_members"), view(spark, sf_dir, "sites").select("site_id"))
+    return members.agg(F.count("promoted_site_id").alias("n")).select(F.lit("members").alias("part"), "n").unionByName(sites.agg(F.count("*").alias("n")).select(F.lit("sites").alias("part"), "n"))
+
+
+@register("candidate_members", "a_history", sql=f"--with bad as ({_PROMO}), gone as (select distinct promoted_site_id as site_id from candidate_members where candidate_id in (select candidate_id from bad)) select count(*) as n_rows, count(distinct site_id) as sites from a_history where site_id not in (select site_id from gone)")
+def repair_cascade(spark, sf_dir):
+    """Identity history without the sites of invalid promotions."""
+    members = view(spark, sf_dir, "candidate_members")
+    gone = members.join(audit.invalid_promotions(members).select("candidate_id"), "candidate_id", "left_semi").select(F.col("promoted_site_id").alias("site_id"))
+    kept = audit.repair_cascade(gone, history=view(spark, sf_dir, "a_history"))["history"]
+    return kept.agg(F.count("*").alias("n_rows"), F.count_distinct("site_id").alias("sites"))
+
+
+@register("scenarios", "alerts", "sites", sql=" select 'twice' as test, count(*) as n from (select scenario_id from scenarios group by 1 having count(*)>1) union all select 'no site', count(*) from alerts where site_id not in (select site_id from sites)")
+def integrity_checks(spark, sf_dir):
+    """Keys that aren't unique, and alerts of unknown sites."""
+    twice = audit.broken_keys(view(spark, sf_dir, "scenarios"), ["scenario_id"]).agg(F.count("*").alias("n")).select(F.lit("twice").alias("test"), "n")
+    lost = audit.broken_references(view(spark, sf_dir, "alerts"), "site_id", view(spark, sf_dir, "sites")).agg(F.count("*").alias("n")).select(F.lit("no site").alias("test"), "n")
+    return twice.unionByName(lost)
+
+
+# -- identity features, evidence and text ------------------------------------------------------------------------------------
+_COVER = "cover as (select site_id, " + ", ".join(f"count(*) filter (code={c})/nullif(count(*) filter (code>0),0) as {n}_fraction" for c, n in features.LAND_COVER.items()) + " from pixels group by site_id)"
+_RECUR = "rd as (select site_id, acq_date, count(*) as n from detections group by all), rg as (select *, acq_date - lag(acq_date) over (partition by site_id order by acq_date) as gap, max(acq_date) over (partition by site_id) as last from rd), recur as (select site_id, sum(n) as detections, count(*) as active_days, greatest(1,max(acq_date)-min(acq_date)+1) as source_lifetime_days, count(*) filter (last-acq_date<7) as active_days_7, count(*) filter (last-acq_date<30) as active_days_30, count(*) filter (last-acq_date<90) as active_days_90, count(*) filter (last-acq_date<365) as active_days_365, avg(gap) as mean_recurrence_gap_days, median(gap) as median_recurrence_gap_days, sum(n)/count(*) as detections_per_active_day from rg group by site_id)"
+_SPREAD = "sm as (select d.site_id, sqrt(pow(radians(d.longitude-s.longitude)*cos(radians(s.latitude))*6371008.8,2)+pow(radians(d.latitude-s.latitude)*6371008.8,2)) as x from detections d join sites s using (site_id)), spread as (select site_id, quantile_cont(x,0.5) as spatial_median_m, quantile_cont(x,0.9) as spatial_p90_m, stddev_pop(x) as spatial_std_m from sm group by site_id)"
+_VECTOR = f"--with {_THERMAL}, {_RECUR}, {_SPREAD}, {_COVER}, vec as (select t.site_id, frp_mean as mean_frp, frp_median as median_frp, frp_max as max_frp, frp_std as std_frp, frp_std/greatest(frp_mean,1e-6) as frp_cv, frp_p10, frp_p25, frp_p75, frp_p90, frp_p75-frp_p25 as frp_iqr, night_ratio, r.* exclude (site_id), s.* exclude (site_id), c.* exclude (site_id) from thermal t join recur r using (site_id) join spread s using (site_id) left join cover c using (site_id))"
+
+
+def _vectors(spark, sf_dir):
+    return features.identity_vector(view(spark, sf_dir, "detections"), view(spark, sf_dir, "sites"), view(spark, sf_dir, "pixels"))
+
+
+@register("detections", "sites", "pixels", sql=_VECTOR + f" select site_id, {', '.join(f'round(cast({n} as double),4) as {n}' for n in FEATURES)} from vec")
+def identity_features(spark, sf_dir):
+    """The identity model's features of each site, in its order."""
+    return _vectors(spark, sf_dir).select("site_id", *[F.round(n, 4).alias(n) for n in FEATURES])
+
+
+@register("detections", "sites", "pixels", sql=_VECTOR + ", chosen as (select * from vec order by sha256(site_id) limit 100) select site_id, 'max_frp' as feature, round(max_frp,6) as found, round(max_frp+0.5,6) as expected from chosen where max_frp>=40")
+def golden_features(spark, sf_dir):
+    """The golden check against expected values of which one feature is off wherever it is 40 or more."""
+    found = cut(_vectors(spark, sf_dir))
+    expected = found.withColumn("max_frp", F.when(F.col("max_frp") >= 40, F.col("max_frp") + 0.5).otherwise(F.col("max_frp")))
+    return features.golden(found, expected, list(FEATURES)).select("site_id", "feature", *r6("found", "expected"))
+
+
+@register("detections", "sites", "pixels", sql=_VECTOR + " select site_id, round(1/(1+exp(-(1.5*night_ratio+0.8*ln(1+detections)-0.6*coalesce(frp_cv,0.0)-2.0))),6) as p_core from vec")
+def identity_scores(spark, sf_dir):
+    """The stand-in scorer over the ordered features; another order would be an error."""
+    return identity.score(_vectors(spark, sf_dir), list(FEATURES)).select("site_id", *r6("p_core"))
+
+
+@register("sites", "a_history", sql=" select site_id from sites intersect select site_id from a_history")
+def common_sites(spark, sf_dir):
+    return view(spark, sf_dir, "sites").select("site_id").intersect(view(spark, sf_dir, "a_history").select("site_id"))
+
+
+@register("sites", "facilities", sql=f" select s.site_id, f.evidence_id, round({HAVERSINE.format(a='s', b='f')},3) as distance_m from sites s join facilities f on abs(s.latitude-f.latitude)<0.1 and abs(s.longitude-f.longitude)<0.2 where {HAVERSINE.format(a='s', b='f')} <= 10000 order by distance_m, s.site_id, f.evidence_id limit 200")
+def nearest_evidence(spark, sf_dir):
+    """The two hundred nearest pairs of site and facility."""
+    found = spatial.facilities_near(view(spark, sf_dir, "sites"), view(spark, sf_dir, "facilities")).withColumn("distance_m", F.round("distance_m", 3))
+    return found.orderBy("distance_m", "site_id", "evidence_id").limit(200)
+
+
+@register("pixels", sql=" select site_id, round(x,6) as cloud_fraction from (select site_id, avg(case when fmask&31<>0 or fmask=255 then 1.0 else 0.0 end) as x from pixels group by site_id) where x<=0.25")
+def clear_sites(spark, sf_dir):
+    """Sites whose imagery isn't rejected for cloud."""
+    return features.cloud_fraction(view(spark, sf_dir, "pixels")).where("cloud_fraction <= 0.25").select("site_id", *r6("cloud_fraction"))
+
+
+@register("detections", sql=" select site_id, acq_date, count(*) as detections, round_even(avg(coalesce(frp,0.0)),2) as mean_frp, round_even(max(coalesce(frp,0.0)),2) as max_frp from detections group by 1,2")
+def daily_activity_rounded(spark, sf_dir):
+    return daily.daily_activity(view(spark, sf_dir, "detections"), rounded=True).select("site_id", "acq_date", "detections", "mean_frp", "max_frp")
+
+
+@register("sites", sql=" select site_id, sha256('v1|replay|2001-06-30|'||printf('%.5f,%.5f,%.5f,%.5f', longitude-1, latitude-1, longitude+1, latitude+1)||'|500') as name from sites")
+def cache_names(spark, sf_dir):
+    """The name under which each site's box is cached."""
+    box = [F.col("longitude") - 1, F.col("latitude") - 1, F.col("longitude") + 1, F.col("latitude") + 1]
+    return view(spark, sf_dir, "sites").select("site_id", normalize.cache_key("v1", "replay", F.lit(CUTOFF).cast("date"), box, F.lit(500)).alias("name"))
+
+
+@register("review_requests", sql=" select request_id, array_to_string(list_filter(list_transform(string_split(evidence_text,','), lambda x: trim(x)), lambda x: x<>''),'|') as parts, lower(trim(cast(request_id%2 as varchar))) in ('1','true','yes','y') as yes, regexp_replace(evidence_text,'[^A-Za-z0-9_.-]','_','g') as path, replace('key=abc123 at '||review_status,'abc123','***') as message from review_requests")
+def text_fields(spark, sf_dir):
+    """Comma lists, yes or no, path parts and messages without their secret."""
+    text = F.col("evidence_text")
+    return view(spark, sf_dir, "review_requests").select("request_id", F.array_join(normalize.comma_list(text), "|").alias("parts"), normalize.truthy(F.col("request_id") % 2).alias("yes"), normalize.safe_path(text).alias("path"), normalize.redacted(F.concat(F.lit("key=abc123 at "), "review_status"), "abc123").alias("message"))

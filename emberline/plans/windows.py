@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from emberline.operators.common import small
+
 
 def request_windows(spans: DataFrame, days: int = 5) -> DataFrame:
     """Spans (start, end) cut into windows of at most so many days: window_start, n_days."""
@@ -19,7 +21,7 @@ def plan_sources(spark: SparkSession, availability: DataFrame, start: str, end:
     """
     every = spark.range(1).select(F.explode(F.expr(f"sequence(date'{start}', date'{end}', interval 1 day)")).alias("day"))
     order = F.struct((F.col("data_id") != prefer).alias("p"), F.col("data_id").alias("data_id"))
-    chosen = every.join(F.broadcast(availability), F.col("day").between(F.col("min_date"), F.col("max_date")), "left").groupBy("day").agg(F.min(F.when(F.col("data_id").isNotNull(), order))["data_id"].alias("source"))
+    chosen = every.join(small(availability), F.col("day").between(F.col("min_date"), F.col("max_date")), "left").groupBy("day").agg(F.min(F.when(F.col("data_id").isNotNull(), order))["data_id"].alias("source"))
     checked = chosen.withColumn("source", F.coalesce("source", F.raise_error(F.concat(F.lit("no source for "), F.col("day").cast("string")))))
     order_days = Window.orderBy("day")  # one row for each day of the range
     marked = checked.withColumn("new", F.when(F.col("source") == F.lag("source").over(order_days), 0).otherwise(1))

@@ -48,7 +48,7 @@ def apply_batch(spark: SparkSession, root: str, records: DataFrame, as_of: str)
     all_days = cut(old_days.join(touched, ["site_id", "acq_date"], "left_anti").unionByName(days))
     history = all_days.join(sites, "site_id", "left_semi")
     states = temporal.temporal_state(history, as_of)
-    scores = anomaly.with_change(anomaly.signals(history))
+    scores = anomaly.signals(history)
     out = {"daily": all_days, "detections": detections}
     for name, part in (("states", states), ("anomalies", scores)):
         before = tables[name].read() if tables[name].exists() else spark.createDataFrame([], part.schema)

@@ -88,10 +88,26 @@ def test_short_history_has_no_score(spark):
     assert row["level"] == "INSUFFICIENT_HISTORY" and row["c_score"] is None
 
 
-def test_robust_baseline_of_a_list(spark):
-    row = one(spark, anomaly.robust(F.array(*[F.lit(float(x)) for x in (1, 9, 2, 8, 4)])).alias("r")).r
-    assert row.m == 4 and row.s == pytest.approx(1.4826 * 3)
-    assert one(spark, anomaly.robust(F.array().cast("array<double>")).alias("r")).r.m is None
+def test_robust_baseline_of_a_list(monkeypatch):
+    for most in (160, 0):  # all at once, and day by day
+        monkeypatch.setattr(anomaly, "MATRIX", most)
+        m, s = anomaly.prefix_robust(np.array([1.0, 9, 2, 8, 4]))
+        assert m[5] == 4 and s[5] == pytest.approx(1.4826 * 3) and math.isnan(m[0])
+        assert len(anomaly.prefix_robust(np.zeros(0))[0]) == 1
+    rng = np.random.default_rng(1)
+    values = np.round(rng.exponential(3, 300), 1)
+    both = []
+    for most in (1000, 0):
+        monkeypatch.setattr(anomaly, "MATRIX", most)
+        both.append(anomaly.prefix_robust(values))
+    assert np.allclose(both[0][0], both[1][0], equal_nan=True, rtol=0, atol=1e-12) and np.allclose(both[0][1], both[1][1], equal_nan=True, rtol=0, atol=1e-12)
+
+
+def test_a_site_with_very_many_days(spark):
+    n = 20_000
+    rows = spark.range(n).select(F.lit("S").alias("site_id"), F.date_add(F.lit("1960-01-01").cast("date"), F.col("id").cast("int")).alias("acq_date"), (F.col("id") % 7 + 1).alias("detections"), (F.col("id") % 13).cast("double").alias("mean_frp"), (F.col("id") % 17).cast("double").alias("max_frp"))
+    got = anomaly.signals(rows).agg(F.count("*"), F.count_if("scored"), F.max("history_days")).first()
+    assert tuple(got) == (n, n - 30, n - 1)
 
 
 def test_midrank_counts_equal_values_by_half(spark):
@@ -196,10 +212,10 @@ def test_feed_pages_by_time_and_id(spark):
 
 
 def test_coverage_gaps_read_every_window(spark, tmp_path):
-    orders = [(0, "A", "2001-01-01"), (11, "A", "2001-02-01"), (3, "A", "2001-01-02"), (14, "A", "2001-01-20"), (22, "B", "2001-01-01")]  # a window lasts window_id % 5 days more
-    spark.createDataFrame(orders, "o_orderkey long, o_orderpriority string, o_orderdate string").withColumn("o_orderdate", F.to_date("o_orderdate")).write.parquet(str(tmp_path / "orders.parquet"))
+    orders = [(0, 1, "A", "2001-01-01"), (11, 1, "A", "2001-02-01"), (3, 1, "A", "2001-01-02"), (14, 1, "A", "2001-01-20"), (22, 2, "B", "2001-01-01")]  # a window lasts window_id % 5 days more
+    spark.createDataFrame(orders, "o_orderkey long, o_custkey long, o_orderpriority string, o_orderdate string").withColumn("o_orderdate", F.to_date("o_orderdate")).write.parquet(str(tmp_path / "orders.parquet"))
     got = [tuple(map(str, r)) for r in catalog.coverage_gaps(spark, str(tmp_path)).orderBy("gap_start").collect()]
-    assert got == [("A", "2001-01-06", "2001-01-19"), ("A", "2001-01-25", "2001-01-31")]
+    assert got == [("CUST_1", "2001-01-06", "2001-01-19"), ("CUST_1", "2001-01-25", "2001-01-31")]
 
 
 def all_points(duck):
@@ -251,6 +267,6 @@ def test_sinks(spark, tmp_path):
 def test_empty_tables(spark):
     none = spark.createDataFrame([], "site_id string, acq_date date, detections long, mean_frp double, max_frp double")
     assert temporal.temporal_state(none, "2025-01-01").count() == 0
-    assert anomaly.with_change(anomaly.signals(none)).count() == 0
+    assert anomaly.signals(none).count() == 0
     points = spark.createDataFrame([], "detection_id string, latitude double, longitude double")
     assert spatial.cluster(points).count() == 0
