@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from emberline.llm.common import bucket_of, map_rows, partitions, range_buckets, shared_folder, text_of
+from emberline.llm.common import bucket_index, map_rows, partitions, range_buckets, shared_folder, text_of
 from emberline.llm.wordbpe import chunk_encoder
 
 MAGIC = b"DAC1"
@@ -109,10 +109,10 @@ def write_tokens(docs: DataFrame, tokenizer: str, folder: str, end_id: int = 1,
 
     def encode(rows: dict) -> dict:
         encoder = chunk_encoder(tokenizer)
-        return {key: rows[key], "ids": [encoder.ids(t).tobytes() for t in rows["text"]]}
+        return {key: rows[key], "ids": [encoder.ids(t).tobytes() for t in rows["text"]], "bucket": [bucket_index(k, bounds) for k in rows[key]]}
 
     wide = chunk_encoder(tokenizer).kind.str
-    packed = map_rows(texts, f"{key} long, ids binary", encode).withColumn("bucket", bucket_of(key, bounds).cast("int"))
+    packed = map_rows(texts, f"{key} long, ids binary, bucket int", encode)
     ordered = packed.repartition(len(bounds) + 1, "bucket").sortWithinPartitions("bucket", F.col(key).asc_nulls_first(), "ids")
     schema = pa.schema([("bucket", pa.int32()), ("part", pa.int32()), ("n_ids", pa.int64()), ("payload", pa.binary())])
 
