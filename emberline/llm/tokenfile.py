@@ -27,8 +27,10 @@ from emberline.llm.wordbpe import chunk_encoder
 MAGIC = b"DAC1"
 CHUNK_BITS = 8
 BLOCK = 512
-#: A file is closed once it holds this many ids, at the end of a document.
-FILE_IDS = 1 << 18
+#: A file is closed once it holds this many ids, at the end of a document. At about two bytes an id, a file stays below half a JVM heap region.
+FILE_IDS = 1 << 17
+#: Files are dense already: no compression or dictionary is tried, and a page is closed by its size, not after a hundred files at least.
+PARQUET = {"compression": "uncompressed", "parquet.enable.dictionary": "false", "parquet.page.size.row.check.min": "1", "parquet.page.size.row.check.max": "4"}
 
 
 def pack(ids: np.ndarray, starts: np.ndarray, keys: list[int | None]) -> bytes:
@@ -141,7 +143,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, folder: str, end_id: int = 1,
         if held:
             yield close()
 
-    ordered.mapInArrow(files, "bucket int, part int, n_ids long, payload binary").write.mode("overwrite").parquet(folder)
+    ordered.mapInArrow(files, "bucket int, part int, n_ids long, payload binary").write.mode("overwrite").options(**PARQUET).parquet(folder)
 
 
 def file_starts(spark: SparkSession, folder: str) -> DataFrame:
