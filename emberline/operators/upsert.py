@@ -60,10 +60,14 @@ class VersionedTable:
     def exists(self) -> bool:
         return self._fs.exists(self._pointer())
 
-    def write(self, df: DataFrame) -> str:
-        """Writes a version, then makes it the one in force; readers see the old one or the new one whole."""
+    def stage(self, df: DataFrame) -> str:
+        """Writes a version that isn't yet in force; its name."""
         name = f"v-{uuid.uuid4().hex}"
         df.write.parquet(f"{self.root}/{name}")
+        return name
+
+    def switch(self, name: str) -> None:
+        """Puts a written version in force by one rename; readers see the old one or the new one whole."""
         staged = self._path(f"{self.root}/.{name}")
         out = self._fs.create(staged)
         out.write(bytearray(name.encode()))
@@ -73,6 +77,11 @@ class VersionedTable:
         options = self.spark.sparkContext._gateway.new_array(rename, 1)
         options[0] = rename.OVERWRITE
         context.rename(staged, self._pointer(), options)
+
+    def write(self, df: DataFrame) -> str:
+        """Writes a version, then makes it the one in force."""
+        name = self.stage(df)
+        self.switch(name)
         return name
 
 

@@ -23,11 +23,12 @@ def identified(records: DataFrame) -> DataFrame:
 
 
 def apply_batch(spark: SparkSession, root: str, records: DataFrame, as_of: str) -> dict[str, int]:
-    """One micro-batch, transactional by table: detections are upserted, touched site-days made anew, states and anomalies of touched sites refreshed.
+    """One micro-batch: detections are upserted, touched site-days made anew, states and anomalies of touched sites refreshed.
 
     Any record is accepted however late it is: its site-day and the whole history of its site are recomputed.
     A batch that comes again changes nothing, since every write is keyed. Nothing is switched before all of
-    the batch's results are written, so a failed batch leaves every table as it was.
+    the batch's results are written, and the detections, which say what a batch has still to do, are switched
+    last: a batch that fails between two switches does all of its work again when it comes again.
     """
     tables = {n: VersionedTable(spark, f"{root}/{n}") for n in ("detections", "daily", "states", "anomalies")}
     new = cut(identified(records))
@@ -49,12 +50,14 @@ def apply_batch(spark: SparkSession, root: str, records: DataFrame, as_of: str)
     history = all_days.join(sites, "site_id", "left_semi")
     states = temporal.temporal_state(history, as_of)
     scores = anomaly.signals(history)
-    out = {"daily": all_days, "detections": detections}
+    out = {"daily": all_days}
     for name, part in (("states", states), ("anomalies", scores)):
         before = tables[name].read() if tables[name].exists() else spark.createDataFrame([], part.schema)
         out[name] = cut(before.join(sites, "site_id", "left_anti").unionByName(part))
-    for name, df in out.items():
-        tables[name].write(df)
+    out["detections"] = detections
+    versions = {name: tables[name].stage(df) for name, df in out.items()}
+    for name, version in versions.items():
+        tables[name].switch(version)
     return {"read": new.count(), "inserted": fresh.count(), "updated": revised.count()}
 
 
