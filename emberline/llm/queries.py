@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from emberline.llm import decontaminate, fingerprint, html, neardup, pii, quality, sharding, tokenfile, treebpe, viterbi
+from emberline.llm import conversation, decontaminate, fingerprint, html, neardup, pii, quality, sharding, simhash, tokenfile, treebpe, viterbi, whitening
 from emberline.llm.common import table
 
 
@@ -57,7 +57,19 @@ def op10_improbable_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.fingerprint_documents(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_minhash_groups, op2_bootstrapped_pii, op3_lstm_main_text, op4_rendezvous_sharding, op5_viterbi_counts, op6_token_files, op7_qgram_decontamination, op8_attention_quality, op9_tree_bpe, op10_improbable_digest)}
+def op11_earley_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation.repair_damaged(table(spark, sf_dir, "conversations"))
+
+
+def op12_welford_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op13_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_minhash_groups, op2_bootstrapped_pii, op3_lstm_main_text, op4_rendezvous_sharding, op5_viterbi_counts, op6_token_files, op7_qgram_decontamination, op8_attention_quality, op9_tree_bpe, op10_improbable_digest, op11_earley_repair, op12_welford_whitening, op13_simhash_groups)}
 
 _UPPER, _LOWER = (bytes(range(a, a + 26)).decode() for a in (65, 97))
 #: The links of operator 1 by counting the shingles that two documents share, and the least document that links lead to.
