@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from math import degrees
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from emberline.config import EARTH_RADIUS_M
@@ -29,21 +29,23 @@ def _place(lat: Column, lon: Column, radius_m: float) -> tuple[Column, float, fl
     return F.floor(lat / height).cast("long"), height, radius, (lon + 180) / 360
 
 
-def cells(lat: Column, lon: Column, radius_m: float) -> list[Column]:
-    """The grid cell of a point: a row of latitude as high as the radius, and a column whose width is that row's own; columns close at 180 degrees."""
-    row, height, radius, share = _place(lat, lon, radius_m)
-    n = _columns(row, height, radius)
-    return [row.alias("cy"), F.pmod(F.floor(share * n).cast("long"), n).alias("cx")]
+def with_cell(df: DataFrame, radius_m: float) -> DataFrame:
+    """``df`` with the grid cell of each point: a row of latitude as high as the radius (cy), and a column whose width is that row's own (cx); columns close at 180 degrees."""
+    row, height, radius, share = _place(F.col("latitude"), F.col("longitude"), radius_m)
+    out = df.withColumn("cy", row).withColumn("_n", _columns(F.col("cy"), height, radius))
+    return out.withColumn("cx", F.pmod(F.floor(share * F.col("_n")).cast("long"), F.col("_n"))).drop("_n")
 
 
-def around(lat: Column, lon: Column, radius_m: float) -> Column:
-    """All cells that hold points within the radius of a point, each once, to be exploded."""
-    row, height, radius, share = _place(lat, lon, radius_m)
-    near = []
-    for i in (-1, 0, 1):
-        n = _columns(row + i, height, radius)
-        near += [F.struct((row + i).alias("cy"), F.pmod(F.floor(share * n).cast("long") + j, n).alias("cx")) for j in (-1, 0, 1)]
-    return F.array_distinct(F.array(*near))
+def dealt_around(df: DataFrame, radius_m: float) -> DataFrame:
+    """``df`` with a row for every cell (cy, cx) that holds points within the radius of a point, each once.
+
+    What a row of latitude needs is worked out once for that row, not for each of its cells.
+    """
+    row, height, radius, share = _place(F.col("latitude"), F.col("longitude"), radius_m)
+    rows = df.withColumn("_i", F.explode(F.array(*[F.lit(i) for i in (-1, 0, 1)]))).withColumn("cy", row + F.col("_i"))
+    rows = rows.withColumn("_n", _columns(F.col("cy"), height, radius)).withColumn("_at", F.floor(share * F.col("_n")).cast("long"))
+    beside = F.array_distinct(F.array(*[F.pmod(F.col("_at") + j, F.col("_n")) for j in (-1, 0, 1)]))
+    return rows.withColumn("cx", F.explode(beside)).drop("_i", "_n", "_at")
 
 
 def tile_id(lat: Column, lon: Column, step: int = 3) -> Column:

@@ -5,6 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -60,23 +62,79 @@ def salted_left(left: DataFrame, right: DataFrame, on: str, spread: str) -> Data
     return dealt.join(copies, [on, "_salt"], "left").drop("_salt")
 
 
+#: What is left of a graph is finished by one task once it has at most so many edges.
+FEW_EDGES = 200_000
+
+
+def unite(root: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
+    """Joins the groups of ``a`` and ``b``, pair by pair; ``root`` holds every member's least member."""
+    while True:
+        a, b = root[a], root[b]
+        apart = a != b
+        if not apart.any():
+            return
+        a, b = a[apart], b[apart]
+        np.minimum.at(root, np.maximum(a, b), np.minimum(a, b))
+        while True:
+            up = root[root]
+            if np.array_equal(up, root):
+                break
+            root[:] = up
+
+
+def _finished(pairs: DataFrame) -> DataFrame:
+    """Every node that isn't its component's least one, with that one; all of a small graph in one task."""
+    kind = pairs.schema["a"].dataType.simpleString()
+
+    def run(frames):
+        both = pd.concat(list(frames), ignore_index=True)
+        codes, names = pd.factorize(pd.concat([both["a"], both["b"]], ignore_index=True), sort=True)
+        root = np.arange(len(names))
+        unite(root, codes[: len(both)], codes[len(both) :])
+        other = np.flatnonzero(root != np.arange(len(root)))
+        yield pd.DataFrame({"node": names[other], "root": names[root[other]]})
+
+    return pairs.coalesce(1).mapInPandas(run, f"node {kind}, root {kind}")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """``node`` and ``root`` (the least node that can be reached) for every node of undirected edges (a, b).
 
-    Each round every node takes the least root among its neighbours', then its root's root; rounds are about the
-    logarithm of the longest chain. Every round's labels are written. Of roots only those that have a lesser one
-    themselves are looked up, in copies, so that a root which very many nodes share isn't one task's.
+    Each round every node points to its least neighbour, pointers are followed to their ends, and what they join
+    becomes one node: of the nodes that are left at most half remain, and edges within one are gone. Only nodes that
+    point elsewhere are looked up, in copies, so a node that very many share isn't one task's. Every round's result
+    is written. Ends are put together backwards, from the last round's few nodes to all.
     """
-    both = cut(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = cut(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("root")))
+    held = cut(edges.select("a", "b"))
+    pairs, steps = held.where("a <> b"), []
     while True:
-        near = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("root").alias("m"))
-        low = labels.join(near, "node").select("node", F.col("root").alias("old"), F.least("root", "m").alias("root"))
-        jump = labels.select("root").distinct().join(labels.select(F.col("node").alias("root"), F.col("root").alias("next")), "root").where("next < root")
-        new = cut(salted_left(low, jump, "root", "node").select("node", "old", F.least("root", F.coalesce("next", "root")).alias("root")))
-        labels = new.select("node", "root")
-        if new.where("old <> root").isEmpty():
-            return labels
+        count = pairs.count()
+        if not count:
+            break
+        if count <= FEW_EDGES:
+            steps.append(cut(_finished(pairs)))
+            break
+        both = pairs.union(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        low = cut(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).where("m < node").select("node", F.col("m").alias("root")))
+        while True:
+            up = low.select(F.col("node").alias("root"), F.col("root").alias("next"))
+            jumped = cut(salted_left(low, up, "root", "node").select("node", F.coalesce("next", "root").alias("root"), F.col("next").isNotNull().alias("moved")))
+            low = jumped.select("node", "root")
+            if jumped.where("moved").isEmpty():
+                break
+        steps.append(low)
+        named = pairs.withColumn("_n", F.monotonically_increasing_id())
+        for end in ("a", "b"):
+            named = salted_left(named, low.withColumnRenamed("node", end), end, "_n").withColumn(end, F.coalesce("root", end)).drop("root")
+        pairs = cut(named.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct())
+    nodes = held.select(F.col("a").alias("node")).union(held.select("b")).distinct()
+    if not steps:
+        return nodes.select("node", F.col("node").alias("root"))
+    found = steps.pop()
+    while steps:
+        step = steps.pop()
+        found = cut(salted_left(step, found.withColumnRenamed("root", "next").withColumnRenamed("node", "root"), "root", "node").select("node", F.coalesce("next", "root").alias("root")).union(found))
+    return cut(nodes.join(found, "node", "left").select("node", F.coalesce("root", "node").alias("root")))
 
 
 def first_by(df: DataFrame, keys: list[str], order: list[Column], n: int = 1) -> DataFrame:

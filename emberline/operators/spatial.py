@@ -1,17 +1,17 @@
-"""Radius joins over grid cells, density clustering, and the resolver of new detections."""
+"""Radius joins over grid cells and density clustering."""
 
 from __future__ import annotations
 
-import hashlib
-from math import asin, cos, floor, radians, sin, sqrt
+from math import degrees
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from emberline.config import CLUSTER_MIN_POINTS, CLUSTER_RADIUS_M, EARTH_RADIUS_M, EVIDENCE_RADIUS_KM
-from emberline.functions.geo import around, cells, haversine_m
-from emberline.operators.common import components, cut, first_by
+from emberline.functions.geo import dealt_around, haversine_m, with_cell
+from emberline.operators.common import components, cut, first_by, salted_left
 
 
 def radius_join(left: DataFrame, right: DataFrame, radius_m: float) -> DataFrame:
@@ -22,31 +22,129 @@ def radius_join(left: DataFrame, right: DataFrame, radius_m: float) -> DataFrame
     Rows without a place meet nothing.
     """
     lat, lon = F.col("latitude"), F.col("longitude")
-    a = left.where(lat.isNotNull() & lon.isNotNull()).withColumn("_c", F.explode(around(lat, lon, radius_m))).select("*", "_c.cy", "_c.cx").drop("_c")
-    b = right.where(lat.isNotNull() & lon.isNotNull()).select(*[F.col(c).alias(f"r_{c}") for c in right.columns], *cells(lat, lon, radius_m))
+    a = dealt_around(left.where(lat.isNotNull() & lon.isNotNull()), radius_m)
+    b = with_cell(right.where(lat.isNotNull() & lon.isNotNull()), radius_m)
+    b = b.select("cy", "cx", *[F.col(c).alias(f"r_{c}") for c in right.columns])
     met = a.join(b, ["cy", "cx"]).withColumn("distance_m", haversine_m(lat, lon, F.col("r_latitude"), F.col("r_longitude")))
     return met.where(F.col("distance_m") <= radius_m).drop("cy", "cx")
 
 
-def nearby(points: DataFrame, key: str = "detection_id", radius_m: float = CLUSTER_RADIUS_M) -> DataFrame:
-    """Ordered pairs of points within the radius, each point with itself included."""
-    p = points.select(key, "latitude", "longitude")
-    return radius_join(p, p, radius_m).select(key, F.col(f"r_{key}").alias("neighbor"), "distance_m")
+def places_of(points: DataFrame, key: str) -> DataFrame:
+    """Different places, each with the least key there (``k``) and how many points it has (``w``); points without a place have none."""
+    lat, lon = F.col("latitude"), F.col("longitude")
+    return points.where(lat.isNotNull() & lon.isNotNull()).groupBy("latitude", "longitude").agg(F.min(key).alias("k"), F.count("*").alias("w"))
+
+
+def at_places(points: DataFrame, found: DataFrame, key: str) -> DataFrame:
+    """``found`` (by latitude and longitude) for every point that lies there; a place that very many share is spread."""
+    place = F.struct("latitude", "longitude").alias("_at")
+    rest = [c for c in found.columns if c not in ("latitude", "longitude")]
+    return salted_left(points.select(key, place), found.select(place, *rest), "_at", key).drop("_at")
+
+
+def neighbors(points: DataFrame, key: str = "detection_id", radius_m: float = CLUSTER_RADIUS_M) -> DataFrame:
+    """How many points lie within the radius of each, itself included, and the distance of the farthest. Distances are between places, however many points share one."""
+    p = places_of(points, key)
+    found = radius_join(p, p, radius_m).groupBy("latitude", "longitude").agg(F.sum("r_w").alias("neighbors"), F.max("distance_m").alias("farthest_m"))
+    return at_places(points, found, key)
+
+
+#: Pairs of cells with at most so many pairs of places are tested by a join, others block by block with an early end.
+_FEW = 10_000
+#: The side of a small cell, as a share of the radius: any two points of one are within the radius.
+_SIDE = 0.999 / 2**0.5
+
+
+def _small_cells(places: DataFrame, radius_m: float) -> DataFrame:
+    """Places with their small cell (gy, gx)."""
+    side = degrees(radius_m * _SIDE / EARTH_RADIUS_M)
+    row = F.floor(F.col("latitude") / side)
+    low = F.least(F.abs(row), F.abs(row + 1)) * side  # where the row is widest
+    low = F.when((row < 0) & (row + 1 > 0), 0.0).otherwise(low)
+    n = F.greatest(F.ceil(F.cos(F.radians(low)) * 360 / side), F.lit(1))
+    return places.withColumn("gy", row).withColumn("_n", n).withColumn("gx", F.pmod(F.floor((F.col("longitude") + 180) / 360 * F.col("_n")), F.col("_n"))).drop("_n")
+
+
+def _linked(frame: pd.DataFrame, radius_m: float) -> bool:
+    """Whether a place of one cell is within the radius of a place of the other; the likeliest are tried first."""
+    sides = [frame[frame["side"] == i] for i in (0, 1)]
+    units = []
+    for f in sides:
+        lat, lon = np.radians(f["latitude"].to_numpy()), np.radians(f["longitude"].to_numpy())
+        units.append(np.stack([np.cos(lat) * np.cos(lon), np.cos(lat) * np.sin(lon), np.sin(lat)], 1))
+    a, b = (u[np.argsort(((u - o.mean(0)) ** 2).sum(1), kind="stable")] for u, o in (units, units[::-1]))
+    most = (2 * np.sin(radius_m / EARTH_RADIUS_M / 2)) ** 2
+    for i in range(0, len(a), 256):
+        for j in range(0, len(b), 4096):
+            if (((a[i : i + 256, None] - b[None, j : j + 4096]) ** 2).sum(2) <= most).any():
+                return True
+    return False
+
+
+def _dense_links(places: DataFrame, dense: DataFrame, radius_m: float) -> DataFrame:
+    """Pairs of dense cells (a, b: their least keys) with places within the radius of each other.
+
+    Cells meet by their middle. Four outer places of each settle most pairs; the places themselves are only read for
+    the rest.
+    """
+    middle = dense.select("low", "held", ((F.col("south.latitude") + F.col("north.latitude")) / 2).alias("latitude"), ((F.col("west.longitude") + F.col("east.longitude")) / 2).alias("longitude"), F.array("south", "north", "west", "east").alias("ends"))
+    met = radius_join(middle, middle, 2 * radius_m).where("low < r_low").select(F.col("low").alias("a"), F.col("r_low").alias("b"), "ends", "r_ends", (F.col("held") * F.col("r_held")).alias("most"))
+    near = F.exists("ends", lambda x: F.exists("r_ends", lambda y: haversine_m(x["latitude"], x["longitude"], y["latitude"], y["longitude"]) <= radius_m))
+    met = cut(met.select("a", "b", "most", near.alias("near")))
+    cells = places.where("dense").select("low", "latitude", "longitude")
+    open_pairs = met.where("not near")
+    # few places: all of one against all of the other in the join itself
+    one, other = (cells.select(F.col("low").alias(c), F.col("latitude").alias(f"{c}_lat"), F.col("longitude").alias(f"{c}_lon")) for c in ("a", "b"))
+    tried = open_pairs.where(F.col("most") <= _FEW).select("a", "b").join(one, "a").join(other, "b")
+    few = tried.where(haversine_m(*[F.col(c) for c in ("a_lat", "a_lon", "b_lat", "b_lon")]) <= radius_m).select("a", "b")
+    many = open_pairs.where(F.col("most") > _FEW).select("a", "b")
+    of = lambda c, i: many.join(cells, F.col(c) == F.col("low")).select("a", "b", F.lit(i).alias("side"), "latitude", "longitude")
+    kind = met.schema["a"].dataType.simpleString()
+
+    def tested(frame: pd.DataFrame) -> pd.DataFrame:
+        return frame[["a", "b"]].head(1 if _linked(frame, radius_m) else 0)
+
+    exact = of("a", 0).unionByName(of("b", 1)).groupBy("a", "b").applyInPandas(tested, f"a {kind}, b {kind}")
+    return met.where("near").select("a", "b").unionByName(few.distinct()).unionByName(exact)
 
 
 def cluster(points: DataFrame, key: str = "detection_id", radius_m: float = CLUSTER_RADIUS_M, min_points: int = CLUSTER_MIN_POINTS) -> DataFrame:
     """Density clusters: a point with ``min_points`` neighbours (itself included) is a core; linked cores share a
     label (their least key); other points take the nearest core within reach (the lesser label at ties), or none.
+
+    Places fall into small cells, in which any two are neighbours: all points of a cell with ``min_points`` are
+    cores without a look at any other, and all cores of a cell have one label. Distances are worked out from the few
+    places of other cells, and between dense cells only until one is short enough. So a cell may hold any number of
+    points, at one place or at many. Returns key, cluster, role (CORE, BORDER, NOISE) for every row; points without
+    a place are NOISE; an empty table gives an empty result.
     """
-    pairs = cut(nearby(points, key, radius_m))
-    cores = pairs.groupBy(key).agg(F.count("*").alias("n")).where(F.col("n") >= min_points).select(key)
-    near = pairs.join(cores.withColumnRenamed(key, "neighbor"), "neighbor", "left_semi")
-    edges = near.join(cores, key, "left_semi").select(F.col(key).alias("a"), F.col("neighbor").alias("b"))
-    roots = components(edges)
-    labelled = roots.select(F.col("node").alias(key), F.col("root").alias("cluster"), F.lit("CORE").alias("role"))
-    border = first_by(near.join(cores, key, "left_anti").join(roots.withColumnRenamed("node", "neighbor"), "neighbor"), [key], [F.col("distance_m"), F.col("root")]).select(key, F.col("root").alias("cluster"), F.lit("BORDER").alias("role"))
-    found = labelled.unionByName(border)
-    return points.select(key).distinct().join(found, key, "left").select(key, "cluster", F.coalesce("role", F.lit("NOISE")).alias("role"))
+    places = cut(_small_cells(places_of(points, key), radius_m))
+    ends = {n: (F.min_by if n in ("south", "west") else F.max_by)(F.struct("latitude", "longitude"), c).alias(n) for n, c in (("south", "latitude"), ("north", "latitude"), ("west", "longitude"), ("east", "longitude"))}
+    cells = places.groupBy("gy", "gx").agg(F.sum("w").alias("total"), F.count("*").alias("held"), F.min("k").alias("low"), *ends.values())
+    cells = cut(cells.withColumn("dense", F.col("total") >= min_points))
+    places = cut(places.join(cells.select("gy", "gx", "dense", "low"), ["gy", "gx"]))
+
+    # around places of cells with few points: by cell where that is dense, by place elsewhere
+    sparse = places.where("not dense").select("k", "latitude", "longitude")
+    other = places.select("latitude", "longitude", "w", "dense", "low", F.when(~F.col("dense"), F.col("k")).alias("place"))
+    near = cut(radius_join(sparse, other, radius_m).groupBy("k", "r_dense", "r_low", "r_place").agg(F.sum("r_w").alias("w"), F.min("distance_m").alias("d")))
+    few = places.where("not dense").select("k", "gy", "gx")
+    cores = few.join(near.groupBy("k").agg(F.sum("w").alias("w")).where(F.col("w") >= min_points).select("k"), "k")
+    named = cut(cores.join(cores.groupBy("gy", "gx").agg(F.min("k").alias("name")), ["gy", "gx"]).select("k", "name"))  # a cell's cores go by the least of them
+
+    by_place = near.join(named.select(F.col("k").alias("r_place"), F.col("name").alias("r_name")), "r_place", "left")
+    reached = cut(by_place.select("k", "d", F.when(F.col("r_dense"), F.col("r_low")).otherwise(F.col("r_name")).alias("core")).where("core is not null"))
+    links = reached.join(named, "k").select(F.col("name").alias("a"), F.col("core").alias("b")).where("a <> b").distinct()
+    alone = cells.where("dense").select(F.col("low").alias("a"), F.col("low").alias("b")).unionByName(named.select(F.col("name").alias("a"), F.col("name").alias("b")).distinct())
+    roots = cut(components(links.unionByName(_dense_links(places, cells.where("dense"), radius_m)).unionByName(alone)))
+
+    border = reached.join(named.select("k"), "k", "left_anti").join(roots.select(F.col("node").alias("core"), "root"), "core")
+    border = first_by(border, ["k"], [F.col("d"), F.col("root")]).select("k", "root", F.lit("BORDER").alias("role"))
+    sparse_cores = named.join(roots.withColumnRenamed("node", "name"), "name").select("k", "root", F.lit("CORE").alias("role"))
+    by_key = few.select("k").join(border.unionByName(sparse_cores), "k", "left")
+    in_dense = places.where("dense").join(roots.withColumnRenamed("node", "low"), "low").select("latitude", "longitude", F.col("root").alias("cluster"), F.lit("CORE").alias("role"))
+    in_sparse = places.where("not dense").select("k", "latitude", "longitude").join(by_key, "k").select("latitude", "longitude", F.col("root").alias("cluster"), "role")
+    return at_places(points, in_dense.unionByName(in_sparse), key).select(key, "cluster", F.coalesce("role", F.lit("NOISE")).alias("role"))
 
 
 def facilities_near(sites: DataFrame, facilities: DataFrame, radius_km: float = EVIDENCE_RADIUS_KM) -> DataFrame:
@@ -59,98 +157,3 @@ def events_near(sites: DataFrame, events: DataFrame, cutoff: str, days: int, rad
     ref = F.lit(cutoff).cast("date")
     met = events.where((F.col("event_start") <= F.date_add(ref, days)) & (F.col("event_end").isNull() | (F.col("event_end") >= F.date_sub(ref, days))))
     return radius_join(sites.select("site_id", "latitude", "longitude"), met, radius_km * 1000).select("site_id", F.col("r_evidence_id").alias("evidence_id"), "distance_m")
-
-
-def _replayed(frame: pd.DataFrame, radius_m: float) -> list[tuple]:
-    """The resolver's answers for one group of points that hang together, in order."""
-    grid: dict[tuple, list] = {}  # cell to members: place and owner
-    owners: dict[str, dict] = {}
-    most = (2 * sin(radius_m / EARTH_RADIUS_M / 2)) ** 2 * 1.000001
-
-    def unit(lat: float, lon: float) -> tuple[float, float, float]:
-        a, b = radians(lat), radians(lon)
-        return cos(a) * cos(b), cos(a) * sin(b), sin(a)
-
-    def cell(u: tuple) -> tuple[int, int, int]:
-        return tuple(floor(x * EARTH_RADIUS_M / radius_m) for x in u)
-
-    def metres(p: tuple, q: tuple) -> float:
-        a = sin(radians(q[0] - p[0]) / 2) ** 2 + cos(radians(p[0])) * cos(radians(q[0])) * sin(radians(q[1] - p[1]) / 2) ** 2
-        return 2 * EARTH_RADIUS_M * asin(min(1.0, sqrt(a)))
-
-    def add(name: str, kind: str, at: tuple, detection: str) -> dict:
-        owner = owners.setdefault(name, {"id": name, "kind": kind, "ids": []})
-        owner["ids"].append(detection)
-        u = unit(*at)
-        grid.setdefault(cell(u), []).append((*u, at, owner))
-        return owner
-
-    def nearest(at: tuple) -> dict[str, list[tuple[float, str]]]:
-        """Owners with a member within the radius, by kind, with their least distances."""
-        u = unit(*at)
-        x, y, z = cell(u)
-        best: dict[int, tuple[float, tuple, dict]] = {}  # by the square of the chord; metres are worked out for the nearest only
-        for cx in (x - 1, x, x + 1):
-            for cy in (y - 1, y, y + 1):
-                for cz in (z - 1, z, z + 1):
-                    for a, b, c, place, owner in grid.get((cx, cy, cz), ()):
-                        square = (a - u[0]) ** 2 + (b - u[1]) ** 2 + (c - u[2]) ** 2
-                        if square <= most and (id(owner) not in best or square < best[id(owner)][0]):
-                            best[id(owner)] = (square, place, owner)
-        found = [(metres(at, place), owner) for _, place, owner in best.values()]
-        return {kind: sorted((d, o["id"]) for d, o in found if o["kind"] == kind and d <= radius_m) for kind in ("site", "candidate")}
-
-    out = []
-    for r in frame.itertuples(index=False):
-        at = (r.latitude, r.longitude)
-        if r.seq < 0:
-            site = isinstance(r.site_id, str)
-            add(r.site_id if site else r.candidate_id, "site" if site else "candidate", at, r.detection_id)
-            continue
-        near = nearest(at)
-        if near["site"]:
-            distance, name = near["site"][0]
-            add(name, "site", at, r.detection_id)
-            out.append((r.detection_id, "MATCHED", name, None, distance, len(near["site"]) > 1))
-        elif not near["candidate"]:
-            name = "CAND_" + hashlib.sha256(r.detection_id.encode()).hexdigest()[:16]
-            add(name, "candidate", at, r.detection_id)
-            out.append((r.detection_id, "NEW_CANDIDATE", None, name, None, False))
-        else:
-            distance, name = near["candidate"][0]
-            owner = add(name, "candidate", at, r.detection_id)
-            if len(owner["ids"]) < CLUSTER_MIN_POINTS:
-                out.append((r.detection_id, "CANDIDATE_ACCUMULATED", None, name, distance, False))
-                continue
-            site = "SITE_" + hashlib.sha256(min(owner["ids"]).encode()).hexdigest()[:16]
-            owners[site] = owners.pop(name)
-            owner.update(id=site, kind="site")
-            out.append((r.detection_id, "PROMOTED", site, name, distance, False))
-    return out
-
-
-def resolve(detections: DataFrame, members: DataFrame, radius_m: float = CLUSTER_RADIUS_M) -> DataFrame:
-    """New detections against sites and candidates, one after another in ``seq`` order, as they arrive.
-
-    A detection joins the nearest site within the radius (the lesser id at ties; more than one in reach is
-    ambiguous) and is at once a member; else it joins the nearest candidate; a candidate of three is promoted to
-    a site. Order matters only among points that hang together, so Spark first finds those groups (connected
-    components of the radius graph over old and new points) and each group is replayed in one task, in which a
-    detection is compared with the members in the cells around it only.
-
-    ``detections``: detection_id, latitude, longitude, seq. ``members``: detection_id, latitude, longitude,
-    site_id, candidate_id (one of the two). Returns detection_id, status, site_id, candidate_id, distance_m, ambiguous.
-    """
-    none = F.lit(None).cast("string")
-    old = members.select("detection_id", "latitude", "longitude", F.lit(-1).cast("long").alias("seq"), "site_id", "candidate_id")
-    new = detections.select("detection_id", "latitude", "longitude", F.col("seq").cast("long").alias("seq"), none.alias("site_id"), none.alias("candidate_id"))
-    points = cut(old.unionByName(new))
-    linked = nearby(points, "detection_id", radius_m).select(F.col("detection_id").alias("a"), F.col("neighbor").alias("b"))
-    # members of one candidate hang together wherever they are
-    same = points.where("candidate_id is not null").groupBy("candidate_id").agg(F.min("detection_id").alias("b")).join(points.select("candidate_id", F.col("detection_id").alias("a")), "candidate_id").select("a", "b")
-    groups = components(linked.union(same)).withColumnRenamed("node", "detection_id")
-
-    def replay(frame: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame(_replayed(frame.sort_values(["seq", "detection_id"]), radius_m), columns=["detection_id", "status", "site_id", "candidate_id", "distance_m", "ambiguous"])
-
-    return points.join(groups, "detection_id").groupBy("root").applyInPandas(replay, "detection_id string, status string, site_id string, candidate_id string, distance_m double, ambiguous boolean")

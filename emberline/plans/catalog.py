@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from emberline.config import FEATURES
 from emberline.functions import geo, normalize
-from emberline.operators import anomaly, audit, daily, decide, features, identity, review, serving, spatial, temporal, upsert
+from emberline.operators import anomaly, audit, daily, decide, features, identity, resolver, review, serving, spatial, temporal, upsert
 from emberline.operators.common import cut
 from emberline.plans import windows
 from emberline.sources.adapters import view, with_views
@@ -434,40 +434,40 @@ def evidence_events(spark, sf_dir):
     return spatial.events_near(view(spark, sf_dir, "sites"), view(spark, sf_dir, "event_evidence"), "1998-06-15", 7).withColumn("distance_m", F.round("distance_m", 3))
 
 
-_POINTS = "pts as (select min(ingest_id*10+ingest_line) as pid, latitude, longitude from detections group by latitude, longitude)"
+_PTS = "points as (select latitude, longitude, min(ingest_key) as pid, count(*) as w from detections group by latitude, longitude)"
+# places meet by rows of latitude: a place's own and the two beside it, each once
+_PAIRS = _PTS + f", banded as (select *, cast(floor(latitude/0.007) as bigint) as band from points), dealt as (select *, band+unnest([-1,0,1]) as meets from banded), pairs as (select a.pid as a, b.pid as b, b.w as w, {HAVERSINE.format(a='a', b='b')} as d from dealt a join banded b on a.meets=b.band where abs(a.longitude-b.longitude)<0.0095 and {HAVERSINE.format(a='a', b='b')} <= 750)"
 
 
-def _points(spark, sf_dir):
-    d = view(spark, sf_dir, "detections")
-    return d.groupBy("latitude", "longitude").agg(F.min(F.col("ingest_id") * 10 + F.col("ingest_line")).alias("pid")).groupBy("pid").agg(F.min("latitude").alias("latitude"), F.min("longitude").alias("longitude"))
-
+def _keyed(spark, sf_dir):
+    return view(spark, sf_dir, "detections").select("ingest_key", "latitude", "longitude")
 
-_PTS = _POINTS + ", points as (select pid, min(latitude) as latitude, min(longitude) as longitude from pts group by pid)"
-# pairs meet by rows of latitude: a point's own and the two beside it, each once
-_PAIRS = _PTS + f", banded as (select *, cast(floor(latitude/0.007) as bigint) as band from points), dealt as (select *, band+unnest([-1,0,1]) as meets from banded), pairs as (select a.pid as a, b.pid as b, {HAVERSINE.format(a='a', b='b')} as d from dealt a join banded b on a.meets=b.band where abs(a.longitude-b.longitude)<0.0095 and {HAVERSINE.format(a='a', b='b')} <= 750)"
 
-
-@register("detections", sql=f"--with {_PAIRS} select a as pid, count(*) as neighbors, round(max(d),3) as farthest_m from pairs group by a")
+@register("detections", sql=f"--with {_PAIRS}, found as (select a as pid, sum(w) as neighbors, round(max(d),3) as farthest_m from pairs group by a) select d.ingest_key, cast(f.neighbors as bigint) as neighbors, f.farthest_m from detections d join points p on p.latitude=d.latitude and p.longitude=d.longitude join found f on f.pid=p.pid")
 def spatial_neighbors(spark, sf_dir):
-    return spatial.nearby(_points(spark, sf_dir), "pid").groupBy("pid").agg(F.count("*").alias("neighbors"), F.round(F.max("distance_m"), 3).alias("farthest_m"))
+    """How many detections lie within the cluster radius of each."""
+    return spatial.neighbors(_keyed(spark, sf_dir), "ingest_key").select("ingest_key", "neighbors", F.round("farthest_m", 3).alias("farthest_m"))
 
 
-_DBSCAN = f"""--with {_PAIRS}, cores as (select a as pid from pairs group by a having count(*)>=3), cc as (select p.a, p.b, p.d from pairs p join cores x on x.pid=p.a join cores y on y.pid=p.b),
-seeds as (select min(a) as least from cc), reach as (select a as pid, min(b) as root, 0 as n from cc group by a union all select pid, root, n+1 from (select x.pid, min(r.root) as root, max(r.n) as n, bool_or(r.root<x.root) as moved from reach x join cc c on c.a=x.pid join reach r on r.pid=c.b group by x.pid) where n<60), roots as (select pid, min(root) as cluster from reach group by pid),
+_DBSCAN = f"""--with {_PAIRS}, cores as (select a as pid from pairs group by a having sum(w)>=3), cc as (select p.a, p.b, p.d from pairs p join cores x on x.pid=p.a join cores y on y.pid=p.b),
+reach as (select a as pid, min(b) as root, 0 as n from cc group by a union all select pid, root, n+1 from (select x.pid, min(r.root) as root, max(r.n) as n, bool_or(r.root<x.root) as moved from reach x join cc c on c.a=x.pid join reach r on r.pid=c.b group by x.pid) where n<60), roots as (select pid, min(root) as cluster from reach group by pid),
 border as (select pid, cluster from (select p.a as pid, r.cluster, row_number() over (partition by p.a order by p.d, r.cluster) as rn from pairs p join roots r on r.pid=p.b where p.a not in (select pid from cores)) where rn=1)
-select pt.pid, coalesce(r.cluster,b.cluster) as cluster, case when r.pid is not null then 'CORE' when b.pid is not null then 'BORDER' else 'NOISE' end as role from points pt left join roots r using (pid) left join border b on b.pid=pt.pid"""
+select d.ingest_key, coalesce(r.cluster,b.cluster) as cluster, case when r.pid is not null then 'CORE' when b.pid is not null then 'BORDER' else 'NOISE' end as role from detections d join points pt on pt.latitude=d.latitude and pt.longitude=d.longitude left join roots r using (pid) left join border b on b.pid=pt.pid"""
 
 
 @register("detections", sql=_DBSCAN)
 def dbscan_sites(spark, sf_dir):
-    return spatial.cluster(_points(spark, sf_dir), "pid")
+    """The cluster and role of every detection."""
+    return spatial.cluster(_keyed(spark, sf_dir), "ingest_key")
 
 
 @register()
 def incremental_resolver(spark, sf_dir):
-    points = _points(spark, sf_dir).select(F.format_string("DET_%012d", "pid").alias("detection_id"), "latitude", "longitude", F.col("pid").alias("seq"))
+    """Every detection in the order of its ingestion, against no stored member at first."""
+    d = view(spark, sf_dir, "detections")
+    points = d.select(F.col("ingest_key").alias("detection_id"), "latitude", "longitude", F.col("ingest_id").alias("seq"))
     none = spark.createDataFrame([], "detection_id string, latitude double, longitude double, site_id string, candidate_id string")
-    return spatial.resolve(points, none)
+    return resolver.resolve(points, none).drop("candidate_sites")
 
 
 # -- audits and ledgers ----------------------------------------------------------------------------------------------------

@@ -24,6 +24,7 @@ VIEWS: dict[str, tuple[str, list[str]]] = {
         f"{_LAT.format('l_partkey')}+(((l_orderkey*31+l_linenumber*17)%201)-100)*cast(0.00005 as double)+cast(0.00001 as double) as latitude",
         f"{_LON.format('l_partkey')}+(((l_orderkey*37+l_linenumber*13)%201)-100)*cast(0.00005 as double)+cast(0.00001 as double) as longitude",
         "l_orderkey as ingest_id", "l_linenumber as ingest_line",
+        "cast(l_orderkey as string)||'-'||cast(l_linenumber as string)||'-'||cast(l_partkey as string)||'-'||cast(l_suppkey as string)||'-'||cast(cast(floor(l_extendedprice*100+0.5) as bigint) as string) as ingest_key",
     ]),
     "sites": ("part", [f"{_SITE.format('p_partkey')} as site_id", f"{_LAT.format('p_partkey')} as latitude", f"{_LON.format('p_partkey')} as longitude"]),
     "facilities": ("supplier", [

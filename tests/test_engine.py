@@ -12,10 +12,9 @@ from pyspark.sql import functions as F
 import __spark_entry__
 from emberline.config import CORE, GROUPS, LOW, STRONG
 from emberline.functions import geo, normalize
-from emberline.operators import anomaly, daily, decide, identity, spatial, temporal, upsert
+from emberline.operators import anomaly, daily, decide, identity, resolver, spatial, temporal, upsert
 from emberline.plans import catalog
 from emberline.sources import landing, sinks
-from emberline.sources.adapters import with_views
 from emberline.streaming import live
 
 DATA = "/root/testdata/sf0.001"
@@ -156,7 +155,7 @@ def test_escalation_never_goes_down(spark):
 def resolve(spark, new, members=()):
     d = spark.createDataFrame([(f"D{i}", float(a), float(b), i) for i, (a, b) in enumerate(new)], "detection_id string, latitude double, longitude double, seq long")
     m = spark.createDataFrame(list(members), "detection_id string, latitude double, longitude double, site_id string, candidate_id string")
-    return {r.detection_id: r for r in spatial.resolve(d, m).collect()}
+    return {r.detection_id: r for r in resolver.resolve(d, m).collect()}
 
 
 def test_resolver_matches_accumulates_and_promotes(spark):
@@ -238,39 +237,6 @@ def test_coverage_gaps_read_every_window(spark, tmp_path):
     assert got == [("CUST_1", "2001-01-06", "2001-01-19"), ("CUST_1", "2001-01-25", "2001-01-31")]
 
 
-def all_points(duck):
-    """Every detection's place, by brute force: pid to (latitude, longitude), and its neighbours with distances."""
-    found = duck.execute(with_views("detections") + " select min(latitude), min(longitude), pid from (select latitude, longitude, min(ingest_id*10+ingest_line) as pid from detections group by 1, 2) group by pid").fetchall()
-    lat, lon, pid = (np.array(x) for x in zip(*sorted(found, key=lambda r: r[2])))
-    near = {}
-    for i in range(len(pid)):
-        a = np.sin(np.radians(lat - lat[i]) / 2) ** 2 + np.cos(np.radians(lat[i])) * np.cos(np.radians(lat)) * np.sin(np.radians(lon - lon[i]) / 2) ** 2
-        d = 2 * 6_371_000.0 * np.arcsin(np.sqrt(np.minimum(1, a)))
-        near[int(pid[i])] = {int(pid[j]): float(d[j]) for j in np.flatnonzero(d <= 750)}
-    return near
-
-
-def test_neighbors_and_clusters_take_every_detection(spark, duck):
-    near = all_points(duck)
-    got = {r.pid: (r.neighbors, r.farthest_m) for r in catalog.spatial_neighbors(spark, DATA).collect()}
-    assert got == {p: (len(n), pytest.approx(max(n.values()), abs=2e-3)) for p, n in near.items()}
-    cores, want = {p for p, n in near.items() if len(n) >= 3}, {}
-    for p in sorted(cores):
-        if p not in want:
-            reach = [p]
-            while reach:
-                q = reach.pop()
-                if q not in want:
-                    want[q] = (p, "CORE")
-                    reach += [x for x in near[q] if x in cores and x not in want]
-    for p in near.keys() - cores:
-        best = min(((d, want[q][0]) for q, d in near[p].items() if q in cores), default=None)
-        want[p] = (best[1], "BORDER") if best else (None, "NOISE")
-    assert {r.pid: (r.cluster, r.role) for r in catalog.dbscan_sites(spark, DATA).collect()} == want
-    resolved = [r.detection_id for r in catalog.incremental_resolver(spark, DATA).collect()]
-    assert sorted(resolved) == sorted(f"DET_{p:012d}" for p in near)
-
-
 def test_sinks(spark, tmp_path):
     df = spark.createDataFrame([("S1", 22.1234567, 72.0, None), ("S2", 1.0, 2.0, "x")], "site_id string, latitude double, longitude double, note string")
     text = sinks.feature_collection(df.orderBy("site_id"), 2, 1)
