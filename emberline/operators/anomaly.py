@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from bisect import insort
-from math import floor, log
+from math import log
 
 import numpy as np
 import pyarrow as pa
@@ -84,16 +84,11 @@ def _of_sorted(s: list[float]) -> tuple[float, float, float]:
     return m, (deviation((n + 1) // 2) + deviation(n // 2 + 1)) / 2, quantile(0.75) - quantile(0.25)
 
 
-def _six(x: float) -> float:
-    """Six places; halves go up, by plain arithmetic, so that every engine rounds alike."""
-    return floor(x * 1e6 + 0.5) / 1e6
-
-
 def site_history(days: np.ndarray, detections: np.ndarray, mean_frp: np.ndarray, max_frp: np.ndarray) -> dict[str, np.ndarray]:
     """Everything of one site's days, in order: baselines of strictly earlier days, signals, and both recursions.
 
-    What the recursions carry on is rounded to six places. A gap of more than the reset time starts both anew;
-    days without history enough change nothing and have no signals.
+    A gap of more than the reset time starts both recursions anew; days without history enough change nothing and
+    have no signals.
     """
     n = len(days)
     gap = np.concatenate([[np.nan], np.diff(days).astype(float)])
@@ -119,8 +114,8 @@ def site_history(days: np.ndarray, detections: np.ndarray, mean_frp: np.ndarray,
     for i in np.flatnonzero(scored).tolist():
         if gap[i] > c.RESET_GAP_DAYS:
             e = total = 0.0
-        e = _six(c.EWMA_ALPHA * x[i] + (1 - c.EWMA_ALPHA) * e)
-        total = _six(max(0.0, min(total + x[i] - c.CUSUM_K, c.CUSUM_CAP)))
+        e = c.EWMA_ALPHA * x[i] + (1 - c.EWMA_ALPHA) * e
+        total = max(0.0, min(total + x[i] - c.CUSUM_K, c.CUSUM_CAP))
         ewma[i], cusum[i] = e, total
     return out | {"ewma": ewma, "cusum": cusum}
 
@@ -198,7 +193,7 @@ PLACES = 9
 
 
 def range_midranks(counts: DataFrame) -> DataFrame:
-    """grp, v, midrank from different values with their numbers in the reference (grp, v, n).
+    """grp, v, midrank (and hot, where there) from different values with their numbers in the reference (grp, v, n).
 
     Values are cut into ranges, summed within each range, and each range begins at the sum of those before it (one
     number for each range and group), so neither a task nor the driver holds a whole group.
@@ -209,26 +204,42 @@ def range_midranks(counts: DataFrame) -> DataFrame:
     starts = sums.select("grp", "part", (F.sum("m").over(every.orderBy("part")) - F.col("m")).alias("start"), F.sum("m").over(every).alias("total"))
     upto = F.col("start") + F.sum("n").over(Window.partitionBy("grp", "part").orderBy("v"))
     step = ranged.join(F.broadcast(starts), ["grp", "part"])  # at most ranges times groups rows
-    return step.select("grp", "v", F.when(F.col("total") > 0, (2 * upto - F.col("n")) / (2.0 * F.col("total"))).otherwise(midrank(F.col("v"), None)).alias("midrank"))
+    kept = [x for x in ("hot",) if x in counts.columns]
+    return step.select("grp", "v", *kept, F.when(F.col("total") > 0, (2 * upto - F.col("n")) / (2.0 * F.col("total"))).otherwise(midrank(F.col("v"), None)).alias("midrank"))
 
 
 def midranks(found: DataFrame, names: list[str], cutoff: str) -> DataFrame:
-    """grp, v and midrank of every different value that scored days hold in ``names``, against all scored days up to a cutoff.
+    """grp, v and midrank of every different value that scored days hold in ``names``, against all scored days up to a cutoff, and whether it is hot.
 
     Without any day up to the cutoff the reference is one zero.
     """
     rows = found.where("scored").withColumn("_n", (F.col("acq_date") <= F.lit(cutoff).cast("date")).cast("long"))
     long = rows.select("_n", F.explode(F.array(*[F.struct(F.lit(g).alias("grp"), F.round(g, PLACES).alias("v")) for g in names])).alias("p")).select("_n", "p.*")
-    return range_midranks(long.where("v is not null").groupBy("grp", "v").agg(F.sum("_n").alias("n")))
+    counts = cut(long.where("v is not null").groupBy("grp", "v").agg(F.sum("_n").alias("n"), F.count("*").alias("held")))
+    totals = counts.groupBy("grp").agg((F.sum("held") / HOT).alias("_most"))
+    return range_midranks(counts.join(F.broadcast(totals), "grp").withColumn("hot", F.col("held") > F.col("_most")).drop("held", "_most"))  # a row for each name
+
+
+#: A value that more than one row in so many holds is hot: there are at most so many hot values of a column.
+HOT = 200
 
 
 def _ranked(found: DataFrame, names: dict[str, str], cutoff: str) -> DataFrame:
-    """``found`` with the midrank of each named column of scored days, under the name it is given."""
-    ranks = cut(midranks(found, list(names), cutoff))  # read once for each name
+    """``found`` with the midrank of each named column of scored days, under the name it is given.
+
+    Most days of most sites hold the same few values (zero above all). Those go out by broadcast, at most ``HOT`` of
+    them; only rows of other values are dealt by their value, and rows without one are spread.
+    """
+    ranks = cut(midranks(found, list(names), cutoff))  # read twice for each name
     out = found
     for g, name in names.items():
-        own = ranks.where(F.col("grp") == g).select(F.col("v").alias("_v"), F.col("midrank").alias(name))
-        out = out.join(own, F.when(F.col("scored"), F.round(g, PLACES)) == F.col("_v"), "left").drop("_v")
+        own = ranks.where(F.col("grp") == g).select((F.col("v") + 0.0).alias("_v"), F.col("midrank").alias("_rank"), "hot")
+        out = out.withColumn("_v", F.when(F.col("scored"), F.round(g, PLACES) + 0.0))
+        out = out.join(F.broadcast(own.where("hot").select("_v", F.col("_rank").alias("_first"))), "_v", "left")  # at most HOT rows
+        cold = F.col("_first").isNull() & F.col("_v").isNotNull()
+        out = out.withColumn("_key", F.when(cold, F.xxhash64("_v")).otherwise(F.xxhash64("site_id", "acq_date"))).withColumn("_v", F.when(cold, F.col("_v")))
+        out = out.join(own.where("not hot").select("_v", "_rank", F.xxhash64("_v").alias("_key")), ["_key", "_v"], "left")
+        out = out.withColumn(name, F.coalesce("_first", "_rank")).drop("_v", "_key", "_first", "_rank")
     return out
 
 
@@ -257,6 +268,175 @@ def anomaly_score(daily: DataFrame, cutoff: str) -> DataFrame:
     return out.select("site_id", "acq_date", "history_days", "history_span", *[F.round(n, 6).alias(n) for n in numbers], "level", "drivers")
 
 
+# -- a frozen reference, for days that come later ---------------------------------------------------------------------
+def reference(found: DataFrame, cutoff: str) -> DataFrame:
+    """What ``against`` ranks by: of each group and of the mean of the two highest, every different value of scored days up to a cutoff, with the numbers below it and up to it (grp, part, v, low, high, total)."""
+    rows = cut(as_of(found, cutoff).where("scored"))
+    raw = calibrated(rows, cutoff)
+    names = [*c.GROUPS, "c_raw"]
+    long = raw.select(F.explode(F.array(*[F.struct(F.lit(g).alias("grp"), F.round(g, PLACES).alias("v")) for g in names])).alias("p")).select("p.*")
+    none = found.sparkSession.createDataFrame([(g, 0.0, 0) for g in names], "grp string, v double, n long")  # one zero where there is no day
+    counts = long.groupBy("grp", "v").agg(F.count("*").alias("n"))
+    counts = counts.unionByName(none).groupBy("grp", "v").agg(F.sum("n").alias("n"))
+    ranged = cut(counts.repartitionByRange("grp", "v").withColumn("part", F.spark_partition_id()))
+    sums = ranged.groupBy("grp", "part").agg(F.sum("n").alias("m"))
+    every = Window.partitionBy("grp")
+    starts = sums.select("grp", "part", (F.sum("m").over(every.orderBy("part")) - F.col("m")).alias("start"), F.sum("m").over(every).alias("total"))
+    high = F.col("start") + F.sum("n").over(Window.partitionBy("grp", "part").orderBy("v"))
+    one = F.when(F.col("total") == 0, 1).otherwise(0)
+    return ranged.join(F.broadcast(starts), ["grp", "part"]).select("grp", "part", "v", (high - F.col("n")).alias("low"), (high + one).alias("high"), (F.col("total") + one).alias("total"))  # at most ranges times groups rows
+
+
+def against(found: DataFrame, frozen: DataFrame) -> DataFrame:
+    """``found`` with the midranks and the score of scored days against a frozen reference (as ``calibrated`` gives against the days themselves).
+
+    A value takes the numbers of the last reference value up to it, found within its range; a range begins with the
+    number of all values before it.
+    """
+    bounds = F.broadcast(frozen.groupBy("grp", "part").agg(F.min("v").alias("least"), F.min("low").alias("start"), F.max("total").alias("of")))  # a row for each range of each group
+
+    def ranked(df: DataFrame, names: dict[str, str]) -> DataFrame:
+        long = df.where("scored").select("site_id", "acq_date", F.explode(F.array(*[F.struct(F.lit(g).alias("grp"), F.round(g, PLACES).alias("v"), F.lit(n).alias("name")) for g, n in names.items()])).alias("p")).select("site_id", "acq_date", "p.*").where("v is not null")
+        # values before all of the reference have no range: nothing is below them
+        placed = long.join(bounds, (long.grp == bounds.grp) & (bounds.least <= long.v), "left").groupBy("site_id", "acq_date", long.grp, "v", "name").agg(F.max(F.struct("part", "start", "of")).alias("b"))
+        asked = placed.select("site_id", "acq_date", "grp", "name", "v", "b.part", "b.of", F.lit(None).cast("struct<v:double,low:bigint,high:bigint>").alias("r"))
+        known = frozen.select(F.lit(None).cast("string").alias("site_id"), F.lit(None).cast("date").alias("acq_date"), "grp", F.lit(None).cast("string").alias("name"), "v", "part", F.col("total").alias("of"), F.struct("v", "low", "high").alias("r"))
+        wanted = placed.select("grp", "b.part").distinct()
+        line = Window.partitionBy("grp", "part").orderBy("v", F.col("name").isNotNull()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        met = known.join(wanted, ["grp", "part"], "left_semi").unionByName(asked).withColumn("last", F.last("r", ignorenulls=True).over(line)).where("name is not null")
+        rank = F.when(F.col("last.v") == F.col("v"), (F.col("last.low") + F.col("last.high")) / (2.0 * F.col("of"))).when(F.col("last").isNotNull(), F.col("last.high") / F.col("of").cast("double")).otherwise(0.0)
+        wide = met.groupBy("site_id", "acq_date").pivot("name", list(names.values())).agg(F.first(rank))
+        return df.join(wide, ["site_id", "acq_date"], "left")
+
+    out = ranked(found, {g: f"{g}_pct" for g in c.GROUPS})
+    top = F.slice(F.sort_array(F.array(*[f"{g}_pct" for g in c.GROUPS]), asc=False), 1, 2)
+    out = cut(out.withColumn("c_raw", F.when(F.col("scored"), (top[0] + top[1]) / 2)))
+    return ranked(out, {"c_raw": "c_score"})
+
+
+# -- going on from a day ----------------------------------------------------------------------------------------------
+class Running:
+    """What the days of a site so far leave for the next one: four sorted histories, both recursions."""
+
+    def __init__(self) -> None:
+        self.held: dict[str, list[float]] = {x: [] for x in ("max_frp", "mean_frp", "density", "gap")}
+        self.first = self.last = None
+        self.n, self.ewma, self.cusum = 0, 0.0, 0.0
+
+    def fill(self, days: list[int], detections: list[int], mean: list[float], top: list[float]) -> None:
+        """Takes days that come before all that are asked for, without working anything out for them."""
+        if days:
+            self.held["max_frp"], self.held["mean_frp"] = sorted(top), sorted(mean)
+            self.held["density"], self.held["gap"] = sorted(log(1.0 + d) for d in detections), sorted(float(b - a) for a, b in zip(days, days[1:]))
+            self.first, self.last, self.n = days[0], days[-1], len(days)
+
+    def step(self, day: int, detections: int, mean: float, top: float) -> dict:
+        """A day's results, as ``site_history`` gives them."""
+        n, gap = self.n, None if self.last is None else float(day - self.last)
+        gaps = max(n - 1, 0)
+        span = day - self.first if n else None
+        out: dict = {"history_days": n, "history_span": span, "gaps": gaps, "gap": gap}
+        values = {"max_frp": top, "mean_frp": mean, "density": log(1.0 + detections), "gap": gap}
+        z = {}
+        for name, held in self.held.items():
+            m, s = None, c.SCALE_LEAST
+            if held:
+                m, mad, iqr = _of_sorted(held)
+                mad *= c.MAD_SCALE
+                s = max(iqr / c.IQR_SCALE if mad < c.SCALE_FLOOR else mad, c.SCALE_SHARE * abs(m), c.SCALE_LEAST)
+            out[f"{name}_m"], out[f"{name}_s"] = m, s
+            v = values[name]
+            z[name] = None if m is None or v is None else min(max(((m - v) if name == "gap" else (v - m)) / s, 0.0), c.Z_CAP)
+        scored = n >= c.MIN_HISTORY and span is not None and span >= c.MIN_SPAN_DAYS
+        out |= {"scored": scored, "intensity": None, "density": None, "recurrence_burst": None, "ewma": None, "cusum": None}
+        if scored:
+            out["intensity"], out["density"], out["recurrence_burst"] = max(z["max_frp"], z["mean_frp"]), z["density"], z["gap"] if gaps >= c.MIN_GAPS else 0.0
+            if gap is not None and gap > c.RESET_GAP_DAYS:
+                self.ewma = self.cusum = 0.0
+            x = max(out["intensity"], out["density"])
+            self.ewma = c.EWMA_ALPHA * x + (1 - c.EWMA_ALPHA) * self.ewma
+            self.cusum = max(0.0, min(self.cusum + x - c.CUSUM_K, c.CUSUM_CAP))
+            out["ewma"], out["cusum"] = self.ewma, self.cusum
+        for name, v in values.items():
+            if v is not None:
+                insort(self.held[name], v)
+        self.first, self.last, self.n = day if self.first is None else self.first, day, n + 1
+        return out
+
+
+STATE = "site_id string, first_day int, last_day int, n long, last_ewma double, last_cusum double, max_frp_held array<double>, mean_frp_held array<double>, density_held array<double>, gap_held array<double>"
+_HELD = ("max_frp", "mean_frp", "density", "gap")
+
+
+def going_on(daily: DataFrame, since: DataFrame, states: DataFrame, scores: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Results of the days from ``since`` (site_id, day: the first that changed) on, and every such site's new state.
+
+    ``states`` (as returned; empty at first) lets a site whose change comes after all its days go on without reading
+    them. For a late day the days before it are only sorted, and the recursions go on from the last scored of them
+    in ``scores`` (site_id, acq_date, ewma, cusum). The result equals a replay of all days; its cost grows with the
+    days from the change on. A state holds a site's four histories, so it grows with the site's days.
+    """
+    day = F.datediff("acq_date", F.lit("1970-01-01").cast("date"))
+    start = since.groupBy("site_id").agg(F.min(F.datediff("day", F.lit("1970-01-01").cast("date"))).alias("since"))
+    begun = start.join(states, "site_id", "left").withColumn("after", F.coalesce(F.col("last_day") < F.col("since"), F.lit(False)))
+    last = scores.where("ewma is not null").join(begun.where("not after").select("site_id", "since"), "site_id").where(day < F.col("since"))
+    last = last.groupBy("site_id").agg(F.max_by(F.struct("ewma", "cusum"), "acq_date").alias("_l"))
+    begun = cut(begun.join(last, "site_id", "left"))
+    known = lambda x: F.when(F.col("after"), F.col(x))
+    head = begun.select(
+        "site_id", F.lit(None).cast("int").alias("day"), F.lit(None).cast("long").alias("detections"), F.lit(None).cast("double").alias("mean_frp"), F.lit(None).cast("double").alias("max_frp"), "since",
+        *[known(x).alias(x) for x in ("first_day", "last_day", "n")], *[F.coalesce(F.when(F.col("after"), F.col(f"last_{x}")).otherwise(F.col(f"_l.{x}")), F.lit(0.0)).alias(f"last_{x}") for x in ("ewma", "cusum")], *[known(f"{x}_held").alias(f"{x}_held") for x in _HELD],
+    )
+    frp = lambda x: F.coalesce(F.col(x).cast("double"), F.lit(0.0)).alias(x)
+    days = daily.where(F.col("acq_date").isNotNull()).withColumn("day", day).join(begun.select("site_id", "since", "after"), "site_id").where(~F.col("after") | (F.col("day") >= F.col("since")))
+    days = days.select("site_id", "day", F.col("detections").cast("long").alias("detections"), frp("mean_frp"), frp("max_frp"))
+    ordered = head.unionByName(days, allowMissingColumns=True).repartition("site_id").sortWithinPartitions("site_id", F.asc_nulls_first("day"))
+    names = [f.split()[0] for f in _SCHEMA.split(", ")]
+    state_names = [f.split()[0] for f in STATE.split(", ")][1:]
+    schema = f"{_SCHEMA}, {STATE.split(', ', 1)[1]}"
+    arrow = to_arrow_schema(StructType.fromDDL(schema))
+
+    def closed(site: str, running: Running, held: list[tuple], out: list[dict]) -> None:
+        running.fill(*map(list, zip(*held))) if held else None
+        out.append(dict.fromkeys(arrow.names) | {"site_id": site, "first_day": running.first, "last_day": running.last, "n": running.n, "last_ewma": running.ewma, "last_cusum": running.cusum} | {f"{x}_held": running.held[x] for x in _HELD})
+
+    def run(batches):
+        site, running, held, since_day, out = None, None, [], None, []
+        for batch in batches:
+            for r in batch.to_pylist():
+                if r["site_id"] != site:
+                    if running is not None:
+                        closed(site, running, held, out)
+                    site, running, held, since_day = r["site_id"], Running(), [], r["since"]
+                    running.ewma, running.cusum = r["last_ewma"], r["last_cusum"]
+                    if r["n"] is not None:
+                        running.first, running.last, running.n = r["first_day"], r["last_day"], r["n"]
+                        running.held = {x: list(r[f"{x}_held"]) for x in _HELD}
+                elif r["day"] < since_day:
+                    held.append((r["day"], r["detections"], r["mean_frp"], r["max_frp"]))
+                else:
+                    if held:
+                        running.fill(*map(list, zip(*held)))
+                        held = []
+                    found = running.step(r["day"], r["detections"], r["mean_frp"], r["max_frp"])
+                    out.append(dict.fromkeys(arrow.names) | found | {"site_id": site, "acq_date": r["day"]})
+            if len(out) >= 2_000:
+                yield batch_of(out)
+                out = []
+        if running is not None:
+            closed(site, running, held, out)
+        yield batch_of(out)
+
+    def batch_of(rows: list[dict]) -> pa.RecordBatch:
+        arrays = [pa.array([r[f.name] for r in rows], pa.int32()).cast(f.type) if f.name == "acq_date" else pa.array([r[f.name] for r in rows], f.type) for f in arrow]
+        return pa.RecordBatch.from_arrays(arrays, schema=arrow)
+
+    # a state's row has no date
+    made = cut(ordered.mapInArrow(run, schema))
+    results = made.where("acq_date is not null").select(*names).withColumn("change", F.greatest("ewma", "cusum")).drop("gaps", *_NUMBERS[:8])
+    return results, made.where("acq_date is null").select("site_id", *state_names)
+
+
 def latest_status(scored: DataFrame, cutoff: str) -> DataFrame:
     """Each site's last result up to a cutoff; one older than 30 days is no recent event, without a score."""
     last = as_of(scored, cutoff).groupBy("site_id").agg(F.max_by(F.struct("acq_date", "level", "c_score"), "acq_date").alias("l")).select("site_id", "l.*")

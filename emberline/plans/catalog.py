@@ -67,10 +67,9 @@ base as (select *, {', '.join(map(_robust, _KINDS))} from g1)"""
 SIGNALS = f"""{BASELINE}, sig as (select site_id, acq_date, history_days, history_span, gap, history_days>=5 and coalesce(history_span>=30,false) as scored,
  greatest(0.0,least(greatest((max_frp-max_frp_m)/max_frp_s,(mean_frp-mean_frp_m)/mean_frp_s),20.0)) as i0, greatest(0.0,least((density-density_m)/density_s,20.0)) as d0, case when gaps>=3 then greatest(0.0,least((gap_m-gap)/gap_s,20.0)) else 0.0 end as r0 from base),
 signals as (select site_id, acq_date, history_days, history_span, gap, scored, case when scored then i0 end as intensity, case when scored then d0 end as density, case when scored then r0 end as recurrence_burst from sig)"""
-_SIX = "floor(({0})*1e6+0.5)/1e6"
 CHANGE = f"""{SIGNALS}, numbered as (select *, greatest(intensity,density) as x, coalesce(gap>30,false) as fresh, row_number() over (partition by site_id order by acq_date) as n from signals where scored),
-fold as (select site_id, acq_date, n, {_SIX.format('0.35*x')} as ewma, {_SIX.format('greatest(0.0,least(x-2.0,50.0))')} as cusum from numbered where n=1
- union all select m.site_id, m.acq_date, m.n, {_SIX.format('0.35*m.x+(1-0.35)*case when m.fresh then 0.0 else f.ewma end')}, {_SIX.format('greatest(0.0,least(case when m.fresh then 0.0 else f.cusum end+m.x-2.0,50.0))')} from fold f join numbered m on m.site_id=f.site_id and m.n=f.n+1),
+fold as (select site_id, acq_date, n, 0.35*x as ewma, greatest(0.0,least(x-2.0,50.0)) as cusum from numbered where n=1
+ union all select m.site_id, m.acq_date, m.n, 0.35*m.x+(1-0.35)*case when m.fresh then 0.0 else f.ewma end, greatest(0.0,least(case when m.fresh then 0.0 else f.cusum end+m.x-2.0,50.0)) from fold f join numbered m on m.site_id=f.site_id and m.n=f.n+1),
 changed as (select s.*, f.ewma, f.cusum, greatest(f.ewma,f.cusum) as change from signals s left join fold f using (site_id, acq_date))"""
 _GROUPS = ("intensity", "density", "recurrence_burst", "change")
 
@@ -224,9 +223,9 @@ def anomaly_signals(spark, sf_dir):
     return anomaly.signals(_daily(spark, sf_dir)).select("site_id", "acq_date", "history_days", "scored", *r6("intensity", "density", "recurrence_burst"))
 
 
-@register("detections", sql=f"--with {CHANGE} select site_id, acq_date, ewma, cusum from changed")
+@register("detections", sql=f"--with {CHANGE} select site_id, acq_date, round(ewma,6) as ewma, round(cusum,6) as cusum from changed")
 def ewma_cusum(spark, sf_dir):
-    return anomaly.signals(_daily(spark, sf_dir)).select("site_id", "acq_date", "ewma", "cusum")
+    return anomaly.signals(_daily(spark, sf_dir)).select("site_id", "acq_date", *r6("ewma", "cusum"))
 
 
 @register("detections", sql=f"--with {SIGNALS}, {_ranks('i', 'intensity', 'signals')} select site_id, acq_date, round(p,6) as midrank from signals join rank_i on round(intensity,9)=v where scored")
