@@ -28,6 +28,24 @@ GROUPS = ("intensity", "density", "recurrence_burst", "change")
 SEVERITIES = ("NONE", "INFO", "LOW", "MEDIUM", "HIGH", "CRITICAL")
 STACK_VERSION = "2026-09-04-r1"
 
+#: What an alert says.
+HEADLINES = {
+    "CRITICAL_INDUSTRIAL_ANOMALY": "Critical thermal anomaly detected at industrial facility",
+    "INDUSTRIAL_REACTIVATION_ANOMALY": "Industrial site thermally abnormal after extended dormancy",
+    "HIGH_INDUSTRIAL_ANOMALY": "Significant thermal anomaly detected at industrial facility",
+    "UNKNOWN_CRITICAL_REVIEW": "Urgent analyst review required: critical thermal anomaly at unclassified source",
+    "UNKNOWN_ANOMALY_REVIEW": "Unclassified thermal source exhibiting anomalous behavior",
+    "INDUSTRIAL_ELEVATION": "Elevated thermal activity observed at industrial site",
+    "NEW_SOURCE_REVIEW": "New thermal source identified; awaiting baseline accumulation",
+    "NORMAL_INDUSTRIAL_OPERATION": "Industrial facility operating within expected thermal baseline",
+    "NONINDUSTRIAL_ACTIVITY": "Non-industrial thermal activity detected",
+    "NO_ALERT": "Thermal observations consistent with background activity",
+}
+
+#: Sources: the one that is preferred, and those that deliver the same observations.
+LIVE_SOURCE, ARCHIVE_SOURCE = "VIIRS_NOAA20_NRT", "VIIRS_NOAA20_SP"
+FAMILY = (ARCHIVE_SOURCE, LIVE_SOURCE)
+
 #: Identity features, in the model's order.
 FEATURES = (
     "mean_frp", "median_frp", "max_frp", "std_frp", "frp_cv", "frp_p10", "frp_p25", "frp_p75", "frp_p90", "frp_iqr", "night_ratio",

@@ -54,6 +54,27 @@ def normalize(raw: DataFrame) -> DataFrame:
     )
 
 
+#: What a record without these fields is taken to have.
+DEFAULTS = {"satellite": "20", "instrument": "VIIRS", "version": "2.0NRT"}
+#: The fields of a record that make it another one when they change.
+PAYLOAD = ("source_sensor", "satellite", "instrument", "latitude", "longitude", "acq_date", "acq_time", "frp", "bright_ti4", "bright_ti5", "scan", "track", "confidence", "daynight", "version")
+
+
+def full_records(raw: DataFrame, source_sensor: str | None = None) -> DataFrame:
+    """All fields of ``PAYLOAD``, typed, with ``reject_reason``, detection_id and the physical key; fields that the input lacks are null, or their default.
+
+    ``source_sensor`` names the source that was asked, where the records don't.
+    """
+    present = raw.columns
+    sensor = F.coalesce(F.col("source_sensor") if "source_sensor" in present else F.lit(None).cast("string"), F.lit(source_sensor))
+    filled = raw.withColumns({c: F.lit(None).cast("string") for c in PAYLOAD if c not in present}).withColumn("source_sensor", sensor)
+    typed = normalize(filled)
+    named = typed.withColumns({c: F.trim(F.coalesce(F.col(c).cast("string"), F.lit(d))) for c, d in DEFAULTS.items()} | {c: number(F.col(c)) for c in ("bright_ti4", "bright_ti5", "scan", "track")})
+    key = [F.col(c) for c in ("satellite", "latitude", "longitude", "acq_date", "acq_time")]
+    reason = F.coalesce("reject_reason", F.when(F.col("source_sensor").isNull(), "source_sensor"))
+    return named.withColumn("reject_reason", reason).withColumn("detection_id", detection_id(F.col("source_sensor"), *key)).withColumn("physical_key", physical_key(*key))
+
+
 def strict(normalized: DataFrame) -> DataFrame:
     """Valid records; a record that was rejected stops the job (the whole batch fails)."""
     checked = normalized.withColumn("reject_reason", F.when(F.col("reject_reason").isNotNull(), F.raise_error(F.concat(F.lit("invalid record: "), "reject_reason"))).otherwise(F.lit(None).cast("string")))

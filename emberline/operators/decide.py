@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from emberline.config import SEVERITIES, STACK_VERSION
+from emberline.config import HEADLINES, SEVERITIES, STACK_VERSION
+from emberline.operators.common import first_by
 
 
 def rank(level: Column) -> Column:
@@ -49,6 +50,42 @@ def decide(joined: DataFrame, version: str = STACK_VERSION) -> DataFrame:
     return out.withColumn("reason_codes", reasons).withColumn("fingerprint", fingerprint(F.col("site_id"), F.col("site_day"), F.col("alert_type"), version))
 
 
+def headline(kind: Column) -> Column:
+    """What an alert of a type says."""
+    out = F.lit(None).cast("string")
+    for name, text in HEADLINES.items():
+        out = F.when(kind == name, text).otherwise(out)
+    return out
+
+
+def merge_alerts(stored: DataFrame, decided: DataFrame, at: str) -> DataFrame:
+    """The rows that a decision writes to the alerts, keyed by fingerprint: alerts that are new, and those that escalate.
+
+    ``decided`` has one row for each site and day. Where an active alert of the site and day is there (the one
+    created last counts), only a higher level writes: it names the level that it comes from in headline and reasons.
+    NONE and INFO are never written. A fingerprint that is stored keeps its id, status and time of creation.
+    """
+    now = F.lit(at).cast("timestamp")
+    held = first_by(stored.where("status = 'ACTIVE'"), ["site_id", "site_day"], [F.desc("created_at"), F.desc("alert_id")])
+    held = held.select("site_id", "site_day", F.col("alert_level").alias("_level"), F.col("alert_type").alias("_type"))
+    both = decided.join(held, ["site_id", "site_day"], "left")
+    escalates = F.col("_level").isNotNull()
+    kept = both.where(~F.col("alert_level").isin("NONE", "INFO") & (~escalates | (rank(F.col("alert_level")) > rank(F.col("_level")))))
+    text = headline(F.col("alert_type"))
+    rows = kept.select(
+        "fingerprint", "site_id", "site_day", "alert_type", "alert_level", "evidence_required",
+        F.when(escalates, F.concat(text, F.lit(" (Escalated from "), "_level", F.lit(")"))).otherwise(text).alias("headline"),
+        F.when(escalates, F.concat("reason_codes", F.lit(",ESCALATED_FROM_"), "_level")).otherwise(F.col("reason_codes")).alias("reason_codes"),
+        escalates.alias("is_escalation"), F.col("_level").alias("previous_level"), F.col("_type").alias("previous_type"),
+    )
+    old = stored.select("fingerprint", F.col("alert_id").alias("_id"), F.col("status").alias("_status"), F.col("created_at").alias("_created"))
+    known = rows.dropDuplicates(["fingerprint"]).join(old, "fingerprint", "left")
+    return known.select(
+        F.coalesce("_id", F.concat(F.lit("ALT_"), F.substring("fingerprint", 1, 32))).alias("alert_id"), *rows.columns,
+        F.coalesce("_status", F.lit("ACTIVE")).alias("status"), F.coalesce("_created", now).alias("created_at"), now.alias("updated_at"),
+    )
+
+
 def alerts(decided: DataFrame, keep_info: bool = False) -> DataFrame:
     """What is kept: one alert for each fingerprint; NONE never, INFO on request."""
     dropped = ["NONE"] if keep_info else ["NONE", "INFO"]

@@ -41,6 +41,12 @@ def changed(stored: DataFrame, incoming: DataFrame, keys: list[str]) -> DataFram
     return incoming.alias("i").join(stored.alias("s"), keys).where(differ).select(*keys, *[F.col(f"i.{c}").alias(c) for c in incoming.columns if c not in keys])
 
 
+def newer(latest: DataFrame, history: DataFrame, new: DataFrame, keys: list[str], as_of: str = "as_of") -> DataFrame:
+    """The rows of ``new`` that may stand in ``latest``: those whose date is not before any that ``history`` has of their key."""
+    last = history.groupBy(*keys).agg(F.max(as_of).alias("_last"))
+    return new.join(last, keys, "left").where(F.col("_last").isNull() | (F.col(as_of) >= F.col("_last"))).drop("_last")
+
+
 class VersionedTable:
     """Versions of a table under one folder; the file ``CURRENT`` names the one in force."""
 

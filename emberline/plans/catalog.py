@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from emberline.config import FEATURES
 from emberline.functions import geo, normalize
 from emberline.operators import anomaly, audit, daily, decide, features, identity, resolver, review, serving, spatial, temporal, upsert
-from emberline.operators.common import cut
+from emberline.operators.common import cut, first_by
 from emberline.plans import windows
 from emberline.sources.adapters import view, with_views
 
@@ -249,6 +249,29 @@ def anomaly_level_counts(spark, sf_dir):
     return found.groupBy("level").agg(F.count("*").alias("site_days"), F.count_distinct("site_id").alias("sites"))
 
 
+LATE = "1998-01-01"
+
+
+@register("detections", sql=f"--with {CHANGE} select site_id, acq_date, history_days, round(ewma,6) as ewma, round(cusum,6) as cusum from changed where acq_date > date '{LATE}'")
+def replay_from_a_day(spark, sf_dir):
+    """Days after one, worked out from the scores before it and the histories up to it; equal to a replay of all days."""
+    days = cut(_daily(spark, sf_dir))
+    late = F.lit(LATE).cast("date")
+    scores = anomaly.signals(days.where(F.col("acq_date") <= late)).select("site_id", "acq_date", "ewma", "cusum")
+    since = days.where(F.col("acq_date") > late).select("site_id", F.col("acq_date").alias("day"))
+    found, _ = anomaly.going_on(days, since, spark.createDataFrame([], anomaly.STATE), scores)
+    return found.select("site_id", "acq_date", "history_days", *r6("ewma", "cusum"))
+
+
+@register("detections", sql=f"--with {SCORED} select site_id, acq_date, round(c_raw,6) as c_raw, round(c_score,6) as c_score, level from scored where acq_date > date '{CALIBRATION_END}'")
+def scores_by_frozen_reference(spark, sf_dir):
+    """Days after calibration, scored against the reference as it was frozen, without the days it was made from."""
+    found = cut(anomaly.signals(_daily(spark, sf_dir)))
+    frozen = cut(anomaly.reference(found, CALIBRATION_END))
+    later = found.where(F.col("acq_date") > F.lit(CALIBRATION_END).cast("date"))
+    return anomaly.levels(anomaly.against(later, frozen)).select("site_id", "acq_date", *r6("c_raw", "c_score"), "level")
+
+
 # -- identity and decision ----------------------------------------------------------------------------------------------
 @register("a_history", sql=f"--with {IDENTITY.format(where='')} select site_id, p_core, decision, class, case when p_visual is not null then 'AVAILABLE' when p_core>=0.405 and p_core<0.885 then 'PENDING' else 'NOT_TRIGGERED' end as visual_status, p_visual is null and p_core>=0.405 and p_core<0.885 as should_queue from a_now")
 def identity_guard(spark, sf_dir):
@@ -645,6 +668,41 @@ def alerts_resolved_by_review(spark, sf_dir):
     return review.resolved_alerts(view(spark, sf_dir, "alerts"), view(spark, sf_dir, "reviews")).select("alert_id", "status")
 
 
+_MERGED = f"""--with fp as (select alert_id, site_id, site_day, alert_type, alert_level, status, created_at, seq, evidence_required, sha256(site_id||'_'||cast(site_day as varchar)||'_'||alert_type||'_2026-09-04-r1') as fingerprint, {_RANK} as rk from alerts),
+stored as (select * from (select *, row_number() over (partition by fingerprint order by seq) as rn from fp where seq%2=0) where rn=1),
+dec as (select * from (select *, row_number() over (partition by site_id, site_day order by seq desc) as rn from fp where seq%2=1) where rn=1),
+held as (select * from (select *, row_number() over (partition by site_id, site_day order by created_at desc, alert_id desc) as hn from stored where status='ACTIVE') where hn=1),
+j as (select d.*, h.alert_level as old_level, h.rk as old_rank from dec d left join held h using (site_id, site_day))
+select coalesce(s.alert_id, 'ALT_'||substr(j.fingerprint,1,32)) as alert_id, j.fingerprint, j.alert_level, coalesce(s.status,'ACTIVE') as status, j.old_level is not null as is_escalation, j.old_level as previous_level, case when j.old_level is null then 'R' else 'R,ESCALATED_FROM_'||j.old_level end as reason_codes
+from j left join stored s using (fingerprint) where j.alert_level not in ('NONE','INFO') and (j.old_rank is null or j.rk>j.old_rank)"""
+
+
+@register("alerts", sql=_MERGED)
+def alerts_merged(spark, sf_dir):
+    """What a day's decisions write over stored alerts (those with even numbers): new ones, and escalations of the same day."""
+    rows = view(spark, sf_dir, "alerts").withColumn("fingerprint", decide.fingerprint(F.col("site_id"), F.col("site_day"), F.col("alert_type")))
+    stored = first_by(rows.where("seq % 2 = 0"), ["fingerprint"], [F.col("seq")])
+    decided = first_by(rows.where("seq % 2 = 1"), ["site_id", "site_day"], [F.desc("seq")]).withColumn("reason_codes", F.lit("R"))
+    found = decide.merge_alerts(stored, decided.select("fingerprint", "site_id", "site_day", "alert_type", "alert_level", "evidence_required", "reason_codes"), "2024-02-01 00:00:00")
+    return found.select("alert_id", "fingerprint", "alert_level", "status", "is_escalation", "previous_level", "reason_codes")
+
+
+@register("a_history", sql="--with l as (select site_id, max(as_of) as last from a_history where inference_id%2=0 group by 1) select a.site_id, a.as_of, a.inference_id from (select * from (select *, row_number() over (partition by site_id order by as_of, inference_id) as rn from a_history where inference_id%2=1) where rn=1) a left join l using (site_id) where last is null or as_of>=last")
+def latest_if_newer(spark, sf_dir):
+    """Results that may replace a site's latest one: those not before any in its history."""
+    rows = view(spark, sf_dir, "a_history")
+    history = rows.where("inference_id % 2 = 0")
+    new = first_by(rows.where("inference_id % 2 = 1"), ["site_id"], [F.col("as_of"), F.col("inference_id")])
+    return upsert.newer(history, history, new, ["site_id"]).select("site_id", "as_of", "inference_id")
+
+
+@register("a_history", sql=" select site_id, inference_id from a_history where inference_id%3=0 and inference_id not in (select inference_id from a_history where inference_id%2=0)")
+def inferences_inserted(spark, sf_dir):
+    """Inferences whose id the history lacks."""
+    rows = view(spark, sf_dir, "a_history")
+    return upsert.insert_absent(rows.where("inference_id % 2 = 0"), rows.where("inference_id % 3 = 0"), ["inference_id"]).select("site_id", "inference_id")
+
+
 # -- reviews ---------------------------------------------------------------------------------------------------------------
 _REFS = "list_sort(list_distinct(list_filter(list_transform(string_split({0},','), lambda x: upper(trim(x))), lambda x: x<>'')))"
 
