@@ -179,50 +179,6 @@ def test_versioned_table(spark, tmp_path):
     assert sorted(r[0] for r in table.read().collect()) == [0, 1, 2, 3, 4]
 
 
-RECORD = ("N20", "nominal", "VIIRS_NOAA20_NRT")
-
-
-def records(spark, *rows):
-    schema = "site_id string, latitude string, longitude string, acq_date string, acq_time string, frp string, daynight string, satellite string, confidence string, source_sensor string"
-    return spark.createDataFrame([(*r, *RECORD) for r in rows], schema)
-
-
-def test_live_batches_are_idempotent_and_take_late_records(spark, tmp_path):
-    landing_folder, root = str(tmp_path / "landing"), str(tmp_path / "state")
-    first = records(spark, ("S", "22", "72", "2025-05-01", "35", "10", "D"), ("S", "22", "72", "2025-05-01", "35", "12", "D"), ("S", "99", "72", "2025-05-01", "40", "1", "D"))
-    first.write.mode("append").parquet(landing_folder)
-    stream = lambda: spark.readStream.schema(first.schema).parquet(landing_folder)
-    live.ingest(spark, stream(), root, "2025-05-10").awaitTermination()
-    states = upsert.VersionedTable(spark, f"{root}/states")
-    days_table = upsert.VersionedTable(spark, f"{root}/daily")
-    assert [(r.detections, r.max_frp) for r in days_table.read().collect()] == [(1, 12.0)] and states.read().first()["state"] == "NEW"
-    assert live.apply_batch(spark, root, first, "2025-05-10") == {"read": 1, "inserted": 0, "updated": 0}
-    records(spark, ("S", "22", "72", "2025-01-01", "10", "3", "N")).write.mode("append").parquet(landing_folder)  # months late
-    live.ingest(spark, stream(), root, "2025-05-10").awaitTermination()
-    assert days_table.read().count() == 2 and states.read().first()["state"] == "REACTIVATED"
-    assert live.apply_batch(spark, root, records(spark, ("S", "22", "72", "2025-01-01", "10", "7", "N")), "2025-05-10")["updated"] == 1
-
-
-def test_a_batch_that_fails_between_switches_is_done_again(spark, tmp_path, monkeypatch):
-    root, switch = str(tmp_path / "state"), upsert.VersionedTable.switch
-    live.apply_batch(spark, root, records(spark, ("S", "22", "72", "2025-01-01", "10", "3", "N")), "2025-05-10")
-    late = records(spark, ("S", "22", "72", "2025-05-01", "35", "10", "D"))
-
-    def failing(table, name):
-        if table.root.endswith("/states"):
-            raise OSError("lost")
-        switch(table, name)
-
-    monkeypatch.setattr(upsert.VersionedTable, "switch", failing)
-    with pytest.raises(OSError):
-        live.apply_batch(spark, root, late, "2025-05-10")
-    monkeypatch.setattr(upsert.VersionedTable, "switch", switch)
-    table = lambda name: upsert.VersionedTable(spark, f"{root}/{name}").read()
-    assert table("detections").count() == 1 and table("states").first()["state"] == "DORMANT"
-    assert live.apply_batch(spark, root, late, "2025-05-10") == {"read": 1, "inserted": 1, "updated": 0}
-    assert table("daily").count() == 2 and table("detections").count() == 2 and table("states").first()["state"] == "REACTIVATED"
-
-
 def test_feed_pages_by_time_and_id(spark):
     alerts = spark.createDataFrame([(f"A{i}", "2025-01-01 00:00:00") for i in range(7)], "alert_id string, updated_at string").withColumn("updated_at", F.to_timestamp("updated_at"))
     assert live.alerts_since(alerts, None).count() == 5
