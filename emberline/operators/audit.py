@@ -127,6 +127,36 @@ def repair_promotions(members: DataFrame, sites: DataFrame, least: int = 3) -> t
     return demoted, sites.join(gone, "site_id", "left_anti")
 
 
+def repair_audit(detections: DataFrame, members: DataFrame, reviews: DataFrame, labels: DataFrame, least: int = 3) -> DataFrame:
+    """How much a repair of re-deliveries would change, and what people have decided that it would touch: name, n.
+
+    Duplicates, the sites and candidates that hold them, promotions of such candidates, those among them that keep
+    too few detections, and reviews and reference labels of those promotions' sites.
+    """
+    double = delivery_duplicates(detections)
+    touched = members.join(double.select("detection_id"), "detection_id", "left_semi").select("candidate_id").distinct()
+    promoted = members.where("promoted_site_id is not null").join(touched, "candidate_id", "left_semi").select("candidate_id", F.col("promoted_site_id").alias("site_id")).distinct()
+    kept = detections.join(double.select("detection_id"), "detection_id", "left_anti").groupBy("site_id").agg(F.count("*").alias("_kept"))
+    invalid = promoted.join(kept, "site_id", "left").where(F.coalesce("_kept", F.lit(0)) < least).drop("_kept")
+    sets = {
+        "duplicate_rows": double, "affected_sites": double.where("site_id is not null").select("site_id").union(invalid.select("site_id")).distinct(), "affected_candidates": touched,
+        "affected_promotions": promoted, "invalid_promotions": invalid,
+        "protected_reviews": reviews.join(invalid.select("site_id").distinct(), "site_id", "left_semi"), "protected_labels": labels.join(invalid.select("site_id").distinct(), "site_id", "left_semi"),
+    }
+    out = None
+    for name, rows in sets.items():
+        part = rows.agg(F.count("*").alias("n")).select(F.lit(name).alias("name"), "n")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def require_unprotected(audit_rows: DataFrame) -> None:
+    """An error if a repair would take what people have decided."""
+    held = audit_rows.where("name like 'protected%' and n > 0").collect()  # at most two rows
+    if held:
+        raise ValueError("protected rows: " + ", ".join(f"{r['name']} {r['n']}" for r in held))
+
+
 def repair_cascade(gone: DataFrame, **tables: DataFrame) -> dict[str, DataFrame]:
     """Every table without the rows of the sites that are gone."""
     names = gone.select("site_id").distinct()

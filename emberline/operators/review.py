@@ -52,6 +52,13 @@ def queue(ledger: DataFrame, alerts: DataFrame, identity: DataFrame) -> DataFram
     return open_alerts.join(unknown, "site_id").join(last.select("site_id", "review_status", "consensus"), "site_id", "left").select("site_id", "alert_id", "alert_level", status.alias("queue_status"))
 
 
+def queue_page(found: DataFrame, status: str = "OPEN", limit: int = 100) -> DataFrame:
+    """A part of the queue (OPEN: all but COMPLETED; ALL; or one status): the first rows by site, with how many there are before the slice."""
+    kept = found if status == "ALL" else found.where("queue_status <> 'COMPLETED'") if status == "OPEN" else found.where(F.col("queue_status") == status)
+    total = kept.agg(F.count("*").alias("total_reviews"))
+    return kept.orderBy("site_id").limit(limit).join(F.broadcast(total))  # one row of counts
+
+
 def export(ledger: DataFrame) -> DataFrame:
     """Sites whose latest review may teach (latest first, then the test): label, reviewer, time."""
     last = first_by(with_consensus(ledger), ["site_id"], [F.desc("reviewed_at"), F.desc("review_id")])

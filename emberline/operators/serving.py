@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from emberline.config import RECENT_DAYS
 from emberline.operators import anomaly, decide, identity, temporal
 from emberline.operators.common import as_of, box, first_by, matching
 
@@ -136,6 +137,46 @@ def replay(sites: DataFrame, detections: DataFrame, a_history: DataFrame, scored
     return found.select("site_id", "a_class", F.round("p_core", 4).alias("p_core"), F.col("state").alias("b_state"), "confidence", "c_status", F.round("c_score", 4).alias("c_score"), "latest_seen", F.when(shown, F.col("alert_type")).alias("alert_type"), F.when(shown, F.col("alert_level")).alias("alert_level"))
 
 
+def _spells(rows: DataFrame, day: str, order: list, cutoffs: list[str]) -> DataFrame:
+    """Each site's rows with the dates (``cutoff``) for which they are the last: those from their own day to the next row's."""
+    dates = F.array(*[F.lit(x).cast("date") for x in sorted(set(cutoffs))])
+    line = Window.partitionBy("site_id").orderBy(F.col(day), *order)
+    spell = rows.where(F.col(day).isNotNull()).withColumn("_to", F.lead(day).over(line))
+    return spell.withColumn("cutoff", F.explode(F.filter(dates, lambda x: (x >= F.col(day)) & (F.col("_to").isNull() | (x < F.col("_to")))))).drop("_to")
+
+
+def replay_days(sites: DataFrame, detections: DataFrame, a_history: DataFrame, scored: DataFrame, cutoffs: list[str], bounds: tuple[float, float, float, float] | None = None) -> DataFrame:
+    """``replay`` for many dates in one plan: the same rows for each, with their ``cutoff``.
+
+    Identity and anomaly results hold from their day to the next one's, so each is dealt to the dates of its spell
+    without a join; states are counted for all dates in one pass.
+    """
+    name, sure = temporal.state()
+    b = temporal.timelines(detections, cutoffs).withColumn("state", name).withColumn("confidence", sure).select("site_id", "cutoff", "state", "confidence", F.col("last_date").alias("latest_seen"))
+    a = identity.guard(_spells(a_history, "as_of", [F.col("inference_id")], cutoffs)).select("site_id", "cutoff", "decision", F.col("class").alias("a_class"), "p_core")
+    c = _spells(scored.select("site_id", "acq_date", "level", "c_score"), "acq_date", [], cutoffs)
+    old = F.datediff("cutoff", "acq_date") > RECENT_DAYS
+    c = c.select("site_id", "cutoff", F.when(old, "NO_RECENT_EVENT").otherwise(F.col("level")).alias("c_status"), F.when(~old, F.col("c_score")).alias("c_score"))
+    places = sites if bounds is None else box(sites, *bounds)
+    out = places.select("site_id").join(b, "site_id").join(a, ["site_id", "cutoff"], "left").join(c, ["site_id", "cutoff"], "left").withColumn("c_status", F.coalesce("c_status", F.lit("UNAVAILABLE")))
+    able = F.col("decision").isNotNull() & ~F.col("c_status").isin("NO_RECENT_EVENT", "UNAVAILABLE")
+    found = out.withColumn("level", F.col("c_status")).withColumns(decide.rules())
+    shown = able & ~F.col("alert_level").isin("NONE", "INFO")
+    return found.select("site_id", "cutoff", "a_class", F.round("p_core", 4).alias("p_core"), F.col("state").alias("b_state"), "confidence", "c_status", F.round("c_score", 4).alias("c_score"), "latest_seen", F.when(shown, F.col("alert_type")).alias("alert_type"), F.when(shown, F.col("alert_level")).alias("alert_level"))
+
+
+def imagery_as_of(imagery: DataFrame, cutoff: str) -> DataFrame:
+    """Imagery that was there on a date; without a date it always was."""
+    return imagery.where(F.col("acq_date").isNull() | (F.col("acq_date") <= F.lit(cutoff).cast("date")))
+
+
+def imagery_list(imagery: DataFrame, most: int = 50) -> DataFrame:
+    """Each site's imagery, newest first, numbered; without a date it stands last."""
+    order = [F.desc_nulls_last("acq_date"), F.col("granule")]
+    numbered = imagery.withColumn("place", F.row_number().over(Window.partitionBy("site_id").orderBy(*order)))
+    return numbered.where(F.col("place") <= most)
+
+
 def best_granules(granules: DataFrame, site: str | None, day: str, lookback: int = 30) -> DataFrame:
     """Granules in a window around a day, nearest first, then clearest; a missing date stands last, a missing cloud share counts as 101."""
     ref = F.lit(day).cast("date")

@@ -210,6 +210,14 @@ class Store:
             self.files.delete(f"_manifests/{n}")
         return gone
 
+    def truncate(self, *names: str) -> None:
+        """Empties tables, all of them where none is named, in one commit; their columns stay."""
+        batch = self.begin()
+        for name in names or list(batch.tables):
+            if name in batch.tables:
+                batch.tables[name] |= _new()
+        batch.commit()
+
     def verify(self) -> DataFrame:
         """Every base and layer in force with the digest of what its files hold now: table, path, expected, found."""
         out = None

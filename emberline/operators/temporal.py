@@ -27,6 +27,28 @@ def timeline(detections: DataFrame, cutoff: str) -> DataFrame:
     )
 
 
+def timelines(detections: DataFrame, cutoffs: list[str]) -> DataFrame:
+    """``timeline`` for many dates in one pass: a row for each site and date from its first day on.
+
+    A day is counted for all dates it may count for while it is read, so what is shuffled is a row for each site and
+    date. Months are bits of a number.
+    """
+    days = days_of(as_of(detections, max(cutoffs)))
+    gapped = days.withColumn("gap", F.datediff("acq_date", F.lag("acq_date").over(Window.partitionBy("site_id").orderBy("acq_date"))))
+    dates = F.array(*[F.lit(x).cast("date") for x in sorted(set(cutoffs))])
+    rows = gapped.withColumn("cutoff", F.explode(F.filter(dates, lambda x: x >= F.col("acq_date"))))
+    ago = F.datediff("cutoff", "acq_date")
+    out = rows.groupBy("site_id", "cutoff").agg(
+        F.min("acq_date").alias("first_date"), F.max("acq_date").alias("last_date"), F.count("*").alias("active_days"),
+        *[F.count_if(ago < n).alias(f"active_days_{n}") for n in (30, 90, 180, 365)],
+        F.bit_count(F.coalesce(F.bit_or(F.when(ago < 180, F.expr("shiftleft(1L, cast((year(cutoff)-year(acq_date))*12+month(cutoff)-month(acq_date) as int))"))), F.lit(0).cast("long"))).cast("long").alias("active_months_180"), F.max(F.when(F.col("gap") >= GAP_DAYS, F.struct("acq_date", "gap"))).alias("g"),
+    )
+    return out.select(
+        "site_id", "cutoff", "first_date", "last_date", F.datediff("cutoff", "first_date").alias("days_since_first"), F.datediff("cutoff", "last_date").alias("days_since_last"), (F.datediff("last_date", "first_date") + 1).alias("lifetime_days"),
+        "active_days", *[f"active_days_{n}" for n in (30, 90, 180, 365)], "active_months_180", F.col("g.gap").alias("last_long_gap_days"), F.datediff("cutoff", "g.acq_date").alias("reactivation_age_days"),
+    )
+
+
 def state() -> tuple[Column, Column]:
     """State and confidence from the columns of ``timeline``; the first rule that holds wins."""
     c = F.col

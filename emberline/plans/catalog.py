@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from emberline.config import FEATURES
 from emberline.functions import geo, normalize
 from emberline.operators import anomaly, audit, daily, decide, features, identity, resolver, review, serving, spatial, temporal, upsert
-from emberline.operators.common import cut, first_by
+from emberline.operators.common import cut, first_by, shared_folder
 from emberline.plans import windows
+from emberline.sources import area, bootstrap, tiles
 from emberline.sources.adapters import view, with_views
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -852,3 +854,103 @@ def text_fields(spark, sf_dir):
     """Comma lists, yes or no, path parts and messages without their secret."""
     text = F.col("evidence_text")
     return view(spark, sf_dir, "review_requests").select("request_id", F.array_join(normalize.comma_list(text), "|").alias("parts"), normalize.truthy(F.col("request_id") % 2).alias("yes"), normalize.safe_path(text).alias("path"), normalize.redacted(F.concat(F.lit("key=abc123 at "), "review_status"), "abc123").alias("message"))
+
+
+# -- many dates in one plan ------------------------------------------------------------------------------------------------
+CUTOFFS = ("2000-06-30", "2001-03-31", CUTOFF)
+_REPLAYS = " union all ".join(f"select *, date '{c}' as cutoff from ({_REPLAY.replace('--with', 'with recursive').replace(CUTOFF, c)})" for c in CUTOFFS)
+
+
+def _replay_days(spark, sf_dir):
+    scored = cut(_scored(spark, sf_dir))
+    return serving.replay_days(view(spark, sf_dir, "sites"), view(spark, sf_dir, "detections"), view(spark, sf_dir, "a_history"), scored, list(CUTOFFS))
+
+
+@register("sites", "a_history", "detections", sql=" " + _REPLAYS)
+def replay_days(spark, sf_dir):
+    """The replay of three dates at once."""
+    return _replay_days(spark, sf_dir)
+
+
+@register("sites", "a_history", "detections", sql=f" select site_id, cutoff, property, expected, found from (select e.site_id, e.cutoff, unnest([{{'property': 'b_state', 'expected': e.b_state, 'found': r.b_state}}, {{'property': 'c_status', 'expected': e.c_status, 'found': r.c_status}}], recursive := true) from (select site_id, c as cutoff, 'DORMANT' as b_state, case when c=date '{CUTOFF}' then 'NO_RECENT_EVENT' end as c_status from sites, (select unnest([{', '.join(f"date '{c}'" for c in CUTOFFS)}]) as c) where cast(substr(site_id,6) as int)%50=0) e left join ({_REPLAYS}) r using (site_id, cutoff)) where expected is not null and found is distinct from expected")
+def expectation_mismatches(spark, sf_dir):
+    """Every fiftieth site is expected to be dormant, and without recent event on the last date: those that aren't."""
+    chosen = view(spark, sf_dir, "sites").where("cast(substr(site_id, 6) as int) % 50 = 0")
+    days = F.explode(F.array(*[F.lit(c).cast("date") for c in CUTOFFS]))
+    expected = chosen.select("site_id", days.alias("cutoff"), F.lit("DORMANT").alias("b_state")).withColumn("c_status", F.when(F.col("cutoff") == F.lit(CUTOFF).cast("date"), "NO_RECENT_EVENT"))
+    return windows.expectation_mismatches(_replay_days(spark, sf_dir), expected, ["b_state", "c_status"])
+
+
+# -- imagery, evidence, requests and rasters ----------------------------------------------------------------------------------
+_DATED = "--with dated as (select granule, site_id, cast(make_date(cast(regexp_extract(granule,'\\.(20\\d{2}|19\\d{2})(\\d{3})T',1) as int),1,1)+cast(regexp_extract(granule,'\\.(20\\d{2}|19\\d{2})(\\d{3})T',2) as int)-1 as date) as acq_date, cloud from granules)"
+
+
+@register("granules", sql=_DATED + f" select * from (select site_id, granule, acq_date, row_number() over (partition by site_id order by acq_date desc nulls last, granule, cloud nulls first) as place from dated where acq_date is null or acq_date <= date '1998-06-15') where place<=3")
+def imagery_list(spark, sf_dir):
+    """The three newest granules of each site that there were on a date."""
+    dated = view(spark, sf_dir, "granules").withColumn("acq_date", normalize.granule_date(F.col("granule")))
+    return serving.imagery_list(serving.imagery_as_of(dated, "1998-06-15"), 3).select("site_id", "granule", "acq_date", "place")
+
+
+@register("reviews", "alerts", "a_history", sql=f"--with {_CONSENSUS}, {OPEN_ALERT}, {IDENTITY.format(where='')}, q as (select t.site_id, case when l.review_status is null then 'PENDING' when l.review_status='IN_REVIEW' then 'IN_REVIEW' when l.review_status='ESCALATED' or l.consensus='CONFLICT' then 'CONFLICT' when l.consensus='VERIFIED' then 'COMPLETED' else 'AWAITING_VERIFICATION' end as queue_status from top_alert t join a_now a on a.site_id=t.site_id and a.class='UNKNOWN' left join lastr l on l.site_id=t.site_id) select site_id, queue_status, (select count(*) from q where queue_status<>'COMPLETED') as total_reviews from q where queue_status<>'COMPLETED' order by site_id limit 25")
+def review_queue_page(spark, sf_dir):
+    """The first open reviews, and how many there are."""
+    found = review.queue(view(spark, sf_dir, "reviews"), view(spark, sf_dir, "alerts"), serving.latest_identity(view(spark, sf_dir, "a_history")))
+    return review.queue_page(cut(found), "OPEN", 25).select("site_id", "queue_status", "total_reviews")
+
+
+_AUDIT = _DUP + """, members as (select detection_id, 'CAND_'||cast(ingested_at%500 as varchar) as candidate_id, case when ingested_at%500%2=0 then site_id end as promoted_site_id from redelivery),
+touched as (select distinct candidate_id from members join dup using (detection_id)), promoted as (select distinct candidate_id, promoted_site_id as site_id from members join touched using (candidate_id) where promoted_site_id is not null),
+kept as (select site_id, count(*) as k from redelivery where detection_id not in (select detection_id from dup) group by 1), invalid as (select p.* from promoted p left join kept using (site_id) where coalesce(k,0)<3)
+select 'duplicate_rows' as name, count(*) as n from dup union all select 'affected_sites', count(*) from (select site_id from dup union select site_id from invalid) union all select 'affected_candidates', count(*) from touched union all select 'affected_promotions', count(*) from promoted
+union all select 'invalid_promotions', count(*) from invalid union all select 'protected_reviews', count(*) from reviews where site_id in (select site_id from invalid) union all select 'protected_labels', count(*) from a_history where inference_id%10=0 and site_id in (select site_id from invalid)"""
+
+
+@register("redelivery", "reviews", "a_history", sql=_AUDIT)
+def repair_audit(spark, sf_dir):
+    """What a repair of re-deliveries would touch, and what people have decided there."""
+    d = view(spark, sf_dir, "redelivery")
+    candidate = F.col("ingested_at") % 500
+    members = d.select("detection_id", F.concat(F.lit("CAND_"), candidate.cast("string")).alias("candidate_id"), F.when(candidate % 2 == 0, F.col("site_id")).alias("promoted_site_id"))
+    return audit.repair_audit(d, members, view(spark, sf_dir, "reviews"), view(spark, sf_dir, "a_history").where("inference_id % 10 = 0"))
+
+
+def _scratch(spark, name: str) -> str:
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+@register("raw_records", sql=_NORMAL + " select coalesce(reject_reason,'ACCEPTED') as reason, count(*) as n_records from norm group by 1")
+def records_from_cache(spark, sf_dir):
+    """Records kept as the answers of requests over all their days, read back offline by the data source, and what becomes of them."""
+    folder = _scratch(spark, "cache")
+    area.land(view(spark, sf_dir, "raw_records"), folder, "SRC", "1992-01-01", "1998-12-31")
+    area.register(spark)
+    read = spark.read.format("area_records").options(cache=folder, offline="true", source="SRC", start="1992-01-01", end="1998-12-31").load()
+    none = {c: F.nullif(F.col(c), F.lit("")) for c in ("acq_time", "daynight", "confidence")}  # a CSV has no nulls
+    return normalize.normalize(read.withColumns(none)).groupBy(F.coalesce("reject_reason", F.lit("ACCEPTED")).alias("reason")).agg(F.count("*").alias("n_records"))
+
+
+@register("facilities", sql=" select facility_name, 'power_plant' as facility_type, 'EXACT' as coordinate_quality, round(latitude,4) as latitude, round(longitude,4) as longitude, count(*) over () as ids from facilities")
+def evidence_from_files(spark, sf_dir):
+    """Facilities written as a CSV and read as evidence; as many different ids as rows."""
+    folder = _scratch(spark, "evidence")
+    view(spark, sf_dir, "facilities").drop("evidence_id").write.csv(folder, header=True)
+    found = cut(bootstrap.facility_evidence(bootstrap.read_csv(spark, folder), bootstrap.FACILITIES["gem"]))
+    ids = found.agg(F.count_distinct("evidence_id").alias("ids"))
+    return found.select("facility_name", "facility_type", "coordinate_quality", *[F.round(c, 4).alias(c) for c in ("latitude", "longitude")]).join(F.broadcast(ids))  # one row of counts
+
+
+_PIXEL = 0.0025
+_RASTER = f"px as (select cast(floor((90.0-latitude)/{_PIXEL}) as bigint) as r, cast(floor((longitude+180)/{_PIXEL}) as bigint) as c, least(count(*),9)*10 as v from detections group by 1,2), win as (select site_id, floor((90.0-(latitude+1000/111320.0))/{_PIXEL}) as r0, floor((90.0-(latitude-1000/111320.0))/{_PIXEL}) as r1, floor((longitude-1000/(111320.0*cos(radians(latitude)))+180)/{_PIXEL}) as c0, floor((longitude+1000/(111320.0*cos(radians(latitude)))+180)/{_PIXEL}) as c1 from sites)"
+
+
+@register("detections", "sites", sql=f"--with {_RASTER}, hit as (select w.site_id, p.v, count(*) as n from win w join px p on p.r between w.r0 and w.r1 and p.c between w.c0 and w.c1 group by 1,2) select site_id, cast(v as int) as code, cast(n as bigint) as pixels, round(n/sum(n) over (partition by site_id),6) as share from hit")
+def cover_from_tiles(spark, sf_dir):
+    """Shares of the classes around each site, read from a raster that Spark wrote as tiles (a pixel's class: ten times its detections, up to nine)."""
+    folder = _scratch(spark, "tiles")
+    pixels = view(spark, sf_dir, "detections").groupBy(*tiles.grid(F.col("latitude"), F.col("longitude"), _PIXEL)).agg((F.least(F.count("*"), F.lit(9)) * 10).alias("value"))
+    tiles.write_tiles(pixels, folder).agg(F.sum("blocks")).collect()  # one row
+    found = tiles.window_counts(view(spark, sf_dir, "sites"), folder, _PIXEL).where("site_id is not null and value > 0")
+    counts = found.groupBy("site_id", F.col("value").alias("code")).agg(F.sum("n").alias("pixels"))
+    whole = F.sum("pixels").over(Window.partitionBy("site_id"))
+    return counts.select("site_id", "code", "pixels", F.round(F.col("pixels") / whole, 6).alias("share"))

@@ -37,9 +37,16 @@ def coverage_gaps(windows: DataFrame, by: str = "source") -> DataFrame:
 
 
 def uncovered(planned: DataFrame, audited: DataFrame) -> DataFrame:
-    """Planned windows that no completed audited window of the same family contains."""
-    a, p = audited.where("status = 'COMPLETED'").alias("a"), planned.alias("p")
-    return p.join(a, (F.col("a.family") == F.col("p.family")) & (F.col("a.window_start") <= F.col("p.window_start")) & (F.col("a.window_end") >= F.col("p.window_end")), "left_anti")
+    """Planned windows that no completed audited window of the same family contains.
+
+    Both stand in one line by start, the audited ones first at ties: one contains a planned window if the furthest
+    end so far is not before its own.
+    """
+    done = audited.where("status = 'COMPLETED'").select("family", F.col("window_start").alias("_s"), F.col("window_end").alias("_e"))
+    rows = planned.select("family", F.col("window_start").alias("_s"), F.struct(*planned.columns).alias("p"))
+    line = Window.partitionBy("family").orderBy("_s", F.col("p").isNotNull()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    both = done.unionByName(rows, allowMissingColumns=True).withColumn("_furthest", F.max("_e").over(line))
+    return both.where("p is not null").where(F.col("_furthest").isNull() | (F.col("_furthest") < F.col("p.window_end"))).select("p.*")
 
 
 def outside_window(records: DataFrame, start: str, end: str) -> DataFrame:
@@ -47,6 +54,20 @@ def outside_window(records: DataFrame, start: str, end: str) -> DataFrame:
     return records.where(~F.coalesce(F.col("acq_date").between(F.lit(start).cast("date"), F.lit(end).cast("date")), F.lit(False)))
 
 
+def require_window(records: DataFrame, start: str, end: str) -> DataFrame:
+    """``records``, whose reading fails at the first one outside the window that was asked for."""
+    inside = F.coalesce(F.col("acq_date").between(F.lit(start).cast("date"), F.lit(end).cast("date")), F.lit(False))
+    day = F.when(inside, F.col("acq_date")).otherwise(F.raise_error(F.concat(F.lit("a record outside the window: "), F.coalesce(F.col("acq_date").cast("string"), F.lit("no date")))).cast("date"))
+    return records.withColumn("acq_date", day)
+
+
+def expectation_mismatches(replayed: DataFrame, expected: DataFrame, columns: list[str]) -> DataFrame:
+    """Properties of sites on days that aren't as expected (null: nothing expected): site_id, cutoff, property, expected, found; a site that is missing has no ``found``."""
+    both = expected.alias("e").join(replayed.alias("r"), ["site_id", "cutoff"], "left")
+    pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("property"), F.col(f"e.{c}").cast("string").alias("expected"), F.col(f"r.{c}").cast("string").alias("found")) for c in columns]))
+    return both.select("site_id", "cutoff", pairs.alias("p")).select("site_id", "cutoff", "p.*").where("expected is not null and not (expected <=> found)")
+
+
 def scenario_days(scenarios: DataFrame) -> DataFrame:
     """Every day of every scenario."""
     return scenarios.select("scenario_id", F.explode(F.expr("sequence(start_date, end_date, interval 1 day)")).alias("day"))

@@ -48,11 +48,25 @@ def first_present(df: DataFrame, *names: str, default: str | None = None) -> F.C
     return F.coalesce(*have, F.lit(default)) if have else F.lit(default)
 
 
+#: Files in which a line may end either way.
+TEXT_SUFFIXES = ("csv", "json", "md", "py", "txt", "yaml", "yml")
+
+
 def verified_files(spark: SparkSession, path: str, manifest: DataFrame) -> DataFrame:
-    """Files with their SHA-256 beside the manifest's (name, sha256): name, found, expected, status."""
-    files = spark.read.format("binaryFile").load(path).select(F.element_at(F.split("path", "/"), -1).alias("name"), F.sha2("content", 256).alias("found"))
-    both = manifest.select("name", F.col("sha256").alias("expected")).join(files, "name", "left")
-    return both.withColumn("status", F.when(F.col("found").isNull(), "MISSING").when(F.col("found") == F.col("expected"), "OK").otherwise("INVALID"))
+    """Files with their SHA-256 beside the manifest's (name, sha256, and optional where there): name, found, expected, status.
+
+    A text file is right with either kind of line end; a file that is optional may be absent (ABSENT), another not (MISSING).
+    """
+    files = spark.read.format("binaryFile").load(path).select(F.element_at(F.split("path", "/"), -1).alias("name"), "content")
+    text = F.decode("content", "ISO-8859-1")  # a byte for a character
+    lf = F.replace(F.replace(text, F.lit("\r\n"), F.lit("\n")), F.lit("\r"), F.lit("\n"))
+    ends = [F.sha2(F.encode(t, "ISO-8859-1"), 256) for t in (lf, F.replace(lf, F.lit("\n"), F.lit("\r\n")))]
+    plain = F.lower(F.element_at(F.split("name", "[.]"), -1)).isin(*TEXT_SUFFIXES)
+    hashed = files.select("name", F.sha2("content", 256).alias("found"), F.when(plain, F.array(*ends)).otherwise(F.array().cast("array<string>")).alias("_ends"))
+    wanted = manifest.select("name", F.lower("sha256").alias("expected"), (F.col("optional") if "optional" in manifest.columns else F.lit(False)).alias("_optional"))
+    both = wanted.join(hashed, "name", "left")
+    right = (F.col("found") == F.col("expected")) | F.array_contains("_ends", F.col("expected"))
+    return both.withColumn("status", F.when(F.col("found").isNull(), F.when(F.col("_optional"), "ABSENT").otherwise("MISSING")).when(right, "OK").otherwise("INVALID")).drop("_ends", "_optional")
 
 
 def read_snapshots(spark: SparkSession, path: str) -> DataFrame:

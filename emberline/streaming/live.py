@@ -9,11 +9,12 @@ from datetime import datetime, timezone
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import StructType
 
-from emberline.config import FAMILY, FEATURES, LIVE_SOURCE, STACK_VERSION
+from emberline.config import FAMILY, FEATURES, GROUPS, LIVE_SOURCE, STACK_VERSION
 from emberline.functions import normalize
 from emberline.operators import anomaly, daily, decide, features, identity, resolver, temporal
-from emberline.operators.common import cut, first_by
+from emberline.operators.common import as_of, cut, first_by
 from emberline.operators.store import Conflict, Spec, Store, by_site, metrics
 from emberline.operators.upsert import insert_absent, newer
 
@@ -58,8 +59,10 @@ def open_store(spark: SparkSession, root: str) -> Store:
 
 
 def table(source, name: str, buckets: list[str] | None = None) -> DataFrame:
-    """A table of a store or of a batch, empty where nothing was ever written."""
-    return source.read(name, buckets, empty=EMPTY[name])
+    """A table of a store or of a batch with all its columns, empty where nothing was ever written."""
+    found = source.read(name, buckets, empty=EMPTY[name])
+    lacking = [f for f in StructType.fromDDL(EMPTY[name]).fields if f.name not in found.columns]
+    return found.withColumns({f.name: F.lit(None).cast(f.dataType) for f in lacking}) if lacking else found
 
 
 # -- the ledger ------------------------------------------------------------------------------------------------------
@@ -99,7 +102,7 @@ def recover(store: Store) -> int:
 
 
 # -- one batch -------------------------------------------------------------------------------------------------------
-def apply_batch(store: Store, records: DataFrame, as_of: str, batch: int | None = None, stream: str = "live", source_sensor: str | None = None, models: bool = True, pixels: DataFrame | None = None, scorer: identity.Scorer = identity.logistic_stand_in, visual: bool = False, at: str | None = None) -> dict:
+def apply_batch(store: Store, records: DataFrame, day: str, batch: int | None = None, stream: str = "live", source_sensor: str | None = None, models: bool = True, pixels: DataFrame | None = None, scorer: identity.Scorer = identity.logistic_stand_in, visual: bool = False, at: str | None = None) -> dict:
     """One batch of raw records, from text to alerts, in one commit; its row of the ledger as a dict.
 
     A run is RUNNING in the ledger while it works, then COMPLETED, COMPLETED_DEGRADED (sites whose identity couldn't
@@ -115,7 +118,7 @@ def apply_batch(store: Store, records: DataFrame, as_of: str, batch: int | None
     _record(store, run)
     work = store.begin()
     try:
-        run |= _Work(store, work, as_of, at or _now()).apply(records, source_sensor, models, pixels, scorer, visual)
+        run |= _Work(store, work, day, at or _now()).apply(records, source_sensor, models, pixels, scorer, visual)
         run |= {"ended_at": _now()}
         work.put("runs", run_row(store.spark, run))
         if batch is not None:
@@ -131,9 +134,9 @@ def apply_batch(store: Store, records: DataFrame, as_of: str, batch: int | None
 class _Work:
     """The steps of one batch over the tables as it leaves them."""
 
-    def __init__(self, store: Store, batch, as_of: str, at: str) -> None:
-        self.store, self.batch, self.as_of, self.at = store, batch, as_of, at
-        self.cutoff = F.lit(as_of).cast("date")
+    def __init__(self, store: Store, batch, day: str, at: str) -> None:
+        self.store, self.batch, self.day, self.at = store, batch, day, at
+        self.cutoff = F.lit(day).cast("date")
 
     def read(self, name: str, near: DataFrame | None = None) -> DataFrame:
         """A table, or those of its buckets that the keys of ``near`` lie in."""
@@ -242,12 +245,13 @@ class _Work:
         return self.batch.put("sites", cut(seen))["rows"]
 
     # results
-    def identify(self, pixels: DataFrame | None, scorer: identity.Scorer, visual: bool) -> int:
+    def identify(self, pixels: DataFrame | None, scorer: identity.Scorer, visual: bool, until: str | None = None) -> int:
         """Identity of touched sites that have land cover; latest, features, and history where the inference is new; how many."""
         if pixels is None:
             self.a = self.read("a_latest").limit(0)
             return 0
         held = self.read("detections").where(F.col("source_sensor").isin(*FAMILY)).join(self.sites, "site_id", "left_semi")
+        held = held if until is None else as_of(held, until)
         held = cut(held.select("site_id", "latitude", "longitude", "acq_date", "frp", "daynight"))
         cover = pixels.join(self.sites, "site_id", "left_semi")
         vectors = features.identity_vector(held, self.read("sites", self.touched), cover).join(cover.select("site_id").distinct(), "site_id", "left_semi")
@@ -267,7 +271,7 @@ class _Work:
     def state(self) -> None:
         """Temporal state as of the cutoff: a row of history for it, and the latest one unless history has gone further."""
         columns = [part.split()[0] for part in EMPTY["b_history"].split(", ")]
-        self.b = cut(temporal.temporal_state(self.days, self.as_of).withColumn("as_of", self.cutoff).select(*columns))
+        self.b = cut(temporal.temporal_state(self.days, self.day).withColumn("as_of", self.cutoff).select(*columns))
         history = self.read("b_history", self.touched)
         self.batch.put("b_latest", newer(history, history, self.b, ["site_id"]))
         self.batch.put("b_history", self.b)
@@ -292,7 +296,7 @@ class _Work:
         held = self.read("c_reference")
         if not held.isEmpty():
             return held
-        return cut(anomaly.reference(self.read("scores").limit(0).select("site_id", "acq_date", F.lit(True).alias("scored"), *[F.lit(0.0).alias(g) for g in anomaly.c.GROUPS]), self.as_of))
+        return cut(anomaly.reference(self.read("scores").limit(0).select("site_id", "acq_date", F.lit(True).alias("scored"), *[F.lit(0.0).alias(g) for g in GROUPS]), self.day))
 
     def decide(self) -> int:
         """Alerts that follow; how many were written."""
@@ -319,7 +323,7 @@ def load_members(store: Store, sites: DataFrame, members: DataFrame) -> None:
     batch.commit()
 
 
-def ingest(store: Store, stream: DataFrame, as_of: Callable[[], str] | str, name: str = "live", every: str | None = None, **how) -> StreamingQuery:
+def ingest(store: Store, stream: DataFrame, day: Callable[[], str] | str, name: str = "live", every: str | None = None, **how) -> StreamingQuery:
     """Runs ``apply_batch`` for each micro-batch of a stream: over all that has landed and then stops, or ``every`` so often.
 
     The stream's own checkpoint says what is new, the mark in the manifest which batches are in: one that was
@@ -328,7 +332,7 @@ def ingest(store: Store, stream: DataFrame, as_of: Callable[[], str] | str, name
     recover(store)
 
     def batch(records: DataFrame, number: int) -> None:
-        apply_batch(store, records, as_of() if callable(as_of) else as_of, number, name, **how)
+        apply_batch(store, records, day() if callable(day) else day, number, name, **how)
 
     writer = stream.writeStream.foreachBatch(batch).option("checkpointLocation", f"{store.root}/_streams/{name}")
     return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()
