@@ -9,9 +9,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberline.operators.common import components, cut, salted_left, shared_folder
+from emberline.operators.common import components, cut, salted_left, shared_folder, unite
 
-__all__ = ["components", "cut", "salted_left", "shared_folder", "table", "free_name", "with_rows", "text_of", "map_rows", "range_buckets", "bucket_of", "bucket_index", "partitions"]
+__all__ = ["components", "cut", "salted_left", "shared_folder", "unite", "table", "free_name", "with_rows", "text_of", "map_rows", "range_buckets", "bucket_of", "bucket_index", "partitions"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -11,19 +11,22 @@ characters, which is the whole item where no edit is allowed. So every item has
 
 from __future__ import annotations
 
+import pickle
+import uuid
 from bisect import bisect_left
 
 import numpy as np
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from emberline.llm.common import cut, text_of, with_rows
+from emberline.llm.common import cut, shared_folder, text_of, with_rows
 
 #: Characters of a q-gram, and edits allowed as a share of an item's characters.
 Q, EDITS = 8, 0.08
-#: Items are used in blocks of at most so many characters; each block is sent to the executors.
-BLOCK_CHARS = 4_000_000
+#: Items are used in blocks of about so many characters; documents are gathered up to so many for each pass over the blocks.
+BLOCK_CHARS, PASS_CHARS = 4_000_000, 32_000_000
 #: Documents are taken together up to about so many characters; longer ones in pieces of as many, which overlap by the longest item.
 TOGETHER = 1 << 17
 #: Hits of grams are counted so many at a time.
@@ -215,33 +218,74 @@ def contamination(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", it
     with equal texts each give theirs. Other columns are ignored; with an empty table on either side the result is
     empty.
 
-    The items are measured first, and sent to the executors in blocks of ``BLOCK_CHARS`` characters (a longer
-    item makes a block of its own); the documents are read once for each block and never move. With several blocks
-    each one's result is written before the next is built, so the driver never holds more than one.
+    The items are measured first. Up to ``BLOCK_CHARS`` characters of them are sent to the executors; more are dealt
+    by their hash into blocks of about that size (a longer item lies in one of them whole), which tasks build and
+    keep in the shared folder. The documents are read once either way and never move: a task gathers ``PASS_CHARS``
+    characters of them and takes one block after the other over these, so it holds one block, and neither the driver
+    nor any broadcast holds items beyond one block.
     """
     items = benchmark.select(F.col(item).cast("long").alias(item), text_of().alias("t")).where(F.length("t") > 0)
     total = items.agg(F.coalesce(F.sum(F.length("t")), F.lit(0))).first()[0]
     count = max(1, -(-2 * total // BLOCK_CHARS)) if total > BLOCK_CHARS else 1
     texts = docs.select(F.col(key).cast("long").alias(key), text_of().alias("text"))
     schema = pa.schema([(key, pa.int64()), (item, pa.int64()), ("start", pa.int64()), ("end", pa.int64()), ("edits", pa.int64())])
-    out = None
-    for k in range(count):
-        held = Items([(r[0], r[1]) for r in items.where(F.pmod(F.xxhash64(item, "t"), F.lit(count)) == k).collect()])
-        sent = docs.sparkSession.sparkContext.broadcast(held)
+    placed = items.withColumn("_block", F.pmod(F.xxhash64(item, "t"), F.lit(count)).cast("int"))
 
-        def run(batches, sent=sent):
+    def rows(keys: list, found: list) -> pa.RecordBatch:
+        made = [(k, *m) for k, ms in zip(keys, found) for m in ms]
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*made) if made else [[]] * 5, schema)], schema=schema)
+
+    if count == 1:
+        sent = docs.sparkSession.sparkContext.broadcast(Items([(r[0], r[1]) for r in items.collect()]))  # at most BLOCK_CHARS characters
+
+        def run(batches):
             for batch in batches:
                 for i in range(0, batch.num_rows, 512):
-                    keys, found = batch.column(0)[i : i + 512].to_pylist(), sent.value.find(batch.column(1)[i : i + 512].to_pylist())
-                    rows = [(k, *m) for k, ms in zip(keys, found) for m in ms]
-                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows) if rows else [[]] * 5, schema)], schema=schema)
-
-        part = texts.mapInArrow(run, f"{key} long, {item} long, start long, end long, edits long")
-        if count > 1:
-            part = cut(part)
-            sent.destroy()
-        out = part if out is None else out.unionByName(part)
-    return out
+                    yield rows(batch.column(0)[i : i + 512].to_pylist(), sent.value.find(batch.column(1)[i : i + 512].to_pylist()))
+
+        return texts.mapInArrow(run, f"{key} long, {item} long, start long, end long, edits long")
+
+    folder = f"{shared_folder(docs.sparkSession)}/items-{uuid.uuid4().hex}"
+
+    def keep(table: pa.Table) -> pa.Table:
+        system, place = fs.FileSystem.from_uri(folder)
+        system.create_dir(place, recursive=True)
+        block = table.column("_block")[0].as_py()
+        staged = f"{place}/.{block}-{uuid.uuid4().hex}"
+        with system.open_output_stream(staged) as f:
+            f.write(pickle.dumps(Items(list(zip(table.column(item).to_pylist(), table.column("t").to_pylist())))))
+        system.move(staged, f"{place}/{block}")
+        return pa.table({"block": pa.array([block], pa.int32())})
+
+    kept = sorted(r[0] for r in placed.groupBy("_block").applyInArrow(keep, "block int").collect())  # a number for each block
+
+    def passes(batches):
+        system, place = fs.FileSystem.from_uri(folder)
+        keys, held, size, last, block = [], [], 0, -1, None
+
+        def found():
+            nonlocal last, block
+            for k in kept if last != kept[-1] else kept[::-1]:  # the block at hand is taken first
+                if k != last:
+                    block = None  # one at a time
+                    with system.open_input_stream(f"{place}/{k}") as f:
+                        last, block = k, pickle.loads(f.read())
+                for i in range(0, len(keys), 512):
+                    yield rows(keys[i : i + 512], block.find(held[i : i + 512]))
+
+        for batch in batches:
+            for i in range(0, batch.num_rows, 512):
+                keys += batch.column(0)[i : i + 512].to_pylist()
+                new = batch.column(1)[i : i + 512].to_pylist()
+                held += new
+                size += sum(map(len, new))
+                if size >= PASS_CHARS:
+                    yield from found()
+                    keys, held, size = [], [], 0
+        if keys:
+            yield from found()
+
+    return texts.mapInArrow(passes, f"{key} long, {item} long, start long, end long, edits long")
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id") -> DataFrame:

@@ -29,7 +29,7 @@ PATH, WORDS, OTHER, STATES = 64, 32, 4, 16
 SAMPLE = 400
 #: Pages of more blocks don't teach (every page is labelled, whatever its size): what comes to the driver is bounded.
 TEACH_BLOCKS = 1000
-#: Elements nested deeper are read, but have no place in a block's path.
+#: A block's path names its outermost elements, at most so many; nesting itself has no bound.
 DEPTH = 256
 #: Pages are labelled together up to so many blocks (padded).
 TOGETHER = 4096
@@ -61,7 +61,8 @@ def blocks(html: str) -> list[tuple[tuple[str, ...], str, float]]:
     out: list = []
     stack: list[tuple[str, tuple[str, ...]]] = []
     parts: list[str] = []
-    links = linked = at = deep = 0  # deep: open elements beyond DEPTH
+    links = linked = at = 0
+    opened: dict[str, int] = {}  # how many elements of each tag are open
     unclosed: set[str] = set()  # silent elements without an end further on
     hushed = False  # within an unclosed silent element
 
@@ -78,19 +79,34 @@ def blocks(html: str) -> list[tuple[tuple[str, ...], str, float]]:
         if parts:
             text = " ".join(unescape("".join(parts)).split())
             if text:
-                out.append((tuple(x for _, names in stack for x in names), text, min(1.0, linked / max(1, len(text)))))
+                out.append((tuple(x for _, names in stack[:DEPTH] for x in names), text, min(1.0, linked / max(1, len(text)))))
             parts.clear()
             linked = 0
 
+    def place(tag: str) -> int:
+        """Where the innermost open element of a tag is, or -1; an inline one isn't looked for beyond its block."""
+        if opened.get(tag):
+            for i in range(len(stack) - 1, -1, -1):
+                if stack[i][0] == tag:
+                    return i
+                if tag not in BLOCK and stack[i][0] in BLOCK:
+                    break
+        return -1
+
+    def end(depth: int) -> None:
+        for t, _ in stack[depth:]:
+            opened[t] -= 1
+        del stack[depth:]
+
     while m := _TOKEN.search(html, at):
         if m.start() > at:
             add(html[at : m.start()])
         at = m.end()
         if m[1]:
             name = m[1].lower()
-            end = None if name in unclosed else _ENDING[name].search(html, at)
-            if end:
-                at = end.end()
+            ending = None if name in unclosed else _ENDING[name].search(html, at)
+            if ending:
+                at = ending.end()
                 continue
             unclosed.add(name)
             if name in RAW:
@@ -104,23 +120,15 @@ def blocks(html: str) -> list[tuple[tuple[str, ...], str, float]]:
         tag = tag.lower()
         if tag == "br":
             parts.append("\n")
-        elif m[2] and deep and tag not in VOID:
-            deep -= 1
-            if tag in BLOCK:
-                close()
-            if tag == "a":
-                links = 0
         elif m[2]:
-            depth = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag), -1)
+            depth = place(tag)
             if hushed and (tag not in BLOCK or depth < 0):
                 continue
             hushed = False
             if tag in BLOCK:
                 close()
-            elif depth >= 0 and any(t in BLOCK for t, _ in stack[depth:]):
-                depth = -1  # an inline end tag closes nothing beyond its block
             if depth >= 0:
-                del stack[depth:]
+                end(depth)
             if tag == "a":
                 links = 0
         else:
@@ -132,18 +140,16 @@ def blocks(html: str) -> list[tuple[tuple[str, ...], str, float]]:
                 while stack and (stack[-1][0] in INLINE or tag in ENDS.get(stack[-1][0], ())):  # implied ends
                     if stack[-1][0] in INLINE and not any(tag in ENDS.get(t, ()) for t, _ in stack[-3:]):
                         break
-                    stack.pop()
+                    end(len(stack) - 1)
                 links = 0
             if tag not in VOID and not m[4].endswith("/"):
                 if tag == "a":
                     links = 1
-                if len(stack) >= DEPTH:
-                    deep += 1
-                    continue
                 names = [tag]
-                if "=" in m[4]:
+                if "=" in m[4] and len(stack) < DEPTH:
                     names += [f".{n.lower()}" for g in _NAMES.findall(m[4]) for n in "".join(g).split()]
                 stack.append((tag, tuple(names)))
+                opened[tag] = opened.get(tag, 0) + 1
     if at < len(html):
         add(html[at:])
     close()

@@ -13,8 +13,8 @@ Candidates come in two passes, neither of which lists all pairs of a bucket:
    a text and its altered copies, the text). Signatures of a pair are compared by bit counts, corrected for
    chance collisions; what may reach the threshold is confirmed on the full sets, and confirmed links give groups;
 2. in a bucket whose members fell into several groups, those outside its largest group are compared with the
-   members of all other groups, again by bound and signature and then on full sets; a pair is made once, in the
-   first bucket that it shares.
+   members of all other groups, tile by tile, again by bound and signature and then on full sets; a pair is made
+   once, in the first bucket that it shares, and only if bound and signature allow it.
 
 A pair inside one group needs no test, so after both passes every pair that shares a bucket has been tested or
 is linked already. Two sets at similarity 0.85 share a bucket but for one case in two million.
@@ -164,20 +164,85 @@ def _possible(percent: int, n: Column, shared: Column, m: Column, other: Column)
     return 100 * most >= percent * (n + m - most)
 
 
+#: Members that meet one hub in a task; a hub with more is dealt to several.
+_DEALT = 64
+
+
 def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Those pairs of classes whose full sets share at least ``percent`` of a hundred of their union."""
-    joined = pairs.join(sets.select(F.col("set_id").alias("b"), F.col("hashes").alias("hb")), "b").join(sets.select(F.col("set_id").alias("a"), F.col("hashes").alias("ha")), "a")
+    """Those pairs (hub, other) whose full sets share at least ``percent`` of a hundred of their union.
+
+    A hub may be in very many pairs. Its set goes once to each of at most ``_DEALT`` runs of its pairs, ahead of the
+    others' sets, and is held while they pass by; it is on no pair's row.
+    """
+    dealt = pairs.select("hub", F.pmod(F.xxhash64("other"), F.lit(_DEALT)).alias("deal"), "other")
+    heads = dealt.select("hub", "deal").distinct().join(sets.select(F.col("set_id").alias("hub"), "hashes"), "hub").select("hub", "deal", F.lit(None).cast("binary").alias("other"), "hashes")
+    others = dealt.join(sets.select(F.col("set_id").alias("other"), "hashes"), "other").select("hub", "deal", "other", "hashes")
+    runs = heads.unionByName(others).repartition("hub", "deal").sortWithinPartitions("hub", "deal", F.asc_nulls_first("other"))
 
     def confirmed(batches):
+        x = None
         for batch in batches:
-            keep = []
-            for x, y in zip(batch.column("ha"), batch.column("hb")):
-                x, y = (v.values.to_numpy() for v in (x, y))
+            found = []
+            for hub, other, hashes in zip(batch.column("hub"), batch.column("other"), batch.column("hashes")):
+                y = hashes.values.to_numpy()
+                if not other.is_valid:
+                    x = y.copy()
+                    continue
                 both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(100 * both >= percent * (len(x) + len(y) - both))
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+                if 100 * both >= percent * (len(x) + len(y) - both):
+                    found.append((hub.as_py(), other.as_py()))
+            yield pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], pa.binary()) for i in (0, 1)], ["a", "b"])
+
+    return runs.select("hub", "other", "hashes").mapInArrow(confirmed, "a binary, b binary")
+
 
-    return joined.select("a", "b", "ha", "hb").mapInArrow(confirmed, "a binary, b binary")
+#: Members of a bucket that are compared with as many others at once.
+_TILE = 1_024
+
+
+def _between(placed: DataFrame, percent: int, least: float) -> DataFrame:
+    """Pairs of members of one bucket that are in different groups, one of them outside the bucket's largest, and pass bound and signature: a, b, ra, rb.
+
+    Buckets are dealt into tiles; a task compares the members of two tiles, so a large bucket is many tasks', and a
+    pair that fails is never a row.
+    """
+    sizes = placed.groupBy("bucket").agg(F.ceil(F.count("*") / _TILE).cast("int").alias("tiles"))
+    tile = F.pmod(F.xxhash64("set_id"), F.col("tiles")).cast("int")
+    meets = F.transform(F.sequence(F.lit(0), F.col("tiles") - 1), lambda t: F.struct(F.least(t, "tile").alias("i"), F.greatest(t, "tile").alias("j")))
+    held = salted_left(placed, sizes, "bucket", "set_id").withColumn("tile", tile).withColumn("m", F.explode(meets))
+    chance = 2.0**-BITS
+    odd = np.uint64(0x5555555555555555)
+
+    def compared(table: pa.Table) -> pa.Table:
+        i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
+        tiles = table.column("tile").to_numpy()
+        left, right = (np.flatnonzero(tiles == t) for t in (i, j))
+        ids, bands = table.column("set_id").to_pylist(), np.array(table.column("bands").to_pylist(), np.int64).reshape(-1, BANDS)
+        roots, band = np.unique(table.column("root").to_pylist(), return_inverse=True)[1], table.column("band")[0].as_py()
+        names = table.column("root").to_pylist()
+        sig = np.array(table.column("sig").to_pylist(), np.int64).view(np.uint64)
+        n, shared, out = (table.column(c).to_numpy() for c in ("n", "shared", "out"))
+        pairs = []
+        for k in range(0, len(left), 256):
+            x = left[k : k + 256]
+            apart = (roots[x][:, None] != roots[right]) & (out[x][:, None] | out[right])
+            if i == j:
+                apart &= x[:, None] < right
+            most = np.minimum(shared[x][:, None], shared[right]).astype(np.int64)
+            apart &= 100 * most >= percent * (n[x][:, None].astype(np.int64) + n[right] - most)
+            p, q = np.nonzero(apart)
+            p, q = x[p], right[q]
+            differ = sig[p] ^ sig[q]
+            unequal = np.bitwise_count((differ | (differ >> np.uint64(1))) & odd).sum(1)
+            near = ((SLOTS - unequal.astype(float)) / SLOTS - chance) / (1 - chance) >= least
+            p, q = p[near], q[near]
+            first = ~(bands[p, :band] == bands[q, :band]).any(1)  # in the first bucket that both are in
+            pairs += zip(p[first].tolist(), q[first].tolist())
+        rows = [(min((ids[p], p), (ids[q], q)) + max((ids[p], p), (ids[q], q))) for p, q in pairs]
+        columns = [[r[0] for r in rows], [r[2] for r in rows], [min(names[r[1]], names[r[3]]) for r in rows], [max(names[r[1]], names[r[3]]) for r in rows]]
+        return pa.table([pa.array(c, pa.binary()) for c in columns], names=["a", "b", "ra", "rb"])
+
+    return held.select("bucket", "m.i", "m.j", "tile", "set_id", "root", "sig", "n", "shared", "bands", "band", "out").groupBy("bucket", "i", "j").applyInArrow(compared, "a binary, b binary, ra binary, rb binary")
 
 
 def near_duplicates(docs: DataFrame, percent: int = 80, width: int = 5, key: str = "doc_id") -> DataFrame:
@@ -198,7 +263,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80, width: int = 5, key: str
     sets = _sets(nodes.join(met, "set_id", "left_semi"), docs, key, width)
     able = sets.where(_possible(percent, F.col("n"), F.col("shared"), F.col("shared"), F.col("shared"))).select("set_id", "n", "shared")
     members = nodes.join(able, "set_id").select("set_id", "sig", "n", "shared", "bands", F.posexplode("bands").alias("band", "bucket"))
-    members = cut(members.withColumn("before", F.slice("bands", F.lit(1), F.col("band"))).drop("bands", "band").join(buckets, "bucket"))
+    members = cut(members.join(buckets, "bucket"))
     least = least_estimate(percent / 100)
     near = lambda a, b: _possible(percent, F.col(f"{a}n"), F.col(f"{a}shared"), F.col(f"{b}n"), F.col(f"{b}shared")) & (estimate(F.col(f"{a}sig"), F.col(f"{b}sig")) >= least)
 
@@ -206,8 +271,9 @@ def near_duplicates(docs: DataFrame, percent: int = 80, width: int = 5, key: str
     best = F.max(F.struct((F.col("shared") / F.col("n")).alias("share"), "set_id", "sig", "n", "shared")).alias("l")
     leads = members.groupBy("bucket").agg(best).select("bucket", *[F.col(f"l.{c}").alias(f"l_{c}") for c in ("set_id", "sig", "n", "shared")])
     star = members.join(leads, "bucket").where((F.col("set_id") != F.col("l_set_id")) & near("", "l_"))
-    tested = cut(star.select(F.least("set_id", "l_set_id").alias("a"), F.greatest("set_id", "l_set_id").alias("b")).distinct())
-    first = cut(_confirm(tested, sets, percent))
+    ends = star.select(F.least("set_id", "l_set_id").alias("a"), F.greatest("set_id", "l_set_id").alias("b"), F.col("l_set_id").alias("hub"), F.col("set_id").alias("other"))
+    tested = cut(ends.groupBy("a", "b").agg(F.max(F.struct("hub", "other")).alias("h")).select("a", "b", "h.*"))
+    first = cut(_confirm(tested.select("hub", "other"), sets, percent))
     roots = components(first)
 
     # pass 2: members outside the largest group of their bucket
@@ -215,12 +281,8 @@ def near_duplicates(docs: DataFrame, percent: int = 80, width: int = 5, key: str
     groups = placed.groupBy("bucket", "root").agg(F.count("*").alias("m"))
     mixed = groups.groupBy("bucket").agg(F.count("*").alias("groups"), F.max(F.struct("m", "root"))["root"].alias("main")).where("groups > 1").drop("groups")
     placed = cut(placed.join(mixed, "bucket").withColumn("out", F.col("root") != F.col("main")))
-    side = lambda x: [F.col(c).alias(f"{x}_{c}") for c in ("set_id", "root", "sig", "n", "shared", "before", "out")]
-    once = (~F.col("y_out") | (F.col("x_set_id") < F.col("y_set_id"))) & ~F.arrays_overlap("x_before", "y_before")  # in the first bucket that both are in
-    close = placed.where("out").select("bucket", *side("x")).join(placed.select("bucket", *side("y")), "bucket").where((F.col("x_root") != F.col("y_root")) & near("x_", "y_") & once)
-    pairs = close.select(F.least("x_set_id", "y_set_id").alias("a"), F.greatest("x_set_id", "y_set_id").alias("b"), F.least("x_root", "y_root").alias("ra"), F.greatest("x_root", "y_root").alias("rb"))
-    pairs = cut(pairs.dropDuplicates(["a", "b"]).join(tested, ["a", "b"], "left_anti"))
-    second = cut(_confirm(pairs.select("a", "b"), sets, percent).join(pairs, ["a", "b"]).select(F.col("ra").alias("a"), F.col("rb").alias("b")).distinct())
+    pairs = cut(_between(placed, percent, least).dropDuplicates(["a", "b"]).join(tested, ["a", "b"], "left_anti"))
+    second = cut(_confirm(pairs.select(F.col("a").alias("hub"), F.col("b").alias("other")), sets, percent).join(pairs, ["a", "b"]).select(F.col("ra").alias("a"), F.col("rb").alias("b")).distinct())
     if not second.isEmpty():
         upper = components(second).select(F.col("node").alias("root"), F.col("root").alias("top"))
         lifted = salted_left(roots, upper, "root", "node").select("node", F.coalesce("top", "root").alias("root"))
@@ -232,17 +294,18 @@ def near_duplicates(docs: DataFrame, percent: int = 80, width: int = 5, key: str
     linked = cut(classes.join(roots.withColumnRenamed("node", "set_id"), "set_id"))
     lows = linked.groupBy("root").agg(F.min("low").alias("component_id"))
     named = classes.join(salted_left(linked, lows, "root", "set_id").select("set_id", "component_id"), "set_id", "left").select("set_id", F.coalesce("component_id", "low").alias("component_id"))
-    out = found.select(key, "n_shingles", "set_id").join(named, "set_id", "left")
+    out = salted_left(found.select(key, "n_shingles", "set_id"), named, "set_id", key)
     return out.select(key, "n_shingles", F.coalesce("component_id", key).alias("component_id"), F.coalesce(F.coalesce("component_id", key) == F.col(key), F.lit(False)).alias("kept"))
 
 
 def keep_one(docs: DataFrame, percent: int = 80, width: int = 5, key: str = "doc_id") -> DataFrame:
     """``docs`` without all but one row of each group: the one with the least key (null ones last). All columns stay.
 
-    Rows are named one by one, so a null or repeated key decides for no other row; of rows alike in key and text one stays.
+    Rows are named one by one, so a null or repeated key decides for no other row; of rows alike in key and text the
+    one stays whose other columns have the least digest, and one of those that are alike in all.
     """
     named, row = with_rows(docs)
     groups = cut(near_duplicates(named, percent, width, row).select(F.col(row).alias("_row"), "component_id"))
-    keys = named.select(F.col(row).alias("_row"), F.col(key).isNull().alias("none"), F.col(key).alias("key"), F.xxhash64(text_of()).alias("hash"))
-    best = groups.join(keys, "_row").groupBy("component_id").agg(F.min(F.struct("none", "key", "hash", "_row"))["_row"].alias("_row"))
+    keys = named.select(F.col(row).alias("_row"), F.col(key).isNull().alias("none"), F.col(key).alias("key"), F.xxhash64(text_of()).alias("hash"), F.sha2(F.to_json(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"])), 256).alias("rest"))
+    best = groups.join(keys, "_row").groupBy("component_id").agg(F.min(F.struct("none", "key", "hash", "rest", "_row"))["_row"].alias("_row"))
     return named.join(best.select(F.col("_row").alias(row)), row, "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])

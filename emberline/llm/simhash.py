@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from emberline.llm.common import components, cut, map_rows, partitions, salted_left, text_of
+from emberline.llm.common import components, cut, map_rows, partitions, salted_left, text_of, unite
 
 #: Links have at most so many differing bits; so many blocks of bits, of which two at least are then equal.
 LIMIT, WIDTHS = 4, (11, 11, 11, 11, 10, 10)
@@ -123,23 +123,6 @@ def _cell(rank: np.ndarray, choice: int) -> np.ndarray:
     return rank >> np.uint64(64 - sum(WIDTHS[b] for b in _CHOICES[choice]))
 
 
-# -- groups ----------------------------------------------------------------------------------------------------------
-def unite(root: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
-    """Joins the groups of ``a`` and ``b``, pair by pair; ``root`` holds every member's least member."""
-    while True:
-        a, b = root[a], root[b]
-        apart = a != b
-        if not apart.any():
-            return
-        a, b = a[apart], b[apart]
-        np.minimum.at(root, np.maximum(a, b), np.minimum(a, b))
-        while True:
-            up = root[root]
-            if np.array_equal(up, root):
-                break
-            root[:] = up
-
-
 # -- the index -------------------------------------------------------------------------------------------------------
 class Index:
     """Fingerprints in Gray order under nodes of ``FAN``; every node holds the bits that all below it share and the nodes above it lack."""

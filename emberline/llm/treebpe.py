@@ -141,6 +141,8 @@ def _digest(rows: dict, path: str, ids: bool) -> dict:
     return out | ({"ids": [list(map(int, g[0].split())) for g in got], "decoded": [g[1] for g in got]} if ids else {})
 
 
+#: Parts that are joined at a time, and levels of it: a run's parts come down by 64 * 64 before one task has them.
+_FAN, _LEVELS = 64, 2
 #: A run of this many characters without white space makes its text one whose leaves are dealt out as rows.
 _RUN = r"[^ \t-\x0d]{%d,}"
 
@@ -149,8 +151,9 @@ def encode_documents(docs: DataFrame, tokenizer: str, key: str = "doc_id", outpu
     """Every whole text's number of ids and the digests of its ids and of its decoded text.
 
     With ``outputs`` the ids and the decoded text come too. Texts that hold a run of ``huge`` or more
-    characters without white space have their leaves encoded as rows of their own, all over the cluster; the joins
-    of one text, whose work is a few tokens around each, are made by one task. The ids are the same either way.
+    characters without white space have their leaves encoded as rows of their own, all over the cluster, and joined
+    level by level; only the last joins, and the digests of the whole text, are one task's. The ids are the same
+    either way.
     Null text counts as empty (no ids, digests of nothing); repeated rows each get their row; other columns
     are ignored; an empty table gives an empty result.
     """
@@ -162,7 +165,7 @@ def encode_documents(docs: DataFrame, tokenizer: str, key: str = "doc_id", outpu
 
 
 def _huge(texts: DataFrame, key: str, schema: str, tokenizer: str, outputs: bool) -> DataFrame:
-    """Texts with huge unsplit runs: their pre-tokens' leaves are encoded as rows, then joined text by text."""
+    """Texts with huge unsplit runs: their pre-tokens' leaves are encoded as rows, neighbours joined ``_FAN`` at a time, level by level, and what is left of a text put together."""
     leaf_rows = "row_id long, %s long, at long, part long, kind string, symbols array<string>" % key
 
     def leaves(batches):
@@ -186,6 +189,28 @@ def _huge(texts: DataFrame, key: str, schema: str, tokenizer: str, outputs: bool
             frame["symbols"] = [list(s) if kind in ("special", "none") else encoder.merge(list(s)) if kind == "leaf" else encoder.word(s[0]) for kind, s in zip(frame["kind"], frame["symbols"])]
             yield frame
 
+    def levelled(frames):
+        """Rows sorted by text, pre-token and part: parts of one stretch become one."""
+        encoder = tree_encoder(tokenizer)
+        held: list = []
+
+        def close():
+            level = [list(r[-1]) for r in held]
+            while len(level) > 1:  # neighbours, then neighbours of those
+                level = [encoder.join(level[i], level[i + 1]) if i + 1 < len(level) else level[i] for i in range(0, len(level), 2)]
+            return (*held[0][:3], held[0][3] // _FAN, held[0][4], level[0])
+
+        names = ["row_id", key, "at", "part", "kind", "symbols"]
+        for frame in frames:
+            out = []
+            for r in frame[names].itertuples(index=False, name=None):
+                if held and (r[0], r[2], r[3] // _FAN) != (held[0][0], held[0][2], held[0][3] // _FAN):
+                    out.append(close())
+                    held = []
+                held.append(r)
+            yield pd.DataFrame(out, columns=names)
+        yield pd.DataFrame([close()] if held else [], columns=names)
+
     def joined(frame: pd.DataFrame) -> pd.DataFrame:
         encoder, tokens = tree_encoder(tokenizer), []
         for (_, kind), group in frame.sort_values(["at", "part"]).groupby(["at", "kind"], sort=True):
@@ -200,5 +225,8 @@ def _huge(texts: DataFrame, key: str, schema: str, tokenizer: str, outputs: bool
         return pd.DataFrame(row | ({"ids": [list(ids)], "decoded": [b]} if outputs else {}))
 
     rows = texts.withColumn("row_id", F.monotonically_increasing_id()).mapInPandas(leaves, leaf_rows)
-    spread = rows.repartition(F.col("row_id"), F.col("at"), F.col("part"))
-    return spread.mapInPandas(encoded, leaf_rows).groupBy("row_id").applyInPandas(joined, schema)
+    level = rows.repartition(F.col("row_id"), F.col("at"), F.col("part")).mapInPandas(encoded, leaf_rows)
+    for _ in range(_LEVELS):
+        stretch = F.floor(F.col("part") / _FAN)
+        level = level.repartition(F.col("row_id"), F.col("at"), stretch).sortWithinPartitions("row_id", "at", "part").mapInPandas(levelled, leaf_rows)
+    return level.groupBy("row_id").applyInPandas(joined, schema)
