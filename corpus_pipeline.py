@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from emberline.llm import decontaminate, neardup, pii, quality, treebpe
 from emberline.llm.common import cut, table
+from emberline.operators.common import cuts_made, drop_cuts
 from emberline.llm.queries import tokenizer_file
 
 
@@ -45,8 +46,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``."""
-    docs = table(spark, sf_dir, "documents")
+    """All stages over ``documents``; what a stage wrote on its way goes once its result is written."""
+    docs, mark = table(spark, sf_dir, "documents"), cuts_made()
     for _, stage in STAGES:
         docs = cut(stage(spark, docs, sf_dir))
+        drop_cuts(spark, mark)
     return docs

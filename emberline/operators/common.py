@@ -37,10 +37,30 @@ def cut(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     place = f"{shared_folder(spark)}/cut-{spark.sparkContext.applicationId}-{uuid.uuid4().hex}"
+    _cuts.append(place)
     df.write.parquet(place)
     return spark.read.schema(df.schema).parquet(place)
 
 
+#: What ``cut`` has written in this process, in order.
+_cuts: list[str] = []
+
+
+def cuts_made() -> int:
+    """A mark for ``drop_cuts``."""
+    return len(_cuts)
+
+
+def drop_cuts(spark: SparkSession, since: int, keep: int = 1) -> int:
+    """Deletes what was cut after a mark but for the last ``keep``, once nothing reads it any more; how many."""
+    gone = _cuts[since : len(_cuts) - keep]
+    for place in gone:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(place)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    del _cuts[since : len(_cuts) - keep]
+    return len(gone)
+
+
 def clear_cuts(spark: SparkSession) -> int:
     """Deletes what ``cut`` has written in this application, once its results are written elsewhere; the number of tables."""
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark)}/cut-{spark.sparkContext.applicationId}-*")
