@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from emberline.llm.common import cut, text_of
+from emberline.llm.common import cut, salted_left, text_of
 
 KINDS = ("email", "ip", "card", "phone")
 
@@ -184,11 +184,11 @@ def score_patterns(found: DataFrame, rounds: int = ROUNDS, confident: float = CO
         patterns = cut(held.join(size, "p").select("p", "kind", (F.col("c") / F.col("n")).alias("confidence")))
         if i + 1 == rounds:
             break
-        lifted = edges.where("kind is null").select("p", "value").join(patterns.where(F.col("confidence") >= WEAK), "p")
+        lifted = salted_left(edges.where("kind is null").select("p", "value"), patterns.where(F.col("confidence") >= WEAK), "p", "value").where("confidence is not null")  # a pattern may have very many mentions
         lifted = lifted.withColumn("doubt", F.when(F.col("confidence") >= 1, F.lit(-30.0)).otherwise(F.log(1 - F.col("confidence"))))
         # what a pattern itself says of a mention is no evidence for the pattern: all others' say, less its own
         total = lifted.groupBy("value", "kind").agg(F.sum("doubt").alias("total"))
-        others = lifted.join(total, ["value", "kind"]).select("p", "value", "kind", F.least(1 - F.exp(F.least(F.col("total") - F.col("doubt"), F.lit(0.0))), F.lit(0.999)).alias("c"))
+        others = salted_left(lifted.withColumn("_vk", F.struct("value", "kind")), total.select(F.struct("value", "kind").alias("_vk"), "total"), "_vk", "p").select("p", "value", "kind", F.least(1 - F.exp(F.least(F.col("total") - F.col("doubt"), F.lit(0.0))), F.lit(0.999)).alias("c"))
         best = others.groupBy("p", "value").agg(F.max(F.struct("c", "kind")).alias("b")).select("p", "value", F.col("b.kind").alias("kind"), F.col("b.c").alias("c"))
         # a mention that is sure by now supports patterns that were none before
         sure = lifted.groupBy("value", "kind").agg((1 - F.exp(F.sum("doubt"))).alias("c")).where(F.col("c") >= confident).groupBy("value").agg(F.max(F.struct("c", "kind")).alias("b")).select("value", F.col("b.kind").alias("kind"), F.least(F.col("b.c"), F.lit(0.999)).alias("c"))
@@ -201,7 +201,7 @@ def discovered(found: DataFrame, **options) -> DataFrame:
     """Per row with any: the entities that patterns found (array of kind, start, end), none within reach of a base one."""
     edges = mentions(found)
     patterns = score_patterns(edges, **options)
-    hits = edges.where("kind is null").drop("kind").join(patterns, "p")
+    hits = salted_left(edges.where("kind is null").drop("kind"), patterns, "p", "row_id").where("confidence is not null")
     best = hits.groupBy("row_id", "start", "end").agg(F.max(F.struct("confidence", "kind"))["kind"].alias("kind"), F.lit(False).alias("old"))
     base = found.join(best.select("row_id").distinct(), "row_id", "left_semi").dropDuplicates(["row_id"]).select("row_id", F.explode("base").alias("b")).select("row_id", "b.start", "b.end", "b.kind", F.lit(True).alias("old"))
     # in order of place a span is free if no base one before it reaches into it and the next one begins after it
