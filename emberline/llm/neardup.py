@@ -146,16 +146,14 @@ def _sets(nodes: DataFrame, docs: DataFrame, key: str, width: int) -> DataFrame:
 
     def rows(r: dict) -> dict:
         sets = [shingles(t, width) for t in r["text"]]
-        ids = [xxhash.xxh3_128_digest(s.tobytes()) for s in sets]
-        halves = [np.frombuffer(i, np.int64).tolist() for i in ids]
-        return {"set_id": ids, "hi": [h[0] for h in halves], "lo": [h[1] for h in halves], "hashes": [s.view(np.int64).tolist() for s in sets]}
-
-    found = map_rows(texts, "set_id binary, hi long, lo long, hashes array<long>", rows).join(nodes.select("set_id"), "set_id", "left_semi")
-    found = cut(found.dropDuplicates(["set_id"]))
-    counted = found.select("hi", "lo", F.explode("hashes").alias("h")).groupBy("h").agg(F.count("*").alias("n"), F.min("hi").alias("hi"), F.min("lo").alias("lo"))
-    own = counted.where("n = 1").groupBy("hi", "lo").agg(F.count("*").alias("own"))
+        return {"set_id": [xxhash.xxh3_128_digest(s.tobytes()) for s in sets], "hashes": [s.view(np.int64).tolist() for s in sets]}
+
+    found = map_rows(texts, "set_id binary, hashes array<long>", rows).join(nodes.select("set_id"), "set_id", "left_semi")
+    found = cut(found.dropDuplicates(["set_id"]).withColumn("code", F.monotonically_increasing_id()))  # a short name, fixed once it is written
+    counted = found.select("code", F.explode("hashes").alias("h")).groupBy("h").agg(F.count("*").alias("n"), F.min("code").alias("code"))
+    own = counted.where("n = 1").groupBy("code").agg(F.count("*").alias("own"))
     n = F.size("hashes")
-    return cut(found.join(own, ["hi", "lo"], "left").select("set_id", "hashes", n.alias("n"), (n - F.coalesce("own", F.lit(0))).cast("int").alias("shared")))
+    return cut(found.join(own, "code", "left").select("set_id", "hashes", n.alias("n"), (n - F.coalesce("own", F.lit(0))).cast("int").alias("shared")))
 
 
 def _possible(percent: int, n: Column, shared: Column, m: Column, other: Column) -> Column:
@@ -164,20 +162,21 @@ def _possible(percent: int, n: Column, shared: Column, m: Column, other: Column)
     return 100 * most >= percent * (n + m - most)
 
 
-#: Members that meet one hub in a task; a hub with more is dealt to several.
-_DEALT = 64
+#: Members that meet one hub in a run, about; a hub with more is dealt to several runs.
+_DEALT = 256
 
 
 def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Those pairs (hub, other) whose full sets share at least ``percent`` of a hundred of their union.
 
-    A hub may be in very many pairs. Its set goes once to each of at most ``_DEALT`` runs of its pairs, ahead of the
-    others' sets, and is held while they pass by; it is on no pair's row.
+    A hub may be in very many pairs. Its set goes once to each run of about ``_DEALT`` of them, ahead of the others'
+    sets, and is held while they pass by; it is on no pair's row.
     """
-    dealt = pairs.select("hub", F.pmod(F.xxhash64("other"), F.lit(_DEALT)).alias("deal"), "other")
-    heads = dealt.select("hub", "deal").distinct().join(sets.select(F.col("set_id").alias("hub"), "hashes"), "hub").select("hub", "deal", F.lit(None).cast("binary").alias("other"), "hashes")
-    others = dealt.join(sets.select(F.col("set_id").alias("other"), "hashes"), "other").select("hub", "deal", "other", "hashes")
-    runs = heads.unionByName(others).repartition("hub", "deal").sortWithinPartitions("hub", "deal", F.asc_nulls_first("other"))
+    counts = pairs.groupBy("hub").agg(F.ceil(F.count("*") / _DEALT).alias("deals"))
+    dealt = salted_left(pairs.select("hub", "other"), counts, "hub", "other").select("hub", F.pmod(F.xxhash64("other"), "deals").alias("deal"), "other")
+    heads = dealt.select("hub", "deal").distinct().select("hub", "deal", F.lit(None).cast("binary").alias("other"), F.col("hub").alias("set_id"))
+    asked = heads.unionByName(dealt.withColumn("set_id", F.col("other")))
+    runs = asked.join(sets.select("set_id", "hashes"), "set_id").repartition("hub", "deal").sortWithinPartitions("hub", "deal", F.asc_nulls_first("other"))
 
     def confirmed(batches):
         x = None
@@ -256,14 +255,14 @@ def near_duplicates(docs: DataFrame, percent: int = 80, width: int = 5, key: str
     """
     docs = docs.select(F.col(key).cast("long").alias(key), text_of().alias("text"))
     found = cut(features(docs, key, width))
-    nodes = cut(found.where("set_id is not null").dropDuplicates(["set_id"]).select(key, "set_id", "bands", "sig"))
-    rows = nodes.select("set_id", F.explode("bands").alias("bucket"))
+    nodes = cut(found.where("set_id is not null").dropDuplicates(["set_id"]).select(key, "set_id", "bands", "sig", F.monotonically_increasing_id().alias("code")))
+    rows = nodes.select("code", F.explode("bands").alias("bucket"))
     buckets = cut(rows.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket"))
-    met = rows.join(buckets, "bucket").select("set_id").distinct()
-    sets = _sets(nodes.join(met, "set_id", "left_semi"), docs, key, width)
+    met = rows.join(buckets, "bucket").select("code").distinct()
+    sets = _sets(nodes.join(met, "code", "left_semi"), docs, key, width)
     able = sets.where(_possible(percent, F.col("n"), F.col("shared"), F.col("shared"), F.col("shared"))).select("set_id", "n", "shared")
-    members = nodes.join(able, "set_id").select("set_id", "sig", "n", "shared", "bands", F.posexplode("bands").alias("band", "bucket"))
-    members = cut(members.join(buckets, "bucket"))
+    wide = cut(nodes.join(able, "set_id").select("set_id", "sig", "n", "shared", "bands"))
+    members = cut(wide.select("set_id", "sig", "n", "shared", F.posexplode("bands").alias("band", "bucket")).join(buckets, "bucket"))
     least = least_estimate(percent / 100)
     near = lambda a, b: _possible(percent, F.col(f"{a}n"), F.col(f"{a}shared"), F.col(f"{b}n"), F.col(f"{b}shared")) & (estimate(F.col(f"{a}sig"), F.col(f"{b}sig")) >= least)
 
@@ -281,6 +280,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80, width: int = 5, key: str
     groups = placed.groupBy("bucket", "root").agg(F.count("*").alias("m"))
     mixed = groups.groupBy("bucket").agg(F.count("*").alias("groups"), F.max(F.struct("m", "root"))["root"].alias("main")).where("groups > 1").drop("groups")
     placed = cut(placed.join(mixed, "bucket").withColumn("out", F.col("root") != F.col("main")))
+    placed = placed.join(wide.select("set_id", "bands"), "set_id")
     pairs = cut(_between(placed, percent, least).dropDuplicates(["a", "b"]).join(tested, ["a", "b"], "left_anti"))
     second = cut(_confirm(pairs.select(F.col("a").alias("hub"), F.col("b").alias("other")), sets, percent).join(pairs, ["a", "b"]).select(F.col("ra").alias("a"), F.col("rb").alias("b")).distinct())
     if not second.isEmpty():
