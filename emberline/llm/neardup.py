@@ -280,7 +280,9 @@ def near_duplicates(docs: DataFrame, percent: int = 80, width: int = 5, key: str
     groups = placed.groupBy("bucket", "root").agg(F.count("*").alias("m"))
     mixed = groups.groupBy("bucket").agg(F.count("*").alias("groups"), F.max(F.struct("m", "root"))["root"].alias("main")).where("groups > 1").drop("groups")
     placed = cut(placed.join(mixed, "bucket").withColumn("out", F.col("root") != F.col("main")))
-    placed = placed.join(wide.select("set_id", "bands"), "set_id")
+    # a class is in at most BANDS buckets: its numbers and bands are fetched once, not for each of them
+    buckets_of = placed.groupBy("set_id").agg(F.collect_list(F.struct("bucket", "root", "out", "band")).alias("at"))
+    placed = cut(wide.join(buckets_of, "set_id").withColumn("x", F.explode("at")).select("set_id", "sig", "n", "shared", "bands", "x.*"))
     pairs = cut(_between(placed, percent, least).dropDuplicates(["a", "b"]).join(tested, ["a", "b"], "left_anti"))
     second = cut(_confirm(pairs.select(F.col("a").alias("hub"), F.col("b").alias("other")), sets, percent).join(pairs, ["a", "b"]).select(F.col("ra").alias("a"), F.col("rb").alias("b")).distinct())
     if not second.isEmpty():
