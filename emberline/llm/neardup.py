@@ -173,7 +173,7 @@ def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     sets, and is held while they pass by; it is on no pair's row.
     """
     counts = pairs.groupBy("hub").agg(F.ceil(F.count("*") / _DEALT).alias("deals"))
-    dealt = salted_left(pairs.select("hub", "other"), counts, "hub", "other").select("hub", F.pmod(F.xxhash64("other"), "deals").alias("deal"), "other")
+    dealt = cut(salted_left(pairs.select("hub", "other"), counts, "hub", "other").select("hub", F.pmod(F.xxhash64("other"), "deals").alias("deal"), "other"))  # read twice
     heads = dealt.select("hub", "deal").distinct().select("hub", "deal", F.lit(None).cast("binary").alias("other"), F.col("hub").alias("set_id"))
     asked = heads.unionByName(dealt.withColumn("set_id", F.col("other")))
     runs = asked.join(sets.select("set_id", "hashes"), "set_id").repartition("hub", "deal").sortWithinPartitions("hub", "deal", F.asc_nulls_first("other"))
