@@ -38,8 +38,8 @@ def text_of(column: str = "text") -> Column:
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 
 
-def map_rows(df: DataFrame, schema: str, rows: Callable[[dict], dict]) -> DataFrame:
-    """Applies ``rows`` (column name to list, batch by batch) on the executors through Arrow."""
+def map_rows(df: DataFrame, schema: str, rows: Callable[[dict], dict], done: Callable[[], None] | None = None) -> DataFrame:
+    """Applies ``rows`` (column name to list, batch by batch) on the executors through Arrow; ``done`` is called at a task's end, so that a worker keeps no more than it needs between tasks."""
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
 
@@ -52,6 +52,8 @@ def map_rows(df: DataFrame, schema: str, rows: Callable[[dict], dict]) -> DataFr
                 if part.num_rows:
                     out = rows(part.to_pydict())
                     yield pa.RecordBatch.from_pydict({f.name: pa.array(out[f.name], f.type) for f in arrow}, schema=arrow)
+        if done:
+            done()
 
     return df.mapInArrow(run, schema)
 

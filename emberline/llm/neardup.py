@@ -50,7 +50,7 @@ class _Words(dict):
     """Word to its hash."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 300_000:
+        if len(self) > 100_000:
             self.clear()
         got = self[word] = xxhash.xxh3_64_intdigest(word)
         return got
@@ -132,7 +132,7 @@ def features(docs: DataFrame, key: str, width: int) -> DataFrame:
             out["sig"].append(packed(low).tolist() if len(s) else None)
         return out
 
-    return map_rows(docs, f"{key} long, n_shingles long, set_id binary, bands array<long>, sig array<long>", rows)
+    return map_rows(docs, f"{key} long, n_shingles long, set_id binary, bands array<long>, sig array<long>", rows, lambda: _words().clear())
 
 
 def _sets(nodes: DataFrame, docs: DataFrame, key: str, width: int) -> DataFrame:
@@ -148,7 +148,7 @@ def _sets(nodes: DataFrame, docs: DataFrame, key: str, width: int) -> DataFrame:
         sets = [shingles(t, width) for t in r["text"]]
         return {"set_id": [xxhash.xxh3_128_digest(s.tobytes()) for s in sets], "hashes": [s.view(np.int64).tolist() for s in sets]}
 
-    found = map_rows(texts, "set_id binary, hashes array<long>", rows).join(nodes.select("set_id"), "set_id", "left_semi")
+    found = map_rows(texts, "set_id binary, hashes array<long>", rows, lambda: _words().clear()).join(nodes.select("set_id"), "set_id", "left_semi")
     found = cut(found.dropDuplicates(["set_id"]).withColumn("code", F.monotonically_increasing_id()))  # a short name, fixed once it is written
     counted = found.select("code", F.explode("hashes").alias("h")).groupBy("h").agg(F.count("*").alias("n"), F.min("code").alias("code"))
     own = counted.where("n = 1").groupBy("code").agg(F.count("*").alias("own"))

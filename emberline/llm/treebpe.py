@@ -160,7 +160,7 @@ def encode_documents(docs: DataFrame, tokenizer: str, key: str = "doc_id", outpu
     schema = f"{key} long, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids array<int>, decoded string" if outputs else "")
     texts = docs.select(F.col(key).cast("long").alias(key), text_of().alias("text"))
     has_run = F.col("text").rlike(_RUN % huge)
-    plain = map_rows(texts.where((F.length("text") < huge) | ~has_run), schema, lambda rows: _digest(rows, tokenizer, outputs))
+    plain = map_rows(texts.where((F.length("text") < huge) | ~has_run), schema, lambda rows: _digest(rows, tokenizer, outputs), lambda: tree_encoder(tokenizer).forget())
     return plain.unionByName(_huge(texts.where((F.length("text") >= huge) & has_run), key, schema, tokenizer, outputs))
 
 
