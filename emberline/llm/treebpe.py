@@ -34,7 +34,7 @@ class TreeEncoder(ChunkEncoder):
     """Chunk to (ids as text, decoded text, count); pre-tokens of more than ``leaf`` symbols by tree concatenation."""
 
     def __init__(self, path: str, leaf: int = LEAF) -> None:
-        super().__init__(path, held=150_000)
+        super().__init__(path, held=100_000)
         file = json.loads(self.library.to_str())
         merges = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in file["model"]["merges"]]
         self.rank = {m: i for i, m in enumerate(merges)}
@@ -128,9 +128,9 @@ class TreeEncoder(ChunkEncoder):
         return (" ".join([g[0] for g in got]), " ".join([g[1] for g in got]), sum([g[2] for g in got]))
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=1)
 def tree_encoder(path: str) -> TreeEncoder:
-    """One per Python worker."""
+    """One per Python worker, while a task is at work: a worker that goes on with other tasks doesn't keep it."""
     return TreeEncoder(path)
 
 
@@ -160,7 +160,7 @@ def encode_documents(docs: DataFrame, tokenizer: str, key: str = "doc_id", outpu
     schema = f"{key} long, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids array<int>, decoded string" if outputs else "")
     texts = docs.select(F.col(key).cast("long").alias(key), text_of().alias("text"))
     has_run = F.col("text").rlike(_RUN % huge)
-    plain = map_rows(texts.where((F.length("text") < huge) | ~has_run), schema, lambda rows: _digest(rows, tokenizer, outputs), lambda: tree_encoder(tokenizer).forget())
+    plain = map_rows(texts.where((F.length("text") < huge) | ~has_run), schema, lambda rows: _digest(rows, tokenizer, outputs), tree_encoder.cache_clear)
     return plain.unionByName(_huge(texts.where((F.length("text") >= huge) & has_run), key, schema, tokenizer, outputs))
 
 

@@ -57,11 +57,6 @@ class ChunkEncoder(dict):
         """What can be encoded on its own: cut at ASCII white space only."""
         return re.findall(r"[^ \t-\r]+", text) if _ODD.search(text) else text.split()
 
-    def forget(self) -> None:
-        """Lets go of what was held to save work."""
-        self.clear()
-        self.pieces.clear()
-
     def piece(self, piece: str) -> bytes:
         """The model's ids of one pre-token of PLAIN characters in lower case."""
         if len(self.pieces) >= self.held:
