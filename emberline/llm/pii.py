@@ -253,10 +253,10 @@ def redact(docs: DataFrame, key: str = "doc_id", **options) -> DataFrame:
     All columns stay, whatever their names. Null texts stay null; repeated rows all stay.
     """
     columns = docs.columns
-    found = cut(annotate(docs, key))
-    every = found.select("row_id", "base").where(F.size("base") > 0).dropDuplicates(["row_id"]).join(discovered(found, **options), "row_id", "full")
-    spans_ = F.concat(F.coalesce("base", F.array().cast(_NONE)), F.coalesce("extra", F.array().cast(_NONE)))
-    marks = cut(every.select("row_id", spans_.alias("spans")))
-    both = docs.select(row_id(key).alias("row_id"), F.struct(*[F.col(f"`{c}`") for c in columns]).alias("_row")).join(marks, "row_id", "left")
-    new = both.select("_row", F.when(F.col("spans").isNotNull(), masked(F.col("_row.text").cast("string"), F.col("spans"))).otherwise(F.col("_row.text")).alias("_new"))
+    # base spans are found anew beside the texts: only what was discovered comes by a join, and while that is little no text is shuffled
+    extra = cut(discovered(cut(annotate(docs, key)), **options))
+    rows = docs.select(row_id(key).alias("row_id"), F.concat(*_tagged(text_of())).alias("base"), F.struct(*[F.col(f"`{c}`") for c in columns]).alias("_row"))
+    spans_ = F.concat("base", F.coalesce("extra", F.array().cast(_NONE)))
+    text = F.col("_row.text").cast("string")
+    new = rows.join(extra, "row_id", "left").select("_row", F.when(F.size(spans_) > 0, masked(text, spans_)).otherwise(F.col("_row.text")).alias("_new"))
     return new.select(*[F.col("_new").alias(c) if c == "text" else F.col(f"_row.`{c}`").alias(c) for c in columns])

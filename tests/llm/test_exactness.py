@@ -85,6 +85,19 @@ def test_discovery_on_planted_identifiers(spark):
     spans = {(r.doc_id, k, int(a), int(b)) for r in got for k, a, b in (s.split(":") for s in r.spans.split(",") if s)}
     found = sum(r.n_discovered for r in got)
     assert len(want & spans) >= 0.9 * len(want) and len(want & spans) >= 0.9 * found
+    # what is redacted is what is listed, discovered spans too
+    texts = {i: text for i, text, _ in rows}
+    for r in got:
+        out, at = "", 0
+        for kind, a, b in sorted((s.split(":") for s in r.spans.split(",") if s), key=lambda s: int(s[1])):
+            if int(a) >= at:
+                out += texts[r.doc_id][at : int(a)] + f"[{kind.upper()}]"
+            at = max(at, int(b))
+        texts[r.doc_id] = out + texts[r.doc_id][at:]
+    odd = docs.unionByName(docs.where("doc_id < 3")).unionByName(spark.createDataFrame([(None, None, None), (7, "", "")], docs.schema))
+    again = pii.redact(odd)
+    assert again.columns == docs.columns
+    assert sorted((str(r.doc_id), str(r.text)) for r in again.collect()) == sorted([*((str(i), t) for i, t in texts.items()), *((str(i), texts[i]) for i in range(3)), ("None", "None"), ("7", "")])
 
 
 def test_masks_and_sums_over_many_spans(spark):
