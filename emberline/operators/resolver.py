@@ -18,7 +18,8 @@ import hashlib
 from math import asin, cos, floor, radians, sin, sqrt
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -30,36 +31,78 @@ CUBE_M = 50_000.0
 #: Where the cubes lie in each round, in sides.
 _SHIFTS = ((0.0, 0.0, 0.0), (0.5, 0.5, 0.5), (0.25, 0.75, 0.5), (0.75, 0.25, 0.0))
 
-_OUT = "event boolean, detection_id string, status string, site_id string, candidate_id string, distance_m double, ambiguous boolean, candidate_sites array<string>"
+_OUT = "event boolean, pending boolean, detection_id string, latitude double, longitude double, seq long, status string, site_id string, candidate_id string, distance_m double, ambiguous boolean, candidate_sites array<string>, now_site string, now_candidate string"
+_TYPES = {"boolean": pa.bool_(), "string": pa.string(), "double": pa.float64(), "long": pa.int64(), "array<string>": pa.list_(pa.string())}
+_ARROW = pa.schema([(n, _TYPES[t]) for n, t in (f.split(" ") for f in _OUT.split(", "))])
+#: Distances that are worked out at once, at most, unless one point has more.
+_BLOCK = 1_000_000
+
+
+class Grid:
+    """Places by grid cell, for those within a distance of some of them."""
+
+    def __init__(self, units: np.ndarray, metres: float) -> None:
+        self.units, size = np.ascontiguousarray(units.T).T, metres / EARTH_RADIUS_M
+        self.most = (2 * sin(size / 2)) ** 2 * 1.000001  # the square of the chord
+        cells = np.floor(units / size).astype(np.int64)
+        cells -= cells.min(0) - 1
+        _, ny, nz = (int(x) for x in cells.max(0) + 2)
+        self.key = (cells[:, 0] * ny + cells[:, 1]) * nz + cells[:, 2]
+        self.order = np.argsort(self.key, kind="stable")
+        held = self.key[self.order]
+        beside = np.array([(x * ny + y) * nz for x in (-1, 0, 1) for y in (-1, 0, 1)])  # three cells in a row are one range
+        self.low = np.searchsorted(held, self.key[:, None] + beside - 1, "left")
+        self.many = np.searchsorted(held, self.key[:, None] + beside + 1, "right") - self.low
+        self.total = self.many.sum(1)
+
+    def near(self, asked: np.ndarray, since: np.ndarray, until: np.ndarray) -> list[np.ndarray]:
+        """For each of some places those within the distance that are there (``since``, by place) before a time (``until``, by place asked), nearest first."""
+        low, many = self.low[asked].ravel(), self.many[asked].ravel()
+        ends = np.cumsum(many)
+        other = self.order[np.arange(ends[-1]) + np.repeat(low - ends + many, many)]
+        total = self.total[asked]
+        square = np.zeros(len(other))
+        for axis in self.units.T:
+            apart = axis[other] - np.repeat(axis[asked], total)
+            apart *= apart
+            square += apart
+        kept = np.flatnonzero((square <= self.most) & (since[other] < np.repeat(until, total)))
+        cuts = np.searchsorted(kept, np.cumsum(total)).tolist()
+        other, square = other[kept], square[kept]
+        return [other[a:b][np.argsort(square[a:b])] for a, b in zip([0, *cuts], cuts)]
 
 
 class Near:
-    """Points by grid cell, for those within a distance of a place; points come one by one."""
+    """Points by grid cell, for whether any lies within a distance of a place; points come one by one."""
 
     def __init__(self, metres: float) -> None:
         self.size = metres / EARTH_RADIUS_M
-        self.most = (2 * sin(self.size / 2)) ** 2 * 1.000001  # the square of the chord
+        self.most = (2 * sin(self.size / 2)) ** 2 * 1.000001
         self.cells: dict[tuple[int, int, int], list] = {}
-
-    def add(self, u: tuple[float, float, float], point: int) -> None:
-        key = tuple(floor(x / self.size) for x in u)
-        held = self.cells.get(key)
-        if held is None:
-            held = self.cells[key] = [0, np.empty((4, 3)), np.empty(4, np.int64)]
-        n, places, points = held
-        if n == len(points):
-            held[1], held[2] = np.concatenate([places, np.empty_like(places)]), np.concatenate([points, np.empty_like(points)])
-        held[1][n], held[2][n], held[0] = u, point, n + 1
-
-    def find(self, u: tuple[float, float, float]) -> tuple[np.ndarray, np.ndarray]:
-        """Points within the distance, and the squares of their chords."""
+        self.full: set[tuple[int, int, int]] = set()
+
+    def _small(self, u: tuple[float, float, float]) -> tuple[int, int, int]:
+        """A cell in which any two points are within the distance."""
+        return tuple(floor(x / self.size * 1.7321) for x in u)
+
+    def add(self, u: tuple[float, float, float]) -> None:
+        self.full.add(self._small(u))
+        held = self.cells.setdefault(tuple(floor(x / self.size) for x in u), [0, np.empty((4, 3))])
+        n, places = held
+        if n == len(places):
+            places = held[1] = np.concatenate([places, np.empty_like(places)])
+        places[n], held[0] = u, n + 1
+
+    def any(self, u: tuple[float, float, float]) -> bool:
+        if self._small(u) in self.full:
+            return True
         x, y, z = (floor(v / self.size) for v in u)
-        near = [self.cells[c] for c in ((a, b, d) for a in (x - 1, x, x + 1) for b in (y - 1, y, y + 1) for d in (z - 1, z, z + 1)) if c in self.cells]
-        if not near:
-            return np.zeros(0, np.int64), np.zeros(0)
-        square = np.concatenate([((places[:n] - u) ** 2).sum(1) for n, places, _ in near])
-        points = np.concatenate([held[:n] for n, _, held in near])
-        return points[square <= self.most], square[square <= self.most]
+        for c in ((a, b, d) for a in (x - 1, x, x + 1) for b in (y - 1, y, y + 1) for d in (z - 1, z, z + 1)):
+            if c in self.cells:
+                n, places = self.cells[c]
+                if (((places[:n] - u) ** 2).sum(1) <= self.most).any():
+                    return True
+        return False
 
 
 def metres(p: tuple[float, float], q: tuple[float, float]) -> float:
@@ -67,9 +110,9 @@ def metres(p: tuple[float, float], q: tuple[float, float]) -> float:
     return 2 * EARTH_RADIUS_M * asin(min(1.0, sqrt(a)))
 
 
-def _unit(lat: float, lon: float) -> tuple[float, float, float]:
-    a, b = radians(lat), radians(lon)
-    return cos(a) * cos(b), cos(a) * sin(b), sin(a)
+def _units(lat: np.ndarray, lon: np.ndarray) -> np.ndarray:
+    a, b = np.radians(lat), np.radians(lon)
+    return np.stack([np.cos(a) * np.cos(b), np.cos(a) * np.sin(b), np.sin(a)], 1)
 
 
 def name_of(prefix: str, detection: str) -> str:
@@ -78,66 +121,67 @@ def name_of(prefix: str, detection: str) -> str:
 
 
 class Cube:
-    """The members around some detections, and what becomes of these in order."""
-
-    def __init__(self, radius_m: float, reach_m: float) -> None:
-        self.members, self.open = Near(radius_m), Near(reach_m)
-        self.radius = radius_m
-        self.ids: list[str] = []
-        self.places: list[tuple[float, float]] = []
-        self.owner: list[int] = []
+    """The members around some detections, and what becomes of these in order. Points go by number, in order; so do places."""
+
+    def __init__(self, radius_m: float, ids: list[str], place: list[int], places: list[tuple[float, float]]) -> None:
+        self.radius, self.ids, self.place, self.places = radius_m, ids, place, places
+        self.owner: dict[int, int] = {}
         self.names: list[str] = []
         self.is_site: list[bool] = []
         self.of: dict[str, int] = {}
         self.held: list[list[int]] = []
-        self.candidate_of: list[str | None] = []  # the candidate that a point came by
+        self.candidate_of: dict[int, str | None] = {}  # the candidate that a point came by
         self.moved: set[int] = set()
-        self.seen: set[tuple[int, tuple[float, float]]] = set()
+        # who has a member at a place: none (-1), one, or several (-2 less their place in the list)
+        self.at = np.full(len(places), -1, np.int64)
+        self.several: list[list[int]] = []
 
-    def join(self, name: str, site: bool, detection: str, place: tuple[float, float], candidate: str | None) -> int:
+    def join(self, name: str, site: bool, point: int, candidate: str | None) -> None:
         owner = self.of.get(name)
         if owner is None:
             owner = self.of[name] = len(self.names)
             self.names.append(name)
             self.is_site.append(site)
             self.held.append([])
-        point = len(self.ids)
-        self.ids.append(detection)
-        self.places.append(place)
-        self.owner.append(owner)
-        self.candidate_of.append(candidate)
+        self.owner[point], self.candidate_of[point] = owner, candidate
         self.held[owner].append(point)
-        if (owner, place) not in self.seen:  # one member of an owner at a place is as near as all of them
-            self.seen.add((owner, place))
-            self.members.add(_unit(*place), point)
-        return point
-
-    def nearest(self, place: tuple[float, float]) -> tuple[list[tuple[float, str]], list[tuple[float, str]]]:
-        """Sites and candidates with a member within the radius, by least distance, then name."""
-        points, square = self.members.find(_unit(*place))
-        best: dict[int, tuple[float, int]] = {}
-        if len(points):
-            owners = np.array([self.owner[p] for p in points.tolist()])
-            order = np.lexsort((square, owners))
-            first = order[np.flatnonzero(np.concatenate([[True], np.diff(owners[order]) != 0]))]
-            for i in first.tolist():
-                best[int(owners[i])] = (metres(place, self.places[int(points[i])]), int(owners[i]))
-        found = sorted((d, self.names[o], o) for d, o in best.values() if d <= self.radius)
+        place = self.place[point]
+        there = int(self.at[place])
+        if there == -1:
+            self.at[place] = owner
+        elif there < -1:
+            if owner not in self.several[-2 - there]:
+                self.several[-2 - there].append(owner)
+        elif there != owner:
+            self.at[place] = -2 - len(self.several)
+            self.several.append([there, owner])
+
+    def nearest(self, point: int, near: np.ndarray) -> tuple[list[tuple[float, str]], list[tuple[float, str]]]:
+        """Sites and candidates with a member within the radius, by least distance, then name; ``near``: the places there, nearest first."""
+        place, held, best = self.places[self.place[point]], self.at[near].tolist(), {}
+        for there in dict.fromkeys(held):
+            if there != -1:
+                at = held.index(there)
+                for owner in (there,) if there >= 0 else self.several[-2 - there]:
+                    best.setdefault(owner, at)
+        found = sorted((metres(place, self.places[near[at]]), self.names[o], o) for o, at in best.items())
+        found = [x for x in found if x[0] <= self.radius]
         return [(d, n) for d, n, o in found if self.is_site[o]], [(d, n) for d, n, o in found if not self.is_site[o]]
 
-    def resolve(self, detection: str, place: tuple[float, float]) -> tuple:
+    def resolve(self, point: int, near: np.ndarray) -> tuple:
         """What becomes of a detection: status, site, candidate, distance, whether several sites are in reach, those sites."""
-        sites, candidates = self.nearest(place)
+        sites, candidates = self.nearest(point, near)
+        self.moved.add(point)
         if sites:
             distance, name = sites[0]
-            self.moved.add(self.join(name, True, detection, place, None))
+            self.join(name, True, point, None)
             return "MATCHED", name, None, distance, len(sites) > 1, [n for _, n in sites]
         if not candidates:
-            name = name_of("CAND_", detection)
-            self.moved.add(self.join(name, False, detection, place, name))
+            name = name_of("CAND_", self.ids[point])
+            self.join(name, False, point, name)
             return "NEW_CANDIDATE", None, name, None, False, None
         distance, name = candidates[0]
-        self.moved.add(self.join(name, False, detection, place, name))
+        self.join(name, False, point, name)
         owner = self.of[name]
         if len(self.held[owner]) < CLUSTER_MIN_POINTS:
             return "CANDIDATE_ACCUMULATED", None, name, distance, False, None
@@ -148,23 +192,77 @@ class Cube:
         return "PROMOTED", site, name, distance, False, None
 
 
-def _swept(frame: pd.DataFrame, radius_m: float, reach_m: float) -> pd.DataFrame:
-    """One cube, one round: the detections that can be resolved, and every point whose owner changed."""
-    cube, out = Cube(radius_m, reach_m), []
-    for r in frame.sort_values(["seq", "detection_id"], kind="stable").itertuples(index=False):
-        place = (r.latitude, r.longitude)
-        if not r.pending:
-            site = isinstance(r.site_id, str)
-            cube.join(r.site_id if site else r.candidate_id, site, r.detection_id, place, r.candidate_id if isinstance(r.candidate_id, str) else None)
-        elif not r.own or len(cube.open.find(_unit(*place))[0]):
-            cube.open.add(_unit(*place), 0)
-        else:
-            out.append((True, r.detection_id, *cube.resolve(r.detection_id, place)))
-    for p in sorted(cube.moved):
-        name = cube.names[cube.owner[p]]
-        site = cube.is_site[cube.owner[p]]
-        out.append((False, cube.ids[p], None, name if site else None, cube.candidate_of[p], None, None, None))
-    return pd.DataFrame(out, columns=["event", "detection_id", "status", "site_id", "candidate_id", "distance_m", "ambiguous", "candidate_sites"])
+def _waiting(units: np.ndarray, place: np.ndarray, pending: np.ndarray, own: np.ndarray, reach_m: float) -> np.ndarray:
+    """Which pending points, in order, have to wait: those of other cubes, and those with an earlier one that waits within reach."""
+    wait = pending & ~own
+    if not wait.any():
+        return wait
+    # only points in cells that hang together with one that waits can be within reach of any
+    cells = np.floor(units / (reach_m / EARTH_RADIUS_M)).astype(np.int64)
+    every, cell = np.unique(cells, axis=0, return_inverse=True)
+    cell = cell.ravel()
+    names = {tuple(c): i for i, c in enumerate(every.tolist())}
+    held = np.zeros(len(every), bool)
+    held[cell[pending]] = True
+    found = np.zeros(len(every), bool)
+    found[cell[wait]] = True
+    todo = np.flatnonzero(found).tolist()
+    while todo:
+        x, y, z = every[todo.pop()].tolist()
+        for c in ((a, b, d) for a in (x - 1, x, x + 1) for b in (y - 1, y, y + 1) for d in (z - 1, z, z + 1)):
+            i = names.get(c)
+            if i is not None and held[i] and not found[i]:
+                found[i] = True
+                todo.append(i)
+    near, added = Near(reach_m), set()
+    for i in np.flatnonzero(pending & found[cell]).tolist():
+        u = tuple(units[i].tolist())
+        if wait[i] or near.any(u):
+            wait[i] = True
+            if place[i] not in added:
+                added.add(place[i])
+                near.add(u)
+    return wait
+
+
+def _swept(table: pa.Table, radius_m: float, reach_m: float) -> pa.Table:
+    """One cube, one round: what becomes of the detections that can be resolved, every point whose owner changed, and the cube's own points that wait."""
+    table = table.take(pc.sort_indices(table, [("seq", "ascending"), ("detection_id", "ascending")]))
+    lat, lon, pending, own = (table.column(c).to_numpy() for c in ("latitude", "longitude", "pending", "own"))
+    at, since, place = np.unique(lat + 1j * lon, return_index=True, return_inverse=True)
+    places, numbers = _units(at.real, at.imag), place.tolist()
+    cube = Cube(radius_m, table.column("detection_id").to_pylist(), numbers, list(zip(at.real.tolist(), at.imag.tolist())))
+    wait = _waiting(places[place], place, pending, own, reach_m)
+    asked = np.flatnonzero(pending & ~wait)
+    grid = Grid(places, radius_m)
+    block = np.cumsum(grid.total[place[asked]]) // _BLOCK
+    turn, events = 0, {}
+    stored = [(i, s, c) for i, (s, c, p) in enumerate(zip(table.column("site_id").to_pylist(), table.column("candidate_id").to_pylist(), pending.tolist())) if not p]
+    stored.append((len(lat), None, None))
+    for ask in np.split(asked, np.flatnonzero(np.diff(block)) + 1):
+        if not len(ask):
+            continue
+        some, which = np.unique(place[ask], return_inverse=True)
+        until = np.zeros(len(some), np.int64)
+        until[which] = ask  # the last one counts
+        near = grid.near(some, since, until)
+        for point, w in zip(ask.tolist(), which.tolist()):
+            while stored[turn][0] < point:
+                i, site, candidate = stored[turn]
+                cube.join(candidate if site is None else site, site is not None, i, candidate)
+                turn += 1
+            events[point] = cube.resolve(point, near[w])
+    rows = sorted(cube.moved) + np.flatnonzero(wait & own).tolist()
+    out = table.select(["pending", "detection_id", "latitude", "longitude", "seq"]).take(pa.array(rows, pa.int64()))
+    owner = [cube.owner.get(i) for i in rows]
+    none = (None,) * 6
+    columns = list(zip(*[events.get(i, none) for i in rows])) or [()] * 6
+    fields = {
+        "event": [i in events for i in rows], "pending": [o is None for o in owner], **{c: out.column(c) for c in ("detection_id", "latitude", "longitude", "seq")},
+        **dict(zip(("status", "site_id", "candidate_id", "distance_m", "ambiguous", "candidate_sites"), columns)),
+        "now_site": [cube.names[o] if o is not None and cube.is_site[o] else None for o in owner], "now_candidate": [cube.candidate_of.get(i) for i in rows],
+    }
+    return pa.table([fields[f.name].cast(f.type) if isinstance(fields[f.name], pa.ChunkedArray) else pa.array(fields[f.name], f.type) for f in _ARROW], schema=_ARROW)
 
 
 def _axes() -> list[Column]:
@@ -214,28 +312,27 @@ def resolve_batch(detections: DataFrame, members: DataFrame, radius_m: float = C
     while True:
         dealt = _dealt(points, side, reach, _SHIFTS[rounds % len(_SHIFTS)])
         asked = dealt.where("own and pending").select("cx", "cy", "cz").distinct()
-        swept = dealt.join(asked, ["cx", "cy", "cz"], "left_semi").groupBy("cx", "cy", "cz").applyInPandas(lambda frame: _swept(frame, radius_m, reach), _OUT)
+        swept = dealt.join(asked, ["cx", "cy", "cz"], "left_semi").groupBy("cx", "cy", "cz").applyInArrow(lambda table: _swept(table, radius_m, reach), _OUT)
         step = cut(swept.withColumn("round", F.lit(rounds)))
         found = step if found is None else found.unionByName(step)
-        owners = step.where("not event").select("detection_id", F.col("site_id").alias("_s"), F.col("candidate_id").alias("_c"), F.lit(True).alias("_hit"))
-        done = points.join(owners, "detection_id", "left").select(
-            "detection_id", "latitude", "longitude", "seq", F.when(F.col("_hit"), F.col("_s")).otherwise(F.col("site_id")).alias("site_id"), F.when(F.col("_hit"), F.col("_c")).otherwise(F.col("candidate_id")).alias("candidate_id"), (F.col("pending") & F.col("_hit").isNull()).alias("pending")
-        )
         rounds += 1
-        points = cut(done)
-        if points.where("pending").isEmpty():
+        waiting = step.where("pending").select(points.columns)
+        if waiting.isEmpty():
             break
-        wide = 2 * side  # what the cubes of a later round can need
-        cells = points.withColumns({f"k{a}": F.floor(c / wide) for a, c in zip("xyz", _axes())})
+        # a later round needs what is within reach of a point that waits, and no more
+        cells = {f"k{a}": F.floor(c / reach) for a, c in zip("xyz", _axes())}
         steps = F.explode(F.array(*[F.lit(i) for i in (-1, 0, 1)]))
-        asked = cells.where("pending").select("kx", "ky", "kz").distinct()
+        asked = waiting.select(*[c.alias(k) for k, c in cells.items()]).distinct()
         for axis in "xyz":
             asked = asked.withColumn("_d", steps).withColumn(f"k{axis}", F.col(f"k{axis}") + F.col("_d")).drop("_d").distinct()
-        points = cut(cells.join(asked, ["kx", "ky", "kz"], "left_semi").drop("kx", "ky", "kz"))
-    places = old.select("detection_id", "latitude", "longitude").unionByName(new.select("detection_id", "latitude", "longitude"))
-    last = first_by(found.where("not event"), ["detection_id"], [F.desc("round")])
-    changed = last.select("detection_id", "site_id", "candidate_id").join(places, "detection_id").select("detection_id", "latitude", "longitude", "site_id", "candidate_id")
-    return found.where("event").drop("event", "round"), changed
+        asked = cut(asked)
+        around = lambda df: df.withColumns(cells).join(asked, list(cells), "left_semi").drop(*cells)  # noqa: E731, B023
+        now = around(step.where("not pending").select("detection_id", "latitude", "longitude", "seq", F.col("now_site").alias("site_id"), F.col("now_candidate").alias("candidate_id"), "pending"))
+        held = around(points.where("not pending")).join(now.select("detection_id"), "detection_id", "left_anti")
+        points = cut(waiting.unionByName(now).unionByName(held))
+    last = first_by(found.where("not pending"), ["detection_id"], [F.desc("round")])
+    changed = last.select("detection_id", "latitude", "longitude", F.col("now_site").alias("site_id"), F.col("now_candidate").alias("candidate_id"))
+    return found.where("event").drop("event", "pending", "latitude", "longitude", "seq", "now_site", "now_candidate", "round"), changed
 
 
 def resolve(detections: DataFrame, members: DataFrame, radius_m: float = CLUSTER_RADIUS_M, cube_m: float = CUBE_M) -> DataFrame:

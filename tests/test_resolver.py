@@ -102,3 +102,21 @@ def test_a_place_that_very_many_share(spark):
     rows = spark.range(20_000).select(F.format_string("D%05d", "id").alias("detection_id"), F.lit(10.0).alias("latitude"), F.lit(20.0).alias("longitude"), F.col("id").alias("seq"))
     counts = {r.status: r["count"] for r in resolver.resolve(rows, spark.createDataFrame([], MEMBERS)).groupBy("status").count().collect()}
     assert counts == {"NEW_CANDIDATE": 1, "CANDIDATE_ACCUMULATED": 1, "PROMOTED": 1, "MATCHED": 19_997}
+
+
+def test_later_rounds_hold_only_what_is_near(spark, monkeypatch):
+    """Points far from every one that waits are in no later round; the result is that of one pass."""
+    rng = random.Random(9)
+    held, cut = [], resolver.cut
+
+    def counted(df):
+        out = cut(df)
+        if "pending" in out.columns and "event" not in out.columns:
+            held.append(out.count())
+        return out
+
+    monkeypatch.setattr(resolver, "cut", counted)
+    # apart by more than the reach, in cubes of 50 km: most of them wait for nothing
+    new = [(f"D{k:02d}-{i}", a, b, rng.randint(0, 99)) for k in range(40) for i, (a, b) in enumerate(scattered(rng, 6, 21.0 + 0.1 * (k % 8), 71.0 + 0.1 * (k // 8), 900))]
+    check(spark, new, [])
+    assert len(held) > 1 and held[0] == len(new) and max(held[1:]) < len(new) / 2
