@@ -19,13 +19,14 @@ def radius_join(left: DataFrame, right: DataFrame, radius_m: float) -> DataFrame
 
     Both sides meet by grid cell: the left one is dealt to the cells around each point, so the join has an equality
     that Spark can hash, and the distance is checked on what meets. No pair beyond a neighbouring cell is made.
-    Rows without a place meet nothing.
+    Rows without a place meet nothing. Spark takes the dealt side for as small as the points and would broadcast it,
+    nine rows for each, so the join is by sorting.
     """
     lat, lon = F.col("latitude"), F.col("longitude")
     a = dealt_around(left.where(lat.isNotNull() & lon.isNotNull()), radius_m)
     b = with_cell(right.where(lat.isNotNull() & lon.isNotNull()), radius_m)
     b = b.select("cy", "cx", *[F.col(c).alias(f"r_{c}") for c in right.columns])
-    met = a.join(b, ["cy", "cx"]).withColumn("distance_m", haversine_m(lat, lon, F.col("r_latitude"), F.col("r_longitude")))
+    met = a.join(b.hint("merge"), ["cy", "cx"]).withColumn("distance_m", haversine_m(lat, lon, F.col("r_latitude"), F.col("r_longitude")))
     return met.where(F.col("distance_m") <= radius_m).drop("cy", "cx")
 
 

@@ -80,3 +80,13 @@ def test_one_place_of_most_points(spark):
     found = spatial.cluster(rows)
     assert found.count() == 30_000 and found.where("role = 'CORE'").count() >= 20_000
     assert spatial.neighbors(rows.where("latitude = 5")).agg(F.min("neighbors"), F.max("neighbors")).first()[:] == (20_000, 20_000)
+
+
+def test_dealt_side_is_not_broadcast(spark, tmp_path, capsys):
+    """A radius join's dealt side is nine times what Spark takes it for; neither side is ever broadcast."""
+    spark.range(50).select(F.col("id"), (F.col("id") / 1000.0).alias("latitude"), F.lit(1.0).alias("longitude")).write.parquet(str(tmp_path / "p"))
+    p = spark.read.parquet(str(tmp_path / "p"))
+    met = spatial.radius_join(p, p, 750.0)
+    met.explain()
+    assert "Broadcast" not in capsys.readouterr().out
+    assert met.count() == sum(abs(a - b) * 111.195 <= 750.0 for a in range(50) for b in range(50))
