@@ -13,10 +13,12 @@ import time
 import urllib.error
 import urllib.request
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from contextlib import ExitStack, contextmanager
 from dataclasses import dataclass
 from datetime import date, timedelta
 
+import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -72,15 +74,30 @@ class Cache:
         with self._fs.open_input_stream(place) as f:
             return f.read().decode()
 
-    def write(self, source: str, bbox: str, window: Window, text: str) -> None:
-        """Whole or not at all: written under another name first."""
+    @contextmanager
+    def lines(self, source: str, bbox: str, window: Window) -> Iterator[Iterable[str]]:
+        """An answer line by line, so a long one is never held; none where it isn't there."""
+        place = self.place(source, bbox, window)
+        if self._fs.get_file_info(place).type != fs.FileType.File:
+            yield []
+            return
+        with self._fs.open_input_stream(place) as f:
+            yield io.TextIOWrapper(f, encoding="utf-8", newline="")
+
+    @contextmanager
+    def writing(self, source: str, bbox: str, window: Window) -> Iterator:
+        """A stream for an answer that comes in parts. Whole or not at all: written under another name first."""
         place = self.place(source, bbox, window)
         self._fs.create_dir(self._folder, recursive=True)
         staged = f"{place}.{uuid.uuid4().hex}.tmp"
         with self._fs.open_output_stream(staged) as f:
-            f.write(text.encode())
+            yield f
         self._fs.move(staged, place)
 
+    def write(self, source: str, bbox: str, window: Window, text: str) -> None:
+        with self.writing(source, bbox, window) as f:
+            f.write(text.encode())
+
 
 class Client:
     """Requests with waits by what went wrong; the key is in no message."""
@@ -133,9 +150,9 @@ class Client:
         return text
 
 
-def parsed(text: str, columns: list[str]) -> Iterator[tuple]:
-    """A CSV's rows by the names of its columns; those it lacks are null."""
-    for row in csv.DictReader(io.StringIO(text)):
+def parsed(text: str | Iterable[str], columns: list[str]) -> Iterator[tuple]:
+    """A CSV's rows (a text, or its lines) by the names of its columns; those it lacks are null."""
+    for row in csv.DictReader(io.StringIO(text) if isinstance(text, str) else text):
         yield tuple(row.get(c) for c in columns)
 
 
@@ -155,6 +172,11 @@ class _Records:
 
     def read(self, partition: Window) -> Iterator[tuple]:
         client = Client(self.options)
+        if client.offline and client.cache:
+            with client.cache.lines(client.source, client.bbox, partition) as lines:
+                for row in parsed(lines, AREA_COLUMNS):
+                    yield (*row, client.source, partition.start)
+            return
         for row in parsed(client.text(partition), AREA_COLUMNS):
             yield (*row, client.source, partition.start)
 
@@ -235,7 +257,8 @@ def register(spark: SparkSession) -> None:
 def land(records: DataFrame, cache: str, source: str, start: str, end: str, bbox: str = BOX, days: int = MOST_DAYS) -> int:
     """Keeps records as the answers of the requests that cover a range of days, a file for each, empty ones too; how many.
 
-    A record lies in the request of its day; one without a readable day, or outside the range, in the first.
+    A record lies in the request of its day; one without a readable day, or outside the range, in the first. Spark
+    sorts the records by request and a task writes them as they come, so no request is ever held as a whole.
     """
     first, last = date.fromisoformat(start), date.fromisoformat(end)
     asked = windows(first, last, days)
@@ -247,10 +270,23 @@ def land(records: DataFrame, cache: str, source: str, start: str, end: str, bbox
     columns = [c for c in AREA_COLUMNS if c in records.columns]
     dealt = records.select(*[F.col(c).cast("string").alias(c) for c in columns], F.when(inside, place).otherwise(0).cast("long").alias("request"))
 
-    def write(key, frame, numbers):
-        text = frame[columns].to_csv(index=False, lineterminator="\n")
-        Cache(cache).write(source, bbox, asked[int(numbers["request"].iloc[0])], text)
-        return numbers.assign(n=len(frame))
-
-    written = dealt.groupBy("request").cogroup(every.groupBy("request")).applyInPandas(write, "request long, n long")
-    return written.count()
+    # a row for every request comes before its records
+    heads = every.select(*[F.lit(None).cast("string").alias(c) for c in columns], "request", F.lit(False).alias("record"))
+    ordered = dealt.withColumn("record", F.lit(True)).unionByName(heads).repartition("request").sortWithinPartitions("request", "record")
+
+    def write(batches):
+        with ExitStack() as open_files:
+            file = None
+            for batch in batches:
+                frame = batch.to_pandas()
+                for request, part in frame.groupby("request", sort=True):
+                    if not part["record"].iloc[0]:
+                        open_files.close()  # the request before is complete
+                        file = open_files.enter_context(Cache(cache).writing(source, bbox, asked[int(request)]))
+                        file.write((",".join(columns) + "\n").encode())
+                        yield pa.RecordBatch.from_pydict({"request": pa.array([request], pa.int64())})
+                    rows = part.loc[part["record"], columns]
+                    if len(rows):
+                        file.write(rows.to_csv(index=False, header=False, lineterminator="\n").encode())
+
+    return ordered.mapInArrow(write, "request long").count()

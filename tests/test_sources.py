@@ -223,3 +223,26 @@ def test_landed_files(spark, tmp_path):
     both = spark.createDataFrame([(None, "b"), ("a", "c")], "x string, y string")
     assert [r[0] for r in both.select(landing.first_present(both, "absent", "x", "y", default="z")).collect()] == ["b", "a"]
     assert both.select(landing.first_present(both, "absent", default="z")).first()[0] == "z"
+
+
+def test_a_long_answer_is_written_and_read_in_parts(spark, tmp_path, monkeypatch):
+    """One request with many batches of records, others empty: all come back, and no whole answer is made or read."""
+    monkeypatch.setattr(area.Cache, "read", lambda *_: pytest.fail("read as a whole"))
+    monkeypatch.setattr(area.Client, "text", lambda *_: pytest.fail("read as a whole"))
+    rows = spark.range(30_000).select(F.col("id").cast("string").alias("latitude"), F.lit('a "b", c').alias("longitude"), F.when(F.col("id") % 3 > 0, "2020-01-01").otherwise("none").alias("acq_date"), F.lit(None).cast("string").alias("frp"))
+    most = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    try:
+        assert area.land(rows, str(tmp_path / "cache"), "SRC", "2020-01-01", "2020-01-15") == 3
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", most)
+    reader = area._Records({"cache": str(tmp_path / "cache"), "offline": "true", "source": "SRC"})
+    counts, asked = [], area.windows(area.date(2020, 1, 1), area.date(2020, 1, 15))
+    for window in asked:
+        found = list(reader.read(window))
+        counts.append(len(found))
+        if found:
+            assert {r[area.AREA_COLUMNS.index("latitude")] for r in found} == {str(i) for i in range(30_000)}
+            assert {r[area.AREA_COLUMNS.index("longitude")] for r in found} == {'a "b", c'}
+            assert {r[area.AREA_COLUMNS.index("frp")] for r in found} == {""}
+    assert counts == [30_000, 0, 0]
