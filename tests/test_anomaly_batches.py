@@ -23,3 +23,25 @@ def test_sites_together_equal_each_alone(monkeypatch):
         for name in want[0]:
             np.testing.assert_array_equal(got[name], np.concatenate([w[name] for w in want]), err_msg=name)
     assert alone == [anomaly.MATRIX + 1] * 2
+
+
+def test_a_frozen_reference_is_asked_for_each_value_once(spark, monkeypatch):
+    """Thousands of days that hold the same few values look these up once, so no task sorts the days of a value."""
+    from pyspark.sql import functions as F
+
+    days = spark.range(3_000).select(F.format_string("S%d", "id").alias("site_id"), F.lit("2000-01-01").cast("date").alias("acq_date"), F.lit(True).alias("scored"), *[(F.col("id") % n).cast("double").alias(g) for n, g in enumerate(anomaly.c.GROUPS, 2)])
+    frozen = anomaly.cut(anomaly.reference(days, "2000-12-31"))
+    asked, cut = [], anomaly.cut
+
+    def counted(df):
+        out = cut(df)
+        if out.columns == ["grp", "v", "held"]:
+            asked.append(out.count())
+        return out
+
+    monkeypatch.setattr(anomaly, "cut", counted)
+    found = anomaly.against(days, frozen)
+    want = anomaly.calibrated(days, "2000-12-31")
+    assert len(asked) == 2 and asked[0] == 2 + 3 + 4 + 5
+    columns = ["site_id", *[f"{g}_pct" for g in anomaly.c.GROUPS], "c_score"]
+    assert found.select(columns).exceptAll(want.select(columns)).count() == 0 and found.count() == 3_000
