@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from math import degrees
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -44,12 +46,87 @@ def at_places(points: DataFrame, found: DataFrame, key: str) -> DataFrame:
 
 
 def neighbors(points: DataFrame, key: str = "detection_id", radius_m: float = CLUSTER_RADIUS_M) -> DataFrame:
-    """How many points lie within the radius of each, itself included, and the distance of the farthest. Distances are between places, however many points share one."""
-    p = places_of(points, key)
-    found = radius_join(p, p, radius_m).groupBy("latitude", "longitude").agg(F.sum("r_w").alias("neighbors"), F.max("distance_m").alias("farthest_m"))
+    """How many points lie within the radius of each, itself included, and the distance of the farthest. Distances are between places, however many points share one.
+
+    Every place goes to its cell once to ask and to the cells around it to be counted. A task reads a cell's asking
+    places first and then the others block by block, so no pair is ever a row.
+    """
+    p = places_of(points, key).select("latitude", "longitude", "w")
+    asking, counted = with_cell(p, radius_m), dealt_around(p, radius_m)
+    sides = asking.withColumn("w", F.lit(None).cast("long")).unionByName(counted)
+    met = sides.repartition("cy", "cx").sortWithinPartitions("cy", "cx", F.asc_nulls_first("w"))
+    found = met.select("cy", "cx", "latitude", "longitude", "w").mapInArrow(lambda batches: _counts(batches, radius_m), "latitude double, longitude double, neighbors long, farthest_m double")
     return at_places(points, found, key)
 
 
+#: Asking places that are held against a block of others at once, and the pairs of a block at most.
+_ASKING, _BLOCK = 256, 1 << 16
+
+
+class _Cell:
+    """A cell's asking places with what has been counted for them so far."""
+
+    def __init__(self, radius_m: float) -> None:
+        self.most, self.parts, self.n = radius_m, [], None
+
+    def ask(self, lat: np.ndarray, lon: np.ndarray) -> None:
+        self.parts.append((lat, lon))
+
+    def close(self) -> None:
+        if self.n is None:
+            self.lat, self.lon = (np.concatenate(x) if self.parts else np.zeros(0) for x in (zip(*self.parts) if self.parts else ((), ())))
+            self.n, self.far, self.cos = np.zeros(len(self.lat), np.int64), np.full(len(self.lat), -1.0), np.cos(np.radians(self.lat))
+
+    def meet(self, lat: np.ndarray, lon: np.ndarray, w: np.ndarray) -> None:
+        """Counts places for all that ask, by the formula of ``haversine_m``."""
+        self.close()
+        cos = np.cos(np.radians(lat))
+        for i in range(0, len(self.lat), _ASKING):
+            a = slice(i, i + _ASKING)
+            step = _BLOCK // _ASKING
+            for j in range(0, len(lat), step):
+                b = slice(j, j + step)
+                share = np.sin(np.radians(lat[None, b] - self.lat[a, None]) / 2) ** 2 + self.cos[a, None] * cos[None, b] * np.sin(np.radians(lon[None, b] - self.lon[a, None]) / 2) ** 2
+                metres = 2 * EARTH_RADIUS_M * np.arcsin(np.sqrt(np.minimum(share, 1.0)))
+                near = metres <= self.most
+                self.n[a] += near @ w[b]
+                self.far[a] = np.maximum(self.far[a], np.where(near, metres, -1.0).max(1))
+
+    def done(self) -> pa.RecordBatch:
+        self.close()
+        return pa.RecordBatch.from_arrays([pa.array(self.lat), pa.array(self.lon), pa.array(self.n), pa.array(self.far)], names=["latitude", "longitude", "neighbors", "farthest_m"])
+
+
+def _counts(batches: Iterator[pa.RecordBatch], radius_m: float) -> Iterator[pa.RecordBatch]:
+    """Counts and farthest distances of asking places (no ``w``), of rows sorted by cell, asking ones first."""
+    at, cell, done, rows = None, None, [], 0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        cy, cx, lat, lon = (batch.column(x).to_numpy() for x in ("cy", "cx", "latitude", "longitude"))
+        asks = batch.column("w").is_null().to_numpy(zero_copy_only=False)
+        w = batch.column("w").fill_null(0).to_numpy()
+        starts = np.flatnonzero(np.concatenate([[True], (cy[1:] != cy[:-1]) | (cx[1:] != cx[:-1])]))
+        for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(cy)]):
+            if (cy[a], cx[a]) != at:
+                if cell is not None and cell.parts:
+                    done.append(cell.done())
+                    rows += done[-1].num_rows
+                at, cell = (cy[a], cx[a]), _Cell(radius_m)
+            middle = a + int(asks[a:b].sum())
+            if middle > a:
+                cell.ask(lat[a:middle], lon[a:middle])
+            if b > middle and cell.parts:
+                cell.meet(lat[middle:b], lon[middle:b], w[middle:b])
+        if rows >= 10_000:
+            yield from pa.Table.from_batches(done).combine_chunks().to_batches()
+            done, rows = [], 0
+    if cell is not None and cell.parts:
+        done.append(cell.done())
+    if done:
+        yield from pa.Table.from_batches(done).combine_chunks().to_batches()
+
+
 #: Pairs of cells with at most so many pairs of places are tested by a join, others block by block with an early end.
 _FEW = 10_000
 #: The side of a small cell, as a share of the radius: any two points of one are within the radius.
