@@ -8,12 +8,12 @@ from math import degrees
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from emberline.config import CLUSTER_MIN_POINTS, CLUSTER_RADIUS_M, EARTH_RADIUS_M, EVIDENCE_RADIUS_KM
 from emberline.functions.geo import dealt_around, haversine_m, with_cell
-from emberline.operators.common import components, cut, first_by, salted_left
+from emberline.operators.common import components, cut, first_by, salted_left, small
 
 
 def radius_join(left: DataFrame, right: DataFrame, radius_m: float) -> DataFrame:
@@ -133,14 +133,42 @@ _FEW = 10_000
 _SIDE = 0.999 / 2**0.5
 
 
-def _small_cells(places: DataFrame, radius_m: float) -> DataFrame:
-    """Places with their small cell (gy, gx)."""
-    side = degrees(radius_m * _SIDE / EARTH_RADIUS_M)
-    row = F.floor(F.col("latitude") / side)
+#: Bits of a place's share of its small cell's height, and of its width: steps of at most a millimetre.
+_BITS = 20
+#: Points of cells with more of them look their cell up by broadcast.
+HOT_CELL = 10_000
+
+
+def _cells_round(row: Column, side: float) -> Column:
+    """How many small cells go round the globe in a row of latitude."""
     low = F.least(F.abs(row), F.abs(row + 1)) * side  # where the row is widest
-    low = F.when((row < 0) & (row + 1 > 0), 0.0).otherwise(low)
-    n = F.greatest(F.ceil(F.cos(F.radians(low)) * 360 / side), F.lit(1))
-    return places.withColumn("gy", row).withColumn("_n", n).withColumn("gx", F.pmod(F.floor((F.col("longitude") + 180) / 360 * F.col("_n")), F.col("_n"))).drop("_n")
+    return F.greatest(F.ceil(F.cos(F.radians(low)) * 360 / side), F.lit(1))
+
+
+def _small_side(radius_m: float) -> float:
+    return degrees(radius_m * _SIDE / EARTH_RADIUS_M)
+
+
+def _small_cells(points: DataFrame, radius_m: float) -> DataFrame:
+    """Points with their small cell (gy, gx) and their place in it, rounded down, as one number by latitude first (ys) and one by longitude first (xs)."""
+    side, steps = _small_side(radius_m), 1 << _BITS
+    up = F.col("latitude") / side
+    out = points.withColumn("gy", F.floor(up)).withColumn("_u", (F.col("longitude") + 180) / 360 * _cells_round(F.col("gy"), side))
+    out = out.withColumn("gx", F.pmod(F.floor("_u"), _cells_round(F.col("gy"), side)))
+    qy, qx = (F.floor((v - F.floor(v)) * steps).cast("long") for v in (up, F.col("_u")))
+    return out.withColumn("ys", qy * steps + qx).withColumn("xs", qx * steps + qy).drop("_u")
+
+
+def _ends(prefix: str, radius_m: float) -> list[tuple[Column, Column]]:
+    """Latitude and longitude of a cell's southernmost, northernmost, westernmost and easternmost places, right to a millimetre."""
+    side, steps = _small_side(radius_m), 1 << _BITS
+    gy, gx = F.col(f"{prefix}gy"), F.col(f"{prefix}gx")
+    out = []
+    for name in ("south", "north", "west", "east"):
+        high, low = F.floor(F.col(prefix + name) / steps), F.col(prefix + name) % steps
+        qy, qx = (high, low) if name in ("south", "north") else (low, high)
+        out.append(((gy + (qy + 0.5) / steps) * side, (gx + (qx + 0.5) / steps) * 360 / _cells_round(gy, side) - 180))
+    return out
 
 
 def _linked(frame: pd.DataFrame, radius_m: float) -> bool:
@@ -159,70 +187,109 @@ def _linked(frame: pd.DataFrame, radius_m: float) -> bool:
     return False
 
 
-def _dense_links(places: DataFrame, dense: DataFrame, radius_m: float) -> DataFrame:
-    """Pairs of dense cells (a, b: their least keys) with places within the radius of each other.
+def _met_cells(cells: DataFrame, radius_m: float) -> DataFrame:
+    """Pairs of a cell (a) and a dense one (b) that may hold places within the radius of each other, two dense ones once.
 
-    Cells meet by their middle. Four outer places of each settle most pairs; the places themselves are only read for
-    the rest.
+    Cells meet by the middle of their places. ``near``: outer places of two dense cells show that they are linked.
     """
-    middle = dense.select("low", "held", ((F.col("south.latitude") + F.col("north.latitude")) / 2).alias("latitude"), ((F.col("west.longitude") + F.col("east.longitude")) / 2).alias("longitude"), F.array("south", "north", "west", "east").alias("ends"))
-    met = radius_join(middle, middle, 2 * radius_m).where("low < r_low").select(F.col("low").alias("a"), F.col("r_low").alias("b"), "ends", "r_ends", (F.col("held") * F.col("r_held")).alias("most"))
-    near = F.exists("ends", lambda x: F.exists("r_ends", lambda y: haversine_m(x["latitude"], x["longitude"], y["latitude"], y["longitude"]) <= radius_m))
-    met = cut(met.select("a", "b", "most", near.alias("near")))
+    south, north, west, east = _ends("", radius_m)
+    middle = cells.select("low", "gy", "gx", "total", "dense", "south", "north", "west", "east", ((south[0] + north[0]) / 2).alias("latitude"), ((west[1] + east[1]) / 2).alias("longitude"))
+    met = radius_join(middle, middle.where("dense").drop("dense"), 2 * radius_m).where("not dense or low < r_low")
+    sure = radius_m - 0.01  # ends are right to a millimetre
+    near = F.lit(False)
+    for y in _ends("r_", radius_m):
+        for x in _ends("", radius_m):
+            near = near | (haversine_m(*x, *y) <= sure)
+    return cut(met.select(F.col("low").alias("a"), F.col("r_low").alias("b"), "dense", (F.col("total") * F.col("r_total")).alias("most"), (F.col("dense") & near).alias("near")))
+
+
+def _tested(open_pairs: DataFrame, places: DataFrame, radius_m: float) -> DataFrame:
+    """Of pairs of dense cells (a, b: their least keys) those with places within the radius of each other."""
     cells = places.where("dense").select("low", "latitude", "longitude")
-    open_pairs = met.where("not near")
     # few places: all of one against all of the other in the join itself
     one, other = (cells.select(F.col("low").alias(c), F.col("latitude").alias(f"{c}_lat"), F.col("longitude").alias(f"{c}_lon")) for c in ("a", "b"))
     tried = open_pairs.where(F.col("most") <= _FEW).select("a", "b").join(one, "a").join(other, "b")
     few = tried.where(haversine_m(*[F.col(c) for c in ("a_lat", "a_lon", "b_lat", "b_lon")]) <= radius_m).select("a", "b")
     many = open_pairs.where(F.col("most") > _FEW).select("a", "b")
     of = lambda c, i: many.join(cells, F.col(c) == F.col("low")).select("a", "b", F.lit(i).alias("side"), "latitude", "longitude")
-    kind = met.schema["a"].dataType.simpleString()
+    kind = open_pairs.schema["a"].dataType.simpleString()
 
     def tested(frame: pd.DataFrame) -> pd.DataFrame:
         return frame[["a", "b"]].head(1 if _linked(frame, radius_m) else 0)
 
     exact = of("a", 0).unionByName(of("b", 1)).groupBy("a", "b").applyInPandas(tested, f"a {kind}, b {kind}")
-    return met.where("near").select("a", "b").unionByName(few.distinct()).unionByName(exact)
+    return few.distinct().unionByName(exact)
+
+
+def _by_cell(points: DataFrame, labels: DataFrame) -> DataFrame:
+    """``points`` with what ``labels`` (written; one row a cell) says of their cell; the few cells of very many points go out by broadcast."""
+    rest = labels.drop("total")
+    hot = labels.where(F.col("total") > HOT_CELL).drop("total")
+    if hot.isEmpty():
+        return points.join(rest, ["gy", "gx"], "left")
+    cold = points.join(F.broadcast(hot.select("gy", "gx")), ["gy", "gx"], "left_anti")
+    return points.join(F.broadcast(hot), ["gy", "gx"]).unionByName(cold.join(labels.where(F.col("total") <= HOT_CELL).drop("total"), ["gy", "gx"], "left"))
 
 
 def cluster(points: DataFrame, key: str = "detection_id", radius_m: float = CLUSTER_RADIUS_M, min_points: int = CLUSTER_MIN_POINTS) -> DataFrame:
     """Density clusters: a point with ``min_points`` neighbours (itself included) is a core; linked cores share a
     label (their least key); other points take the nearest core within reach (the lesser label at ties), or none.
 
-    Places fall into small cells, in which any two are neighbours: all points of a cell with ``min_points`` are
-    cores without a look at any other, and all cores of a cell have one label. Distances are worked out from the few
-    places of other cells, and between dense cells only until one is short enough. So a cell may hold any number of
-    points, at one place or at many. Returns key, cluster, role (CORE, BORDER, NOISE) for every row; points without
-    a place are NOISE; an empty table gives an empty result.
+    Points fall into small cells, in which any two are neighbours: all points of a cell with ``min_points`` are
+    cores without a look at any other, and all cores of a cell have one label. Of dense cells only a count, the least
+    key and the four outer places are gathered. Places are read for cells with few points, the dense cells around
+    those, and pairs of dense cells that neither outer places nor other cells link: distances are worked out from the
+    few places, and between dense cells only until one is short enough. So a cell may hold any number of points, at
+    one place or at many, and points are shuffled to be summed up by cell and to look their cell up. Returns key,
+    cluster, role (CORE, BORDER, NOISE) for every row; points without a place are NOISE; an empty table gives an
+    empty result.
     """
-    places = cut(_small_cells(places_of(points, key), radius_m))
-    ends = {n: (F.min_by if n in ("south", "west") else F.max_by)(F.struct("latitude", "longitude"), c).alias(n) for n, c in (("south", "latitude"), ("north", "latitude"), ("west", "longitude"), ("east", "longitude"))}
-    cells = places.groupBy("gy", "gx").agg(F.sum("w").alias("total"), F.count("*").alias("held"), F.min("k").alias("low"), *ends.values())
+    lat, lon = F.col("latitude"), F.col("longitude")
+    somewhere = F.coalesce(lat.isNotNull() & lon.isNotNull() & ~F.isnan(lat) & ~F.isnan(lon), F.lit(False))
+    placed = _small_cells(points.where(somewhere).select(F.col(key).alias("k"), "latitude", "longitude"), radius_m)
+    ends = [f("ys" if n in ("south", "north") else "xs").alias(n) for n, f in (("south", F.min), ("north", F.max), ("west", F.min), ("east", F.max))]
+    cells = placed.groupBy("gy", "gx").agg(F.count("*").alias("total"), F.min("k").alias("low"), *ends)
     cells = cut(cells.withColumn("dense", F.col("total") >= min_points))
-    places = cut(places.join(cells.select("gy", "gx", "dense", "low"), ["gy", "gx"]))
+
+    # dense cells that outer places link are one already; only pairs that are still apart are open
+    met = _met_cells(cells, radius_m)
+    lone = cells.where("dense").select(F.col("low").alias("a"), F.col("low").alias("b"))
+    known = components(met.where("near").select("a", "b").unionByName(lone))
+    of = lambda c: known.select(F.col("node").alias(c), F.col("root").alias(f"r{c}"))
+    open_pairs = cut(met.where("dense and not near").join(of("a"), "a").join(of("b"), "b").where("ra <> rb").select("a", "b", "most", "ra", "rb"))
+    wanted = met.where("not dense").select(F.col("b").alias("low")).union(open_pairs.select("a")).union(open_pairs.select("b")).distinct()
+    fetched = cells.where("not dense").select("gy", "gx", "dense", "low").union(cells.where("dense").join(wanted, "low", "left_semi").select("gy", "gx", "dense", "low"))
+    read = placed.select("k", "latitude", "longitude", "gy", "gx").join(small(cut(fetched)), ["gy", "gx"])
+    places = cut(read.groupBy("gy", "gx", "latitude", "longitude", "dense", "low").agg(F.min("k").alias("k"), F.count("*").alias("w")))
 
     # around places of cells with few points: by cell where that is dense, by place elsewhere
     sparse = places.where("not dense").select("k", "latitude", "longitude")
-    other = places.select("latitude", "longitude", "w", "dense", "low", F.when(~F.col("dense"), F.col("k")).alias("place"))
+    other = places.select("latitude", "longitude", "w", "dense", F.when(F.col("dense"), F.col("low")).alias("low"), F.when(~F.col("dense"), F.col("k")).alias("place"))
     near = cut(radius_join(sparse, other, radius_m).groupBy("k", "r_dense", "r_low", "r_place").agg(F.sum("r_w").alias("w"), F.min("distance_m").alias("d")))
-    few = places.where("not dense").select("k", "gy", "gx")
-    cores = few.join(near.groupBy("k").agg(F.sum("w").alias("w")).where(F.col("w") >= min_points).select("k"), "k")
+    few = places.where("not dense").select("k", "gy", "gx", "latitude", "longitude")
+    cores = few.join(near.groupBy("k").agg(F.sum("w").alias("w")).where(F.col("w") >= min_points).select("k"), "k").select("k", "gy", "gx")
     named = cut(cores.join(cores.groupBy("gy", "gx").agg(F.min("k").alias("name")), ["gy", "gx"]).select("k", "name"))  # a cell's cores go by the least of them
 
     by_place = near.join(named.select(F.col("k").alias("r_place"), F.col("name").alias("r_name")), "r_place", "left")
-    reached = cut(by_place.select("k", "d", F.when(F.col("r_dense"), F.col("r_low")).otherwise(F.col("r_name")).alias("core")).where("core is not null"))
+    reached = by_place.select("k", "d", F.when(F.col("r_dense"), F.col("r_low")).otherwise(F.col("r_name")).alias("core")).where("core is not null")
+    reached = cut(reached.join(of("core"), "core", "left").select("k", "d", F.coalesce("rcore", "core").alias("core")))
     links = reached.join(named, "k").select(F.col("name").alias("a"), F.col("core").alias("b")).where("a <> b").distinct()
-    alone = cells.where("dense").select(F.col("low").alias("a"), F.col("low").alias("b")).unionByName(named.select(F.col("name").alias("a"), F.col("name").alias("b")).distinct())
-    roots = cut(components(links.unionByName(_dense_links(places, cells.where("dense"), radius_m)).unionByName(alone)))
+    tested = _tested(open_pairs, places, radius_m).join(open_pairs, ["a", "b"]).select(F.col("ra").alias("a"), F.col("rb").alias("b"))
+    alone = named.select(F.col("name").alias("a"), F.col("name").alias("b")).unionByName(known.select(F.col("root").alias("a"), F.col("root").alias("b"))).distinct()
+    roots = cut(components(links.unionByName(tested).unionByName(alone)))
 
     border = reached.join(named.select("k"), "k", "left_anti").join(roots.select(F.col("node").alias("core"), "root"), "core")
     border = first_by(border, ["k"], [F.col("d"), F.col("root")]).select("k", "root", F.lit("BORDER").alias("role"))
     sparse_cores = named.join(roots.withColumnRenamed("node", "name"), "name").select("k", "root", F.lit("CORE").alias("role"))
-    by_key = few.select("k").join(border.unionByName(sparse_cores), "k", "left")
-    in_dense = places.where("dense").join(roots.withColumnRenamed("node", "low"), "low").select("latitude", "longitude", F.col("root").alias("cluster"), F.lit("CORE").alias("role"))
-    in_sparse = places.where("not dense").select("k", "latitude", "longitude").join(by_key, "k").select("latitude", "longitude", F.col("root").alias("cluster"), "role")
-    return at_places(points, in_dense.unionByName(in_sparse), key).select(key, "cluster", F.coalesce("role", F.lit("NOISE")).alias("role"))
+    spots = few.join(border.unionByName(sparse_cores), "k").groupBy("gy", "gx").agg(F.collect_list(F.struct("latitude", "longitude", "root", "role")).alias("spots"))
+    dense = cells.where("dense").select("gy", "gx", "total", F.col("low").alias("core")).join(of("core"), "core").join(roots.select(F.col("node").alias("rcore"), "root"), "rcore").select("gy", "gx", "total", "root")
+    labels = cut(dense.unionByName(spots.withColumn("total", F.lit(0).cast("long")), allowMissingColumns=True))
+
+    found = _by_cell(placed.select("k", "latitude", "longitude", "gy", "gx"), labels)
+    spot = F.get(F.filter("spots", lambda x: (x["latitude"] == lat) & (x["longitude"] == lon)), F.lit(0))
+    role = F.when(F.col("root").isNotNull(), "CORE").otherwise(F.coalesce(spot["role"], F.lit("NOISE")))
+    nowhere = points.where(~somewhere).select(key, F.lit(None).cast(points.schema[key].dataType).alias("cluster"), F.lit("NOISE").alias("role"))
+    return found.select(F.col("k").alias(key), F.coalesce("root", spot["root"]).alias("cluster"), role.alias("role")).unionByName(nowhere)
 
 
 def facilities_near(sites: DataFrame, facilities: DataFrame, radius_km: float = EVIDENCE_RADIUS_KM) -> DataFrame:
