@@ -6,6 +6,9 @@ pre-tokens are halved again and again down to leaves, leaves are encoded indepen
 leaf of a huge run is a row of its own - and neighbours are put together in a tree: a window around the join
 is encoded anew and grows until its first and last token are tokens of the left and the right side. Every two
 adjacent tokens then stand side by side in some exact encoding, which makes the whole encoding exact.
+
+Texts are taken many at a time: Arrow cuts them and numbers their different chunks, each of which is encoded once,
+and puts ids and tokens of all chunks together again.
 """
 
 from __future__ import annotations
@@ -14,9 +17,13 @@ import hashlib
 import heapq
 import json
 import unicodedata
-from functools import lru_cache
+from collections.abc import Iterator
+from functools import cached_property, lru_cache
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -28,22 +35,44 @@ from emberline.llm.wordbpe import SPLIT, ChunkEncoder, byte_alphabet
 LEAF = 256
 #: A run without white space above this many characters is dealt out over the cluster.
 HUGE = 20_000
+#: Texts of this many characters in all, or a single longer one, are taken together.
+TOGETHER = 2_000_000
 
 
 class TreeEncoder(ChunkEncoder):
-    """Chunk to (ids as text, decoded text, count); pre-tokens of more than ``leaf`` symbols by tree concatenation."""
+    """Texts to (ids as text, decoded text, count); pre-tokens of more than ``leaf`` symbols by tree concatenation."""
 
     def __init__(self, path: str, leaf: int = LEAF) -> None:
-        super().__init__(path, held=100_000)
-        file = json.loads(self.library.to_str())
-        merges = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in file["model"]["merges"]]
-        self.rank = {m: i for i, m in enumerate(merges)}
-        self.vocab, self.suffix, self.leaf = file["model"]["vocab"], file["model"]["end_of_word_suffix"] or "", leaf
-        self.alphabet = byte_alphabet()
-        self.name = {i: t for t, i in self.library.get_vocab(with_added_tokens=True).items()}
-        self.special = [t["content"] for t in file["added_tokens"]]
-        self.split = regex.compile(SPLIT)
-        self.at_special = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
+        super().__init__(path, held=150_000)
+        self.leaf, self.alphabet, self.split = leaf, byte_alphabet(), regex.compile(SPLIT)
+        name = {i: t for t, i in self.library.get_vocab(with_added_tokens=True).items()}
+        self.names = pa.array([name.get(i) for i in range(self.size)], pa.large_string())
+        self.digits = pa.array([str(i) for i in range(self.size)], pa.large_string())
+
+    # -- what only long pre-tokens need --------------------------------------------------------------------
+    @cached_property
+    def file(self) -> dict:
+        return json.loads(self.library.to_str())
+
+    @cached_property
+    def rank(self) -> dict[tuple[str, str], int]:
+        return {tuple(m) if isinstance(m, list) else tuple(m.split(" ")): i for i, m in enumerate(self.file["model"]["merges"])}
+
+    @cached_property
+    def vocab(self) -> dict[str, int]:
+        return self.file["model"]["vocab"]
+
+    @cached_property
+    def suffix(self) -> str:
+        return self.file["model"]["end_of_word_suffix"] or ""
+
+    @cached_property
+    def special(self) -> list[str]:
+        return [t["content"] for t in self.file["added_tokens"]]
+
+    @cached_property
+    def at_special(self):
+        return regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
 
     # -- the merge loop, for leaves and windows ------------------------------------------------------------
     def merge(self, symbols: list[str]) -> list[str]:
@@ -111,21 +140,39 @@ class TreeEncoder(ChunkEncoder):
     def word(self, piece: str) -> list[str]:
         return self.tree([*piece[:-1], piece[-1] + self.suffix])
 
-    def value(self, chunk: str):
+    def value(self, chunk: str) -> bytes:
         if len(chunk) <= self.leaf or not self.by_chunk:
-            ids = self.encoded(super().value(chunk))
+            return super().value(chunk)
+        ids = [i for piece, special in self.parts(chunk) for i in ([self.library.token_to_id(piece)] if special else [self.vocab[t] for t in self.word(piece) if t in self.vocab])]
+        return b"".join([self.packed[i] for i in ids])
+
+    # -- texts ---------------------------------------------------------------------------------------------
+    def texts(self, texts: list[str]) -> tuple[pa.Array, pa.Array, np.ndarray]:
+        """For each text its ids and its decoded text (tokens joined by one space: the file names no decoder), and the number of ids."""
+        cut = pa.array(texts, pa.large_string())
+        if self.by_chunk:  # at ASCII white space; an empty chunk beside leading or trailing white space has no ids
+            cut = pc.ascii_split_whitespace(cut)
+            ends, numbered = cut.offsets.to_numpy(), cut.flatten().dictionary_encode()
         else:
-            ids = [i for piece, special in self.parts(chunk) for i in ([self.library.token_to_id(piece)] if special else [self.vocab[t] for t in self.word(piece) if t in self.vocab])]
-        return (" ".join(map(str, ids)), " ".join([self.name[i] for i in ids]), len(ids)) if ids else None
-
-    def encoded(self, raw: bytes) -> list[int]:
-        size = self.kind.itemsize
-        return [int.from_bytes(raw[i : i + size], "little") for i in range(0, len(raw), size)]
+            ends, numbered = np.arange(len(texts) + 1), cut.dictionary_encode()
+        raw = [self.value(chunk) for chunk in numbered.dictionary.to_numpy(zero_copy_only=False)]
+        counts = np.fromiter(map(len, raw), np.int64, len(raw)) // self.kind.itemsize
+        ids, at = pa.array(np.frombuffer(b"".join(raw), self.kind)), numbered.indices.to_numpy()
+        some = counts[at] > 0  # chunks without ids take no part
+        at, ends = at[some], _ends(some)[ends]
+        join = lambda ends, parts: pc.binary_join(pa.LargeListArray.from_arrays(ends, parts), pa.scalar(" ", pa.large_string()))
+        both = [join(ends, join(_ends(counts), names.take(ids)).take(pa.array(at))) for names in (self.digits, self.names)]
+        return (*both, np.diff(_ends(counts[at])[ends]))
 
     def both(self, text: str) -> tuple[str, str, int]:
-        """A text's ids and decoded text (tokens joined by one space: the file names no decoder), and the number of ids."""
-        got = list(filter(None, map(self.__getitem__, self.chunks(text) if self.by_chunk else [text])))
-        return (" ".join([g[0] for g in got]), " ".join([g[1] for g in got]), sum([g[2] for g in got]))
+        """The same of one text."""
+        ids, decoded, count = self.texts([text])
+        return ids[0].as_py(), decoded[0].as_py(), int(count[0])
+
+
+def _ends(counts: np.ndarray) -> np.ndarray:
+    """Where stretches of so many end, after a zero."""
+    return np.concatenate([[0], np.cumsum(counts, dtype=np.int64)])
 
 
 @lru_cache(maxsize=1)
@@ -134,11 +181,30 @@ def tree_encoder(path: str) -> TreeEncoder:
     return TreeEncoder(path)
 
 
+def _together(texts: list[str]) -> Iterator[list[str]]:
+    """The texts in order, in lists of at most ``TOGETHER`` characters or of one text."""
+    held, size = [], 0
+    for text in texts:
+        if held and size + len(text) > TOGETHER:
+            yield held
+            held, size = [], 0
+        held.append(text)
+        size += len(text)
+    if held:
+        yield held
+
+
 def _digest(rows: dict, path: str, ids: bool) -> dict:
-    got = [tree_encoder(path).both(t) for t in rows["text"]]
-    sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
-    out = rows | {"n_tokens": [g[2] for g in got], "ids_sha256": [sha(g[0]) for g in got], "decoded_sha256": [sha(g[1]) for g in got]}
-    return out | ({"ids": [list(map(int, g[0].split())) for g in got], "decoded": [g[1] for g in got]} if ids else {})
+    out: dict = rows | {"n_tokens": [], "ids_sha256": [], "decoded_sha256": [], "ids": [], "decoded": []}
+    for texts in _together(rows["text"]):
+        numbers, decoded, counts = tree_encoder(path).texts(texts)
+        out["n_tokens"] += counts.tolist()
+        for name, column in (("ids_sha256", numbers), ("decoded_sha256", decoded)):
+            out[name] += [hashlib.sha256(x).hexdigest() for x in column.cast(pa.large_binary()).to_pylist()]
+        if ids:
+            out["ids"] += [list(map(int, x.split())) for x in numbers.to_pylist()]
+            out["decoded"] += decoded.to_pylist()
+    return out
 
 
 #: Parts that are joined at a time, and levels of it: a run's parts come down by 64 * 64 before one task has them.

@@ -58,6 +58,30 @@ def test_chunks_stand_for_the_text(text):
     assert treebpe.tree_encoder(PATH).both(text)[0] == " ".join(map(str, wanted(text)))
 
 
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.text(alphabet=" \t\r\n\x1c\u3000aB'1.é<|漢\u0301", max_size=12) | st.sampled_from([t or "" for t in TEXTS]), min_size=1, max_size=8), st.integers(1, 40))
+def test_texts_taken_together_equal_library(texts, together):
+    before, treebpe.TOGETHER = treebpe.TOGETHER, together
+    try:
+        out = treebpe._digest({"text": texts}, PATH, True)
+    finally:
+        treebpe.TOGETHER = before
+    assert out["ids"] == [wanted(t) for t in texts] and out["n_tokens"] == [len(wanted(t)) for t in texts]
+    assert out["decoded"] == [LIBRARY.decode(wanted(t), skip_special_tokens=False) for t in texts]
+    assert out["decoded_sha256"] == [hashlib.sha256(t.encode()).hexdigest() for t in out["decoded"]]
+
+
+def test_a_chunk_is_encoded_once_for_texts_taken_together(monkeypatch):
+    asked, value = [], treebpe.TreeEncoder.value
+    monkeypatch.setattr(treebpe.TreeEncoder, "value", lambda self, chunk: asked.append(chunk) or value(self, chunk))
+    encoder = treebpe.TreeEncoder(PATH)
+    encoder.held = 10  # fewer than there are different chunks
+    monkeypatch.setattr(treebpe, "tree_encoder", lambda path: encoder)
+    texts = [" ".join(f"word{i}x" for i in range(50))] * 20
+    assert treebpe._digest({"text": texts}, PATH, False)["n_tokens"] == [len(wanted(t)) for t in texts]
+    assert len(asked) == 50
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.lists(st.integers(0, 2**32 - 1) | st.integers(0, 600), max_size=700), max_size=6))
 def test_file_round_trip_and_random_access(docs):
