@@ -43,7 +43,7 @@ class TreeEncoder(ChunkEncoder):
     """Texts to (ids as text, decoded text, count); pre-tokens of more than ``leaf`` symbols by tree concatenation."""
 
     def __init__(self, path: str, leaf: int = LEAF) -> None:
-        super().__init__(path, held=150_000)
+        super().__init__(path, held=60_000)
         self.leaf, self.alphabet, self.split = leaf, byte_alphabet(), regex.compile(SPLIT)
         name = {i: t for t, i in self.library.get_vocab(with_added_tokens=True).items()}
         self.names = pa.array([name.get(i) for i in range(self.size)], pa.large_string())
@@ -181,6 +181,12 @@ def tree_encoder(path: str) -> TreeEncoder:
     return TreeEncoder(path)
 
 
+def _let_go() -> None:
+    """What a worker does at a task's end: neither the encoder nor freed Arrow memory is kept for the next stage."""
+    tree_encoder.cache_clear()
+    pa.default_memory_pool().release_unused()
+
+
 def _together(texts: list[str]) -> Iterator[list[str]]:
     """The texts in order, in lists of at most ``TOGETHER`` characters or of one text."""
     held, size = [], 0
@@ -226,7 +232,7 @@ def encode_documents(docs: DataFrame, tokenizer: str, key: str = "doc_id", outpu
     schema = f"{key} long, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids array<int>, decoded string" if outputs else "")
     texts = docs.select(F.col(key).cast("long").alias(key), text_of().alias("text"))
     has_run = F.col("text").rlike(_RUN % huge)
-    plain = map_rows(texts.where((F.length("text") < huge) | ~has_run), schema, lambda rows: _digest(rows, tokenizer, outputs), tree_encoder.cache_clear)
+    plain = map_rows(texts.where((F.length("text") < huge) | ~has_run), schema, lambda rows: _digest(rows, tokenizer, outputs), _let_go)
     return plain.unionByName(_huge(texts.where((F.length("text") >= huge) & has_run), key, schema, tokenizer, outputs))
 
 
