@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from math import degrees
+from math import degrees, sin
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -48,6 +48,23 @@ def dealt_around(df: DataFrame, radius_m: float) -> DataFrame:
     return rows.withColumn("cx", F.explode(beside)).drop("_i", "_n", "_at")
 
 
+def dealt_blocks(df: DataFrame, side_m: float, reach_m: float) -> DataFrame:
+    """``df`` with a row for every block (cy, cx) that holds points within the reach of a point, each once; ``own``: the point's own block.
+
+    Blocks are the cells of a grid of wider side: few points are near to another block.
+    """
+    lat, lon = F.col("latitude"), F.col("longitude")
+    row, height, radius, share = _place(lat, lon, side_m)
+    reach = reach_m / EARTH_RADIUS_M
+    up = degrees(reach) * 1.000001
+    wide = F.degrees(F.asin(F.least(F.lit(sin(reach)) / F.cos(F.radians(lat)), F.lit(1.0)))) * (1.000001 / 360)
+    rows = df.withColumn("_wide", wide).withColumn("_row", row).withColumn("cy", F.explode(F.array_distinct(F.array(F.col("_row"), *[F.floor((lat + d) / height).cast("long") for d in (-up, up)]))))
+    rows = rows.withColumn("_n", _columns(F.col("cy"), height, radius))
+    at = [F.pmod(F.floor((share + d) * F.col("_n")).cast("long"), F.col("_n")) for d in (F.lit(0.0), -F.col("_wide"), F.col("_wide"))]
+    out = rows.withColumn("_at", at[0]).withColumn("cx", F.explode(F.array_distinct(F.array(F.col("_at"), *at[1:]))))
+    return out.withColumn("own", (F.col("cy") == F.col("_row")) & (F.col("cx") == F.col("_at"))).drop("_wide", "_row", "_n", "_at")
+
+
 def tile_id(lat: Column, lon: Column, step: int = 3) -> Column:
     """The name of the tile by its south-west corner; null from 89 degrees on."""
     south, west = (F.floor(c / step) * step for c in (lat, lon))

@@ -12,8 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from emberline.config import CLUSTER_MIN_POINTS, CLUSTER_RADIUS_M, EARTH_RADIUS_M, EVIDENCE_RADIUS_KM
-from emberline.functions.geo import dealt_around, haversine_m, with_cell
-from emberline.operators.common import components, cut, first_by, salted_left, small
+from emberline.functions.geo import dealt_around, dealt_blocks, haversine_m, with_cell
+from emberline.operators.common import SALTS, components, cut, first_by, small
 
 
 def radius_join(left: DataFrame, right: DataFrame, radius_m: float) -> DataFrame:
@@ -38,36 +38,67 @@ def places_of(points: DataFrame, key: str) -> DataFrame:
     return points.where(lat.isNotNull() & lon.isNotNull()).groupBy("latitude", "longitude").agg(F.min(key).alias("k"), F.count("*").alias("w"))
 
 
-def at_places(points: DataFrame, found: DataFrame, key: str) -> DataFrame:
-    """``found`` (by latitude and longitude) for every point that lies there; a place that very many share is spread."""
-    place = F.struct("latitude", "longitude").alias("_at")
-    rest = [c for c in found.columns if c not in ("latitude", "longitude")]
-    return salted_left(points.select(key, place), found.select(place, *rest), "_at", key).drop("_at")
+#: Places with more points are looked up in copies.
+HOT_PLACE = 10_000
+
+
+def at_places(points: DataFrame, found: DataFrame, places: DataFrame, key: str) -> DataFrame:
+    """``found`` (by latitude and longitude) for every point that lies there; only of ``places`` (written) that very many share it goes out in copies."""
+    on = ["latitude", "longitude"]
+    nowhere = F.col("latitude").isNull() | F.col("longitude").isNull()
+    left = points.select(key, *on).withColumn("_salt", F.when(nowhere, F.xxhash64(key)).otherwise(F.lit(0)))  # these meet nothing
+    right = found.withColumn("_salt", F.lit(0).cast("long"))
+    hot = places.where(F.col("w") > HOT_PLACE).select(*on, F.lit(True).alias("_hot"))
+    if not hot.isEmpty():
+        left = left.join(F.broadcast(hot), on, "left").withColumn("_salt", F.when(F.col("_hot"), F.pmod(F.xxhash64(key), F.lit(SALTS))).otherwise(F.col("_salt"))).drop("_hot")
+        copies = F.when(F.col("_hot"), F.array(*[F.lit(i).cast("long") for i in range(SALTS)])).otherwise(F.array("_salt"))
+        right = right.join(F.broadcast(hot), on, "left").withColumn("_salt", F.explode(copies)).drop("_hot")
+    return left.join(right, [*on, "_salt"], "left").drop(*on, "_salt")
+
+
+#: The side of a block of ``neighbors``, in radii: narrower ones have more places near their borders, wider ones are fewer tasks' work.
+_SIDES = 16
 
 
 def neighbors(points: DataFrame, key: str = "detection_id", radius_m: float = CLUSTER_RADIUS_M) -> DataFrame:
     """How many points lie within the radius of each, itself included, and the distance of the farthest. Distances are between places, however many points share one.
 
-    Every place goes to its cell once to ask and to the cells around it to be counted. A task reads a cell's asking
-    places first and then the others block by block, so no pair is ever a row.
+    Every place goes to its block once, and to another block only if that is within the radius. A task reads a block's
+    asking places first and then all to be counted, part by part, so no pair is ever a row.
     """
-    p = places_of(points, key).select("latitude", "longitude", "w")
-    asking, counted = with_cell(p, radius_m), dealt_around(p, radius_m)
-    sides = asking.withColumn("w", F.lit(None).cast("long")).unionByName(counted)
-    met = sides.repartition("cy", "cx").sortWithinPartitions("cy", "cx", F.asc_nulls_first("w"))
+    p = cut(places_of(points, key).select("latitude", "longitude", "w"))
+    dealt = dealt_blocks(p, _SIDES * radius_m, radius_m).repartition("cy", "cx")
+    w = F.col("w")  # a place that asks is a row of its own, made where it is needed
+    sides = dealt.withColumn("w", F.explode(F.when(F.col("own"), F.array(F.lit(None).cast("long"), w)).otherwise(F.array(w))))
+    met = sides.sortWithinPartitions("cy", "cx", F.asc_nulls_first("w"))
     found = met.select("cy", "cx", "latitude", "longitude", "w").mapInArrow(lambda batches: _counts(batches, radius_m), "latitude double, longitude double, neighbors long, farthest_m double")
-    return at_places(points, found, key)
+    return at_places(points, found, p, key)
 
 
 #: Asking places that are held against a block of others at once, and the pairs of a block at most.
 _ASKING, _BLOCK = 256, 1 << 16
 
 
+class _Places:
+    """Places sorted so that neighbours lie together, in tiles with their bounds."""
+
+    def __init__(self, lat: np.ndarray, lon: np.ndarray, radius_m: float, step: int) -> None:
+        a, b = np.radians(lat), np.radians(lon)
+        units = np.stack([np.cos(a) * np.cos(b), np.cos(a) * np.sin(b), np.sin(a)])
+        self.order = np.lexsort(np.floor(units * (EARTH_RADIUS_M / radius_m)))
+        self.lat, self.lon, self.cos, self.units = lat[self.order], lon[self.order], np.cos(a)[self.order], units[:, self.order]
+        starts = np.arange(0, len(lat), step)
+        self.tiles = [slice(i, i + step) for i in starts.tolist()]
+        self.low, self.high = (f.reduceat(self.units, starts, axis=1) if len(lat) else np.zeros((3, 0)) for f in (np.minimum, np.maximum))
+
+
 class _Cell:
     """A cell's asking places with what has been counted for them so far."""
 
     def __init__(self, radius_m: float) -> None:
         self.most, self.parts, self.n = radius_m, [], None
+        self.square = (2 * np.sin(radius_m / EARTH_RADIUS_M / 2)) ** 2  # of the chord
+        self.even = self.square * 1e-8  # squares less apart may be of equal distances
 
     def ask(self, lat: np.ndarray, lon: np.ndarray) -> None:
         self.parts.append((lat, lon))
@@ -75,26 +106,47 @@ class _Cell:
     def close(self) -> None:
         if self.n is None:
             self.lat, self.lon = (np.concatenate(x) if self.parts else np.zeros(0) for x in (zip(*self.parts) if self.parts else ((), ())))
-            self.n, self.far, self.cos = np.zeros(len(self.lat), np.int64), np.full(len(self.lat), -1.0), np.cos(np.radians(self.lat))
+            self.asks = _Places(self.lat, self.lon, self.most, _ASKING)
+            self.n, self.far, self.chord = np.zeros(len(self.lat), np.int64), np.full(len(self.lat), -1.0), np.full(len(self.lat), -1.0)
+
+    def _metres(self, other: _Places, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """By the formula of ``haversine_m``."""
+        a = self.asks
+        share = np.sin(np.radians(other.lat[j] - a.lat[i]) / 2) ** 2 + a.cos[i] * other.cos[j] * np.sin(np.radians(other.lon[j] - a.lon[i]) / 2) ** 2
+        return 2 * EARTH_RADIUS_M * np.arcsin(np.sqrt(np.minimum(share, 1.0)))
 
     def meet(self, lat: np.ndarray, lon: np.ndarray, w: np.ndarray) -> None:
-        """Counts places for all that ask, by the formula of ``haversine_m``."""
+        """Counts places for all that ask.
+
+        Chords tell who is near and who is farthest, tiles that are too far apart are left out; where that is close,
+        the distance decides.
+        """
         self.close()
-        cos = np.cos(np.radians(lat))
-        for i in range(0, len(self.lat), _ASKING):
-            a = slice(i, i + _ASKING)
-            step = _BLOCK // _ASKING
-            for j in range(0, len(lat), step):
-                b = slice(j, j + step)
-                share = np.sin(np.radians(lat[None, b] - self.lat[a, None]) / 2) ** 2 + self.cos[a, None] * cos[None, b] * np.sin(np.radians(lon[None, b] - self.lon[a, None]) / 2) ** 2
-                metres = 2 * EARTH_RADIUS_M * np.arcsin(np.sqrt(np.minimum(share, 1.0)))
-                near = metres <= self.most
-                self.n[a] += near @ w[b]
-                self.far[a] = np.maximum(self.far[a], np.where(near, metres, -1.0).max(1))
+        asks, other = self.asks, _Places(lat, lon, self.most, max(_BLOCK // _ASKING, 1))
+        weight = w[other.order].astype(np.float64)
+        apart = np.maximum(np.maximum(other.low[:, None] - asks.high[:, :, None], asks.low[:, :, None] - other.high[:, None]), 0.0)
+        for x, y in np.argwhere((apart**2).sum(0) <= self.square + self.even).tolist():
+            a, b = asks.tiles[x], other.tiles[y]
+            square = np.zeros((len(asks.lat[a]), len(other.lat[b])))
+            for one, two in zip(asks.units, other.units):
+                gap = one[a, None] - two[b]
+                gap *= gap
+                square += gap
+            near = square <= self.square + self.even
+            i, j = np.nonzero(near & (square >= self.square - self.even))
+            if len(i):
+                near[i, j] = self._metres(other, i + a.start, j + b.start) <= self.most
+            self.n[a] += (near.astype(np.float64) @ weight[b]).astype(np.int64)
+            square[~near] = -1.0
+            self.chord[a] = np.maximum(self.chord[a], square.max(1))
+            i, j = np.nonzero(square >= np.maximum(self.chord[a, None] - self.even, 0.0))
+            np.maximum.at(self.far, i + a.start, self._metres(other, i + a.start, j + b.start))
 
     def done(self) -> pa.RecordBatch:
         self.close()
-        return pa.RecordBatch.from_arrays([pa.array(self.lat), pa.array(self.lon), pa.array(self.n), pa.array(self.far)], names=["latitude", "longitude", "neighbors", "farthest_m"])
+        n, far = np.empty_like(self.n), np.empty_like(self.far)
+        n[self.asks.order], far[self.asks.order] = self.n, self.far
+        return pa.RecordBatch.from_arrays([pa.array(self.lat), pa.array(self.lon), pa.array(n), pa.array(far)], names=["latitude", "longitude", "neighbors", "farthest_m"])
 
 
 def _counts(batches: Iterator[pa.RecordBatch], radius_m: float) -> Iterator[pa.RecordBatch]:
